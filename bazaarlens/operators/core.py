@@ -65,12 +65,18 @@ def prefix_sums(
             df = df.withColumn(f"{m}_before", F.coalesce(F.sum(f"__m_{m}").over(before), F.lit(0)))
             df = df.withColumn(f"{m}_total", F.sum(f"__m_{m}").over(every))
         return df.drop(*[f"__m_{m}" for m in measures])
+    # Cuts and totals come from one aggregation that reads the same columns as the slices below,
+    # so both sides reuse one shuffle of ``df``.
     probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = F.percentile_approx(order, probs, F.lit(10000)).alias("__cuts")
+    stats = df.groupBy(*keys).agg(
+        F.percentile_approx(order, probs, F.lit(10000)).alias("__cuts"),
+        *[F.sum(f"__m_{m}").alias(f"{m}_total") for m in measures],
+    )
     if keys:
-        sliced = join_keys(df, df.groupBy(*keys).agg(cuts), keys)
+        sliced = join_keys(df, stats, keys)
     else:
-        sliced = df.withColumn("__cuts", df.agg(cuts).scalar())
+        one = stats.select(F.struct(*stats.columns)).scalar()
+        sliced = df.withColumns({c: one[c] for c in stats.columns})
     position = F.size(F.filter("__cuts", lambda e: e < F.col(order)))
     sliced = sliced.withColumn("__slice", position).drop("__cuts")
     local = W.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -78,12 +84,8 @@ def prefix_sums(
         sliced = sliced.withColumn(f"__in_{m}", F.coalesce(F.sum(f"__m_{m}").over(local), F.lit(0)))
     totals = sliced.groupBy(*keys, "__slice").agg(*[F.sum(f"__m_{m}").alias(f"__s_{m}") for m in measures])
     over_slices = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    all_slices = W.partitionBy(*keys)
     offsets = totals.select(
-        *keys,
-        "__slice",
-        *[F.coalesce(F.sum(f"__s_{m}").over(over_slices), F.lit(0)).alias(f"__o_{m}") for m in measures],
-        *[F.sum(f"__s_{m}").over(all_slices).alias(f"{m}_total") for m in measures],
+        *keys, "__slice", *[F.coalesce(F.sum(f"__s_{m}").over(over_slices), F.lit(0)).alias(f"__o_{m}") for m in measures]
     )
     out = join_keys(sliced, offsets, [*keys, "__slice"])
     for m in measures:
