@@ -93,10 +93,19 @@ def before_first_contact(events: DataFrame, keys: Sequence[str] = ("user_id",))
 def ordinal_band_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_ord: str, right_ord: str, band: int = 1
 ) -> DataFrame:
-    """Equality on ``keys`` and ordinals at most ``band`` apart, or one of them unknown (negative)."""
-    joined = left.join(right, list(keys))
-    a, b = F.col(left_ord), F.col(right_ord)
-    return joined.filter((a < 0) | (b < 0) | (F.abs(a - b) <= band))
+    """Equality on ``keys`` and ordinals at most ``band`` apart, or one of them unknown (negative).
+
+    The band becomes part of the equality: a known left ordinal looks up its neighbors and the
+    unknown ones, so no pair outside the band is ever made.
+    """
+    keys = list(keys)
+    o = F.col(left_ord)
+    near = F.concat(F.sequence(F.greatest(o - band, F.lit(0)), o + band), F.array(F.lit(-1)))
+    known = left.filter(o >= 0).withColumn("__o", F.explode(near))
+    lookup = right.withColumn("__o", F.greatest(F.col(right_ord), F.lit(-1)))
+    in_band = known.join(lookup, [*keys, "__o"]).drop("__o")
+    unknown = left.filter(o < 0).join(right, keys)
+    return in_band.unionByName(unknown)
 
 
 def first_last(df: DataFrame, keys: Sequence[str], order: str, state: str) -> DataFrame:
