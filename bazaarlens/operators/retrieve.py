@@ -14,7 +14,8 @@ from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.windows import gap_sessionize
 from bazaarlens.session import durable, shared_folder
 
-# Intent weight by channel and retrieval blend weights.
+# Intent weights of the history list and of co-visitation, and retrieval blend weights.
+COVISIT_INTENT = {"view_phone": 2.0, "contact_chat": 3.0, "contact_zalo": 3.0, "contact_sms": 3.0, "other_interaction": 1.0}
 INTENT = {"view_phone": 3.0, "contact_chat": 2.0, "contact_zalo": 2.0, "contact_sms": 2.0, "other_interaction": 1.0}
 BLEND = {"als": 0.35, "covis": 0.25, "itemcf": 0.15, "fresh": 0.15}
 REPEAT_WEIGHT = 0.10
@@ -139,7 +140,7 @@ def covisit_pairs(events: DataFrame, window: int = 5, gap_seconds: float = 1800,
     return top_n(sides, ["item_id"], [F.desc(F.round("score", 9)), F.asc("neighbor")], top)
 
 
-def user_intent(events: DataFrame, weights: Mapping[str, float] = INTENT) -> DataFrame:
+def user_intent(events: DataFrame, weights: Mapping[str, float] = COVISIT_INTENT) -> DataFrame:
     return events.groupBy("user_id", "item_id").agg(F.sum(weighted("event_type", weights)).alias("intent")).filter("intent > 0")
 
 

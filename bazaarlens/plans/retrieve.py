@@ -14,6 +14,7 @@ from bazaarlens.plans.primitives import PO
 from bazaarlens.plans.registry import query
 
 GAP = 43200
+CINT = "CASE event_type WHEN 'view_phone' THEN 2.0E0 WHEN 'contact_chat' THEN 3 WHEN 'contact_zalo' THEN 3 WHEN 'contact_sms' THEN 3 WHEN 'other_interaction' THEN 1 ELSE 0 END"
 INT = "CASE event_type WHEN 'view_phone' THEN 3.0E0 WHEN 'contact_chat' THEN 2 WHEN 'contact_zalo' THEN 2 WHEN 'contact_sms' THEN 2 WHEN 'other_interaction' THEN 1 ELSE {d} END"
 
 
@@ -56,7 +57,7 @@ def _(s):
     return neighbors(s)
 
 
-CVC = f"""{CVP}, hi AS (SELECT user_id, item_id, SUM({INT.format(d=0)}) AS intent FROM ev GROUP BY 1,2 HAVING SUM({INT.format(d=0)})>0), c0 AS (SELECT user_id, neighbor AS item_id, SUM(intent*score) AS score FROM hi JOIN cp USING (item_id) GROUP BY 1,2),
+CVC = f"""{CVP}, hi AS (SELECT user_id, item_id, SUM({CINT}) AS intent FROM ev GROUP BY 1,2 HAVING SUM({CINT})>0), c0 AS (SELECT user_id, neighbor AS item_id, SUM(intent*score) AS score FROM hi JOIN cp USING (item_id) GROUP BY 1,2),
 cc AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score,9) DESC, item_id)::INT AS rank FROM c0 WHERE (user_id,item_id) NOT IN (SELECT (user_id,item_id) FROM hi) QUALIFY rank<=100)"""
 
 
