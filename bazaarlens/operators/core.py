@@ -173,9 +173,17 @@ def share_within(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return df.withColumn(out, F.try_divide(F.col(value) * 100.0, total.cast("double")))
 
 
-def share_of_all(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Percent of the grand total; the total is a scalar subquery, not a one-partition window."""
-    total = df.agg(F.sum(value).cast("double")).scalar()
+def share_of_all(df: DataFrame, value: str, out: str, bounded: bool = True) -> DataFrame:
+    """Percent of the grand total.
+
+    A report with one row per cell of a few dimensions (``bounded``) gets its total from a window
+    over those rows, so the facts behind it are read once. A table that grows with the data gets
+    it from a scalar subquery, so its rows never meet in one task.
+    """
+    if bounded:
+        total = F.sum(value).over(W.partitionBy(F.lit(1))).cast("double")
+    else:
+        total = df.agg(F.sum(value).cast("double")).scalar()
     return df.withColumn(out, F.try_divide(F.col(value) * 100.0, total))
 
 

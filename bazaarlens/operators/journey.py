@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import bucketize, flag, is_explicit, is_login, is_pageview, is_positive, pct, ratio, seconds
@@ -89,7 +90,8 @@ def listing_age_distribution(events: DataFrame, snapshot: DataFrame, cap: float
     p99 = quantiles(joined, [], "listing_age_days", {"p": 0.99}, bounded=True).scalar()
     bins = joined.groupBy(F.least("listing_age_days", F.lit(float(cap)), p99).alias("age")).agg(
         F.count("*").alias("n"), F.count_if(F.col("listing_age_days") <= 2).alias("n_fresh"))
-    fresh = bins.agg(pct(F.sum("n_fresh"), F.sum("n"))).scalar()
+    every = W.partitionBy(F.lit(1))
+    fresh = pct(F.sum("n_fresh").over(every), F.sum("n").over(every))
     return share_of_all(bins, "n", "pct").withColumn("fresh_pct", fresh).drop("n_fresh")
 
 
@@ -136,7 +138,7 @@ def lead_distribution(interactions: DataFrame) -> DataFrame:
 
 def top_items_by_lead_share(interactions: DataFrame, n: int = 20) -> DataFrame:
     items = interactions.groupBy("item_id").agg(F.sum("lead_count").alias("leads"), F.sum("adview_count").alias("adviews"))
-    shared = share_of_all(items, "leads", "lead_share_pct").withColumn("leads_per_view", ratio("leads", "adviews"))
+    shared = share_of_all(items, "leads", "lead_share_pct", bounded=False).withColumn("leads_per_view", ratio("leads", "adviews"))
     return shared.orderBy(F.desc("leads"), F.asc("item_id")).limit(n)
 
 

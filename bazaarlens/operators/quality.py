@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import as_col, flag, is_explicit, is_login, pct, ratio
-from bazaarlens.operators.core import first_rows, quantiles, unpivot_row
+from bazaarlens.operators.core import first_rows, join_keys, quantiles, unpivot_row
 
 # Price texts, units and patterns of the listings' price buckets.
 UNITS = {"k": 1e3, "nghìn": 1e3, "m": 1e6, "triệu": 1e6, "b": 1e9, "tỷ": 1e9}
@@ -142,7 +142,14 @@ def _amount(text: Column, pattern: str, number: int, unit: int) -> Column:
 
 
 def price_bucket_to_numeric(df: DataFrame, column: str = "price_bucket") -> DataFrame:
-    """low, high, mid in VND and a negotiable flag from the price text, as row expressions."""
+    """low, high, mid in VND and a negotiable flag from the price text.
+
+    Each distinct text is parsed once and joined back, so the patterns do not run on every row.
+    """
+    return join_keys(df, _parse_prices(df.select(column).distinct(), column), [column], "left")
+
+
+def _parse_prices(df: DataFrame, column: str) -> DataFrame:
     text = F.lower(F.trim(column))
     negotiable = text.contains(NEGOTIABLE[0]) | text.contains(NEGOTIABLE[1])
     rules = [  # pattern, low, high

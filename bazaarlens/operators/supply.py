@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.buckets import area_bucket
@@ -33,9 +34,8 @@ def supply_demand_by_category(dim: DataFrame, snapshot: DataFrame, events: DataF
         F.sum("explicit").alias("explicit"), F.sum("positive").alias("positive"))
     base = supply.join(demand, "category", "left").fillna(0, ["explicit", "positive"])
     sums = ["listings", "listing_days", "explicit", "positive"]
-    total = base.agg(*[F.sum(c).alias(c) for c in sums]).select(F.lit(0).alias("category"), *sums)
-    both = base.select("category", *sums).unionByName(total)
-    whole = base.agg(F.struct(*[F.sum(c).alias(c) for c in sums])).scalar()
+    both = base.rollup("category").agg(*[F.sum(c).alias(c) for c in sums]).withColumn("category", F.coalesce("category", F.lit(0)))
+    whole = {c: F.max(c).over(W.partitionBy(F.lit(1))) for c in sums}
     return both.withColumns({
         "explicit_per_1k": ratio("explicit", "listings", 1000.0), "positive_per_1k": ratio("positive", "listings", 1000.0),
         "explicit_of_positive_pct": pct("explicit", "positive"), "listings_pct": pct("listings", whole["listings"]),

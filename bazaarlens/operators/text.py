@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import as_col, bucketize, flag, has_query, is_pageview, pct
@@ -229,8 +230,9 @@ def district_price_heatmap(enriched: DataFrame) -> DataFrame:
     labels = [*PRICE_LABELS, UNKNOWN_PRICE]
     wide = enriched.groupBy(F.coalesce("district", F.lit("khac")).alias("district")).agg(
         *[F.sum(F.when(F.col("price_slot") == p, F.col("n")).otherwise(0)).alias(p) for p in labels])
-    total = enriched.agg(F.sum("n").cast("double")).scalar()
-    return wide.select("district", *[(F.col(f"`{p}`") * 100.0 / total).alias(p) for p in labels])
+    row = sum((F.col(f"`{p}`") for p in labels), F.lit(0))
+    summed = wide.withColumn("__all", F.sum(row).over(W.partitionBy(F.lit(1))))
+    return summed.select("district", *[pct(F.col(f"`{p}`"), "__all").alias(p) for p in labels])
 
 
 # ---- titles -------------------------------------------------------------------------------------

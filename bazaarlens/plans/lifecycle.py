@@ -28,7 +28,7 @@ def _(s):
 
 
 for _name, _keys in {
-    "contact_rate_by_date": ["category", "date"], "contact_rate_by_dow": ["category", "dow"], "contact_rate_by_month": ["category", "month"],
+    "contact_rate_by": ["category"], "contact_rate_by_date": ["category", "date"], "contact_rate_by_dow": ["category", "dow"], "contact_rate_by_month": ["category", "month"],
     "contact_rate_by_age": ["category", "age_bucket"], "contact_rate_by_age_dow": ["category", "age_bucket", "dow"],
     "contact_rate_by_adtype_dow": ["ad_type", "dow"], "contact_rate_by_adtype_age": ["ad_type", "age_bucket"],
     "contact_rate_by_age_day": ["category", "listing_age_days"],

@@ -117,7 +117,11 @@ def _(s):
     return P.cold_override(empty, cold_users(s), P.guarded_cold_list(age_track(s), popular(s)))
 
 
-@query("diversity_cap")
+@query("diversity_cap", "ev dim", f"""WITH RECURSIVE_ {HC}, {ITEM_AGE}, ds AS (SELECT hr.user_id, hr.item_id, ia.seller_id AS s, ia.district_name AS d, hr.score+CASE WHEN age<=7 THEN 0.05 ELSE 0 END AS sc FROM hr LEFT JOIN ia USING (item_id)),
+dl AS (SELECT user_id, list({{'i':item_id,'s':s,'d':d,'sc':sc}} ORDER BY round(sc,9) DESC, item_id) AS a FROM ds GROUP BY 1),
+rc AS (SELECT user_id, a, 1 AS p, a[1:0] AS picked FROM dl UNION ALL SELECT user_id, a, p+1, CASE WHEN len(picked)>=10 OR len(list_filter(picked, lambda x: x.s=a[p].s))>=2 OR len(list_filter(picked, lambda x: x.d=a[p].d))>=2 THEN picked ELSE list_append(picked, a[p]) END FROM rc WHERE p<=len(a)),
+fn AS (SELECT user_id, list_concat(picked, list_filter(a, lambda x: NOT list_contains(list_transform(picked, lambda y: y.i), x.i)))[1:10] AS f FROM rc WHERE p=len(a)+1), ex AS (SELECT user_id, unnest(f) AS x, unnest(range(1,len(f)+1)) AS rank FROM fn)
+SELECT user_id, x.i AS item_id, rank::INT AS rank, round(x.sc,6) AS score FROM ex""")
 def _(s):
     return P.diversity_cap(history(s), aged(s), max_seller=2, max_district=2)
 

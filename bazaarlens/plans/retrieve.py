@@ -12,6 +12,7 @@ from bazaarlens.operators.segment import item_tiers
 from bazaarlens.plans.features import END, IQ, PR, U2, UX, UP, users_v2
 from bazaarlens.plans.primitives import PO
 from bazaarlens.plans.registry import query
+from bazaarlens.session import durable
 
 GAP = 43200
 CINT = "CASE event_type WHEN 'view_phone' THEN 2.0E0 WHEN 'contact_chat' THEN 3 WHEN 'contact_zalo' THEN 3 WHEN 'contact_sms' THEN 3 WHEN 'other_interaction' THEN 1 ELSE 0 END"
@@ -164,8 +165,11 @@ MGC = ["user_id", "item_id", "covis_norm", "als_norm", "fresh_norm", "repeat_cou
 def merged(s):
     """History stands in the matrix-factorization slot, so that the whole merge has an exact SQL form."""
     repeats = T.user_item_positive(s.ev).filter("pos_count > 1").select("user_id", "item_id", F.col("pos_count").alias("repeat_count"))
-    fresh = R.fresh_content_candidates(preferences(s), fresh_items(s))
-    return R.merge_candidates({"covis": covisited(s), "als": history(s), "fresh": fresh}, repeats)
+    fresh = R.fresh_content_candidates(durable(preferences(s), "preferences"), fresh_items(s))
+    # Every retriever is a stage of its own: its list is written once and read by the merge.
+    sources = {name: durable(df.select("user_id", "item_id", "score"), name) for name, df in
+               (("covis", covisited(s)), ("als", history(s)), ("fresh", fresh))}
+    return R.merge_candidates(sources, repeats)
 
 
 @query("merge_candidates", "ev dim", f"WITH {MG} SELECT {', '.join(f'round({c},6) AS {c}' if c.endswith(('norm', 'score')) else c for c in MGC)} FROM mc")

@@ -128,7 +128,7 @@ def hash_sample(df: DataFrame, key: Column | str, fraction: float) -> DataFrame:
 def scale_up(counts: DataFrame, value: str, fraction: float) -> DataFrame:
     """Estimated totals of a sample with their share."""
     estimate = F.bround(F.col(value) / F.lit(fraction), 0).cast("long")
-    return share_of_all(counts.withColumn("estimate", estimate), "estimate", "share_pct")
+    return share_of_all(counts.withColumn("estimate", estimate), "estimate", "share_pct", bounded=False)
 
 
 def hash_split(df: DataFrame, key: Column | str, train_pct: int = 80, out: str = "is_train") -> DataFrame:
