@@ -41,6 +41,17 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
+def position_in(cuts: str, value: str, parts: int) -> Column:
+    """How many of the ``parts - 1`` sorted cuts lie below the value, by binary search."""
+    steps = F.array(*[F.lit(1 << s) for s in reversed(range((parts - 1).bit_length()))])
+
+    def step(low: Column, size: Column) -> Column:
+        probe = F.get(F.col(cuts), low + size - 1)
+        return F.when(probe < F.col(value), low + size).otherwise(low)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -77,8 +88,7 @@ def prefix_sums(
     else:
         one = stats.select(F.struct(*stats.columns)).scalar()
         sliced = df.withColumns({c: one[c] for c in stats.columns})
-    position = F.size(F.filter("__cuts", lambda e: e < F.col(order)))
-    sliced = sliced.withColumn("__slice", position).drop("__cuts")
+    sliced = sliced.withColumn("__slice", position_in("__cuts", order, parts)).drop("__cuts")
     local = W.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     for m in measures:
         sliced = sliced.withColumn(f"__in_{m}", F.coalesce(F.sum(f"__m_{m}").over(local), F.lit(0)))

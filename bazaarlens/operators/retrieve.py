@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.columns import decay, dot, seconds, unit, weighted
+from bazaarlens.functions.columns import decay, seconds, unit, weighted
 from bazaarlens.operators.core import join_keys, running_count, top_n
 from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.windows import gap_sessionize
@@ -58,50 +58,85 @@ def user_vectors(pairs: DataFrame, vectors: DataFrame, weight: str = "pos_count"
 
 
 def item_embedding_cf(
-    users: DataFrame, vectors: DataFrame, seen: DataFrame, k: int = 100, cells: int = 64, probes: int = 4, salts: int = 8, seed: int = 7
+    users: DataFrame, vectors: DataFrame, seen: DataFrame, k: int = 100, cells: int = 64, probes: int = 4, block: int = 1024, seed: int = 7
 ) -> DataFrame:
-    """Exact top-k cosine neighbors of every user vector, without pairing all users and items.
+    """Exact top-k cosine neighbors of every user vector, without pairing users and items row by row.
 
     Items are split into k-means cells. For unit vectors cosine order is distance order, and by the
     triangle inequality a cell of radius r around c holds nothing nearer to u than d(u,c) - r. The
     nearest cells give each user a distance within which k unseen items already lie; only cells
     that could hold something nearer are read in the second pass. Nothing is approximated.
-    Hot cells are spread over ``salts`` parts on the item side.
+    Inside a cell, blocks of about ``block`` users and items meet as matrices and only each user's
+    best rows of a block leave the task, so a hot cell is many equal blocks.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     units = durable(vectors.select("item_id", unit("embedding").alias("ivec")), "units")
-    fitted = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell", maxIter=5).fit(
-        units.withColumn("f", array_to_vector("ivec")))
-    assigned = durable(fitted.transform(units.withColumn("f", array_to_vector("ivec"))).select("item_id", "ivec", "cell"), "cells")
+    with_vector = units.withColumn("f", array_to_vector("ivec"))
+    fitted = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell", maxIter=5).fit(with_vector)
+    assigned = durable(fitted.transform(with_vector).select("item_id", "ivec", "cell"), "cells")
     # The centers are ``cells`` vectors: a model parameter of fixed size, not data.
     centers = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c"))
                         for i, c in enumerate(fitted.clusterCenters())])
     located = assigned.withColumn("center", F.get(centers, F.col("cell"))["c"])
     radii = located.groupBy("cell").agg(F.max(_distance("ivec", "center")).alias("radius"))
     every = durable(users.select("user_id", "uvec"), "uvecs")
-    near = every.select("user_id", "uvec", F.explode(centers).alias("e")).select(
-        "user_id", "uvec", "e.cell", _distance("uvec", F.col("e.c")).alias("d"))
-    bounds = durable(near.join(radii, "cell").select("user_id", "uvec", "cell", "d", F.greatest(F.col("d") - F.col("radius"), F.lit(0.0)).alias("bound")), "bounds")
+    near = every.select("user_id", F.explode(F.transform(centers, lambda e: F.struct(
+        e["cell"].alias("cell"), _distance("uvec", e["c"]).alias("d")))).alias("e")).select("user_id", "e.cell", "e.d")
+    bounds = durable(near.join(radii, "cell").select("user_id", "cell", "d", F.greatest(F.col("d") - F.col("radius"), F.lit(0.0)).alias("bound")), "bounds")
     ordered = bounds.withColumn("probe", F.row_number().over(W.partitionBy("user_id").orderBy("d", "cell")))
-    items = assigned.withColumn("salt", F.pmod(F.xxhash64("item_id"), F.lit(salts)))
+    items = _blocks(assigned, "item_id", "ivec", block)
+    per_cell = seen.join(assigned.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.count("*").alias("extra"))
 
-    def read(cells_of_user: DataFrame) -> DataFrame:
-        salted = cells_of_user.select("user_id", "uvec", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-        hits = salted.join(items, ["cell", "salt"]).select("user_id", "item_id", dot("uvec", "ivec").alias("score"))
+    def read(wanted: DataFrame) -> DataFrame:
+        rows = wanted.select("user_id", "cell").join(every, "user_id").join(per_cell, ["user_id", "cell"], "left").fillna(0, ["extra"])
+        pairs = _blocks(rows, "user_id", "uvec", block, "extra").join(items.drop("block"), "cell").drop("cell", "block")
+        hits = pairs.mapInPandas(_best_of_blocks(k), "user_id long, item_id long, score double")
         return hits.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
-    order = [F.desc("score"), F.asc("item_id")]
+    order = [F.desc(F.round("score", 9)), F.asc("item_id")]
     first = durable(top_n(read(ordered.filter(F.col("probe") <= probes)), ["user_id"], order, k), "first")
     reach = first.groupBy("user_id").agg(
         F.when(F.count("*") == k, F.sqrt(F.greatest(2.0 - 2.0 * F.min("score"), F.lit(0.0)))).alias("reach"))
     more = ordered.filter(F.col("probe") > probes).join(reach, "user_id", "left")
-    more = more.filter(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + 1e-9))
+    more = more.filter(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + 1e-6))
     both = first.select("user_id", "item_id", "score").unionByName(read(more))
     return top_n(both, ["user_id"], order, k)
 
 
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, extra: str | None = None) -> DataFrame:
+    """Rows of a cell packed into blocks of about ``size``: ids and one flat vector array each."""
+    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
+    row = [key, vector] + ([extra] if extra else [])
+    cut = rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("n_blocks")))
+    packed = cut.groupBy("cell", "block").agg(F.collect_list(F.struct(*row)).alias("l"))
+    out = [F.transform("l", lambda x: x[key]).alias(f"{key}s"), F.flatten(F.transform("l", lambda x: x[vector])).alias(f"{vector}s")]
+    if extra:
+        out.append(F.transform("l", lambda x: x[extra]).alias("extras"))
+    return packed.select("cell", "block", *out)
+
+
+def _best_of_blocks(k: int):
+    """Matrix product of a user block and an item block; keeps each user's best rows, ties included."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for users, uvecs, extras, items, ivecs in zip(batch.user_ids, batch.uvecs, batch.extras, batch.item_ids, batch.ivecs):
+                users, items = np.asarray(users), np.asarray(items)
+                scores = np.asarray(uvecs).reshape(len(users), -1) @ np.asarray(ivecs).reshape(len(items), -1).T
+                for u, row in enumerate(scores):
+                    keep = min(k + int(extras[u]), len(items))
+                    limit = np.partition(row, len(items) - keep)[len(items) - keep]
+                    chosen = np.nonzero(row >= limit - 1e-9)[0]
+                    yield pd.DataFrame({"user_id": users[u], "item_id": items[chosen], "score": row[chosen]})
+
+    return run
+
+
 def _distance(a: Column | str, b: Column | str) -> Column:
     parts = F.zip_with(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b, lambda x, y: (x - y) * (x - y))
     return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x))

@@ -197,10 +197,11 @@ def weighted_ngrams(df: DataFrame, text: str, weight: Column, sizes: Sequence[in
     tokens = df.select(*keys, weight.alias("w"), F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "").alias("tok"))
 
     def grams(n: int) -> Column:
-        count = F.size("tok") - (n - 1)
-        made = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.struct(
-            F.lit(n).alias("size"), F.array_join(F.slice("tok", i, n), " ").alias("gram")))
-        return F.when(count >= 1, made).otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
+        joined = F.col("tok")
+        for shift in range(1, n):  # glue every token to the text before it
+            left = F.greatest(F.size("tok") - shift, F.lit(0))
+            joined = F.zip_with(F.slice(joined, 1, left), F.slice("tok", shift + 1, left), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.transform(joined, lambda g: F.struct(F.lit(n).alias("size"), g.alias("gram")))
 
     exploded = tokens.select(*keys, "w", F.explode(F.concat(*[grams(n) for n in sizes])).alias("g"))
     counts = exploded.groupBy(*keys, F.col("g.size").alias("size"), F.col("g.gram").alias("gram")).agg(F.sum("w").alias("n"))
