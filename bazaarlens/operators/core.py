@@ -17,7 +17,13 @@ from bazaarlens.functions.columns import as_col
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL keys match each other; key columns come from ``left``."""
+    """Equi-join on ``keys`` where NULL keys match each other; key columns come from ``left``.
+
+    Without keys ``right`` must be one row; it is attached as a scalar subquery, never crossed.
+    """
+    if not keys:
+        one = right.select(F.struct(*right.columns)).scalar()
+        return left.withColumns({c: one[c] for c in right.columns})
     renamed = right.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import decay, flag, is_login, is_positive, weighted
-from bazaarlens.operators.core import first_rows, top_n
+from bazaarlens.operators.core import first_rows, histogram, join_keys, prefix_sums, top_n
 from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.windows import min_max_norm
 
@@ -199,8 +199,13 @@ def history_score(
     a = interactions.select(*KEYS, (amount * fade).alias("x"), "date")
     b = events.filter(is_login() & is_positive()).select(*KEYS, (weighted("event_type", event_weights) * fade).alias("x"), "date")
     total = a.unionByName(b).groupBy(*KEYS).agg(F.sum("x").alias("hist_raw"), F.max("date").alias("last_touch")).filter("hist_raw > 0")
-    order = [F.desc(F.round("hist_raw", 9)), F.desc("last_touch"), F.asc("item_id")]
-    return total.withColumn("hist_rank", F.row_number().over(W.partitionBy("user_id").orderBy(*order)))
+    # All pairs of a user are ranked: the slices of prefix_sums count the pairs with a larger score,
+    # a window orders only the pairs with the same score, so a user with most pairs is spread out.
+    scored = total.withColumn("__neg", -F.round("hist_raw", 9))
+    above = prefix_sums(histogram(scored, ["user_id"], "__neg"), ["user_id"], "__neg", {"n": F.col("n")}).select("user_id", "__neg", "n_before")
+    tie = F.row_number().over(W.partitionBy("user_id", "__neg").orderBy(F.desc("last_touch"), F.asc("item_id")))
+    ranked = join_keys(scored.withColumn("__tie", tie), above, ["user_id", "__neg"])
+    return ranked.withColumn("hist_rank", (F.col("n_before") + F.col("__tie")).cast("int")).drop("__neg", "__tie", "n_before")
 
 
 def prune_list(dim: DataFrame, cutoff: str) -> DataFrame:
