@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,23 +28,28 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's checkpoint folder.
+    """The folder every executor can reach: the cluster's checkpoint folder, else one in the warehouse.
 
-    Only where the cluster names none (tests on one machine) is a fresh folder made and set.
+    A cluster whose only such folder is a warehouse on local disks has no shared folder: that raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith("file:"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_stages"
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage.
 
-    The copy outlives any executor, so a lost executor never recomputes the plan behind it.
+    The copy outlives any executor, so a lost executor never recomputes the plan behind it. It is
+    removed when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/bazaarlens/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
