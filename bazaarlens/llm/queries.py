@@ -6,11 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.llm import substring, suffix
+from bazaarlens.llm import decontam, licenses, substring, suffix, token_output
 from bazaarlens.llm.shared import documents
 
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's vocabulary on this machine; executors open the same path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": lambda spark, sf_dir: substring.substring_digest(documents(spark, sf_dir)),
     "op6_suffix_dedup": lambda spark, sf_dir: suffix.suffix_digest(documents(spark, sf_dir)),
+    "op7_token_output": lambda spark, sf_dir: token_output.token_digest(documents(spark, sf_dir), tokenizer_file()),
+    "op9_license_scan": lambda spark, sf_dir: licenses.license_digest(documents(spark, sf_dir)),
+    "op10_decontamination": lambda spark, sf_dir: decontam.contamination_digest(documents(spark, sf_dir), benchmark(spark, sf_dir)),
 }
 ORACLES: dict[str, str] = {}
