@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.llm import decontam, licenses, substring, suffix, token_output
+from bazaarlens.llm import decontam, licenses, ngram_join, substring, suffix, token_output
 from bazaarlens.llm.shared import documents
 
 
@@ -22,6 +22,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": lambda spark, sf_dir: ngram_join.jaccard_components(documents(spark, sf_dir)),
     "op2_substring_dedup": lambda spark, sf_dir: substring.substring_digest(documents(spark, sf_dir)),
     "op6_suffix_dedup": lambda spark, sf_dir: suffix.suffix_digest(documents(spark, sf_dir)),
     "op7_token_output": lambda spark, sf_dir: token_output.token_digest(documents(spark, sf_dir), tokenizer_file()),
