@@ -45,7 +45,6 @@ class Runs(NamedTuple):
     windows: np.ndarray
     anchor: np.ndarray
     cls: np.ndarray
-    offset: np.ndarray
 
 
 def units(chunk: Chunk, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +61,7 @@ def runs_of(chunk: Chunk, kind: Kind) -> tuple[Runs, np.ndarray, np.ndarray]:
     n, window = len(values), kind.window
     if n < window:
         none = np.zeros(0, dtype=np.int64)
-        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none), values, first
+        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64)), values, first
     sums = prefix_sums(values)
     grams = fixed_hash(sums, kind.gram)
     at = sliding_argmin(grams, window - kind.gram + 1)
@@ -78,7 +77,7 @@ def runs_of(chunk: Chunk, kind: Kind) -> tuple[Runs, np.ndarray, np.ndarray]:
     start, stop, text = start[whole], stop[whole], text[whole]
     anchor = at[start].astype(np.int64)
     cls = mix(span_hash(sums, start, stop - 1 + window) ^ (anchor - start).astype(np.uint64))
-    return Runs(chunk.rows[text], start - first[text], stop - start, grams[anchor], cls, anchor - start), values, first
+    return Runs(chunk.rows[text].astype(np.int32), (start - first[text]).astype(np.int32), (stop - start).astype(np.int32), grams[anchor], cls), values, first
 
 
 def _merge(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +102,7 @@ def _first_scan(kind: Kind, divisor: int, buckets: int) -> Callable[[Iterator[pa
             keys = rows.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
             parts = [runs_of(c, kind)[0] for c in chunks(rows.column("text"))]
             runs = Runs(*[np.concatenate(x) for x in zip(*parts)]) if parts else None
+            del parts
             if runs is None or not len(runs.row):
                 continue
             key = keys[runs.row]
@@ -122,6 +122,7 @@ def _first_scan(kind: Kind, divisor: int, buckets: int) -> Callable[[Iterator[pa
                 settled[order] = sorted_key // divisor > (sorted_key // divisor)[head][group]
                 keep = ~settled
             lone = keep & (many == 0)
+            del order, cls, sorted_key, head, group, size
             spans = _merge(key[settled], runs.start[settled], (runs.start + runs.windows - 1 + kind.window)[settled])
             bucket = ((runs.anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             chosen = np.flatnonzero(keep)
