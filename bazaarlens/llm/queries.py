@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.llm import decontam, licenses, ngram_join, quality, substring, suffix, token_output
+from bazaarlens.llm import decontam, licenses, ngram_join, pii, quality, substring, suffix, token_output
 from bazaarlens.llm.shared import documents
 
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": lambda spark, sf_dir: quality.quality_digest(documents(spark, sf_dir)),
     "op6_suffix_dedup": lambda spark, sf_dir: suffix.suffix_digest(documents(spark, sf_dir)),
     "op7_token_output": lambda spark, sf_dir: token_output.token_digest(documents(spark, sf_dir), tokenizer_file()),
+    "op8_personal_data": lambda spark, sf_dir: pii.pii_digest(documents(spark, sf_dir)),
     "op9_license_scan": lambda spark, sf_dir: licenses.license_digest(documents(spark, sf_dir)),
     "op10_decontamination": lambda spark, sf_dir: decontam.contamination_digest(documents(spark, sf_dir), benchmark(spark, sf_dir)),
 }

@@ -20,14 +20,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text, key) and a divisor: key // divisor orders documents as doc_id does.
+def keyed(docs: DataFrame, *extra: str) -> tuple[DataFrame, int]:
+    """(doc_id, text, extra columns, key) and a divisor: key // divisor orders documents as doc_id does.
 
     Where every doc_id is set and unique, the key is the doc_id and the divisor 1; this is counted
     over the whole id column. Otherwise rows are numbered inside their id, null ids last, in a
     written table, so that every row has a key of its own.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     odd = plain.groupBy("doc_id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull())
     if odd.isEmpty():
         return plain.withColumn("key", F.col("doc_id")), 1
@@ -36,7 +36,7 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
     inside = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1
     rows = plain.withColumn("inside", inside).join(ids.withColumnRenamed("doc_id", "other"), F.col("doc_id") == F.col("other"), "left")
     key = F.coalesce(F.col("place"), last) * SAME_ID + F.col("inside")
-    return durable(rows.select("doc_id", "text", key.cast("long").alias("key")), "keyed"), SAME_ID
+    return durable(rows.select("doc_id", "text", *extra, key.cast("long").alias("key")), "keyed"), SAME_ID
 
 
 def hashed_bit(column: Column, bits: int) -> Column:
