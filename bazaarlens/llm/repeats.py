@@ -242,7 +242,7 @@ def repeated_spans(docs: DataFrame, kind: Kind, divisor: int, search: Callable[[
     content = source.mapInArrow(_second_scan(kind, divisor, buckets, bit), "anchor long, cls long, key long, start int, many int, content binary")
     # The bitmap lets some other anchors through; they have one class, and the search finds nothing new there.
     found = content.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(4 * buckets))).groupBy("part").applyInArrow(search, SPANS)
-    return settled.filter("start >= 0").unionByName(found)
+    return settled.filter("start >= 0").unionByName(durable(found, "edges"))
 
 
 DOC_BITS = 1 << 23
