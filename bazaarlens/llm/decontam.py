@@ -75,6 +75,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents that hold no benchmark window, with their own columns."""
+    rows, _ = keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), "_row")
+    found = durable(contaminated_words(rows, benchmark, window)[1].select("key").distinct(), "contaminated")
+    return rows.join(found, "key", "left_anti").select("_row.*")
+
+
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)."""
     return decontaminate(docs, benchmark).select(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaarlens.llm import decontam, licenses, ngram_join, pii, ppm, quality, substring, suffix, token_output
+from bazaarlens.llm import decontam, licenses, ngram_join, packing, pii, ppm, quality, substring, suffix, token_output
 from bazaarlens.llm.shared import documents
 
 
@@ -24,6 +24,7 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": lambda spark, sf_dir: ngram_join.jaccard_components(documents(spark, sf_dir)),
     "op2_substring_dedup": lambda spark, sf_dir: substring.substring_digest(documents(spark, sf_dir)),
+    "op3_best_fit_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
     "op4_quality_rules": lambda spark, sf_dir: quality.quality_digest(documents(spark, sf_dir)),
     "op5_ppm_score": lambda spark, sf_dir: ppm.score_digest(documents(spark, sf_dir)),
     "op6_suffix_dedup": lambda spark, sf_dir: suffix.suffix_digest(documents(spark, sf_dir)),
