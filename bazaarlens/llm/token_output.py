@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,53 +41,51 @@ class WordIds:
     the whole tokenizer.
     """
 
-    SLOTS = 1 << 20
+    SLOTS = 1 << 19
     SIMPLE = re.compile(rb"([A-Za-z]+)([!\"#$%&()*+,./:;<=>?@^_`{|}~\\-]*)")
 
     def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
-        self.parts: dict[bytes, list[int]] = {}
+        self.model = self.tokenizer.model
+        self.parts: dict[bytes, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
         self.hashes = np.zeros(self.SLOTS, dtype=np.uint64)
-        self.entry = np.zeros(self.SLOTS, dtype=np.int64)
-        self.flat, self.flat_n = np.array([self.end_id] * (1 << 16), dtype=np.uint32), 1
-        self.start, self.size, self.n = np.zeros(1 << 16, dtype=np.int64), np.ones(1 << 16, dtype=np.int64), 1
+        self.entry = np.zeros(self.SLOTS, dtype=np.int32)
+        self.flat, self.flat_n = np.full(1 << 16, self.end_id, dtype=np.uint32), 1
+        self.start, self.size, self.n = np.zeros(1 << 16, dtype=np.int32), np.ones(1 << 16, dtype=np.int32), 1
 
-    def part(self, raw: bytes) -> list[int]:
+    def part(self, raw: bytes) -> bytes:
         ids = self.parts.get(raw)
         if ids is None:
             if len(self.parts) >= self.SLOTS // 2:
                 self.parts.clear()
-            ids = self.parts[raw] = [t.id for t in self.tokenizer.model.tokenize(raw.decode())]
+            ids = self.parts[raw] = array("I", [t.id for t in self.model.tokenize(raw.decode())]).tobytes()
         return ids
 
-    def encode(self, new: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = []
-        rest: list[int] = []
-        for i, w in enumerate(new):
+    def encode(self, new: list[bytes]) -> list[bytes]:
+        """The ids of each word, four bytes each."""
+        out = []
+        for w in new:
             simple = self.SIMPLE.fullmatch(w)
             if simple:
                 letters, marks = simple.groups()
                 out.append(self.part(letters.lower()) + self.part(marks) if marks else self.part(letters.lower()))
             else:
-                out.append([])
-                rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i].decode() for i in rest], add_special_tokens=False) if rest else ()):
-            out[i] = e.ids
+                out.append(array("I", self.tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes())
         return out
 
-    def remember(self, ids: list[list[int]]) -> np.ndarray:
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    def remember(self, ids: list[bytes]) -> np.ndarray:
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         total, n = int(sizes.sum()), len(ids)
         while self.flat_n + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while self.n + n > len(self.size):
             self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        self.flat[self.flat_n : self.flat_n + total] = np.fromiter((t for one in ids for t in one), dtype=np.uint32, count=total)
+        self.flat[self.flat_n : self.flat_n + total] = np.frombuffer(b"".join(ids), dtype=np.uint32)
         self.start[self.n : self.n + n] = self.flat_n + np.cumsum(sizes) - sizes
         self.size[self.n : self.n + n] = sizes
         self.flat_n, self.n = self.flat_n + total, self.n + n
@@ -94,10 +93,10 @@ class WordIds:
 
     def ids(self, data: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk's documents, each with the end id; and how many each has."""
-        if self.n > self.SLOTS:
+        if self.n > 2 * self.SLOTS:
             self.clear()
         hashes = word_hashes(data, found)
-        slot = (hashes >> np.uint64(44)).astype(np.int64)
+        slot = (hashes & np.uint64(self.SLOTS - 1)).astype(np.int64)
         entry = np.where(self.hashes[slot] == hashes, self.entry[slot], -1)
         missing = np.flatnonzero(entry < 0)
         if len(missing):
@@ -106,10 +105,10 @@ class WordIds:
             starts, ends = found.start[missing[where]].tolist(), found.end[missing[where]].tolist()
             fresh = self.remember(self.encode([raw[a:b] for a, b in zip(starts, ends)]))
             entry[missing] = fresh[back]
-            slot = (kinds >> np.uint64(44)).astype(np.int64)
+            slot = (kinds & np.uint64(self.SLOTS - 1)).astype(np.int64)
             self.hashes[slot], self.entry[slot] = kinds, fresh
         entry = np.insert(entry, found.first[1:], 0)  # entry 0 is the end id
-        sizes = self.size[entry]
+        sizes = self.size[entry].astype(np.int64)
         places = np.cumsum(sizes)
         last = found.first[1:] + np.arange(len(found.first) - 1)
         counts = np.diff(np.concatenate(([0], places[last])))
