@@ -41,7 +41,7 @@ class WordIds:
     the whole tokenizer.
     """
 
-    SLOTS = 1 << 19
+    SLOTS = 1 << 20
     SIMPLE = re.compile(rb"([A-Za-z]+)([!\"#$%&()*+,./:;<=>?@^_`{|}~\\-]*)")
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -61,7 +61,7 @@ class WordIds:
     def part(self, raw: bytes) -> bytes:
         ids = self.parts.get(raw)
         if ids is None:
-            if len(self.parts) >= self.SLOTS // 2:
+            if len(self.parts) >= self.SLOTS // 4:
                 self.parts.clear()
             ids = self.parts[raw] = array("I", [t.id for t in self.model.tokenize(raw.decode())]).tobytes()
         return ids
