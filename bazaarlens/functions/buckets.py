@@ -11,6 +11,8 @@ from bazaarlens.functions.columns import (
     as_col, bucketize, flag, has_query, is_explicit, is_login, is_other, is_pageview, is_positive,
 )
 from bazaarlens.operators.core import quantiles
+from bazaarlens.session import durable
+from bazaarlens.sources.star import global_row_number
 
 # Bucket edges and labels of the reports.
 AGE_LABELS = ["0-2d", "3-7d", "8-14d", "15-30d", "31-60d", "60+d"]
@@ -128,14 +130,25 @@ def city_predicate(c: Column | str = "city_name", names: Sequence[str] = METRO_N
     return F.coalesce(hit, F.lit(False))
 
 
-def label_encode(df: DataFrame, column: str, out: str, unknown: str = "unknown") -> DataFrame:
-    """Codes 0..n-1 in alphabetical order of the distinct values.
+def label_encode_all(df: DataFrame, columns: Mapping[str, str], unknown: str = "unknown") -> DataFrame:
+    """Codes 0..n-1 in alphabetical order of each column's distinct values.
 
-    The distinct values become one sorted array (a dictionary of a categorical), read by every task.
+    One pass collects the distinct (column, value) rows, which are numbered over range partitions
+    and written once; every column then joins its codes by value, so no dictionary meets in one task.
     """
-    value = F.coalesce(F.col(column).cast("string"), F.lit(unknown))
-    words = df.select(value.alias("w")).distinct().agg(F.sort_array(F.collect_list("w"))).scalar()
-    return df.withColumn(out, (F.array_position(words, value) - 1).cast("int"))
+    value = {c: F.coalesce(F.col(c).cast("string"), F.lit(unknown)) for c in columns}
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("word")) for c, v in value.items()])).alias("p")).select("p.*").distinct()
+    numbered = global_row_number(pairs, ["column", "word"], "n")
+    first = numbered.groupBy("column").agg(F.min("n").alias("first"))
+    codes = durable(numbered.join(first, "column").select("column", "word", (F.col("n") - F.col("first")).cast("int").alias("code")), "codes")
+    for c, out in columns.items():
+        own = codes.filter(F.col("column") == c).select(F.col("word").alias("__word"), F.col("code").alias(out))
+        df = df.join(own, value[c] == F.col("__word"), "left").drop("__word")
+    return df
+
+
+def label_encode(df: DataFrame, column: str, out: str, unknown: str = "unknown") -> DataFrame:
+    return label_encode_all(df, {column: out}, unknown)
 
 
 def cases(c: Column | str, mapping: Mapping[str, str], default=None) -> Column:

@@ -189,7 +189,7 @@ def share_within(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return df.withColumn(out, F.try_divide(F.col(value) * 100.0, total.cast("double")))
 
 
-def share_of_all(df: DataFrame, value: str, out: str, bounded: bool = True) -> DataFrame:
+def share_of_all(df: DataFrame, value: str, out: str, bounded: bool = False) -> DataFrame:
     """Percent of the grand total.
 
     A report with one row per cell of a few dimensions (``bounded``) gets its total from a window

@@ -115,7 +115,7 @@ def compare_lists(a: DataFrame, b: DataFrame, warm: DataFrame, k: int = 10) -> D
 
 
 def overlap_histogram(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
-    return share_of_all(shared_stats(a, b, k).groupBy("overlap").agg(F.count("*").alias("users")), "users", "pct")
+    return share_of_all(shared_stats(a, b, k).groupBy("overlap").agg(F.count("*").alias("users")), "users", "pct", bounded=True)
 
 
 def list_diff_report(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def seller_exposure_inequality(ranked: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def seller_lorenz(ranked: DataFrame, dim: DataFrame) -> DataFrame:
-    return lorenz_curve(seller_exposure(ranked, dim), [], "exposure")
+    return lorenz_curve(seller_exposure(ranked, dim), [], "exposure", bounded=True)
 
 
 def item_exposure_hhi(ranked: DataFrame, k: int = 10) -> DataFrame:
@@ -238,7 +238,7 @@ def health_scorecard(ranked: DataFrame, dim: DataFrame, thresholds: Mapping[str,
     values = {
         "freshness_at_10": freshness_at_k(ranked, dim).select("freshness_pct"), "seller_coverage": cover.select("seller_coverage_pct"),
         "item_coverage": cover.select("item_coverage_pct"), "category_entropy": entropy(cats, [], "x").select("normalized_entropy"),
-        "seller_gini": gini(seller_exposure(ranked, dim), [], "exposure").select("gini"), "item_hhi": item_exposure_hhi(ranked).select("item_hhi")}
+        "seller_gini": gini(seller_exposure(ranked, dim), [], "exposure", bounded=True).select("gini"), "item_hhi": item_exposure_hhi(ranked).select("item_hhi")}
     rows = None
     for name, (low, high, direction) in thresholds.items():
         one = values[name].toDF("value").select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.buckets import AREA_EDGES, exclude_window, label_encode
+from bazaarlens.functions.buckets import AREA_EDGES, exclude_window, label_encode_all
 from bazaarlens.functions.columns import (
     argmax_label, bucketize, cosine, decay, flag, is_explicit, is_login, is_pageview, is_positive, ratio, seconds, unit, weighted,
 )
@@ -15,6 +17,7 @@ from bazaarlens.operators.core import join_keys, lag_in_slices, quantiles, top_n
 from bazaarlens.operators.quality import price_log
 from bazaarlens.operators.stats import entropy, mode_value
 from bazaarlens.operators.windows import segment_zscore
+from bazaarlens.schemas import CATEGORIES
 
 # Event weights in use, renewal days and age multipliers by category.
 DECAY_WEIGHTS = {"view_phone": 10.0, "contact_chat": 9.0, "contact_zalo": 9.0, "contact_sms": 8.0, "other_interaction": 2.5}
@@ -31,8 +34,16 @@ def before(df: DataFrame, cutoff: str | None, ts: str = "event_ts", holiday: tup
     return out if holiday is None else exclude_window(out, ts, *holiday)
 
 
-def user_item_positive(events: DataFrame, cutoff: str | None = None, holiday: tuple[str, str] | None = None) -> DataFrame:
-    rows = before(events.filter(is_positive()), cutoff, holiday=holiday)
+def in_scope(events: DataFrame, login_only: bool = True, categories: Sequence[int] | None = CATEGORIES) -> DataFrame:
+    """Events of login users in the modelled categories: other ids change with every session."""
+    out = events.filter(is_login()) if login_only else events
+    return out if categories is None else out.filter(F.col("category").isin(list(categories)))
+
+
+def user_item_positive(
+    events: DataFrame, cutoff: str | None = None, holiday: tuple[str, str] | None = None, login_only: bool = True, categories: Sequence[int] | None = CATEGORIES
+) -> DataFrame:
+    rows = before(in_scope(events, login_only, categories).filter(is_positive()), cutoff, holiday=holiday)
     t = F.col("event_type")
     return rows.groupBy("user_id", "item_id").agg(
         F.count("*").alias("pos_count"), *[F.count_if(t == e).alias(f"n_{n}") for n, e in CHANNELS.items()],
@@ -46,9 +57,9 @@ def user_item_weighted(events: DataFrame, weights: Mapping[str, float], default:
         F.sum(weighted("event_type", weights, default)).alias("weight"), F.count("*").alias("events"), F.max("event_ts").alias("last_ts"))
 
 
-def user_sequences(events: DataFrame, n: int = 50) -> DataFrame:
+def user_sequences(events: DataFrame, n: int = 50, login_only: bool = True, categories: Sequence[int] | None = CATEGORIES) -> DataFrame:
     """Newest ``n`` items of each user as one array, oldest first."""
-    last = events.groupBy("user_id", "item_id").agg(F.max("event_ts").alias("last_ts"))
+    last = in_scope(events, login_only, categories).groupBy("user_id", "item_id").agg(F.max("event_ts").alias("last_ts"))
     kept = top_n(last, ["user_id"], [F.desc("last_ts"), F.asc("item_id")], n)
     packed = F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("r"), "item_id")))
     return kept.groupBy("user_id").agg(F.transform(packed, lambda p: p["item_id"]).alias("items"), F.count("*").alias("length"))
@@ -130,8 +141,10 @@ def user_behavior(events: DataFrame, dim: DataFrame) -> DataFrame:
     return base.join(spread, "user_id", "left").fillna(0.0, ["district_entropy"])
 
 
-def dwell_pairs(events: DataFrame, cutoff: str | None = None, consider: float = 30) -> DataFrame:
-    rows = before(events.filter(is_pageview()), cutoff)
+def dwell_pairs(
+    events: DataFrame, cutoff: str | None = None, consider: float = 30, login_only: bool = True, categories: Sequence[int] | None = CATEGORIES
+) -> DataFrame:
+    rows = before(in_scope(events, login_only, categories).filter(is_pageview()), cutoff)
     return rows.groupBy("user_id", "item_id").agg(
         F.count("*").alias("pageviews"), F.max("dwell_time_sec").alias("max_dwell"), F.avg("dwell_time_sec").alias("avg_dwell"),
         F.max(flag(F.col("dwell_time_sec") > consider)).alias("considered"))
@@ -163,9 +176,8 @@ def item_features(dim: DataFrame, quality: DataFrame, popularity: DataFrame, sna
         "area_log": F.log1p(F.coalesce("area_sqm", F.lit(0.0))), "images_log": F.log1p(F.coalesce("images_count", F.lit(0.0))),
         "bedrooms_filled": F.coalesce("bedrooms", F.lit(-1.0))})
     base = base.withColumns({"is_renewal_week": flag(F.col("days_since_posted").isin(RENEWAL_DAYS)), "age_boost": age_boost()})
-    for column, out in (("category", "cat_enc"), ("ad_type", "adtype_enc"), ("seller_type", "seller_enc"),
-                        ("price_bucket", "price_enc"), ("city_name", "city_enc"), ("district_name", "district_enc")):
-        base = label_encode(base, column, out)
+    base = label_encode_all(base, {
+        "category": "cat_enc", "ad_type": "adtype_enc", "seller_type": "seller_enc", "price_bucket": "price_enc", "city_name": "city_enc", "district_name": "district_enc"})
     pop = popularity.groupBy("item_id").agg(*[F.sum(c).alias(c) for c in popularity.columns if c.startswith(("events_", "pos_"))])
     joined = base.join(quality, "item_id", "left").join(pop, "item_id", "left").join(
         snap.select("item_id", "views_log", "contacts_log", "contact_rate"), "item_id", "left")
@@ -314,14 +326,11 @@ def item_quality_score(trusted: Sequence[str], legal: Sequence[str]) -> Column:
 
 
 def user_embedding_profile(pairs: DataFrame, vectors: DataFrame, weight: str | None = None) -> DataFrame:
-    """Weighted mean of the unit vectors of a user's items; components are averaged separately, so a
-    user with many items is summed in parallel."""
-    units = vectors.select("item_id", unit("embedding").alias("u"))
+    """Weighted mean of the unit vectors of a user's items: one summing buffer for each user and task."""
+    units = vectors.select("item_id", array_to_vector(unit("embedding")).alias("u"))
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    parts = pairs.join(units, "item_id").select("user_id", w.alias("w"), F.posexplode("u").alias("pos", "x"))
-    means = parts.groupBy("user_id", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    packed = F.sort_array(F.collect_list(F.struct("pos", "m")))
-    return means.groupBy("user_id").agg(F.transform(packed, lambda p: p["m"]).alias("profile"))
+    means = pairs.join(units, "item_id").groupBy("user_id").agg(Summarizer.mean(F.col("u"), w).alias("m"))
+    return means.select("user_id", vector_to_array("m").alias("profile"))
 
 
 def title_similarity(candidates: DataFrame, profiles: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -231,7 +231,7 @@ def other_interaction_composition(events: DataFrame) -> DataFrame:
     spread = quantiles(other, keys, "dwell_time_sec", {"dwell_p50": 0.5, "dwell_p90": 0.9})
     places = quantiles(other, keys, "position", {"position_p50": 0.5}, bounded=True)
     joined = join_keys(join_keys(base, spread, keys, "left"), places, keys, "left")
-    return share_of_all(joined, "n", "pct")
+    return share_of_all(joined, "n", "pct", bounded=True)
 
 
 def high_intent_cooccurrence(events: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def high_intent_cooccurrence(events: DataFrame) -> DataFrame:
         F.max(flag(is_other())).alias("other"), F.max(flag(t == "view_phone")).alias("phone"),
         F.max(flag(t == "contact_chat")).alias("chat"), F.max(flag(t == "contact_zalo")).alias("zalo"))
     counts = sessions.filter("other = 1").groupBy("phone", "chat", "zalo").agg(F.count("*").alias("sessions"))
-    return share_of_all(counts, "sessions", "pct")
+    return share_of_all(counts, "sessions", "pct", bounded=True)
 
 
 def dwell_by_event(events: DataFrame, limit_seconds: float = 600) -> DataFrame:
@@ -270,7 +270,7 @@ def repeated_other_dwell(events: DataFrame) -> DataFrame:
 
 def hour_dow_matrix(events: DataFrame) -> DataFrame:
     counts = events.groupBy(F.weekday("event_ts").alias("dow"), F.hour("event_ts").alias("hour")).agg(F.count("*").alias("n"))
-    return share_of_all(counts, "n", "pct")
+    return share_of_all(counts, "n", "pct", bounded=True)
 
 
 def peak_hours_share(events: DataFrame, peak: Sequence[int]) -> DataFrame:

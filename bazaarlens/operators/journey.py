@@ -30,7 +30,7 @@ def listing_age_at_first_contact(events: DataFrame, snapshot: DataFrame) -> Data
     first = events.filter(is_explicit() & F.col("item_id").isNotNull()).groupBy("user_id", "item_id").agg(F.min("date").alias("date"))
     joined = event_snapshot_join(first, snapshot, "left")
     bucket = bucketize("listing_age_days", [3, 14, 30], ["0-3d fresh", "4-14d", "15-30d", "31d+"], "right", "unknown")
-    return share_of_all(joined.groupBy(bucket.alias("age_bucket")).agg(F.count("*").alias("contacts")), "contacts", "pct")
+    return share_of_all(joined.groupBy(bucket.alias("age_bucket")).agg(F.count("*").alias("contacts")), "contacts", "pct", bounded=True)
 
 
 def repeat_views_before_contact(events: DataFrame) -> DataFrame:
@@ -92,16 +92,22 @@ def listing_age_distribution(events: DataFrame, snapshot: DataFrame, cap: float
         F.count("*").alias("n"), F.count_if(F.col("listing_age_days") <= 2).alias("n_fresh"))
     every = W.partitionBy(F.lit(1))
     fresh = pct(F.sum("n_fresh").over(every), F.sum("n").over(every))
-    return share_of_all(bins, "n", "pct").withColumn("fresh_pct", fresh).drop("n_fresh")
+    return share_of_all(bins, "n", "pct", bounded=True).withColumn("fresh_pct", fresh).drop("n_fresh")
 
 
-def quality_time_to_contact(events: DataFrame, dim: DataFrame, score: str = "quality_score", max_days: int = 365) -> DataFrame:
-    """Fast / Mid / Slow / NoContact shares and median hours from posting to first contact, by quality."""
+def quality_time_to_contact(events: DataFrame, dim: DataFrame, score: str = "quality_score", max_days: int | None = None) -> DataFrame:
+    """Fast / Mid / Slow / NoContact shares and median hours from posting to first contact, by quality.
+
+    Contacts dated before the posting are a class of their own; ``max_days`` leaves out what is
+    negative or later, and is off by default.
+    """
     first = events.filter(is_explicit()).groupBy("item_id").agg(F.min("event_ts").alias("t0"))
     joined = dim.select("item_id", score, "posted_date").join(first, "item_id", "left")
     hours = (seconds("t0") - seconds("posted_date")) / 3600.0
-    rows = joined.withColumn("hours", hours).filter("hours IS NULL OR (hours >= 0 AND hours <= %d)" % (max_days * 24))
-    bucket = F.when(F.col("hours").isNull(), "NoContact").when(F.col("hours") < 24, "Fast").when(F.col("hours") <= 168, "Mid").otherwise("Slow")
+    rows = joined.withColumn("hours", hours)
+    if max_days is not None:
+        rows = rows.filter(F.col("hours").isNull() | F.col("hours").between(0, max_days * 24))
+    bucket = F.when(F.col("hours").isNull(), "NoContact").when(F.col("hours") < 0, "BeforePosting").when(F.col("hours") < 24, "Fast").when(F.col("hours") <= 168, "Mid").otherwise("Slow")
     counts = share_within(rows.groupBy(score, bucket.alias("speed")).agg(F.count("*").alias("n")), [score], "n", "pct")
     return join_keys(counts, quantiles(rows, [score], "hours", {"median_hours": 0.5}), [score], "left")
 
@@ -133,7 +139,7 @@ def interaction_summary(interactions: DataFrame, events: DataFrame) -> DataFrame
 def lead_distribution(interactions: DataFrame) -> DataFrame:
     items = interactions.groupBy("item_id").agg(F.sum("lead_count").alias("leads"))
     bins = bucketize("leads", [0, 1, 5, 10, 20], ["0", "1", "2-5", "6-10", "11-20", ">20"], "right")
-    return share_of_all(items.groupBy(bins.alias("lead_bin")).agg(F.count("*").alias("items"), F.sum("leads").alias("leads")), "leads", "lead_share_pct")
+    return share_of_all(items.groupBy(bins.alias("lead_bin")).agg(F.count("*").alias("items"), F.sum("leads").alias("leads")), "leads", "lead_share_pct", bounded=True)
 
 
 def top_items_by_lead_share(interactions: DataFrame, n: int = 20) -> DataFrame:

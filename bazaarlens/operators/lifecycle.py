@@ -156,7 +156,7 @@ def seller_groups(dim: DataFrame) -> DataFrame:
 
 def seller_status_groups(dim: DataFrame) -> DataFrame:
     counts = seller_groups(dim).groupBy("seller_group").agg(F.count("*").alias("sellers"), F.sum("n_shop").alias("shop_listings"))
-    return share_of_all(counts, "shop_listings", "pct_listings")
+    return share_of_all(counts, "shop_listings", "pct_listings", bounded=True)
 
 
 def city_status_share(dim: DataFrame, min_n: int) -> DataFrame:
@@ -284,7 +284,7 @@ def posting_frequency_bins(dim: DataFrame) -> DataFrame:
     sellers = dim.filter("seller_id IS NOT NULL").groupBy("seller_id").agg(F.count("*").alias("n"))
     bins = bucketize("n", [1, 5, 20, 50], ["1", "2-5", "6-20", "21-50", ">50"], "right")
     counts = sellers.groupBy(bins.alias("bin")).agg(F.count("*").alias("sellers"), F.sum("n").alias("listings"))
-    return share_of_all(counts, "listings", "listings_pct")
+    return share_of_all(counts, "listings", "listings_pct", bounded=True)
 
 
 def issue_scorecard(performance: DataFrame, max_area: float = 200) -> DataFrame:

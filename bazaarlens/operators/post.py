@@ -226,7 +226,7 @@ def tiered_cold_list(
     fill = F.coalesce(F.lit(1.0) / (RRF_K + F.col("rank_p")), F.lit(0.0))
     tier = F.when(F.col("rank_p").isNotNull() & F.col("rank_a").isNotNull(), 1).when(F.col("rank_p").isNotNull(), 2)
     listed = pool.select(*KEYS, tier.alias("tier"), fill.alias("fill"), F.col("rank_p").alias("r")).filter("tier IS NOT NULL")
-    near = users.select("user_id").join(user_city, "user_id").join(city_popular.filter("city_rank <= 15"), "city_name")
+    near = users.select("user_id").join(user_city, "user_id").join(city_popular, "city_name")
     local = near.select(*KEYS, F.lit(3).alias("tier"), (F.lit(1.0) / (3 + F.col("city_rank"))).alias("fill"), F.col("city_rank").alias("r"))
     best = _allowed(listed.unionByName(local), prune, purchased).groupBy(*KEYS).agg(F.min("tier").alias("tier"), F.max("fill").alias("fill"), F.min("r").alias("r"))
     return _rank(best, [F.asc("tier"), F.desc("fill"), F.asc("r"), F.asc("item_id")], k).select("user_id", "item_id", "rank")

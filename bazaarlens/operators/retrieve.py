@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,14 +13,18 @@ from pyspark.sql import functions as F
 from bazaarlens.functions.columns import decay, seconds, unit, weighted
 from bazaarlens.operators.core import join_keys, running_count, top_n
 from bazaarlens.operators.joins import anti_exists
+from bazaarlens.operators.quality import RENT_ORDER, SALE_ORDER
 from bazaarlens.operators.windows import gap_sessionize
 from bazaarlens.session import durable, shared_folder
+from bazaarlens.sources.star import global_row_number
 
 # Intent weights of the history list and of co-visitation, and retrieval blend weights.
 COVISIT_INTENT = {"view_phone": 2.0, "contact_chat": 3.0, "contact_zalo": 3.0, "contact_sms": 3.0, "other_interaction": 1.0}
 INTENT = {"view_phone": 3.0, "contact_chat": 2.0, "contact_zalo": 2.0, "contact_sms": 2.0, "other_interaction": 1.0}
 BLEND = {"als": 0.35, "covis": 0.25, "itemcf": 0.15, "fresh": 0.15}
 REPEAT_WEIGHT = 0.10
+#: The highest step of the longer price scale.
+LAST_ORDINAL = max(len(SALE_ORDER), len(RENT_ORDER)) - 1
 
 
 # ---- matrix factorization -----------------------------------------------------------------------
@@ -29,23 +35,49 @@ def confidence(pairs: DataFrame, as_of: str, rate: float = 0.005) -> DataFrame:
     return pairs.select("user_id", "item_id", F.greatest(F.lit(1.0), F.col("pos_count") * decay(days, rate, "rate")).alias("weight"))
 
 
-def fit_als(ratings: DataFrame, rank: int = 256, alpha: float = 40.0, iterations: int = 15, reg: float = 0.05, seed: int = 42):
-    """Implicit ALS on the weights; lineage is cut through the shared checkpoint folder."""
+class Factors(NamedTuple):
+    """ALS factors by the caller's own ids: (user_id, vector) and (item_id, vector)."""
+
+    users: DataFrame
+    items: DataFrame
+
+
+def _indexed(df: DataFrame, column: str) -> DataFrame:
+    """(column, n): every distinct id with a number from 1, for trainers that want small integers."""
+    return durable(global_row_number(df.select(column).distinct(), [column], "n").select(column, F.col("n").cast("int").alias("n")), "index")
+
+
+def fit_als(ratings: DataFrame, rank: int = 256, alpha: float = 40.0, iterations: int = 15, reg: float = 0.05, seed: int = 42) -> Factors:
+    """Implicit ALS on the weights, for ids of any type; lineage is cut through the shared folder."""
     from pyspark.ml.recommendation import ALS
 
     spark = ratings.sparkSession
     spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    table = durable(ratings.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "weight"), "ratings")
-    als = ALS(userCol="user_id", itemCol="item_id", ratingCol="weight", implicitPrefs=True, rank=rank, alpha=alpha,
+    users, items = _indexed(ratings, "user_id"), _indexed(ratings, "item_id")
+    numbered = ratings.join(users.withColumnRenamed("n", "u"), "user_id").join(items.withColumnRenamed("n", "i"), "item_id")
+    als = ALS(userCol="u", itemCol="i", ratingCol="weight", implicitPrefs=True, rank=rank, alpha=alpha,
               maxIter=iterations, regParam=reg, seed=seed, checkpointInterval=5, coldStartStrategy="drop")
-    return als.fit(table)
+    model = als.fit(durable(numbered.select("u", "i", "weight"), "ratings"))
+    vector = F.col("features").cast("array<double>").alias("vector")
+    return Factors(
+        model.userFactors.join(users, F.col("id") == F.col("n")).select("user_id", vector), model.itemFactors.join(items, F.col("id") == F.col("n")).select("item_id", vector))
 
 
-def als_candidates(model, users: DataFrame, n: int = 100) -> DataFrame:
-    recs = model.recommendForUserSubset(users.select(F.col("user_id").cast("int")).distinct(), n)
-    long = recs.select(F.col("user_id").cast("long").alias("user_id"), F.posexplode("recommendations").alias("pos", "r"))
-    return long.select("user_id", F.col("r.item_id").cast("long").alias("item_id"), F.col("r.rating").cast("double").alias("score"),
-                       (F.col("pos") + 1).alias("rank"))
+def als_candidates(factors: Factors, users: DataFrame, n: int = 100) -> DataFrame:
+    """The ``n`` items of largest inner product for the target ``users``.
+
+    Items get one more coordinate that brings all of them to the length of the longest; then the
+    nearest item by angle has the largest inner product, and the exact search by cells serves here too.
+    """
+    size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    longest = factors.items.agg(F.max(size)).first()[0] or 1.0
+    own = F.transform("vector", lambda x: x / longest)
+    rest = F.sqrt(F.greatest(F.lit(0.0), 1.0 - size * size / (longest * longest)))
+    items = factors.items.select("item_id", F.concat(own, F.array(rest)).alias("ivec"))
+    wanted = factors.users.join(users.select("user_id").distinct(), "user_id", "left_semi").withColumn("size", size).filter("size > 0")
+    unit_users = wanted.select("user_id", F.concat(F.transform("vector", lambda x: x / F.col("size")), F.array(F.lit(0.0))).alias("uvec"))
+    near = nearest_items(unit_users, items, None, n)
+    return near.join(wanted.select("user_id", "size"), "user_id").select("user_id", "item_id", (F.col("score") * F.col("size") * longest).alias("score"), "rank")
 
 
 # ---- nearest items to a user vector -------------------------------------------------------------
@@ -58,25 +90,35 @@ def user_vectors(pairs: DataFrame, vectors: DataFrame, weight: str = "pos_count"
 
 
 def item_embedding_cf(
-    users: DataFrame, vectors: DataFrame, seen: DataFrame, k: int = 100, cells: int = 64, probes: int = 4, block: int = 1024, seed: int = 7
+    users: DataFrame, vectors: DataFrame, seen: DataFrame, k: int = 100, targets: DataFrame | None = None, **search
+) -> DataFrame:
+    """Top-k unseen items by cosine for every (user_id, uvec), or for the ``targets`` among them only."""
+    wanted = users if targets is None else users.join(targets.select("user_id").distinct(), "user_id", "left_semi")
+    return nearest_items(wanted, vectors.select("item_id", unit("embedding").alias("ivec")), seen, k, **search)
+
+
+def nearest_items(
+    users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, cells: int | None = None, probes: int = 4, block: int = 1024, seed: int = 7
 ) -> DataFrame:
-    """Exact top-k cosine neighbors of every user vector, without pairing users and items row by row.
-
-    Items are split into k-means cells. For unit vectors cosine order is distance order, and by the
-    triangle inequality a cell of radius r around c holds nothing nearer to u than d(u,c) - r. The
-    nearest cells give each user a distance within which k unseen items already lie; only cells
-    that could hold something nearer are read in the second pass. Nothing is approximated.
-    Inside a cell, blocks of about ``block`` users and items meet as matrices and only each user's
-    best rows of a block leave the task, so a hot cell is many equal blocks.
+    """Exact top-k items by angle for unit vectors ``uvec`` and ``ivec``, without pairing rows.
+
+    Items are split into k-means cells, by default as many as the square root of their number. For
+    unit vectors cosine order is distance order, and by the triangle inequality a cell of radius r
+    around c holds nothing nearer to u than d(u,c) - r. The nearest cells give each user a distance
+    within which k unseen items already lie; only cells that could hold something nearer are read in
+    the second pass. Nothing is approximated. Work is dealt by (cell, item block): a user block goes
+    to each item block of its cells, they meet as matrices of about ``block`` rows, and only each
+    user's best rows leave the task, so a hot cell is many equal pieces on many machines.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    units = durable(vectors.select("item_id", unit("embedding").alias("ivec")), "units")
+    units = durable(items, "units")
     with_vector = units.withColumn("f", array_to_vector("ivec"))
+    cells = cells or max(2, math.isqrt(units.count()))
     fitted = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell", maxIter=5).fit(with_vector)
     assigned = durable(fitted.transform(with_vector).select("item_id", "ivec", "cell"), "cells")
-    # The centers are ``cells`` vectors: a model parameter of fixed size, not data.
+    # The centers are ``cells`` vectors: a model parameter, not data.
     centers = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c"))
                         for i, c in enumerate(fitted.clusterCenters())])
     located = assigned.withColumn("center", F.get(centers, F.col("cell"))["c"])
@@ -86,14 +128,19 @@ def item_embedding_cf(
         e["cell"].alias("cell"), _distance("uvec", e["c"]).alias("d")))).alias("e")).select("user_id", "e.cell", "e.d")
     bounds = durable(near.join(radii, "cell").select("user_id", "cell", "d", F.greatest(F.col("d") - F.col("radius"), F.lit(0.0)).alias("bound")), "bounds")
     ordered = bounds.withColumn("probe", F.row_number().over(W.partitionBy("user_id").orderBy("d", "cell")))
-    items = _blocks(assigned, "item_id", "ivec", block)
-    per_cell = seen.join(assigned.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.count("*").alias("extra"))
+    packed = _blocks(assigned, "item_id", "ivec", block).withColumnRenamed("block", "piece")
+    pieces = packed.groupBy("cell").agg(F.max("piece").alias("last"))
+    types = {f.name: f.dataType.simpleString() for f in [*every.schema, *assigned.schema]}
+    schema = f"user_id {types['user_id']}, item_id {types['item_id']}, score double"
 
     def read(wanted: DataFrame) -> DataFrame:
-        rows = wanted.select("user_id", "cell").join(every, "user_id").join(per_cell, ["user_id", "cell"], "left").fillna(0, ["extra"])
-        pairs = _blocks(rows, "user_id", "uvec", block, "extra").join(items.drop("block"), "cell").drop("cell", "block")
-        hits = pairs.mapInPandas(_best_of_blocks(k), "user_id long, item_id long, score double")
-        return hits.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+        rows = wanted.select("user_id", "cell").join(every, "user_id").withColumn("extra", F.lit(0))
+        if seen is not None:
+            per_cell = seen.join(assigned.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.count("*").alias("n"))
+            rows = rows.join(per_cell, ["user_id", "cell"], "left").withColumn("extra", F.coalesce("n", F.lit(0))).drop("n")
+        sent = _blocks(rows, "user_id", "uvec", block, "extra").drop("block").join(pieces, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))))
+        hits = sent.join(packed, ["cell", "piece"]).drop("cell", "piece", "last").mapInPandas(_best_of_blocks(k), schema)
+        return hits if seen is None else hits.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
     order = [F.desc(F.round("score", 9)), F.asc("item_id")]
     first = durable(top_n(read(ordered.filter(F.col("probe") <= probes)), ["user_id"], order, k), "first")
@@ -109,7 +156,7 @@ def _blocks(rows: DataFrame, key: str, vector: str, size: int, extra: str | None
     """Rows of a cell packed into blocks of about ``size``: ids and one flat vector array each."""
     counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
     row = [key, vector] + ([extra] if extra else [])
-    cut = rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("n_blocks")))
+    cut = rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("n_blocks")).cast("int"))
     packed = cut.groupBy("cell", "block").agg(F.collect_list(F.struct(*row)).alias("l"))
     out = [F.transform("l", lambda x: x[key]).alias(f"{key}s"), F.flatten(F.transform("l", lambda x: x[vector])).alias(f"{vector}s")]
     if extra:
@@ -126,13 +173,13 @@ def _best_of_blocks(k: int):
 
         for batch in batches:
             for users, uvecs, extras, items, ivecs in zip(batch.user_ids, batch.uvecs, batch.extras, batch.item_ids, batch.ivecs):
-                users, items = np.asarray(users), np.asarray(items)
+                users, items, extras = np.asarray(users), np.asarray(items), np.asarray(extras)
                 scores = np.asarray(uvecs).reshape(len(users), -1) @ np.asarray(ivecs).reshape(len(items), -1).T
-                for u, row in enumerate(scores):
-                    keep = min(k + int(extras[u]), len(items))
-                    limit = np.partition(row, len(items) - keep)[len(items) - keep]
-                    chosen = np.nonzero(row >= limit - 1e-9)[0]
-                    yield pd.DataFrame({"user_id": users[u], "item_id": items[chosen], "score": row[chosen]})
+                keep = np.minimum(k + extras, len(items))
+                order = np.sort(scores, axis=1)
+                limit = order[np.arange(len(users)), len(items) - keep]
+                u, i = np.nonzero(scores >= limit[:, None] - 1e-9)
+                yield pd.DataFrame({"user_id": users[u], "item_id": items[i], "score": scores[u, i]})
 
     return run
 
@@ -239,7 +286,7 @@ def cold_item_candidates(users: DataFrame, items: DataFrame, n: int = 50) -> Dat
     return spread.withColumn("score", 1.0 - (F.col("rank") - 1) / F.col("len")).drop("len")
 
 
-def fresh_content_candidates(users: DataFrame, fresh: DataFrame, n: int = 50, band: int = 1, max_ordinal: int = 11) -> DataFrame:
+def fresh_content_candidates(users: DataFrame, fresh: DataFrame, n: int = 50, band: int = 1, max_ordinal: int = LAST_ORDINAL) -> DataFrame:
     """Best fresh items of the user's category and district within one price step.
 
     A user's top n within allowed price steps lies in the top n of each step, so every step keeps

@@ -82,14 +82,15 @@ def session_journey_features(events: DataFrame, min_events: int = 3) -> DataFram
 def behavioral_clusters(features: DataFrame, key: str, columns: Sequence[str], groups: Sequence, k: int = 5, seed: int = 42) -> DataFrame:
     """Robust-scaled k-means per category with a 2-D projection; entities keep cluster, x and y.
 
-    The features are written once: every fit iterates over that table, not over the events.
+    The features are written once, in order, so that every fit iterates over that table and starts
+    from the same rows.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, RobustScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    table = durable(features.fillna(0.0, list(columns)), "features")
+    table = durable(features.fillna(0.0, list(columns)).sort("category", key), "features")
     out = None
     for group in groups:
         part = table.filter(F.col("category") == group)

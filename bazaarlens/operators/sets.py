@@ -49,10 +49,13 @@ def slot_allocation(volume: DataFrame, group: str, weight: str, pool: int, minim
 
 
 def interleave_by_category(
-    items: DataFrame, slots: DataFrame, group: str, score: str, pool: int, per_group: int = 40, item: str = "item_id"
+    items: DataFrame, slots: DataFrame, group: str, score: str, pool: int, item: str = "item_id"
 ) -> DataFrame:
-    """Rank-1 item of every group, then every rank-2 item, up to each group's slots."""
-    ranked = top_n(items, [group], [F.desc(score), F.asc(item)], per_group, "group_rank")
+    """Rank-1 item of every group, then every rank-2 item, up to each group's slots.
+
+    No group has more slots than the pool, so ranks beyond it are cut before the shuffle.
+    """
+    ranked = top_n(items, [group], [F.desc(score), F.asc(item)], pool, "group_rank")
     kept = ranked.join(slots, group).filter(F.col("group_rank") <= F.col("slots"))
     first = kept.orderBy("group_rank", "volume_order").limit(pool)
     w = W.partitionBy(F.lit(1)).orderBy("group_rank", "volume_order")

@@ -62,7 +62,7 @@ def having_min_n(df: DataFrame, dims: Sequence[str], aggs: Sequence[Column], min
 def share_of_total(df: DataFrame, dims: Sequence[str], within: Sequence[str]) -> DataFrame:
     """Row counts by ``dims`` with percent of the grand total and percent within ``within``."""
     counts = df.groupBy(*dims).agg(F.count("*").alias("n"))
-    return share_within(share_of_all(counts, "n", "pct_total"), within, "n", "pct_within")
+    return share_within(share_of_all(counts, "n", "pct_total", bounded=False), within, "n", "pct_within")
 
 
 def crosstab_pct(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
@@ -72,7 +72,7 @@ def crosstab_pct(df: DataFrame, row: str, column: str, values: Sequence) -> Data
     return wide.select(row, *[pct(F.coalesce(F.col(f"`{v}`"), F.lit(0)), total).alias(f"pct_{v}") for v in values])
 
 
-def gini(df: DataFrame, keys: Sequence[str], value: str, include_zeros: bool = False, bounded: bool = True) -> DataFrame:
+def gini(df: DataFrame, keys: Sequence[str], value: str, include_zeros: bool = False, bounded: bool = False) -> DataFrame:
     """Gini coefficient of ``value`` per key: sum((2i-n-1)x) / (n sum x).
 
     Rows with equal value are handled together: c rows after b smaller ones add x*c*(2b+c-n).
@@ -86,7 +86,7 @@ def gini(df: DataFrame, keys: Sequence[str], value: str, include_zeros: bool = F
     )
 
 
-def top_pct_share(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int], bounded: bool = True) -> DataFrame:
+def top_pct_share(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int], bounded: bool = False) -> DataFrame:
     """Percent of the total held by the top p percent of rows (k = ceil(n*p), at least one)."""
     ranked = prefix_sums(histogram(df, keys, value), keys, value, {"n": F.col("n")}, bounded)
     return ranked.groupBy(*keys).agg(*[_top_share(value, p).alias(f"top_{p}pct_share") for p in percents])
@@ -124,7 +124,7 @@ def entropy(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def lorenz_curve(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = True) -> DataFrame:
+def lorenz_curve(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = False) -> DataFrame:
     """Cumulative population percent against cumulative value percent, one point per distinct value."""
     measures = {"n": F.col("n"), "v": F.col("n") * F.col(value)}
     ranked = prefix_sums(histogram(df, keys, value), keys, value, measures, bounded)

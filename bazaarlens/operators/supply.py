@@ -243,7 +243,7 @@ def project_concentration(dim: DataFrame) -> DataFrame:
     items = dim.filter("project_id IS NOT NULL").groupBy("category", "project_id").agg(F.count("*").alias("n"))
     base = items.groupBy("category").agg(F.count("*").alias("projects"), F.max("n").alias("max_items"), F.avg("n").alias("avg_items"))
     spread = quantiles(items.withColumnRenamed("n", "x"), ["category"], "x", {"median_items": 0.5}, bounded=True)
-    return base.join(spread, "category").join(gini(items.withColumnRenamed("n", "x"), ["category"], "x"), "category")
+    return base.join(spread, "category").join(gini(items.withColumnRenamed("n", "x"), ["category"], "x", bounded=True), "category")
 
 
 def project_profile(dim: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -69,9 +69,12 @@ def search_coverage(events: DataFrame, keys: Sequence[str], fraction: float = 1.
 
 
 def build_geo_lexicon(
-    mapping: DataFrame, dim: DataFrame, extra: Mapping[str, Sequence[str]] | None = None, min_listings: int = 5, top_districts: int = 80
+    mapping: DataFrame, dim: DataFrame, extra: Mapping[str, Sequence[str]] | None = None, min_listings: int = 1, top_districts: int | None = None
 ) -> DataFrame:
-    """(kind, alias, canonical, city) rows: city names and aliases, frequent districts per city."""
+    """(kind, alias, canonical, city) rows: city names and aliases, and the districts of each city.
+
+    Every district is kept unless a least number of listings or a number of districts is asked for.
+    """
     cities = mapping.select(F.col("city_name").alias("canonical")).distinct()
     pairs = [F.struct(norm_query("canonical").alias("alias"))]
     named = cities.select("canonical", F.explode(F.array(*pairs)).alias("p")).select(F.col("p.alias").alias("alias"), "canonical")
@@ -83,7 +86,7 @@ def build_geo_lexicon(
         F.lit("province").alias("kind"), "alias", "canonical", F.col("canonical").alias("city"))
     counts = dim.filter((F.trim("city_name") != "") & (F.trim("district_name") != "")).groupBy(
         "city_name", "district_name").agg(F.count("*").alias("n")).filter(F.col("n") >= min_listings)
-    best = top_n(counts, ["city_name"], [F.desc("n"), F.asc("district_name")], top_districts, "r")
+    best = counts if top_districts is None else top_n(counts, ["city_name"], [F.desc("n"), F.asc("district_name")], top_districts, "r")
     districts = best.select(
         F.lit("district").alias("kind"), norm_query("district_name").alias("alias"),
         F.concat_ws("|", "district_name", "city_name").alias("canonical"), F.col("city_name").alias("city")).filter(F.length("alias") >= 3)
@@ -231,8 +234,8 @@ def district_price_heatmap(enriched: DataFrame) -> DataFrame:
     labels = [*PRICE_LABELS, UNKNOWN_PRICE]
     wide = enriched.groupBy(F.coalesce("district", F.lit("khac")).alias("district")).agg(
         *[F.sum(F.when(F.col("price_slot") == p, F.col("n")).otherwise(0)).alias(p) for p in labels])
-    row = sum((F.col(f"`{p}`") for p in labels), F.lit(0))
-    summed = wide.withColumn("__all", F.sum(row).over(W.partitionBy(F.lit(1))))
+    total = enriched.agg(F.sum("n")).scalar()  # districts come from free text, so they never meet in one task
+    summed = wide.withColumn("__all", total)
     return summed.select("district", *[pct(F.col(f"`{p}`"), "__all").alias(p) for p in labels])
 
 
@@ -268,7 +271,7 @@ def title_segments(df: DataFrame, text: str, taxonomy: Mapping[str, str], out: s
 
 def segment_stats(df: DataFrame, value: str, segment: str = "segment") -> DataFrame:
     base = df.groupBy(segment).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    return join_keys(share_of_all(base, "n", "pct"), quantiles(df, [segment], value, {"median": 0.5}), [segment], "left")
+    return join_keys(share_of_all(base, "n", "pct", bounded=True), quantiles(df, [segment], value, {"median": 0.5}), [segment], "left")
 
 
 def top_words(df: DataFrame, text: str, stop: Sequence[str], k: int = 40, min_length: int = 3) -> DataFrame:

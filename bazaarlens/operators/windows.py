@@ -111,8 +111,9 @@ def latest_row(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence
 
 
 def relative_to_group_max(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    peak = F.max(value).over(W.partitionBy(*keys))
-    return df.withColumn(out, F.try_divide(F.col(value).cast("double"), peak.cast("double")))
+    """Share of the key's largest value; the maxima combine before the shuffle and are joined back."""
+    peak = df.groupBy(*keys).agg(F.max(value).alias("__peak"))
+    return join_keys(df, peak, keys, "left").withColumn(out, F.try_divide(F.col(value).cast("double"), F.col("__peak").cast("double"))).drop("__peak")
 
 
 def index_to_first_bucket(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bazaarlens.functions.columns import is_positive
 from bazaarlens.operators import features as T
 from bazaarlens.operators import quality as Q
-from bazaarlens.plans.primitives import EX, PO
+from bazaarlens.plans.primitives import EX, PO, near
 from bazaarlens.plans.registry import query
 
 CUT = "2024-01-20"
@@ -17,9 +17,12 @@ LIGHT = {"view_phone": 10, "contact_chat": 10, "contact_zalo": 10, "contact_sms"
 PV = "event_type='pageview'"
 
 
+SCOPE = "is_login='login' AND category IN (1010,1020,1030,1040,1050)"
+
+
 def pairs_sql(name: str = "pr", where: str = "") -> str:
     return f"""{name} AS (SELECT user_id, item_id, COUNT(*) AS pos_count, COUNT(*) FILTER (event_type='view_phone') AS n_view_phone, COUNT(*) FILTER (event_type='contact_chat') AS n_chat, COUNT(*) FILTER (event_type='contact_zalo') AS n_zalo, COUNT(*) FILTER (event_type='contact_sms') AS n_sms,
- COUNT(*) FILTER (event_type='other_interaction') AS n_other, MIN(event_ts) AS first_ts, MAX(event_ts) AS last_ts, MAX(category) AS category, MAX(city_name) AS city_name FROM ev WHERE event_type IN {PO} {where} GROUP BY 1,2)"""
+ COUNT(*) FILTER (event_type='other_interaction') AS n_other, MIN(event_ts) AS first_ts, MAX(event_ts) AS last_ts, MAX(category) AS category, MAX(city_name) AS city_name FROM ev WHERE {SCOPE} AND event_type IN {PO} {where} GROUP BY 1,2)"""
 
 
 PR = pairs_sql()
@@ -44,7 +47,7 @@ def _(s):
     return T.user_item_weighted(s.ev, LIGHT).select("user_id", "item_id", "weight", "events")
 
 
-@query("user_sequences", "ev", """WITH l AS (SELECT user_id, item_id, MAX(event_ts) AS t FROM ev GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, item_id) AS k FROM l QUALIFY k<=50)
+@query("user_sequences", "ev", f"""WITH l AS (SELECT user_id, item_id, MAX(event_ts) AS t FROM ev WHERE {SCOPE} GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, item_id) AS k FROM l QUALIFY k<=50)
 SELECT user_id, string_agg(item_id::VARCHAR,'|' ORDER BY k DESC) AS items, COUNT(*) AS length FROM r GROUP BY 1""")
 def _(s):
     return T.user_sequences(s.ev)
@@ -68,9 +71,11 @@ def _(s):
     return T.item_quality_stats(s.ev, None)
 
 
-@query("item_quality_stats_approx")
+@query("item_quality_stats_approx", "ev", f"WITH {QS} SELECT item_id, total_events, unique_users, unique_sessions, 1::INT AS near_users, 1::INT AS near_sessions FROM qs")
 def _(s):
-    return T.item_quality_stats(s.ev)
+    exact = T.item_quality_stats(s.ev, None).select("item_id", "unique_users", "unique_sessions")
+    both = T.item_quality_stats(s.ev).select("item_id", "total_events", F.col("unique_users").alias("u"), F.col("unique_sessions").alias("v")).join(exact, "item_id")
+    return both.select("item_id", "total_events", "unique_users", "unique_sessions", near("u", "unique_users").alias("near_users"), near("v", "unique_sessions").alias("near_sessions"))
 
 
 _W = ", ".join(f"COUNT(*) FILTER (date>=DATE'{END}'-{d}) AS events_{d}d, COUNT(*) FILTER (date>=DATE'{END}'-{d} AND event_type IN {PO}) AS pos_{d}d" for d in (1, 7, 14, 28))
@@ -122,12 +127,12 @@ def _(s):
     return T.user_behavior(s.ev, s.dim)
 
 
-@query("dwell_pairs", "ev", f"SELECT user_id, item_id, COUNT(*) AS pageviews, MAX(dwell_time_sec) AS max_dwell, round(AVG(dwell_time_sec),6) AS avg_dwell, MAX((dwell_time_sec>30)::INT) AS considered FROM ev WHERE {PV} GROUP BY 1,2")
+@query("dwell_pairs", "ev", f"SELECT user_id, item_id, COUNT(*) AS pageviews, MAX(dwell_time_sec) AS max_dwell, round(AVG(dwell_time_sec),6) AS avg_dwell, MAX((dwell_time_sec>30)::INT) AS considered FROM ev WHERE {SCOPE} AND {PV} GROUP BY 1,2")
 def _(s):
     return T.dwell_pairs(s.ev)
 
 
-@query("dwell_pairs_train", "ev", f"SELECT user_id, item_id, COUNT(*) AS pageviews, MAX(dwell_time_sec) AS max_dwell, round(AVG(dwell_time_sec),6) AS avg_dwell, MAX((dwell_time_sec>30)::INT) AS considered FROM ev WHERE {PV} AND event_ts<TIMESTAMP'{CUT}' GROUP BY 1,2")
+@query("dwell_pairs_train", "ev", f"SELECT user_id, item_id, COUNT(*) AS pageviews, MAX(dwell_time_sec) AS max_dwell, round(AVG(dwell_time_sec),6) AS avg_dwell, MAX((dwell_time_sec>30)::INT) AS considered FROM ev WHERE {SCOPE} AND {PV} AND event_ts<TIMESTAMP'{CUT}' GROUP BY 1,2")
 def _(s):
     return T.dwell_pairs(s.ev, CUT)
 
@@ -299,8 +304,8 @@ def _(s):
     return s.dim.select("item_id", T.item_quality_score(["private"], ["so_hong"]).alias("quality"))
 
 
-VEC = """un AS (SELECT vec_id AS item_id, list_transform(embedding::DOUBLE[], lambda x: x/sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y*y)))) AS u, embedding::DOUBLE[] AS e FROM embeddings),
-pt AS (SELECT user_id, item_id FROM ev WHERE event_type IN ('view_phone','contact_chat','other_interaction','contact_zalo','contact_sms') GROUP BY 1,2),
+VEC = f"""un AS (SELECT vec_id AS item_id, list_transform(embedding::DOUBLE[], lambda x: x/sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y*y)))) AS u, embedding::DOUBLE[] AS e FROM embeddings),
+pt AS (SELECT user_id, item_id FROM ev WHERE {SCOPE} AND event_type IN ('view_phone','contact_chat','other_interaction','contact_zalo','contact_sms') GROUP BY 1,2),
 px AS (SELECT user_id, unnest(range(1,65)) AS pos, unnest(u) AS x FROM pt JOIN un USING (item_id)), pf AS (SELECT user_id, list(m ORDER BY pos) AS p FROM (SELECT user_id, pos, AVG(x) AS m FROM px GROUP BY 1,2) GROUP BY 1)"""
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bazaarlens.functions import buckets as B
-from bazaarlens.functions.columns import bucketize, flag
+from bazaarlens.functions.columns import bucketize, flag, is_positive
 from bazaarlens.operators import funnel as C
 from bazaarlens.operators import journey as D
+from bazaarlens.operators.core import join_keys
 from bazaarlens.operators.quality import posted_cohort
-from bazaarlens.plans.primitives import EX, PO
+from bazaarlens.plans.primitives import EX, PO, near
 from bazaarlens.plans.registry import query
 
 DEVICES = ["Desktop", "MSite", "iOS", "Android"]
@@ -135,9 +136,11 @@ def _(s):
     return C.demand_users_by_login(s.ev)
 
 
-@query("demand_by_category_device")
+@query("demand_by_category_device", "ev", f"SELECT category, {', '.join(f"COUNT(DISTINCT user_id) FILTER (device='{d}') AS exact_{d}, 1::INT AS near_{d}" for d in DEVICES)} FROM ev WHERE event_type IN {PO} GROUP BY 1")
 def _(s):
-    return C.demand_by_category_device(s.ev, DEVICES)
+    exact = s.ev.filter(is_positive()).groupBy("category").agg(*[F.countDistinct(F.when(F.col("device") == d, F.col("user_id"))).alias(f"exact_{d}") for d in DEVICES])
+    both = join_keys(C.demand_by_category_device(s.ev, DEVICES), exact, ["category"])
+    return both.select("category", *[f"exact_{d}" for d in DEVICES], *[near(f"u_{d}", f"exact_{d}").alias(f"near_{d}") for d in DEVICES])
 
 
 @query("event_mix", "ev", "SELECT device, event_type, COUNT(*) AS n, round(100.0*COUNT(*)/SUM(COUNT(*)) OVER (PARTITION BY device),6) AS pct FROM ev GROUP BY 1,2")
@@ -391,8 +394,8 @@ def _(s):
 
 
 @query("quality_time_to_contact", "ev dim", f"""WITH f AS (SELECT item_id, MIN(event_ts) AS t0 FROM ev WHERE event_type IN {EX} GROUP BY 1),
-r AS (SELECT images_count::INT AS quality_score, (epoch_us(t0)-epoch_us(posted_date::TIMESTAMP))/3.6e9 AS h FROM dim LEFT JOIN f USING (item_id)), k AS (SELECT * FROM r WHERE h IS NULL OR (h>=0 AND h<=8760)),
-b AS (SELECT quality_score, CASE WHEN h IS NULL THEN 'NoContact' WHEN h<24 THEN 'Fast' WHEN h<=168 THEN 'Mid' ELSE 'Slow' END AS speed, COUNT(*) AS n FROM k GROUP BY 1,2)
+r AS (SELECT images_count::INT AS quality_score, (epoch_us(t0)-epoch_us(posted_date::TIMESTAMP))/3.6e9 AS h FROM dim LEFT JOIN f USING (item_id)), k AS (SELECT * FROM r),
+b AS (SELECT quality_score, CASE WHEN h IS NULL THEN 'NoContact' WHEN h<0 THEN 'BeforePosting' WHEN h<24 THEN 'Fast' WHEN h<=168 THEN 'Mid' ELSE 'Slow' END AS speed, COUNT(*) AS n FROM k GROUP BY 1,2)
 SELECT quality_score, speed, n, round(100.0*n/SUM(n) OVER (PARTITION BY quality_score),6) AS pct, round((SELECT median(h) FROM k WHERE k.quality_score=b.quality_score),6) AS median_hours FROM b""")
 def _(s):
     return D.quality_time_to_contact(s.ev, s.dim.withColumn("quality_score", F.col("images_count").cast("int")))

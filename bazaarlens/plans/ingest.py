@@ -88,7 +88,9 @@ def _(s):
     return R.row_sample(s.ev, 0.2).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("hash_sample")
+@query("hash_sample", "ev", """
+SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT session_id) AS sessions FROM ev
+WHERE ((('0x'||substr(md5(session_id::VARCHAR),1,16))::UBIGINT::HUGEINT%1000)*616+(('0x'||substr(md5(session_id::VARCHAR),17,16))::UBIGINT::HUGEINT%1000))%1000<300 GROUP BY 1""")
 def _(s):
     return R.hash_sample(s.ev, "session_id", 0.3).groupBy("event_type").agg(
         F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"))
@@ -109,7 +111,7 @@ def _(s):
     return R.hash_split(s.ev.select("user_id").distinct(), "user_id")
 
 
-@query("stratified_sample")
+@query("stratified_sample", "dim", "SELECT category, LEAST(20, COUNT(*)) AS n FROM dim GROUP BY 1")
 def _(s):
     return R.stratified_sample(s.dim, "category", 20).groupBy("category").agg(F.count("*").alias("n"))
 

@@ -168,12 +168,12 @@ def _(s):
     return P.rrf_with_history(two_lists(s)[0], past(s))
 
 
-PRUNE = f"""pg AS (SELECT item_id FROM dim WHERE ad_status='refused' OR coalesce(expected_expired_date<DATE'2024-01-01',false)), pu AS (SELECT DISTINCT user_id, item_id FROM inter WHERE purchased), wu AS (SELECT DISTINCT user_id FROM ev WHERE event_type IN {PO} AND dwell_time_sec>150)"""
+PRUNE = f"""pg AS (SELECT item_id FROM dim WHERE ad_status='refused' OR coalesce(expected_expired_date<DATE'2024-01-01',false)), pu AS (SELECT DISTINCT user_id, item_id FROM inter WHERE purchased), wu AS (SELECT DISTINCT user_id FROM ev WHERE event_type IN {PO})"""
 
 
 def pruning(s):
-    """Pruned listings, purchased pairs, and users split by whether they ever stayed long on a contact."""
-    warm = s.ev.filter(is_positive() & (F.col("dwell_time_sec") > 150)).select("user_id").distinct()
+    """Pruned listings, purchased pairs, and users with any positive event."""
+    warm = s.ev.filter(is_positive()).select("user_id").distinct()
     return P.prune_list(s.dim, "2024-01-01"), s.inter.filter("purchased").select("user_id", "item_id").distinct(), warm
 
 
@@ -294,10 +294,10 @@ def _(s):
     return V.shared_stats(*two_lists(s)).withColumn("overlap", F.col("overlap").cast("long"))
 
 
-@query("compare_lists", "ev", f"""WITH {CMP}, w AS (SELECT DISTINCT user_id FROM ev WHERE is_login='login' AND event_type IN {PO} AND dwell_time_sec>150), g AS (SELECT ps.*, 'all' AS grp FROM ps UNION ALL SELECT ps.*, CASE WHEN user_id IN (SELECT user_id FROM w) THEN 'warm' ELSE 'cold' END FROM ps)
+@query("compare_lists", "ev", f"""WITH {CMP}, w AS (SELECT DISTINCT user_id FROM ev WHERE is_login='login' AND event_type IN {PO}), g AS (SELECT ps.*, 'all' AS grp FROM ps UNION ALL SELECT ps.*, CASE WHEN user_id IN (SELECT user_id FROM w) THEN 'warm' ELSE 'cold' END FROM ps)
 SELECT grp, COUNT(*) AS users, round(AVG(jaccard),6) AS jaccard, round(AVG(overlap),6) AS overlap, round(AVG(overlap_5),6) AS overlap_5, round(100.0*AVG(top1_same),6) AS top1_same_pct, round(100.0*AVG(identical),6) AS identical_pct, round(AVG(spearman),6) AS spearman FROM g GROUP BY 1""")
 def _(s):
-    warm = s.ev.filter(is_login() & is_positive() & (F.col("dwell_time_sec") > 150))
+    warm = s.ev.filter(is_login() & is_positive())
     return V.compare_lists(*two_lists(s), warm)
 
 
@@ -320,10 +320,10 @@ def _(s):
     return V.slots_changed(*two_lists(s))
 
 
-@query("score_cohorts", "ev dim", f"""WITH {HC}, w AS (SELECT DISTINCT user_id FROM ev WHERE event_type IN {PO} AND dwell_time_sec>150), c AS (SELECT hr.*, CASE WHEN user_id IN (SELECT user_id FROM w) THEN 'warm' ELSE 'cold' END AS cohort FROM hr)
+@query("score_cohorts", "ev dim", f"""WITH {HC}, w AS (SELECT DISTINCT user_id FROM ev WHERE event_type IN {PO}), c AS (SELECT hr.*, CASE WHEN user_id IN (SELECT user_id FROM w) THEN 'warm' ELSE 'cold' END AS cohort FROM hr)
 SELECT cohort, COUNT(*) AS rows, COUNT(DISTINCT user_id) AS users, round(AVG(score),6) AS mean, round(quantile_cont(score,0.25),6) AS p25, round(quantile_cont(score,0.5),6) AS p50, round(quantile_cont(score,0.75),6) AS p75, round(COUNT(*)::DOUBLE/COUNT(DISTINCT user_id),6) AS per_user FROM c GROUP BY 1""")
 def _(s):
-    return V.score_cohorts(history(s), s.ev.filter(is_positive() & (F.col("dwell_time_sec") > 150)))
+    return V.score_cohorts(history(s), s.ev.filter(is_positive()))
 
 
 @query("score_by_rank", "ev dim", f"WITH {HC} SELECT rank, COUNT(*) AS n, round(AVG(score),6) AS mean, round(MIN(score),6) AS min, round(MAX(score),6) AS max FROM hr GROUP BY 1")

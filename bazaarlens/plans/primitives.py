@@ -12,7 +12,7 @@ from bazaarlens.operators import joins as J
 from bazaarlens.operators import sets as S
 from bazaarlens.operators import stats as A
 from bazaarlens.operators import windows as N
-from bazaarlens.operators.core import quantiles
+from bazaarlens.operators.core import join_keys, quantiles
 from bazaarlens.plans.registry import query
 from bazaarlens.schemas import CATEGORIES, POSITIVE
 
@@ -271,9 +271,17 @@ def _(s):
     return A.distinct_counts(s.ev, ["category"], {"users": "user_id", "sessions": "session_id", "items": "item_id"})
 
 
-@query("approx_distinct")
+def near(estimate: str, exact: str):
+    """Whether an estimate lies within five times its relative error of 1 % (one at least)."""
+    return flag(F.abs(F.col(estimate) - F.col(exact)) <= F.greatest(F.lit(1.0), F.col(exact) * 0.05))
+
+
+@query("approx_distinct", "ev", """
+SELECT category, COUNT(DISTINCT user_id) AS exact_users, COUNT(DISTINCT session_id) AS exact_sessions, COUNT(DISTINCT item_id) AS exact_items, 1::INT AS near_users, 1::INT AS near_sessions, 1::INT AS near_items FROM ev GROUP BY 1""")
 def _(s):
-    return A.approx_distinct(s.ev, ["category"], {"users": "user_id", "sessions": "session_id", "items": "item_id"})
+    columns = {"users": "user_id", "sessions": "session_id", "items": "item_id"}
+    both = join_keys(A.approx_distinct(s.ev, ["category"], columns), A.distinct_counts(s.ev, ["category"], {f"exact_{n}": c for n, c in columns.items()}), ["category"])
+    return both.select("category", *[f"exact_{n}" for n in columns], *[near(n, f"exact_{n}").alias(f"near_{n}") for n in columns])
 
 
 @query("exact_quantiles", "", """
@@ -344,7 +352,7 @@ def contact_counts(s, entity="item_id"):
 WITH {CONTACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY x) AS i, COUNT(*) OVER (PARTITION BY category) AS n FROM cc)
 SELECT category, round(SUM((2*i-n-1)*x)::DOUBLE/(MAX(n)*SUM(x)),6) AS gini FROM r GROUP BY 1""")
 def _(s):
-    return A.gini(contact_counts(s), ["category"], "x")
+    return A.gini(contact_counts(s), ["category"], "x", bounded=True)
 
 
 @query("top_pct_share", "", """
@@ -375,7 +383,7 @@ WITH {CONTACTS}, h AS (SELECT category, x, COUNT(*) AS n FROM cc GROUP BY ALL)
 SELECT category, x, round(100.0*SUM(n) OVER w/SUM(n) OVER (PARTITION BY category),6) AS cum_population_pct, round(100.0*SUM(n*x) OVER w/SUM(n*x) OVER (PARTITION BY category),6) AS cum_value_pct
 FROM h WINDOW w AS (PARTITION BY category ORDER BY x)""")
 def _(s):
-    return A.lorenz_curve(contact_counts(s), ["category"], "x")
+    return A.lorenz_curve(contact_counts(s), ["category"], "x", bounded=True)
 
 
 @query("concentration_table", "ev dim", f"""

@@ -21,8 +21,8 @@ INT = "CASE event_type WHEN 'view_phone' THEN 3.0E0 WHEN 'contact_chat' THEN 2 W
 
 def als_scores(s, n=20):
     pairs = T.user_item_positive(s.ev)
-    model = R.fit_als(R.confidence(pairs, END), rank=16, iterations=5)
-    return R.als_candidates(model, pairs.select("user_id"), n)
+    factors = R.fit_als(R.confidence(pairs, END), rank=16, iterations=5)
+    return R.als_candidates(factors, s.test_users, n)
 
 
 @query("als_candidates")
@@ -41,7 +41,7 @@ sc AS (SELECT user_id, item_id, list_dot_product(p,u)/sqrt(list_dot_product(p,p)
 SELECT user_id, item_id, round(score,6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id)::INT AS rank FROM sc QUALIFY rank<=20""")
 def _(s):
     pairs = T.user_item_positive(s.ev).select("user_id", "item_id", "pos_count")
-    return R.item_embedding_cf(R.user_vectors(pairs, s.vectors), s.vectors, pairs, k=20, cells=16)
+    return R.item_embedding_cf(R.user_vectors(pairs, s.vectors), s.vectors, pairs, k=20)
 
 
 CVP = f"""g0 AS (SELECT *, lag(event_ts) OVER (PARTITION BY user_id ORDER BY event_ts, event_id) AS p FROM ev WHERE event_type IN {PO}), g1 AS (SELECT user_id, item_id, event_ts, event_id, SUM((p IS NULL OR epoch_us(event_ts)-epoch_us(p)>{GAP}000000)::INT) OVER w AS sn, row_number() OVER w AS pos FROM g0 WINDOW w AS (PARTITION BY user_id ORDER BY event_ts, event_id)),

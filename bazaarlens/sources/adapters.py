@@ -156,7 +156,7 @@ class Star:
         chat = F.col("event_type") == "contact_chat"
         messages = F.sum(F.when(chat, F.col("cents") % 7).otherwise(0))
         return (
-            self.ev.filter(F.col("dwell_time_sec") >= 10)
+            self.ev
             .groupBy("user_id", "item_id", "date")
             .agg(
                 F.sum(F.when(is_pageview(), 1.0).otherwise(0.0)).alias("adview_count"),
@@ -249,7 +249,7 @@ _SQL = {
         "FLOOR(SUM(CASE WHEN event_type = 'contact_chat' THEN cents % 7 ELSE 0 END) / 2.0E0) AS chat_turn_count, "
         "MAX(CASE WHEN event_type = 'contact_chat' THEN 1.0E0 ELSE 0 END) AS chat_lead, "
         "MAX(dwell_time_sec) > 120 AS purchased, MAX(category) AS category "
-        "FROM ev WHERE dwell_time_sec >= 10 GROUP BY user_id, item_id, date)",
+        "FROM ev GROUP BY user_id, item_id, date)",
     ),
     "ordered": ((), f"ordered AS (SELECT {_ORDERED_SRC} FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"),
     "test_users": ((), "test_users AS (SELECT c_custkey AS user_id FROM customer)"),

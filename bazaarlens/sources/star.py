@@ -122,7 +122,7 @@ def row_sample(df: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: Column | str, fraction: float) -> DataFrame:
     """All rows of a fraction of the keys: whole sessions stay together."""
-    return df.filter(F.pmod(F.xxhash64(as_col(key)), F.lit(1000)) < F.lit(int(fraction * 1000)))
+    return df.filter(md5_mod(key, 1000) < int(fraction * 1000))
 
 
 def scale_up(counts: DataFrame, value: str, fraction: float) -> DataFrame:
