@@ -112,25 +112,32 @@ def js_distance(one: Column, other: Column) -> Column:
     return F.when((total(one) > 0) & (total(other) > 0), F.sqrt(F.greatest(F.lit(0.0), total(terms))))
 
 
-def histograms(docs: DataFrame) -> DataFrame:
-    lang = F.coalesce(F.col("lang"), F.lit(""))
-    return docs.withColumns({"_classes": class_histogram(F.col("text")), "_common": common_histogram(F.col("text"), lang), "_lang": lang, "_chars": F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long")})
+def measured(docs: DataFrame, *carry: str, base: bool = True) -> DataFrame:
+    """The carried columns with histograms and, if wanted, base figures of each row.
+
+    The figures pass a generator as one struct, so that later filters and projections read them
+    instead of computing them again.
+    """
+    text, lang = F.col("text"), F.coalesce(F.col("lang"), F.lit(""))
+    figures = {"_lang": lang, "_chars": F.length(F.coalesce(text, F.lit(""))).cast("long"), "_classes": class_histogram(text), "_common": common_histogram(text, lang)}
+    figures |= base_columns(text) if base else {}
+    return docs.select(*carry, F.explode(F.array(F.struct(*[c.alias(n) for n, c in figures.items()]))).alias("_m")).select(*carry, "_m.*")
 
 
-def language_references(measured: DataFrame) -> DataFrame:
+def language_references(rows: DataFrame) -> DataFrame:
     """(ref_lang, ref_classes, ref_common): sums over all documents of a language, a written table of one row each."""
     common = max(len(v.split()) for v in COMMON.values()) + 1
     sums = lambda column, n: F.array(*[F.coalesce(F.sum(F.get(F.col(column), F.lit(i))), F.lit(0.0)) for i in range(n)])
-    return durable(measured.groupBy(F.col("_lang").alias("ref_lang")).agg(sums("_classes", len(CLASSES) + 3).alias("ref_classes"), sums("_common", common).alias("ref_common")), "references")
+    return durable(rows.groupBy(F.col("_lang").alias("ref_lang")).agg(sums("_classes", len(CLASSES) + 3).alias("ref_classes"), sums("_common", common).alias("ref_common")), "references")
 
 
-def judge(measured: DataFrame, references: DataFrame) -> DataFrame:
+def judge(rows: DataFrame, references: DataFrame) -> DataFrame:
     """The figures, both distances, base_failed and kept of rows that have histograms and base columns.
 
     The references are written tables, so Spark knows their size and sends them to the documents
     while they are small; texts are not shuffled.
     """
-    rows = measured.join(references, F.col("_lang") == F.col("ref_lang"), "left")
+    rows = rows.join(references, F.col("_lang") == F.col("ref_lang"), "left")
     rows = rows.withColumns({
         "n_words": F.col("_base")["n"], "n_repeat_words": F.col("_base")["repeated"], "n_symbols": F.get("_classes", F.lit(3)).cast("long"),
         "word_chars": F.col("_chars") - F.get("_classes", F.lit(4)).cast("long"),
@@ -147,15 +154,14 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
     Texts are read once; what is measured of them is a written table.
     """
-    measured = durable(histograms(docs).withColumns(base_columns(F.col("text"))).select("doc_id", "_lang", "_classes", "_common", "_chars", "_base", "n_dup_lines"), "measured")
-    return judge(measured, language_references(measured)).select(
+    rows = durable(measured(docs, "doc_id"), "measured")
+    return judge(rows, language_references(rows)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("class_distance", 6).alias("class_distance"), F.round("common_distance", 6).alias("common_distance"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns. Their texts are read twice and never shuffled."""
-    references = language_references(histograms(docs.select("text", "lang")))
+    references = language_references(measured(docs.select("text", "lang"), base=False))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = histograms(docs.select(own.alias("_row"), "text", "lang")).withColumns({**base_columns(F.col("text"))})
-    return judge(rows, references).filter("kept").select("_row.*")
+    return judge(measured(docs.select(own.alias("_row"), "text", "lang"), "_row"), references).filter("kept").select("_row.*")
