@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import as_col
+from bazaarlens.session import durable
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -47,31 +48,20 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
-def position_in(cuts: str, value: str, parts: int) -> Column:
-    """How many of the ``parts - 1`` sorted cuts lie below the value, by binary search."""
-    steps = F.array(*[F.lit(1 << s) for s in reversed(range((parts - 1).bit_length()))])
-
-    def step(low: Column, size: Column) -> Column:
-        probe = F.get(F.col(cuts), low + size - 1)
-        return F.when(probe < F.col(value), low + size).otherwise(low)
-
-    return F.aggregate(steps, F.lit(0), step)
-
-
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     measures: Mapping[str, Column],
     bounded: bool = False,
-    parts: int = 256,
 ) -> DataFrame:
     """Add ``<m>_before`` (sum over smaller ``order`` values) and ``<m>_total`` per key.
 
     ``df`` has one row per (keys, order). ``bounded=True`` states that a key has few distinct
     values (counts of N events take at most sqrt(2N) values; ages and positions fewer still), so
-    one window per key is enough. Otherwise values are cut at approximate quantiles into ``parts``
-    slices per key and only slice totals meet in one window.
+    one window per key is enough. Otherwise rows are range-partitioned by key and value and written
+    once with their partition number; sums run inside (key, partition) and are shifted by the key's
+    totals of the partitions before, of which there are few.
     """
     keys = list(keys)
     df = df.withColumns({f"__m_{m}": c for m, c in measures.items()})
@@ -82,32 +72,18 @@ def prefix_sums(
             df = df.withColumn(f"{m}_before", F.coalesce(F.sum(f"__m_{m}").over(before), F.lit(0)))
             df = df.withColumn(f"{m}_total", F.sum(f"__m_{m}").over(every))
         return df.drop(*[f"__m_{m}" for m in measures])
-    # Cuts and totals come from one aggregation that reads the same columns as the slices below,
-    # so both sides reuse one shuffle of ``df``.
-    probs = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    stats = df.groupBy(*keys).agg(
-        F.percentile_approx(order, probs, F.lit(10000)).alias("__cuts"),
-        *[F.sum(f"__m_{m}").alias(f"{m}_total") for m in measures],
-    )
-    if keys:
-        sliced = join_keys(df, stats, keys)
-    else:
-        one = stats.select(F.struct(*stats.columns)).scalar()
-        sliced = df.withColumns({c: one[c] for c in stats.columns})
-    sliced = sliced.withColumn("__slice", position_in("__cuts", order, parts)).drop("__cuts")
-    local = W.partitionBy(*keys, "__slice").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    for m in measures:
-        sliced = sliced.withColumn(f"__in_{m}", F.coalesce(F.sum(f"__m_{m}").over(local), F.lit(0)))
-    totals = sliced.groupBy(*keys, "__slice").agg(*[F.sum(f"__m_{m}").alias(f"__s_{m}") for m in measures])
-    over_slices = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "__slice", *[F.coalesce(F.sum(f"__s_{m}").over(over_slices), F.lit(0)).alias(f"__o_{m}") for m in measures]
-    )
-    out = join_keys(sliced, offsets, [*keys, "__slice"])
-    for m in measures:
-        out = out.withColumn(f"{m}_before", F.col(f"__in_{m}") + F.col(f"__o_{m}"))
-    drop = ["__slice"] + [f"__{p}_{m}" for p in ("m", "in", "o") for m in measures]
-    return out.drop(*drop)
+    ranged = durable(df.repartitionByRange(*keys, order).withColumn("__part", F.spark_partition_id()), "slices")
+    local = W.partitionBy(*keys, "__part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    sliced = ranged.withColumns({f"__in_{m}": F.coalesce(F.sum(f"__m_{m}").over(local), F.lit(0)) for m in measures})
+    sums = ranged.groupBy(*keys, "__part").agg(*[F.sum(f"__m_{m}").alias(f"__s_{m}") for m in measures])
+    every = W.partitionBy(*keys)
+    earlier = every.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(
+        *keys, "__part", *[F.coalesce(F.sum(f"__s_{m}").over(earlier), F.lit(0)).alias(f"__o_{m}") for m in measures],
+        *[F.sum(f"__s_{m}").over(every).alias(f"{m}_total") for m in measures])
+    out = join_keys(sliced, offsets, [*keys, "__part"])
+    out = out.withColumns({f"{m}_before": F.col(f"__in_{m}") + F.col(f"__o_{m}") for m in measures})
+    return out.drop("__part", *[f"__{p}_{m}" for p in ("m", "in", "o") for m in measures])
 
 
 def quantiles(

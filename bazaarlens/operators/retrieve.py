@@ -214,6 +214,12 @@ def forward_pairs(events: DataFrame, window: int = 5, gap_seconds: float = 1800,
     return pairs.select(F.least("item_id", "n.item_id").alias("a"), F.greatest("item_id", "n.item_id").alias("b"), weight.alias("w"))
 
 
+def last_touches(events: DataFrame) -> DataFrame:
+    """The newest event of every (user, item): what co-visitation pairs, so repeated clicks count once."""
+    newest = F.max(F.struct("event_ts", "event_id"))
+    return events.groupBy("user_id", "item_id").agg(newest.alias("t")).select("user_id", "item_id", "t.event_ts", "t.event_id")
+
+
 def covisit_pairs(events: DataFrame, window: int = 5, gap_seconds: float = 1800, top: int = 20) -> DataFrame:
     """Best ``top`` co-visited neighbors of every item."""
     scored = forward_pairs(events, window, gap_seconds).groupBy("a", "b").agg(F.sum("w").alias("score"))
@@ -319,7 +325,8 @@ def session_item_to_item(clicks: DataFrame, items: DataFrame, contacts: DataFram
         name = f"l{len(names)}"
         out = join_keys(out, ranked_lists(demand.filter(F.col("category").isNotNull()), keys, order, depth, "contacts_24h", name), keys, "left")
         names.append(name)
-    lists = [F.transform(F.coalesce(F.col(n), F.array().cast("array<struct<r:int,item:bigint,score:double>>")), lambda x: x["item"]) for n in names]
+    empty = f"array<struct<r:int,item:{items.schema['item_id'].dataType.simpleString()},score:double>>"
+    lists = [F.transform(F.coalesce(F.col(n), F.array().cast(empty)), lambda x: x["item"]) for n in names]
     # array_except keeps the order of first appearance and drops repeats and the clicked item.
     picked = F.slice(F.array_except(F.concat(*lists, popular), F.array("item_id")), 1, k)
     return out.select("user_id", F.posexplode(picked).alias("pos", "rec")).select(

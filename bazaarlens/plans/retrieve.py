@@ -44,13 +44,13 @@ def _(s):
     return R.item_embedding_cf(R.user_vectors(pairs, s.vectors), s.vectors, pairs, k=20)
 
 
-CVP = f"""g0 AS (SELECT *, lag(event_ts) OVER (PARTITION BY user_id ORDER BY event_ts, event_id) AS p FROM ev WHERE event_type IN {PO}), g1 AS (SELECT user_id, item_id, event_ts, event_id, SUM((p IS NULL OR epoch_us(event_ts)-epoch_us(p)>{GAP}000000)::INT) OVER w AS sn, row_number() OVER w AS pos FROM g0 WINDOW w AS (PARTITION BY user_id ORDER BY event_ts, event_id)),
+CVP = f"""lt AS (SELECT user_id, item_id, MAX(event_ts) AS event_ts, arg_max(event_id,(event_ts,event_id)) AS event_id FROM ev WHERE event_type IN {PO} GROUP BY 1,2), g0 AS (SELECT *, lag(event_ts) OVER (PARTITION BY user_id ORDER BY event_ts, event_id) AS p FROM lt), g1 AS (SELECT user_id, item_id, event_ts, event_id, SUM((p IS NULL OR epoch_us(event_ts)-epoch_us(p)>{GAP}000000)::INT) OVER w AS sn, row_number() OVER w AS pos FROM g0 WINDOW w AS (PARTITION BY user_id ORDER BY event_ts, event_id)),
 fp AS (SELECT LEAST(x.item_id,y.item_id) AS a, GREATEST(x.item_id,y.item_id) AS b, 1.0/log2(GREATEST((epoch_us(y.event_ts)-epoch_us(x.event_ts))/6e7,0)+2) AS w FROM g1 x JOIN g1 y ON x.user_id=y.user_id AND x.sn=y.sn AND y.pos BETWEEN x.pos+1 AND x.pos+5 WHERE x.item_id<>y.item_id),
 cs AS (SELECT a, b, SUM(w) AS score FROM fp GROUP BY 1,2), sd AS (SELECT a AS item_id, b AS neighbor, score FROM cs UNION ALL SELECT b, a, score FROM cs), cp AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score,9) DESC, neighbor)::INT AS rank FROM sd QUALIFY rank<=20)"""
 
 
 def neighbors(s):
-    return R.covisit_pairs(s.ev.filter(is_positive()), gap_seconds=GAP)
+    return R.covisit_pairs(R.last_touches(s.ev.filter(is_positive())), gap_seconds=GAP)
 
 
 @query("covisit_pairs", "ev", f"WITH {CVP} SELECT item_id, neighbor, round(score,6) AS score, rank FROM cp")

@@ -40,7 +40,7 @@ def test_prefix_sums_sliced_equals_one_window(skewed):
     hist = core.histogram(skewed, ["key"], "x")
     measures = {"n": F.col("n"), "v": F.col("n") * F.col("x")}
     key = lambda r: (str(r.key), r.x)
-    a = sorted(core.prefix_sums(hist, ["key"], "x", measures, parts=16).collect(), key=key)
+    a = sorted(core.prefix_sums(hist, ["key"], "x", measures).collect(), key=key)
     b = sorted(core.prefix_sums(hist, ["key"], "x", measures, bounded=True).collect(), key=key)
     assert len(a) == len(b) == hist.count()
     for left, right in zip(a, b):
@@ -50,7 +50,7 @@ def test_prefix_sums_sliced_equals_one_window(skewed):
 
 def test_global_prefix_sums_have_no_lost_rows(skewed):
     hist = core.histogram(skewed, [], "x")
-    out = core.prefix_sums(hist, [], "x", {"n": F.col("n")}, parts=8)
+    out = core.prefix_sums(hist, [], "x", {"n": F.col("n")})
     row = out.orderBy(F.desc("x")).first()
     assert row.n_before + row.n == row.n_total == skewed.filter("x is not null").count()
 
