@@ -57,6 +57,11 @@ def _matches(text: Column, kind: str) -> Column:
     return F.transform(F.array(both), listed)[0]
 
 
+def may_hold(text: Column) -> Column:
+    """Every pattern needs a digit or the sign of an address."""
+    return F.coalesce(text, F.lit("")).rlike("[0-9@]")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(key, kind, match, before, after, start, end): every match of every pattern, base or not.
 
@@ -99,13 +104,14 @@ def votes(rows: DataFrame) -> DataFrame:
     pick = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     mixed = match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     same = F.length(F.regexp_replace(match, r"^(.)\1*$", "")) == 0
+    date = match.rlike(r"^(?:19|20)[0-9]{2}[-\x20][0-9]{2}[-\x20]")
     return rows.withColumn("base", base).withColumns({
-        "v_pattern": pick(base | ((kind == "secret") & match.rlike("^(?:[0-9a-f]{24,64}|[0-9A-F]{24,64})$") & mixed) | ((kind == "number") & (n >= 9) & (n <= 15)), ~kind.isin("secret")),
+        "v_pattern": pick(base | ((kind == "secret") & match.rlike("^(?:[0-9a-f]{24,64}|[0-9A-F]{24,64})$") & mixed) | ((kind == "number") & (n >= 9) & (n <= 15) & ~date), ~kind.isin("secret")),
         "v_checksum": pick((kind == "card") & base, (kind == "card") & ~base),
         "v_gazetteer": pick(((kind == "email") & match.rlike(DOMAIN_ENDS)) | ((kind == "phone") & match.rlike(r"^\+[1-9]")) | ((kind == "number") & match.rlike(r"^\(")), same),
         "v_secret_context": pick((kind == "secret") & F.col("before").rlike(SECRET_WORDS), (kind == "secret") & ~mixed),
         "v_contact_context": pick(kind.isin("email", "ip", "card", "phone", "number") & F.col("before").rlike(CONTACT_WORDS), F.col("after").rlike(r"^[A-Za-z]")),
-        "v_shape": pick((kind == "secret") & mixed & (F.length(match) >= 32), (kind == "number") & match.rlike(r"^(?:19|20)[0-9]{2}[-\x20][0-9]{2}[-\x20]")),
+        "v_shape": pick((kind == "secret") & mixed & (F.length(match) >= 32), (kind == "number") & date),
         "shape": F.concat_ws(":", kind, F.least(F.lit(4), F.floor(n / 5)).cast("string"))})
 
 
@@ -211,8 +217,10 @@ def redact(docs: DataFrame) -> DataFrame:
         text.substr(cast(F.coalesce(F.get(cuts, k - 1)["end"], F.lit(0)) + 1), cast(s["start"] - F.coalesce(F.get(cuts, k - 1)["end"], F.lit(0)))), F.lit("["), F.upper(s["kind"]), F.lit("]")))
     last = F.get(cuts, F.size(cuts) - 1)["end"]
     clean = F.concat(F.array_join(pieces, ""), text.substr(cast(last + 1), F.length(text)))
-    joined = rows.join(by_doc, F.col("key") == F.col("other"), "left").withColumn("text", F.when(cuts.isNull(), text).otherwise(clean))
     back = {c: F.col(f"_own.`{c}`") for c in own} | {"doc_id": F.col("doc_id"), "text": text}
+    untouched = rows.filter(~may_hold(text)).select(*[back[c].alias(c) for c in docs.columns])
+    # Only texts that can hold a span travel to their spans, by the same kind of join at every size.
+    joined = rows.filter(may_hold(text)).join(by_doc.hint("merge"), F.col("key") == F.col("other"), "left").withColumn("text", F.when(cuts.isNull(), text).otherwise(clean))
     if "n_chars" in own:
         back["n_chars"] = F.when(cuts.isNull(), back["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[back[c].alias(c) for c in docs.columns])
+    return untouched.unionByName(joined.select(*[back[c].alias(c) for c in docs.columns]))
