@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bazaarlens.llm import decontam, licenses, ngram_join, packing, pii, ppm, quality, substring, suffix, token_output
 from bazaarlens.llm.shared import documents
+from bazaarlens.llm.sql import CONTAMINATION
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -33,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": lambda spark, sf_dir: licenses.license_digest(documents(spark, sf_dir)),
     "op10_decontamination": lambda spark, sf_dir: decontam.contamination_digest(documents(spark, sf_dir), benchmark(spark, sf_dir)),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_decontamination": CONTAMINATION}
