@@ -1,13 +1,15 @@
 """Language-model scores: prediction by partial matching over bytes.
 
-The pretrained model is a trie of byte contexts up to ORDER, held as one table for each order.
-Training counts every (context, byte) of all training texts; an order keeps the entries with at
-least MIN_SHARE of all training bytes, hence at most 1 / MIN_SHARE of them whatever the corpus, and
-that bound makes the model small enough to broadcast. A byte is coded at its longest known context;
-where it was not kept there, the escape is paid (method C: the distinct symbols, and the occurrences
-that pruning took, over all occurrences and the distinct symbols) and the next shorter context
-tried, without the symbols already excluded. Code
-lengths add up per document.
+The model is a trie of byte contexts up to ORDER. Training counts every (context, byte) of all
+training texts, and every count stays, so the model grows with the corpus. The probability of a byte
+depends on it and the ORDER bytes before it alone. Texts are read in units; each unit sends the
+distinct numbers of this kind that it holds, and how often its training texts hold them, to buckets
+by the three bytes before the predicted one. A bucket has all contexts of three bytes and more that
+end so, and adds them to the shorter orders, whose size is bounded by the alphabet and which are
+broadcast. It returns the logarithm for each number, and the units add them up per document. A byte
+is coded at its longest known context; where that does not know the byte, the escape is paid (method
+C: the distinct symbols over all occurrences and the distinct symbols) and the next shorter context
+tried, without the symbols already excluded.
 
 A text is its lower-cased words joined by one space and ended by a line feed, so empty and null
 texts cost the end alone. Beside it stands an add-one word unigram model, whose counts travel
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,12 @@ from bazaarlens.llm.textbytes import LOWER, PLAIN_WORD, Chunk, Words, chunks, ra
 from bazaarlens.session import durable
 
 ORDER = 5
-MIN_SHARE = 2.0**-20
+#: Orders that are broadcast; their entries are at most the strings of so many bytes.
+SHORT = 3
+#: Share of the training bytes that an entry needs: none, all are kept.
+MIN_SHARE = 0.0
+#: Bytes of text in a unit.
+UNIT_BYTES = 1 << 23
 FOLDS, HELD_OUT = 7, 2
 NEW_LINE, SPACE = 10, 32
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -81,35 +89,58 @@ def coded(stream: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(code, n) of the training texts, all of them; a batch sends one row for each gram it holds."""
+def heads_of(values: np.ndarray) -> np.ndarray:
+    """Where each distinct one of the sorted values begins."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, dtype=np.int64)
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        code, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(code, kind="stable")
-        code = code[order]
-        heads = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-        return code[heads], np.add.reduceat(n[order], heads)
+
+def summed(code: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by the last ``size`` bytes of the codes."""
+    code = code & np.uint64((1 << 8 * size) - 1)
+    order = np.argsort(code, kind="stable")
+    heads = heads_of(code[order])
+    return code[order][heads], np.add.reduceat(n[order], heads) if len(heads) else n[:0]
+
+
+def units(docs: DataFrame, buckets: int) -> DataFrame:
+    """For each unit one row with its texts (body) and, for each bucket, its distinct codes and their
+    number in training texts. A unit is named by its first key."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            train = ~held_out(rows.column("doc_id"))
-            parts: list[tuple[np.ndarray, np.ndarray]] = []
-            for chunk in chunks(rows.column("text")):
+            out = held_out(rows.column("doc_id"))
+            keys = rows.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = rows.column("doc_id")
+            valid, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for chunk in chunks(rows.column("text"), UNIT_BYTES):
                 data, found = lower_words(chunk)
                 stream, first = streams(data, found)
-                use = coded(stream, first) & np.repeat(train[chunk.rows], np.diff(np.append(first, len(stream))))
-                code = np.sort(grams(stream)[use])
-                if len(code):
-                    heads = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-                    parts.append((code[heads], np.diff(np.append(heads, len(code)))))
-                if len(parts) > 15:
-                    parts = [merged(parts)]
-            if parts:
-                code, n = merged(parts)
-                yield batch(code=pa.array(code.astype(np.int64)), n=pa.array(n.astype(np.int64)))
-
-    return docs.select("doc_id", "text").mapInArrow(scan, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+                size = np.diff(np.append(first, len(stream)))
+                use, train = coded(stream, first), np.repeat(~out[chunk.rows], size)
+                code = grams(stream)
+                trained, other = np.sort(code[use & train]), np.unique(code[use & ~train])
+                del code, use, train
+                heads = heads_of(trained)
+                times, trained = np.diff(np.append(heads, len(trained))), trained[heads]
+                every = np.union1d(trained, other)
+                n = np.zeros(len(every), dtype=np.int64)
+                n[np.searchsorted(every, trained)] = times
+                near = (every >> np.uint64(8)) & np.uint64((1 << 8 * SHORT) - 1)
+                bucket = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+                used = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+                parts = [order[edges[b] : edges[b + 1]] for b in used]
+                i, none = chunk.rows, [None] * len(used)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([int(keys[i[0]])] * (len(used) + 1), pa.int64()), pa.array([*used, None], pa.int32()),
+                    pa.array([*[pack(np.diff(every[x], prepend=np.uint64(0))) for x in parts], None], pa.binary()),
+                    pa.array([*[pack(n[x]) for x in parts], None], pa.binary()),
+                    pa.array([*none, zstandard.compress(stream.tobytes(), 1)], pa.binary()),
+                    pa.array([*none, [pack(x) for x in (keys[i], ids[i], valid[i].astype(np.uint8), out[i].astype(np.uint8), found.counts() + 1, size)]], pa.list_(pa.binary()))],
+                    names=["unit", "bucket", "codes", "trained", "body", "about"])
+
+    return docs.select("key", "doc_id", "text").mapInArrow(scan, "unit long, bucket int, codes binary, trained binary, body binary, about array<binary>")
 
 
 class Table:
@@ -149,26 +180,24 @@ class Table:
 class Model:
     """Entries and contexts of every order, with what escapes and exclusion need."""
 
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray]], size: int) -> None:
-        self.entries, self.counts, self.contexts = [], [], []
-        self.total, self.kept, self.kinds, self.excluded = [], [], [], []
-        for k, (code, n) in enumerate(orders):
-            context = code >> np.uint64(8)
-            heads = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(code) else np.zeros(0, dtype=np.int64)
-            add = lambda v: np.add.reduceat(v, heads) if len(heads) else np.zeros(0)
-            below = np.zeros(len(code))
-            if k:  # an entry's suffix is at least as frequent, so it was kept as well
-                below = self.counts[k - 1][self.entries[k - 1].find(code & np.uint64((1 << 8 * k) - 1))]
-            self.entries.append(Table(code))
-            self.counts.append(n.astype(np.float64))
-            self.contexts.append(Table(context[heads]))
-            self.kept.append(add(n.astype(np.float64)))
-            # A context occurs as often as its own last byte was counted; what pruning took is part of that.
-            at = self.entries[k - 1].find(context[heads]) if k else np.zeros(0)
-            own = np.where(at >= 0, self.counts[k - 1][at], 0.0) if k and len(self.counts[k - 1]) else np.full(len(heads), float(size))
-            self.total.append(np.maximum(own, self.kept[k]))
-            self.kinds.append(add(np.ones(len(code))))
-            self.excluded.append(add(below.astype(np.float64)))
+    def __init__(self, shorter: Model | None = None) -> None:
+        for name in ("entries", "counts", "contexts", "total", "kinds", "excluded"):
+            setattr(self, name, list(getattr(shorter, name)) if shorter else [])
+
+    def add(self, code: np.ndarray, n: np.ndarray) -> None:
+        """The next longer order; it may lack contexts as long as those asked for are there."""
+        k, context = len(self.entries), code >> np.uint64(8)
+        heads = heads_of(context)
+        add = lambda v: np.add.reduceat(v, heads) if len(heads) else np.zeros(0)
+        below = np.zeros(len(code))
+        if k and len(code):  # an entry's suffix is an entry as well
+            below = self.counts[k - 1][self.entries[k - 1].find(code & np.uint64((1 << 8 * k) - 1))]
+        self.entries.append(Table(code))
+        self.counts.append(n.astype(np.float64))
+        self.contexts.append(Table(context[heads]))
+        self.total.append(add(n.astype(np.float64)))
+        self.kinds.append(add(np.ones(len(code))))
+        self.excluded.append(add(below))
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of each coded byte."""
@@ -179,14 +208,14 @@ class Model:
             own = code[left] & np.uint64((1 << 8 * (k + 1)) - 1)
             entry, context = self.entries[k].find(own), self.contexts[k].find(own >> np.uint64(8))
             known = np.flatnonzero(context >= 0)
-            n, rest, kinds = np.zeros(len(left)), np.zeros(len(left)), np.zeros(len(left))
+            n, kinds = np.zeros(len(left)), np.zeros(len(left))
             n[known] = self.total[k][context[known]] - gone_n[left[known]]
-            rest[known] = self.total[k][context[known]] - self.kept[k][context[known]]
             kinds[known] = self.kinds[k][context[known]] - gone_kinds[left[known]]
             hit = entry >= 0
-            out[left[hit]] += np.log10(self.counts[k][entry[hit]] / (n[hit] + kinds[hit]))
-            escaped = np.flatnonzero(~hit & (context >= 0) & (rest + kinds > 0))
-            out[left[escaped]] += np.log10((rest[escaped] + kinds[escaped]) / (n[escaped] + kinds[escaped]))
+            if hit.any():
+                out[left[hit]] += np.log10(self.counts[k][entry[hit]] / (n[hit] + kinds[hit]))
+            escaped = np.flatnonzero(~hit & (context >= 0) & (kinds > 0))
+            out[left[escaped]] += np.log10(kinds[escaped] / (n[escaped] + kinds[escaped]))
             missed = known[~hit[known]]
             gone_n[left[missed]], gone_kinds[left[missed]] = self.excluded[k][context[missed]], self.kinds[k][context[missed]]
             left = left[~hit]
@@ -196,37 +225,68 @@ class Model:
         return out
 
 
-def train(docs: DataFrame) -> Model:
-    """The pruned tables; at most 1 / MIN_SHARE rows of an order reach the driver."""
-    counted = durable(gram_counts(docs), "grams")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    every = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code")) for k in range(ORDER + 1)]))
-    kept = counted.select(every.alias("e"), "n").groupBy("e.k", "e.code").agg(F.sum("n").alias("n")).filter(F.col("n") >= total * MIN_SHARE).toArrow()
-    k, code, n = (kept.column(c).to_numpy() for c in ("k", "code", "n"))
-    order = np.lexsort((code, k))
-    k, code, n = k[order], code[order].astype(np.uint64), n[order]
-    return Model([(code[k == i], n[k == i]) for i in range(ORDER + 1)], total)
+def short_orders(sent: DataFrame) -> Model:
+    """The orders below SHORT; at most the strings of SHORT bytes reach the driver."""
 
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            parts = [
+                summed(np.cumsum(unpack(c.as_py(), "u8"), dtype=np.uint64), unpack(n.as_py(), "i8"), SHORT)
+                for c, n in zip(rows.column("codes"), rows.column("trained"))]
+            if parts:
+                code, n = summed(*(np.concatenate(x) for x in zip(*parts)), SHORT)
+                yield batch(code=pa.array(code[n > 0].astype(np.int64)), n=pa.array(n[n > 0]))
+
+    counted = sent.filter("bucket is not null").select("codes", "trained").mapInArrow(scan, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = counted.column("code").to_numpy().astype(np.uint64), counted.column("n").to_numpy()
+    model = Model()
+    for k in range(SHORT):
+        model.add(*summed(code, n, k + 1))
+    return model
+
+
+def code_values(sent: DataFrame) -> DataFrame:
+    """(unit, codes, values): log10 probability of each code that a unit sent."""
+    shared = sent.sparkSession.sparkContext.broadcast(short_orders(sent))
+
+    def values(table: pa.Table) -> pa.Table:
+        packed = table.column("codes").to_pylist()
+        codes = [np.cumsum(unpack(c, "u8"), dtype=np.uint64) for c in packed]
+        every, back = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([unpack(t, "i8") for t in table.column("trained").to_pylist()]), minlength=len(every))
+        del back
+        model, seen = Model(shared.value), n > 0
+        for k in range(SHORT, ORDER + 1):
+            model.add(*summed(every[seen], n[seen], k + 1))
+        value = model.log10(every)
+        return pa.table({"unit": table.column("unit"), "codes": pa.array(packed, pa.binary()), "values": pa.array([pack(value[np.searchsorted(every, c)]) for c in codes], pa.binary())})
+
+    asked = sent.filter("bucket is not null").select("bucket", "unit", "codes", "trained")
+    return asked.groupBy("bucket").applyInArrow(values, "unit long, codes binary, values binary")
+
+
+def score(docs: DataFrame, buckets: int) -> DataFrame:
     """(key, doc_id, held_out, n_tokens, score): log10 probability of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            out = held_out(rows.column("doc_id"))
-            for chunk in chunks(rows.column("text")):
-                data, found = lower_words(chunk)
-                stream, first = streams(data, found)
-                use = coded(stream, first)
-                value = np.zeros(len(stream))
-                value[use] = shared.value.log10(grams(stream)[use])
-                part = rows.slice(int(chunk.rows[0]), len(chunk.rows))
+            for i in range(rows.num_rows):
+                stream = np.frombuffer(zstandard.decompress(rows.column("body")[i].as_py()), dtype=np.uint8)
+                keys, ids, valid, out, tokens, size = (unpack(x, d) for x, d in zip(rows.column("about")[i].as_py(), ("i8", "i8", "u1", "u1", "i8", "i8")))
+                found = rows.column("found")[i].as_py()
+                known = Table(np.concatenate([np.cumsum(unpack(x["codes"], "u8"), dtype=np.uint64) for x in found]))
+                value = np.concatenate([unpack(x["values"], "f8") for x in found])
+                first = np.cumsum(size) - size
+                use, each = coded(stream, first), np.zeros(len(stream))
+                each[use] = value[known.find(grams(stream)[use])]
                 yield batch(
-                    key=part.column("key"), doc_id=part.column("doc_id"), held_out=pa.array(out[chunk.rows]), n_tokens=pa.array(found.counts() + 1),
-                    score=pa.array(np.add.reduceat(value, first)))
+                    key=pa.array(keys), doc_id=pa.array(ids, mask=valid == 0), held_out=pa.array(out == 1), n_tokens=pa.array(tokens),
+                    score=pa.array(np.add.reduceat(each, first)))
 
-    return docs.select("key", "doc_id", "text").mapInArrow(scan, "key long, doc_id long, held_out boolean, n_tokens long, score double")
+    sent = durable(units(docs, buckets), "units")
+    found = code_values(sent).groupBy(F.col("unit").alias("other")).agg(F.collect_list(F.struct("codes", "values")).alias("found"))
+    joined = sent.filter("bucket is null").select("unit", "body", "about").join(found.hint("merge"), F.col("unit") == F.col("other"))
+    return joined.select("body", "about", "found").mapInArrow(scan, "key long, doc_id long, held_out boolean, n_tokens long, score double")
 
 
 def unigram_sums(docs: DataFrame, buckets: int) -> DataFrame:
@@ -302,7 +362,7 @@ def score_digest(docs: DataFrame) -> DataFrame:
     rows, _ = keyed(docs)
     buckets = max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
     partial = durable(unigram_sums(rows, buckets), "unigram")
-    scored = durable(score(rows, train(rows)), "scored")
+    scored = durable(score(rows, buckets), "scored")
     kinds, n = partial.filter("key is null").agg(F.coalesce(F.sum("value"), F.lit(0.0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     ends = scored.filter("not held_out").count()
     kinds, n = int(kinds) + (ends > 0), n + ends

@@ -291,3 +291,11 @@ def test_every_query_has_the_columns_of_its_contract(spark):
     for name, query in queries.QUERIES.items():
         columns = query(spark, SMALL).columns
         assert set(want[name.split("_")[0]].split()) <= set(columns), name
+
+
+def test_scores_keep_rare_contexts(spark):
+    """A passage seen twice counts, however many other bytes were trained; before, entries under 2**-20 of them went."""
+    train, held = [[i for i in range(1, 300) if brute.held_out(i) == h] for h in (False, True)]
+    rows = [(train[0], "ab cd " * 400_000), (train[1], "the quixotic zephyr"), (train[2], "the quixotic zephyr"), (held[0], "the quixotic zephyr ab"), (held[1], "unknown")]
+    got = {r.doc_id: r.score for r in ppm.score_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pytest.approx({r[0]: r[6] for r in brute.scores(rows, ppm.ORDER, 0)}, rel=1e-9)
