@@ -7,6 +7,9 @@ one for each (L - gram) / 2 units, and runs with equal content fall into one cla
 anchor has no other class is settled as a whole; only anchors with several classes (edges of copied
 passages) need the content, which a second scan fetches for those anchors alone.
 
+An anchor with more than HOT_ROWS rows is split into its single windows, dealt by their hash: equal
+windows meet, and no group grows with the documents that hold a passage in different surroundings.
+
 One hot passage becomes one row for each class and batch before the shuffle; nothing is dropped.
 """
 
@@ -17,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,9 @@ from bazaarlens.session import durable
 
 EDGE_BITS = 1 << 25
 SPANS = "key long, start int, end int"
+#: Rows of an anchor whose content is searched in one group; with more, each window is a row.
+HOT_ROWS = 1024
+CONTENT = "anchor long, cls long, key long, start int, many int, content binary, starts binary"
 
 
 class Kind(NamedTuple):
@@ -150,7 +157,7 @@ def _first_scan(kind: Kind, divisor: int, buckets: int) -> Callable[[Iterator[pa
 
 
 def _settle(kind: Kind, divisor: int) -> Callable[[pa.Table], pa.Table]:
-    """All runs of some anchors: spans of classes that are settled, and anchors with several classes."""
+    """All runs of some anchors: spans of classes that are settled, and anchors with several classes (end: 1 with many rows)."""
 
     def settle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -162,7 +169,7 @@ def _settle(kind: Kind, divisor: int) -> Callable[[pa.Table], pa.Table]:
                     column.append(unpack(data, dtype))
         empty = [np.zeros(0, d) for d in ("i8", "i4", "i4")]
         spans_out = [np.concatenate(c) if c else e for c, e in zip(spans, empty)]
-        edges = np.zeros(0, dtype=np.int64)
+        edges = hot = np.zeros(0, dtype=np.int64)
         if cols[0]:
             anchor, cls, key, place, windows = (np.concatenate(c) for c in cols)
             order = np.lexsort((key, cls, anchor))
@@ -180,20 +187,80 @@ def _settle(kind: Kind, divisor: int) -> Callable[[pa.Table], pa.Table]:
                 spans_out[i] = np.concatenate((spans_out[i], x))
             classes = np.bincount(np.cumsum(new_anchor) - 1, weights=head)
             edges = anchor[new_anchor][classes > 1].astype(np.int64) + (np.int64(bucket) << 32)
+            hot = (np.bincount(np.cumsum(new_anchor) - 1) > HOT_ROWS)[classes > 1].astype(np.int64)
         key, start, end = _merge(*spans_out)
         return pa.table({
             "key": pa.array(np.concatenate((key, edges)), pa.int64()),
             "start": pa.array(np.concatenate((start, np.full(len(edges), -1))), pa.int32()),
-            "end": pa.array(np.concatenate((end, np.zeros(len(edges)))).astype(np.int32), pa.int32())})
+            "end": pa.array(np.concatenate((end, hot)).astype(np.int32), pa.int32())})
 
     return settle
 
 
+def _windows(kind: Kind, divisor: int, runs: Runs, keys: np.ndarray, values: np.ndarray, at: np.ndarray, source: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The windows of some runs: one row for each distinct window and text, and (no content) spans settled here."""
+    place = ragged(at, runs.windows.astype(np.int64))
+    owner = np.repeat(np.arange(len(at)), runs.windows)
+    key, start = keys[runs.row[owner]], runs.start[owner] + (place - at[owner])
+    name = span_hash(prefix_sums(values), place, place + kind.window)
+    order = np.lexsort((start, key, name))
+    name, key, start, place = name[order], key[order], start[order], place[order]
+    head = np.concatenate(([True], name[1:] != name[:-1]))
+    group = np.cumsum(head) - 1
+    if kind.anywhere:
+        seen = np.bincount(group)
+        settled, one, many = seen[group] > 1, head, np.minimum(seen, 2)
+    else:
+        settled = key // divisor > (key // divisor)[head][group]
+        one = ~settled & (head | np.concatenate(([True], key[1:] != key[:-1])))
+        many = np.ones(int(one.sum()))
+    spans = _merge(key[settled], start[settled].astype(np.int32), (start + kind.window)[settled].astype(np.int32))
+    none = np.zeros(len(spans[0]), dtype=np.int64)
+    yield batch(
+        anchor=pa.array(mix(spans[0].astype(np.uint64)).view(np.int64)), cls=pa.array(none), key=pa.array(spans[0]), start=pa.array(spans[1]), many=pa.array(spans[2]),
+        content=pa.nulls(len(none), pa.binary()), starts=pa.array([b""] * len(none), pa.binary()))
+    left = np.flatnonzero(~settled | one)
+    edges = np.append(np.flatnonzero(one[left]), len(left))
+    chosen = left[one[left]]
+    for a in range(0, len(chosen), 1 << 16):
+        i = chosen[a : a + (1 << 16)]
+        flat = np.ascontiguousarray(source[place[i][:, None] + np.arange(kind.window)]).view(np.uint8).reshape(len(i), -1)
+        yield batch(
+            anchor=pa.array(name[i].view(np.int64)), cls=pa.array(np.zeros(len(i), dtype=np.int64)), key=pa.array(key[i]), start=pa.array(start[i].astype(np.int32)),
+            many=pa.array(many[a : a + len(i)].astype(np.int32)), content=pa.array([x.tobytes() for x in flat], pa.binary()),
+            starts=pa.array([start[left[edges[j] : edges[j + 1]]].astype("<i4").tobytes() for j in range(a, a + len(i))], pa.binary()))
+
+
+def _search_all(kind: Kind, divisor: int, search: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``search`` for whole runs; single windows are compared in full, and settled spans pass."""
+
+    def every(table: pa.Table) -> pa.Table:
+        single = pc.is_valid(table.column("starts"))
+        ready, runs, windows = (table.filter(x) for x in (pc.and_(single, pc.is_null(table.column("content"))), pc.invert(single), pc.and_(single, pc.is_valid(table.column("content")))))
+        parts = [search(runs.drop_columns("starts"))] if runs.num_rows else []
+        parts.append(pa.table({"key": ready.column("key"), "start": ready.column("start"), "end": ready.column("many")}))
+        if windows.num_rows:
+            key, many = (windows.column(c).to_numpy() for c in ("key", "many"))
+            _, group = np.unique(np.array(windows.column("content").to_pylist(), dtype=object), return_inverse=True)
+            if kind.anywhere:
+                found = (np.bincount(group, weights=many)[group] > 1) & (many == 1)
+            else:
+                least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, group, key // divisor)
+                found = key // divisor > least[group]
+            starts = [np.frombuffer(x, dtype="<i4") for x in windows.column("starts").filter(pa.array(found)).to_pylist()]
+            spans = _merge(np.repeat(key[found], [len(x) for x in starts]), *(np.concatenate([*starts, np.zeros(0, "i4")]) + x for x in (0, kind.window)))
+            parts.append(pa.table({"key": pa.array(spans[0], pa.int64()), "start": pa.array(spans[1].astype(np.int32)), "end": pa.array(spans[2].astype(np.int32))}))
+        return pa.concat_tables([p.cast(parts[-1].schema) for p in parts])
+
+    return every
+
+
 def _second_scan(kind: Kind, divisor: int, buckets: int, edges) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Content of the runs under anchors that have several classes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = edges.value
+        known, hot = edges.value
         for rows in batches:
             keys = rows.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
             for chunk in chunks(rows.column("text")):
@@ -201,6 +268,14 @@ def _second_scan(kind: Kind, divisor: int, buckets: int, edges) -> Callable[[Ite
                 bucket = (runs.anchor >> np.uint64(32)) % np.uint64(buckets)
                 anchor = (bucket << np.uint64(32)) + (runs.anchor & np.uint64(0xFFFFFFFF))
                 i = np.flatnonzero(has_bit(known, mix(anchor) % np.uint64(len(known) * 64)))
+                if not len(i):
+                    continue
+                source = chunk.data if kind.unit == "byte" else values
+                split = has_bit(hot, mix(anchor[i]) % np.uint64(len(hot) * 64))
+                if split.any():
+                    own = Runs(*[x[i[split]] for x in runs])
+                    yield from _windows(kind, divisor, own, keys, values, first[own.row - chunk.rows[0]] + own.start, source)
+                    i = i[~split]
                 if not len(i):
                     continue
                 key, cls = keys[runs.row[i]], runs.cls[i]
@@ -215,13 +290,12 @@ def _second_scan(kind: Kind, divisor: int, buckets: int, edges) -> Callable[[Ite
                     keep, many = order[early], np.ones(int(early.sum()))
                 at = first[runs.row[i[keep]] - chunk.rows[0]] + runs.start[i[keep]]
                 length = runs.windows[i[keep]] - 1 + kind.window
-                source = chunk.data if kind.unit == "byte" else values
                 flat, width = source[ragged(at, length)], source.itemsize
                 content = pa.Array.from_buffers(pa.binary(), len(keep), [
                     None, pa.py_buffer(np.concatenate(([0], np.cumsum(length * width))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
                 yield batch(
                     anchor=pa.array(anchor[i[keep]].astype(np.int64)), cls=pa.array(cls[keep].view(np.int64)), key=pa.array(key[keep]),
-                    start=pa.array(runs.start[i[keep]].astype(np.int32)), many=pa.array(many.astype(np.int32)), content=content)
+                    start=pa.array(runs.start[i[keep]].astype(np.int32)), many=pa.array(many.astype(np.int32)), content=content, starts=pa.nulls(len(keep), pa.binary()))
 
     return scan
 
@@ -237,11 +311,11 @@ def repeated_spans(docs: DataFrame, kind: Kind, divisor: int, search: Callable[[
     source = docs.select("key", "text")
     first = source.mapInArrow(_first_scan(kind, divisor, buckets), "bucket int, runs array<binary>, spans array<binary>")
     settled = durable(first.groupBy("bucket").applyInArrow(_settle(kind, divisor), SPANS), "settled")
-    edge = settled.filter("start < 0").select(F.col("key").alias("anchor"))
-    bit = spark.sparkContext.broadcast(_edge_bits(edge))
-    content = source.mapInArrow(_second_scan(kind, divisor, buckets, bit), "anchor long, cls long, key long, start int, many int, content binary")
+    edge = settled.filter("start < 0").select(F.col("key").alias("anchor"), "end")
+    bit = spark.sparkContext.broadcast((_edge_bits(edge), _edge_bits(edge.filter("end > 0"))))
+    content = source.mapInArrow(_second_scan(kind, divisor, buckets, bit), CONTENT)
     # The bitmap lets some other anchors through; they have one class, and the search finds nothing new there.
-    found = content.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(4 * buckets))).groupBy("part").applyInArrow(search, SPANS)
+    found = content.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(4 * buckets))).groupBy("part").applyInArrow(_search_all(kind, divisor, search), SPANS)
     return settled.filter("start >= 0").unionByName(durable(found, "edges"))
 
 
@@ -304,4 +378,4 @@ def _edge_bits(edge: DataFrame) -> np.ndarray:
             anchor = rows.column("anchor").to_numpy().view(np.uint64)
             yield batch(bit=pa.array((mix(anchor) % np.uint64(EDGE_BITS)).astype(np.int64)))
 
-    return bitmap(edge.mapInArrow(bits, "bit long"), F.col("bit"), EDGE_BITS)
+    return bitmap(edge.select("anchor").mapInArrow(bits, "bit long"), F.col("bit"), EDGE_BITS)

@@ -24,6 +24,8 @@ from bazaarlens.llm.textbytes import ragged
 
 #: Suffixes of one batch.
 BATCH_SUFFIXES = 1 << 14
+#: Suffixes worked off at a time; the last anchor of a shard may exceed it.
+SHARD_SUFFIXES = 1 << 18
 
 
 class SuffixLevels:
@@ -74,14 +76,22 @@ def _search(window: int, divisor: int):
         head = np.concatenate(([True], (anchor[by_class][1:] != anchor[by_class][:-1]) | (cls[by_class][1:] != cls[by_class][:-1])))
         first = document[by_class][head][np.cumsum(head) - 1]
         rows = by_class[document[by_class] == first]  # later members of a class are settled already
-        rows = rows[np.argsort(document[rows], kind="stable")]
+        rows = rows[np.lexsort((document[rows], anchor[rows]))]
         windows = (offsets[1:] - offsets[:-1])[rows] - window + 1
-        places = ragged(offsets[rows], windows)
-        suffixes = np.ascontiguousarray(data[places[:, None] + np.arange(window)]).view(f"S{window}").reshape(-1)
-        owner = np.repeat(rows, windows)
-        found = earlier(suffixes, document[owner])
-        at = (start[owner] + places - offsets[owner])[found]
-        return pa.table({"key": pa.array(key[owner[found]]), "start": pa.array(at.astype(np.int32)), "end": pa.array((at + window).astype(np.int32))})
+        # Equal suffixes have equal anchors, so whole anchors are worked off in shards of bounded size.
+        new = np.flatnonzero(np.concatenate(([True], anchor[rows][1:] != anchor[rows][:-1])))
+        shard = (np.cumsum(windows) - windows)[new] // SHARD_SUFFIXES
+        cuts = np.append(new[np.concatenate(([True], shard[1:] != shard[:-1]))], len(rows))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = rows[a:b][np.argsort(document[rows[a:b]], kind="stable")]
+            n = (offsets[1:] - offsets[:-1])[own] - window + 1
+            places, owner = ragged(offsets[own], n), np.repeat(own, n)
+            suffixes = np.lib.stride_tricks.sliding_window_view(data, window)[places].view(f"S{window}").reshape(-1)
+            found = earlier(suffixes, document[owner])
+            out.append((key[owner[found]], (start[owner] + places - offsets[owner])[found]))
+        keys, at = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"key": pa.array(keys), "start": pa.array(at.astype(np.int32)), "end": pa.array((at + window).astype(np.int32))})
 
     return search
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from bazaarlens.llm import decontam, huffman, licenses, ngram_join, packing, pii, ppm, quality, queries, substring, suffix, token_output
+from bazaarlens.llm import decontam, huffman, licenses, ngram_join, packing, pii, ppm, quality, queries, repeats, substring, suffix, token_output
 from bazaarlens.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -299,3 +299,27 @@ def test_scores_keep_rare_contexts(spark):
     rows = [(train[0], "ab cd " * 400_000), (train[1], "the quixotic zephyr"), (train[2], "the quixotic zephyr"), (held[0], "the quixotic zephyr ab"), (held[1], "unknown")]
     got = {r.doc_id: r.score for r in ppm.score_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == pytest.approx({r[0]: r[6] for r in brute.scores(rows, ppm.ORDER, 0)}, rel=1e-9)
+
+
+@pytest.mark.parametrize("limit", [0, 2])
+def test_repeats_of_hot_anchors(spark, monkeypatch, limit):
+    monkeypatch.setattr(repeats, "HOT_ROWS", limit)
+    for seed in (3, 8):
+        docs = spark.createDataFrame(made(200, seed), SCHEMA)
+        assert ordered(substring.substring_digest(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()) == ordered(brute.substrings(rows_of(docs)))
+        assert ordered(suffix.suffix_digest(docs).collect()) == ordered(brute.suffixes(rows_of(docs)))
+
+
+def test_no_group_holds_all_surroundings_of_a_passage(spark):
+    """Before, all rows of an anchor came to one call: 3000 here."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, " ".join([*(f"a{i}x{j}" for j in range(30)), passage, *(f"b{i}x{j}" for j in range(30))]), i) for i in range(3000)], "doc_id long, text string, key long")
+
+    def largest(table):
+        n = int(np.unique(table.column("anchor").to_numpy(), return_counts=True)[1].max())
+        return __import__("pyarrow").table({"key": [-1], "start": np.array([0], "i4"), "end": np.array([n], "i4")})
+
+    got = repeats.repeated_spans(docs, repeats.Kind("word", 35, 8, True), 1, largest).cache()
+    assert max([r.end for r in got.filter("key < 0").collect()], default=0) <= repeats.HOT_ROWS
+    covered = got.filter("key >= 0").select("key", F.explode(F.sequence("start", F.col("end") - 1)).alias("word")).distinct()
+    assert covered.filter("word between 30 and 89").count() == 3000 * 60 and covered.count() == 3000 * 60
