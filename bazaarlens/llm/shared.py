@@ -6,16 +6,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarlens.session import durable
 from bazaarlens.sources.star import global_row_number
 
-#: Rows that may share one doc_id where ids repeat.
-SAME_ID = 1 << 20
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -24,19 +19,23 @@ def keyed(docs: DataFrame, *extra: str) -> tuple[DataFrame, int]:
     """(doc_id, text, extra columns, key) and a divisor: key // divisor orders documents as doc_id does.
 
     Where every doc_id is set and unique, the key is the doc_id and the divisor 1; this is counted
-    over the whole id column. Otherwise rows are numbered inside their id, null ids last, in a
-    written table, so that every row has a key of its own.
+    over the whole id column. Otherwise all rows are numbered in the order of their ids, null ids last,
+    in a written table; the divisor is the rows of the most frequent id, so that every row has a key
+    of its own however many share an id.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     odd = plain.groupBy("doc_id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull())
     if odd.isEmpty():
         return plain.withColumn("key", F.col("doc_id")), 1
-    ids = global_row_number(plain.select("doc_id").filter("doc_id is not null").distinct(), ["doc_id"], "place")
-    last = ids.agg(F.coalesce(F.max("place"), F.lit(0)) + 1).scalar()
-    inside = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"))) - 1
-    rows = plain.withColumn("inside", inside).join(ids.withColumnRenamed("doc_id", "other"), F.col("doc_id") == F.col("other"), "left")
-    key = F.coalesce(F.col("place"), last) * SAME_ID + F.col("inside")
-    return durable(rows.select("doc_id", "text", *extra, key.cast("long").alias("key")), "keyed"), SAME_ID
+    most, n = odd.agg(F.max("n")).first()[0], plain.count()
+    if (n + 1) * most >= 1 << 63:
+        raise ValueError(f"{n} rows, {most} of them with one doc_id, have no keys of 64 bits")
+    order = {"none": F.col("doc_id").isNull(), "hash": F.xxhash64("text"), "tie": F.monotonically_increasing_id()}
+    numbered = durable(global_row_number(plain.withColumns({f"_{k}": v for k, v in order.items()}), ["_none", "doc_id", "_hash", "_tie"], "_number"), "numbered")
+    first = numbered.groupBy(F.col("doc_id").alias("_other")).agg(F.min("_number").alias("_first"))
+    rows = numbered.join(first, F.col("doc_id").eqNullSafe(F.col("_other")))
+    key = F.col("_first") * most + F.col("_number") - F.col("_first")
+    return durable(rows.select("doc_id", "text", *extra, key.cast("long").alias("key")), "keyed"), most
 
 
 def hashed_bit(column: Column, bits: int) -> Column:

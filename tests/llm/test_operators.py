@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import brute
 from bazaarlens.llm import decontam, huffman, licenses, ngram_join, packing, pii, ppm, quality, queries, repeats, substring, suffix, token_output
 from bazaarlens.llm.components import components
+from bazaarlens.llm.shared import keyed
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, n string"
@@ -323,3 +324,15 @@ def test_no_group_holds_all_surroundings_of_a_passage(spark):
     assert max([r.end for r in got.filter("key < 0").collect()], default=0) <= repeats.HOT_ROWS
     covered = got.filter("key >= 0").select("key", F.explode(F.sequence("start", F.col("end") - 1)).alias("word")).distinct()
     assert covered.filter("word between 30 and 89").count() == 3000 * 60 and covered.count() == 3000 * 60
+
+
+def test_keys_are_unique_however_many_rows_share_an_id(spark):
+    """Before, an id of more than 2**20 rows ran into the keys of the next id."""
+    many = spark.range((1 << 20) + 50).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x").alias("text"))
+    docs = many.union(spark.createDataFrame([(8 + i, "y") for i in range(99)] + [(None, "z")] * 3, "doc_id long, text string"))
+    rows, divisor = keyed(docs)
+    n, keys = rows.agg(F.count("*"), F.countDistinct("key")).first()
+    assert n == keys == (1 << 20) + 152
+    place = {r.doc_id: (r.a, r.b) for r in rows.withColumn("p", F.floor(F.col("key") / divisor)).groupBy("doc_id").agg(F.min("p").alias("a"), F.max("p").alias("b")).collect()}
+    order = [place[d] for d in (*range(7, 107), None)]
+    assert all(a == b for a, b in order) and order == sorted(set(order))
