@@ -41,6 +41,7 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 DOMAIN_ENDS = r"\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ch|at)$"
 SECRET_WORDS = r"(?i)(?:token|secret|password|passwd|api[_-]?key|key|bearer)\W{0,6}$"
 CONTACT_WORDS = r"(?i)(?:phone|tel|call|mobile|fax|contact|mail|write|address|card|visa|ip|host|server)\W{0,6}$"
+SECRET_RUN = "[A-Za-z0-9_-]{20}"
 LABELERS = ["pattern", "checksum", "gazetteer", "secret_context", "contact_context", "shape"]
 ROUNDS, RATE, STEPS = 25, 0.5, 300
 
@@ -58,8 +59,8 @@ def _matches(text: Column, kind: str) -> Column:
 
 
 def may_hold(text: Column) -> Column:
-    """Every pattern needs a digit or the sign of an address."""
-    return F.coalesce(text, F.lit("")).rlike("[0-9@]")
+    """Every pattern needs a digit, the sign of an address or a long run of a secret's characters."""
+    return F.coalesce(text, F.lit("")).rlike(f"[0-9@]|{SECRET_RUN}")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,k:int,gap:bigint,match:string,before:string,after:string>>")
     digits, sign = text.rlike("[0-9]"), F.contains(text, F.lit("@"))
     parts = [F.when(sign, _matches(text, "email")).otherwise(none)] + [
-        F.when(digits, _matches(text, kind)).otherwise(none) for kind in PATTERNS if kind != "email"]
+        F.when(text.rlike(SECRET_RUN) if kind == "secret" else digits, _matches(text, kind)).otherwise(none) for kind in PATTERNS if kind != "email"]
     rows = durable(docs.select("key", F.explode(F.concat(*parts)).alias("m")).select("key", "m.*"), "matches")
     order = W.partitionBy("key", "kind").orderBy("k")
     size = F.length("match")

@@ -336,3 +336,11 @@ def test_keys_are_unique_however_many_rows_share_an_id(spark):
     place = {r.doc_id: (r.a, r.b) for r in rows.withColumn("p", F.floor(F.col("key") / divisor)).groupBy("doc_id").agg(F.min("p").alias("a"), F.max("p").alias("b")).collect()}
     order = [place[d] for d in (*range(7, 107), None)]
     assert all(a == b for a, b in order) and order == sorted(set(order))
+
+
+def test_secrets_without_digits_are_candidates(spark):
+    """Before, a text without a digit or an address had no candidates."""
+    docs = spark.createDataFrame([(1, "password: abcdefghijklmnopqrstuvwxyz"), (2, "token=ABCDEFGHIJKLMNOPQRST end"), (3, "short words")], "key long, text string")
+    got = {r.key: r for r in pii.votes(pii.candidates(docs)).collect()}
+    assert {k: (r.kind, r.match, r.v_secret_context) for k, r in got.items()} == {1: ("secret", "abcdefghijklmnopqrstuvwxyz", 1), 2: ("secret", "ABCDEFGHIJKLMNOPQRST", 1)}
+    assert [r.key for r in docs.filter(pii.may_hold(F.col("text"))).orderBy("key").collect()] == [1, 2]
