@@ -130,7 +130,8 @@ def _entries(queries: DataFrame, items: DataFrame, q_cells: int, cells: int, cho
         columns = {k: pa.array(v, pa.int64()) for k, v in out.items()}
         return pa.table([columns["q"], columns["item"], pa.array(np.full(len(columns["q"]), number), pa.int32()), columns["s"], columns["cut"]], ["q", "item", "list", "s", "cut"])
 
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # Keys of both sides have one type: a cogroup hashes them as they are.
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     keys = ["q_cell", "cell", "list"]
     left = queries.withColumn("cell", every(cells)).groupBy(*keys)
     right = items.withColumn("q_cell", every(q_cells)).groupBy(*keys)

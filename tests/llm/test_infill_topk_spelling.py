@@ -147,6 +147,17 @@ def test_top_k_of_few_no_and_given_rows(spark):
     assert ordered(queries.QUERIES["op12_exact_top_k"](spark, SMALL).collect()) == ordered(brute_top(rows))
 
 
+def test_top_k_over_many_partitions(spark):
+    """Blocks of both sides meet whatever partition their keys hash to."""
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(np.random.default_rng(6).normal(size=(900, 6)))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = topk.top_k(vectors(spark, rows).repartition(7), F.col("vec_id") % 50 == 0, cell_rows=60, query_rows=5)
+        assert ordered(got.collect()) == ordered(brute_top(rows))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_cutoff_spares_most_entries(spark):
     """What the lists send after the cutoff is a small part of all entries."""
     r = np.random.default_rng(1)
