@@ -41,6 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{warehouse.rstrip('/')}/_stages"
 
 
+def _removed_at_exit(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage.
 
@@ -50,6 +55,20 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/bazaarlens/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    _removed_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, *keys: str, dealt: bool = False) -> DataFrame:
+    """``durable``, dealt into buckets by ``keys``: joins and groups by them read it without an exchange.
+
+    Buckets are as many as the session's shuffle partitions, so all stages of a session fit each
+    other. ``dealt`` says that ``df`` comes from such a stage and is in its buckets already.
+    """
+    spark = df.sparkSession
+    n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/bazaarlens/{table}"
+    rows = df if dealt else df.repartition(n, *keys)
+    rows.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    _removed_at_exit(spark, path)
+    return spark.table(table)
