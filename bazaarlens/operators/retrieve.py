@@ -11,9 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import decay, seconds, unit, weighted
-from bazaarlens.operators.core import join_keys, running_count, top_n
+from bazaarlens.operators.core import in_slices, join_keys, running_count, top_n
 from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.quality import RENT_ORDER, SALE_ORDER
+from bazaarlens.operators.vector_index import Cells, Index, build_index, code_scores, nearest_cells, reachable_cells, vectors_of
 from bazaarlens.operators.windows import gap_sessionize
 from bazaarlens.session import durable, shared_folder
 from bazaarlens.sources.star import global_row_number
@@ -98,95 +99,123 @@ def item_embedding_cf(
 
 
 def nearest_items(
-    users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, cells: int | None = None, probes: int = 4, block: int = 1024, seed: int = 7
+    users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, cells: int | None = None, probes: int = 4, block: int = 1024, seed: int = 7,
+    exact: bool = True, keep: int | None = None, coarse_probes: int | None = None,
 ) -> DataFrame:
-    """Exact top-k items by angle for unit vectors ``uvec`` and ``ivec``, without pairing rows.
-
-    Items are split into k-means cells, by default as many as the square root of their number. For
-    unit vectors cosine order is distance order, and by the triangle inequality a cell of radius r
-    around c holds nothing nearer to u than d(u,c) - r. The nearest cells give each user a distance
-    within which k unseen items already lie; only cells that could hold something nearer are read in
-    the second pass. Nothing is approximated. Work is dealt by (cell, item block): a user block goes
-    to each item block of its cells, they meet as matrices of about ``block`` rows, and only each
-    user's best rows leave the task, so a hot cell is many equal pieces on many machines.
+    """Top-k items by inner product for unit vectors ``uvec`` and ``ivec``, without pairing rows.
+
+    Items are indexed in cells (``vector_index``), by default as many as the square root of their
+    number. For unit vectors cosine order is distance order, and by the triangle inequality a cell of
+    radius r around c holds nothing nearer to u than d(u,c) - r. The nearest cells give each user a
+    distance within which k unseen items already lie; only cells that could hold something nearer are
+    read in the second pass. So the ``exact`` form approximates nothing. Otherwise the codes of the
+    ``probes`` nearest cells, looked for in the ``coarse_probes`` nearest coarse cells, are scored, and
+    the ``keep`` best (5k) are ranked again by their vectors; nothing else is read.
+
+    Work is dealt by (cell, item block): a user block goes to each item block of its cells, they meet
+    as matrices of about ``block`` rows, and only each user's best rows leave the task, so a hot cell
+    is many equal pieces on many machines. Bounds are taken inside a user's row, before it is copied
+    to the cells it needs.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    units = durable(items, "units")
-    with_vector = units.withColumn("f", array_to_vector("ivec"))
-    cells = cells or max(2, math.isqrt(units.count()))
-    fitted = KMeans(k=cells, seed=seed, featuresCol="f", predictionCol="cell", maxIter=5).fit(with_vector)
-    assigned = durable(fitted.transform(with_vector).select("item_id", "ivec", "cell"), "cells")
-    # The centers are ``cells`` vectors: a model parameter, not data.
-    centers = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c"))
-                        for i, c in enumerate(fitted.clusterCenters())])
-    located = assigned.withColumn("center", F.get(centers, F.col("cell"))["c"])
-    radii = located.groupBy("cell").agg(F.max(_distance("ivec", "center")).alias("radius"))
-    every = durable(users.select("user_id", "uvec"), "uvecs")
-    near = every.select("user_id", F.explode(F.transform(centers, lambda e: F.struct(
-        e["cell"].alias("cell"), _distance("uvec", e["c"]).alias("d")))).alias("e")).select("user_id", "e.cell", "e.d")
-    bounds = durable(near.join(radii, "cell").select("user_id", "cell", "d", F.greatest(F.col("d") - F.col("radius"), F.lit(0.0)).alias("bound")), "bounds")
-    ordered = bounds.withColumn("probe", F.row_number().over(W.partitionBy("user_id").orderBy("d", "cell")))
-    packed = _blocks(assigned, "item_id", "ivec", block).withColumnRenamed("block", "piece")
-    pieces = packed.groupBy("cell").agg(F.max("piece").alias("last"))
-    types = {f.name: f.dataType.simpleString() for f in [*every.schema, *assigned.schema]}
+    types = {f.name: f.dataType.simpleString() for f in [*users.schema, *items.schema]}
     schema = f"user_id {types['user_id']}, item_id {types['item_id']}, score double"
-
-    def read(wanted: DataFrame) -> DataFrame:
-        rows = wanted.select("user_id", "cell").join(every, "user_id").withColumn("extra", F.lit(0))
-        if seen is not None:
-            per_cell = seen.join(assigned.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.count("*").alias("n"))
-            rows = rows.join(per_cell, ["user_id", "cell"], "left").withColumn("extra", F.coalesce("n", F.lit(0))).drop("n")
-        sent = _blocks(rows, "user_id", "uvec", block, "extra").drop("block").join(pieces, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))))
-        hits = sent.join(packed, ["cell", "piece"]).drop("cell", "piece", "last").mapInPandas(_best_of_blocks(k), schema)
-        return hits if seen is None else hits.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-
+    built = build_index(items, cells, seed=seed)
+    if built is None:
+        return users.sparkSession.createDataFrame([], f"{schema}, rank int")
+    probed = durable(nearest_cells(users, built, probes, coarse_probes), "probed")
     order = [F.desc(F.round("score", 9)), F.asc("item_id")]
-    first = durable(top_n(read(ordered.filter(F.col("probe") <= probes)), ["user_id"], order, k), "first")
+    first_cells = probed.select("user_id", "uvec", F.explode("cells").alias("cell"))
+    if not exact:
+        rough = _read_cells(first_cells, built, seen, block, ["cell", "code"], _best_of_codes(built.index, keep or 5 * k), schema)
+        kept = top_n(rough, ["user_id"], order, keep or 5 * k).select("user_id", "item_id")
+        return top_n(_exact_scores(kept, probed, built.rows, schema), ["user_id"], order, k)
+
+    first = durable(top_n(_read_cells(first_cells, built, seen, block, ["cell", "ivec"], _best_of_blocks(k), schema), ["user_id"], order, k), "first")
     reach = first.groupBy("user_id").agg(
         F.when(F.count("*") == k, F.sqrt(F.greatest(2.0 - 2.0 * F.min("score"), F.lit(0.0)))).alias("reach"))
-    more = ordered.filter(F.col("probe") > probes).join(reach, "user_id", "left")
-    more = more.filter(F.col("reach").isNull() | (F.col("bound") <= F.col("reach") + 1e-6))
-    both = first.select("user_id", "item_id", "score").unionByName(read(more))
+    more = reachable_cells(probed.join(reach, "user_id", "left"), built)
+    both = first.select("user_id", "item_id", "score").unionByName(_read_cells(more, built, seen, block, ["cell", "ivec"], _best_of_blocks(k), schema))
     return top_n(both, ["user_id"], order, k)
 
 
+def _read_cells(wanted: DataFrame, built: Cells, seen: DataFrame | None, block: int, columns: Sequence[str], best, schema: str) -> DataFrame:
+    """(user_id, item_id, score): what ``best`` takes from each pair of a user block and an item block of the ``wanted`` cells."""
+    rows = wanted.withColumn("extra", F.lit(0))
+    if seen is not None:
+        per_cell = seen.join(built.rows.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.count("*").alias("n"))
+        rows = rows.join(per_cell, ["user_id", "cell"], "left").withColumn("extra", F.coalesce("n", F.lit(0))).drop("n")
+    vector = columns[-1]
+    packed = _blocks(built.rows.select("item_id", *columns), "item_id", vector, block).withColumnRenamed("block", "piece")
+    last = [(c, math.ceil(n / block) - 1) for c, n in enumerate(built.n.tolist()) if n]  # one row per cell of the model
+    pieces = wanted.sparkSession.createDataFrame(last, "cell int, last int")
+    sent = _blocks(rows, "user_id", "uvec", block, "extra").drop("block").join(pieces, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    hits = sent.join(packed, ["cell", "piece"]).mapInPandas(best, schema)
+    return hits if seen is None else hits.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+
+
+def _exact_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, schema: str) -> DataFrame:
+    def dots(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("user_id"), b.column("item_id"), pa.array((vectors_of(b.column("uvec")) * vectors_of(b.column("ivec"))).sum(axis=1))], ["user_id", "item_id", "score"])
+
+    both = pairs.join(items.select("item_id", "ivec"), "item_id").join(users.select("user_id", "uvec"), "user_id")
+    return both.select("user_id", "item_id", "uvec", "ivec").mapInArrow(dots, schema)
+
+
 def _blocks(rows: DataFrame, key: str, vector: str, size: int, extra: str | None = None) -> DataFrame:
     """Rows of a cell packed into blocks of about ``size``: ids and one flat vector array each."""
     counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
     row = [key, vector] + ([extra] if extra else [])
     cut = rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("n_blocks")).cast("int"))
     packed = cut.groupBy("cell", "block").agg(F.collect_list(F.struct(*row)).alias("l"))
-    out = [F.transform("l", lambda x: x[key]).alias(f"{key}s"), F.flatten(F.transform("l", lambda x: x[vector])).alias(f"{vector}s")]
+    values = F.transform("l", lambda x: x[vector])
+    flat = F.flatten(values) if dict(rows.dtypes)[vector].startswith("array") else values
+    out = [F.transform("l", lambda x: x[key]).alias(f"{key}s"), flat.alias(f"{vector}s")]
     if extra:
         out.append(F.transform("l", lambda x: x[extra]).alias("extras"))
     return packed.select("cell", "block", *out)
 
 
+def _best_rows(users, items, extras, scores, k: int):
+    """Each user's best ``k`` rows of a block and as many as it has seen there, ties included."""
+    import numpy as np
+    import pandas as pd
+
+    users, items, extras = np.asarray(users), np.asarray(items), np.asarray(extras)
+    order = np.sort(scores, axis=1)
+    limit = order[np.arange(len(users)), len(items) - np.minimum(k + extras, len(items))]
+    u, i = np.nonzero(scores >= limit[:, None] - 1e-9)
+    return pd.DataFrame({"user_id": users[u], "item_id": items[i], "score": scores[u, i]})
+
+
 def _best_of_blocks(k: int):
     """Matrix product of a user block and an item block; keeps each user's best rows, ties included."""
 
     def run(batches):
         import numpy as np
-        import pandas as pd
 
         for batch in batches:
             for users, uvecs, extras, items, ivecs in zip(batch.user_ids, batch.uvecs, batch.extras, batch.item_ids, batch.ivecs):
-                users, items, extras = np.asarray(users), np.asarray(items), np.asarray(extras)
                 scores = np.asarray(uvecs).reshape(len(users), -1) @ np.asarray(ivecs).reshape(len(items), -1).T
-                keep = np.minimum(k + extras, len(items))
-                order = np.sort(scores, axis=1)
-                limit = order[np.arange(len(users)), len(items) - keep]
-                u, i = np.nonzero(scores >= limit[:, None] - 1e-9)
-                yield pd.DataFrame({"user_id": users[u], "item_id": items[i], "score": scores[u, i]})
+                yield _best_rows(users, items, extras, scores, k)
 
     return run
 
 
-def _distance(a: Column | str, b: Column | str) -> Column:
-    parts = F.zip_with(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x))
+def _best_of_codes(index: Index, k: int):
+    """As ``_best_of_blocks``, with scores estimated from the items' codes."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for cell, users, uvecs, extras, items, codes in zip(batch.cell, batch.user_ids, batch.uvecs, batch.extras, batch.item_ids, batch.codes):
+                codes = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(items), -1)
+                yield _best_rows(users, items, extras, code_scores(index, int(cell), np.asarray(uvecs).reshape(len(users), -1), codes), k)
+
+    return run
 
 
 # ---- co-visitation ------------------------------------------------------------------------------
@@ -198,8 +227,9 @@ def forward_pairs(events: DataFrame, window: int = 5, gap_seconds: float = 1800,
     a chunk are repeated at the end of the one before, so a user of any length is spread out and
     each row meets exactly its next rows.
     """
-    rows = gap_sessionize(events.select("user_id", "item_id", "event_ts", "event_id"), gap_seconds=gap_seconds, out="session_no")
-    rows = running_count(rows, ["user_id"], "event_ts", "event_id", F.lit(1), "pos").withColumn("pos", F.col("pos") - 1)
+    cut = in_slices(events.select("user_id", "item_id", "event_ts", "event_id"), ["user_id"], "event_ts", "event_id")
+    rows = gap_sessionize(cut, gap_seconds=gap_seconds, out="session_no")
+    rows = running_count(rows, ["user_id"], "event_ts", "event_id", F.lit(1), "pos").withColumn("pos", F.col("pos") - 1).drop("__slice")
     home = F.floor(F.col("pos") / chunk)
     inside = F.col("pos") % chunk
     homes = F.when((inside < window) & (home > 0), F.array(home, home - 1)).otherwise(F.array(home))
@@ -333,6 +363,18 @@ def session_item_to_item(clicks: DataFrame, items: DataFrame, contacts: DataFram
         "user_id", F.col("rec").alias("item_id"), (F.col("pos") + 1).alias("rank"))
 
 
+def cold_session_lists(lists: DataFrame, cold: DataFrame, fallback: Column, k: int = 10) -> DataFrame:
+    """For cold users only: the session list where it has ``k`` items, else the first ``k`` of the ``fallback`` array."""
+    own = lists.join(cold.select("user_id"), "user_id", "left_semi").filter(F.col("rank") <= k).groupBy("user_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("own"))  # at most k items
+    named = cold.select("user_id").distinct().join(own, "user_id", "left")
+    full = F.size("own") == k
+    picked = F.when(full, F.transform("own", lambda x: x["item_id"])).otherwise(F.slice(fallback, 1, k))
+    origin = F.when(full, F.lit("session")).otherwise(F.lit("cold"))
+    return named.select("user_id", origin.alias("origin"), F.posexplode(picked).alias("pos", "item_id")).select(
+        "user_id", "item_id", (F.col("pos") + 1).alias("rank"), "origin")
+
+
 def top_array(rows: DataFrame, order: Sequence[Column], k: int, item: str = "item_id") -> Column:
     """The first k items of a table as one array, read as a scalar subquery."""
     best = rows.orderBy(*order).limit(k)
