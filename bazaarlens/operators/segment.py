@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.buckets import event_flags
 from bazaarlens.functions.columns import flag, is_explicit, is_pageview, is_positive, pct, ratio, seconds
+from bazaarlens.operators.components import components
 from bazaarlens.operators.core import join_keys, quantiles, top_n
 from bazaarlens.operators.stats import entropy
 from bazaarlens.operators.windows import pct_rank
@@ -109,6 +111,60 @@ def behavioral_clusters(features: DataFrame, key: str, columns: Sequence[str], g
     return out
 
 
+def projected(features: DataFrame, key: str, columns: Sequence[str], groups: Sequence) -> DataFrame:
+    """(key, category, x, y, columns): robust-scaled features of each category on their two main axes."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, RobustScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    table = durable(features.fillna(0.0, list(columns)), "features")
+    out = None
+    for group in groups:
+        part = table.filter(F.col("category") == group)
+        if part.isEmpty():
+            continue
+        stages = [VectorAssembler(inputCols=list(columns), outputCol="__raw"), RobustScaler(inputCol="__raw", outputCol="__scaled", withCentering=True), PCA(k=2, inputCol="__scaled", outputCol="__pc")]
+        xy = vector_to_array("__pc")
+        one = Pipeline(stages=stages).fit(part).transform(part).select(key, "category", xy[0].alias("x"), xy[1].alias("y"), *columns)
+        out = one if out is None else out.unionByName(one)
+    return table.select(key, "category", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), *columns).limit(0) if out is None else out
+
+
+def density_clusters(points: DataFrame, groups: Sequence[str] = ("category",), side: float = 0.5, min_points: int = 10) -> DataFrame:
+    """The rows of ``points`` (x, y) with ``cluster``: 0 is the largest of its group, -1 is noise.
+
+    The plane is cut into squares of ``side``. A square is dense where it and its eight neighbours
+    hold ``min_points`` rows; touching dense squares are one cluster; a square that is not dense
+    belongs to its fullest dense neighbour (ties: the first), else its rows are noise. All work is done on counted squares,
+    so a square with a third of the rows is one row. Rows without finite coordinates are noise.
+    """
+    groups = list(groups)
+    sound = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    square = lambda c: F.when(sound("x") & sound("y"), F.floor(F.col(c) / side))
+    placed = points.withColumns({"__i": square("x"), "__j": square("y")})
+    here = [*groups, "__i", "__j"]
+    squares = durable(placed.filter(F.col("__i").isNotNull()).groupBy(*here).agg(F.count("*").alias("n")), "squares")
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    spread = squares.withColumn("__o", F.explode(around)).select(*groups, (F.col("__i") + F.col("__o.a")).alias("__i"), (F.col("__j") + F.col("__o.b")).alias("__j"), "n")
+    reach = spread.groupBy(*here).agg(F.sum("n").alias("__around"))
+    dense = durable(join_keys(squares, reach, here).filter(F.col("__around") >= min_points).select(
+        *here, "n", F.struct(*groups, "__i", "__j").alias("id")), "dense")
+    near = dense.withColumn("__o", F.explode(around)).select(
+        *groups, (F.col("__i") + F.col("__o.a")).alias("__i"), (F.col("__j") + F.col("__o.b")).alias("__j"), F.col("id").alias("a"), F.col("n").alias("a_n"))
+    links = join_keys(near, dense.select(*here, F.col("id").alias("b")), here).filter("a <> b").select("a", "b")
+    joined = dense.select(*here, "id").join(components(links).withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left")
+    core = durable(joined.select(*here, "id", F.coalesce("component", "id").alias("component")), "core")
+    fullest = near.groupBy(*here).agg(F.min(F.struct((-F.col("a_n")).alias("n"), "a")).alias("best"))
+    border = join_keys(join_keys(squares, dense.select(*here, "id"), here, "left").filter(F.col("id").isNull()), fullest, here).select(*here, F.col("best.a").alias("__id"))
+    border = border.join(core.select("id", "component"), F.col("__id") == F.col("id")).select(*here, "component")
+    owned = durable(core.select(*here, "component").unionByName(border), "owned")
+    sizes = join_keys(owned, squares, here).groupBy(*groups, "component").agg(F.sum("n").alias("__rows"))
+    by_size = W.partitionBy(*groups).orderBy(F.desc("__rows"), F.asc("component"))
+    numbered = sizes.withColumn("cluster", F.row_number().over(by_size) - 1)  # one row per cluster
+    labels = owned.join(numbered.select(F.col("component").alias("__c"), "cluster"), F.col("component") == F.col("__c")).select(*here, "cluster")
+    return join_keys(placed, labels, here, "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))).drop("__i", "__j")
+
+
 def cluster_profiles(clustered: DataFrame, columns: Sequence[str]) -> DataFrame:
     return clustered.groupBy("category", "cluster").agg(F.count("*").alias("size"), *[F.avg(c).alias(c) for c in columns])
 
