@@ -117,6 +117,15 @@ def ranks(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = False)
     return ranked.withColumn("avg_rank", F.col("n_before") + (F.col("n") + 1) / 2.0).drop("n_before")
 
 
+def in_slices(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
+    """``df`` with ``__slice``, written once: slices are ranges of (keys, ts, tie) of about equal size.
+
+    A key with a third of all rows, even within one second, spans as many slices as its share; a
+    small key lies in one or two.
+    """
+    return durable(df.repartitionByRange(*keys, ts, tie).withColumn("__slice", F.spark_partition_id()), "ordered")
+
+
 def lag_in_slices(
     df: DataFrame,
     keys: Sequence[str],
@@ -124,15 +133,14 @@ def lag_in_slices(
     tie: str,
     columns: Sequence[str],
     prefix: str = "prev_",
-    slice_by: str = "day",
 ) -> DataFrame:
     """The previous row's ``columns`` per key in (ts, tie) order, for keys of any size.
 
-    Lag runs inside (keys, time slice); the first row of a slice takes the last row of the
-    previous slice from a table with one row per slice.
+    Lag runs inside (keys, slice); the first row of a slice takes the last row of the key's slice
+    before from a table with one row per key and slice. Rows that ``in_slices`` has cut are used as they are.
     """
     keys = list(keys)
-    cut = df.withColumn("__slice", F.date_trunc(slice_by, ts))
+    cut = df if "__slice" in df.columns else in_slices(df, keys, ts, tie)
     row = F.struct(*columns)
     inside = W.partitionBy(*keys, "__slice").orderBy(ts, tie)
     lagged = cut.withColumn("__prev", F.lag(row).over(inside))
@@ -141,22 +149,21 @@ def lag_in_slices(
     carried = lasts.select(*keys, "__slice", F.lag("__last").over(over).alias("__carry"))
     out = join_keys(lagged, carried, [*keys, "__slice"])
     prev = F.coalesce(F.col("__prev"), F.col("__carry"))
-    return out.withColumns({f"{prefix}{c}": prev[c] for c in columns}).drop("__slice", "__prev", "__carry")
+    out = out.withColumns({f"{prefix}{c}": prev[c] for c in columns}).drop("__prev", "__carry")
+    return out if "__slice" in df.columns else out.drop("__slice")
 
 
-def running_count(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, flag: Column, out: str, slice_by: str = "day"
-) -> DataFrame:
+def running_count(df: DataFrame, keys: Sequence[str], ts: str, tie: str, flag: Column, out: str) -> DataFrame:
     """Inclusive running sum of ``flag`` per key in (ts, tie) order, sliced like ``lag_in_slices``."""
     keys = list(keys)
-    cut = df.withColumns({"__slice": F.date_trunc(slice_by, ts), "__f": flag.cast("long")})
+    cut = (df if "__slice" in df.columns else in_slices(df, keys, ts, tie)).withColumn("__f", flag.cast("long"))
     inside = W.partitionBy(*keys, "__slice").orderBy(ts, tie).rowsBetween(W.unboundedPreceding, 0)
     local = cut.withColumn("__local", F.sum("__f").over(inside))
     sums = cut.groupBy(*keys, "__slice").agg(F.sum("__f").alias("__sum"))
     over = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(*keys, "__slice", F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__off"))
-    joined = join_keys(local, offsets, [*keys, "__slice"])
-    return joined.withColumn(out, F.col("__local") + F.col("__off")).drop("__slice", "__f", "__local", "__off")
+    joined = join_keys(local, offsets, [*keys, "__slice"]).withColumn(out, F.col("__local") + F.col("__off")).drop("__f", "__local", "__off")
+    return joined if "__slice" in df.columns else joined.drop("__slice")
 
 
 def share_within(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

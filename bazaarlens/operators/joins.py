@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import is_explicit, pct, ratio
 from bazaarlens.operators.core import join_keys
+from bazaarlens.session import durable
 
 
 def enrich_events(events: DataFrame, dim: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -108,6 +109,27 @@ def ordinal_band_join(
     return in_band.unionByName(unknown)
 
 
+def ordinal_band_counts(
+    left: DataFrame, right: DataFrame, who: str, keys: Sequence[str], left_ord: str, right_ord: str, band: int = 1
+) -> DataFrame:
+    """(who, n, items): the pairs of ``ordinal_band_join`` and their distinct right rows, without making them.
+
+    The right side is counted once per cell (keys, ordinal); a left row looks up the cells of its
+    band, an unknown ordinal all cells of its keys. As a right row lies in one cell, the distinct
+    rows of ``who`` are those of the distinct cells met. Rows made: left rows times ordinals.
+    """
+    keys = list(keys)
+    cells = right.withColumn("__o", F.greatest(F.col(right_ord), F.lit(-1))).groupBy(*keys, "__o").agg(F.count("*").alias("__n"))
+    steps = durable(cells, "steps")
+    o = F.col(left_ord)
+    wished = left.groupBy(who, *keys, F.greatest(o, F.lit(-1)).alias("__w")).agg(F.count("*").alias("__times"))
+    near = F.concat(F.sequence(F.greatest(F.col("__w") - band, F.lit(0)), F.col("__w") + band), F.array(F.lit(-1)))
+    known = wished.filter("__w >= 0").withColumn("__o", F.explode(near)).join(steps, [*keys, "__o"])
+    unknown = wished.filter("__w < 0").join(steps, keys)
+    met = known.unionByName(unknown).groupBy(who, *keys, "__o").agg(F.sum(F.col("__times") * F.col("__n")).alias("__pairs"), F.max("__n").alias("__n"))
+    return met.groupBy(who).agg(F.sum("__pairs").alias("n"), F.sum("__n").alias("items"))
+
+
 def first_last(df: DataFrame, keys: Sequence[str], order: str, state: str) -> DataFrame:
     """First and last state per key without joining the table to its own bounds."""
     return df.groupBy(*keys).agg(

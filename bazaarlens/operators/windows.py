@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import has_query, is_explicit, is_pageview, pct, seconds
 from bazaarlens.operators.core import (
-    join_keys, lag_in_slices, quantiles, ranks, running_count, top_n,
+    in_slices, join_keys, lag_in_slices, quantiles, ranks, running_count, top_n,
 )
 
 top_n_per_group = top_n
@@ -35,15 +35,18 @@ def query_refinement_lag(events: DataFrame, keys: Sequence[str] = ("category", "
 
 
 def gap_sessionize(
-    events: DataFrame, user: str = "user_id", ts: str = "event_ts", tie: str = "event_id",
-    gap_seconds: float = 1800, out: str = "session_no", slice_by: str = "day",
+    events: DataFrame, user: str = "user_id", ts: str = "event_ts", tie: str = "event_id", gap_seconds: float = 1800, out: str = "session_no",
 ) -> DataFrame:
-    """Number the sessions of each user: a new one starts when the gap exceeds the threshold."""
-    lagged = lag_in_slices(events, [user], ts, tie, [ts], "__prev_", slice_by)
+    """Number the sessions of each user: a new one starts when the gap exceeds the threshold.
+
+    The events are cut into slices once; both the gaps and the numbers are found in them.
+    """
+    cut = events if "__slice" in events.columns else in_slices(events, [user], ts, tie)
+    lagged = lag_in_slices(cut, [user], ts, tie, [ts], "__prev_")
     gap = seconds(ts) - seconds(f"__prev_{ts}")
     starts = F.when(gap.isNull() | (gap > F.lit(float(gap_seconds))), 1).otherwise(0)
-    marked = lagged.withColumn("__new", starts).drop(f"__prev_{ts}")
-    return running_count(marked, [user], ts, tie, F.col("__new"), out, slice_by).drop("__new")
+    numbered = running_count(lagged.withColumn("__new", starts).drop(f"__prev_{ts}"), [user], ts, tie, F.col("__new"), out).drop("__new")
+    return numbered if "__slice" in events.columns else numbered.drop("__slice")
 
 
 def min_max_norm(df: DataFrame, keys: Sequence[str], columns: Sequence[str], suffix: str = "_norm") -> DataFrame:

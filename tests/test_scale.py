@@ -158,3 +158,37 @@ def test_diversity_cap_is_greedy_and_keeps_k(spark):
             places[d] = places.get(d, 0) + 1
     picked += [i for i in range(12) if i not in picked]
     assert got == picked[:6]
+
+
+@pytest.fixture(scope="module")
+def busy_day(spark):
+    """One user holds two thirds of the rows, all within a few seconds of one day."""
+    rnd = random.Random(1)
+    rows = [(7, rnd.randint(1, 9), START + timedelta(microseconds=rnd.randint(0, 5_000_000)), i) for i in range(4000)]
+    rows += [(rnd.randint(100, 160), 1, START + timedelta(minutes=rnd.randint(0, 90_000)), 10_000 + i) for i in range(2000)]
+    return spark.createDataFrame(rows, "user_id long, item_id long, event_ts timestamp_ntz, event_id long").cache()
+
+
+def test_a_busy_day_is_spread_over_slices(spark, busy_day):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one partition
+    try:
+        cut = core.in_slices(busy_day, ["user_id"], "event_ts", "event_id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in cut.groupBy("__slice").count().collect()]
+    assert max(sizes) < 2 * 6000 / len(sizes) and cut.filter("user_id = 7").select("__slice").distinct().count() >= 4
+    w = W.partitionBy("user_id").orderBy("event_ts", "event_id")
+    plain = busy_day.withColumns({"p": F.lag("item_id").over(w), "n": F.row_number().over(w).cast("long")})
+    lagged = core.lag_in_slices(cut, ["user_id"], "event_ts", "event_id", ["item_id"])
+    counted = core.running_count(lagged, ["user_id"], "event_ts", "event_id", F.lit(1), "n").drop("__slice")
+    assert counted.columns == [*busy_day.columns, "prev_item_id", "n"]
+    assert counted.select("event_id", F.col("prev_item_id").alias("p"), "n").exceptAll(plain.select("event_id", "p", "n")).count() == 0
+
+
+def test_band_counts_equal_the_pairs_and_make_none(spark):
+    rnd = random.Random(6)
+    left = spark.createDataFrame([(rnd.randint(1, 12), rnd.choice("abc"), rnd.choice([None, "x", "y"]), rnd.randint(-1, 6)) for _ in range(200)], "who int, k string, j string, u int")
+    right = spark.createDataFrame([(i, rnd.choice("abd"), rnd.choice(["x", "y", None]), rnd.choice([-1, *range(8)])) for i in range(400)], "item int, k string, j string, i int")
+    pairs = joins.ordinal_band_join(left, right, ["k", "j"], "u", "i").groupBy("who").agg(F.count("*").alias("n"), F.countDistinct("item").alias("items"))
+    counts = joins.ordinal_band_counts(left, right, "who", ["k", "j"], "u", "i")
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.collect()))
