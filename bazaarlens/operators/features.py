@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -18,6 +19,7 @@ from bazaarlens.operators.quality import price_log
 from bazaarlens.operators.stats import entropy, mode_value
 from bazaarlens.operators.windows import segment_zscore
 from bazaarlens.schemas import CATEGORIES
+from bazaarlens.session import bucketed
 
 # Event weights in use, renewal days and age multipliers by category.
 DECAY_WEIGHTS = {"view_phone": 10.0, "contact_chat": 9.0, "contact_zalo": 9.0, "contact_sms": 8.0, "other_interaction": 2.5}
@@ -253,20 +255,41 @@ def match_features(candidates: DataFrame, prefs: DataFrame, items: DataFrame, tr
     return joined.withColumn("district_transition_score", score).select(*candidates.columns, *names.values(), "district_transition_score")
 
 
-def assemble_features(
-    candidates: DataFrame, items: DataFrame, users: DataFrame, pairs: DataFrame, decayed: DataFrame, inter: DataFrame, truth: DataFrame | None = None
-) -> DataFrame:
-    """Candidates left-joined to every feature table with fixed fills, and the label from later pairs."""
+class FeatureStages(NamedTuple):
+    """Feature tables of one cutoff; tables of pairs have (user_id, item_id)."""
+
+    items: DataFrame
+    users: DataFrame
+    pairs: DataFrame
+    decayed: DataFrame
+    inter: DataFrame
+
+
+def stage_features(stages: FeatureStages) -> FeatureStages:
+    """The tables written once in buckets of their own keys, for any number of candidate sets.
+
+    Lists for training and for testing are assembled from the same stages; whoever joins them reads
+    them without an exchange.
+    """
+    keys = {"items": ["item_id"], "users": ["user_id"]}
+    return FeatureStages(*[bucketed(df, name, *keys.get(name, ["user_id", "item_id"])) for name, df in stages._asdict().items()])
+
+
+def assemble_features(candidates: DataFrame, stages: FeatureStages, truth: DataFrame | None = None) -> DataFrame:
+    """Candidates left-joined to every feature table with fixed fills, and the label from later pairs.
+
+    Tables of pairs come first, so candidates are dealt once by pair, once by user and once by item.
+    """
     keys = ["user_id", "item_id"]
-    out = candidates.join(items, "item_id", "left").join(users, "user_id", "left").join(pairs, keys, "left").join(
-        decayed, keys, "left").join(inter, keys, "left")
+    out = candidates
+    if truth is not None:
+        out = out.join(truth.select(*keys).distinct().withColumn("label", F.lit(1)), keys, "left")
+    for table in (stages.pairs, stages.decayed, stages.inter):
+        out = out.join(table, keys, "left")
+    out = out.join(stages.users, "user_id", "left").join(stages.items, "item_id", "left")
     numeric = [f.name for f in out.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "float") and f.name not in keys]
     special = {"days_since_ui": 999, "days_since_last": 999, "active_span_days": 1, "source_count": 1}
-    out = out.fillna({c: special.get(c, 0) for c in numeric})
-    if truth is not None:
-        labels = truth.select(*keys).distinct().withColumn("label", F.lit(1))
-        out = out.join(labels, keys, "left").fillna(0, ["label"])
-    return out
+    return out.fillna({c: special.get(c, 0) for c in numeric})
 
 
 def user_features_v2(events: DataFrame, dim: DataFrame, cutoff: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import is_positive
 from bazaarlens.operators import features as T
 from bazaarlens.operators import quality as Q
+from bazaarlens.operators import sketches as K
 from bazaarlens.plans.primitives import EX, PO, near
 from bazaarlens.plans.registry import query
+from bazaarlens.session import bucketed, durable
 
 CUT = "2024-01-20"
 END = "2024-01-30"
@@ -230,24 +234,38 @@ def candidate_pairs(s):
     return T.before(s.ev, CUT).select("user_id", "item_id").distinct()
 
 
-def assembled(s, candidates=None):
+def feature_stages(s):
     pairs = T.user_item_positive(s.ev, CUT)
-    item_cols = items(s).select("item_id", "days_since_posted", "cat_enc", "trend_pos_log", "velocity_7d", "item_cvr", "age_boost", "contact_rate")
-    user_cols = T.user_profile(pairs, CUT).select("user_id", "total_pos", "unique_items", "days_since_last", "active_span_days")
-    inter = T.user_item_interactions(s.inter, CUT).select("user_id", "item_id", "leads", "active_days")
+    return T.FeatureStages(
+        items(s).select("item_id", "days_since_posted", "cat_enc", "trend_pos_log", "velocity_7d", "item_cvr", "age_boost", "contact_rate"),
+        T.user_profile(pairs, CUT).select("user_id", "total_pos", "unique_items", "days_since_last", "active_span_days"),
+        T.pair_positive_features(pairs, CUT), T.history_decay(s.ev, CUT), T.user_item_interactions(s.inter, CUT).select("user_id", "item_id", "leads", "active_days"))
+
+
+def assembled(s, candidates=None, stages=None):
     truth = s.ev.filter(is_positive() & (F.col("event_ts") >= F.lit(CUT).cast("timestamp_ntz")))
-    return T.assemble_features(candidate_pairs(s) if candidates is None else candidates, item_cols, user_cols, T.pair_positive_features(pairs, CUT), T.history_decay(s.ev, CUT), inter, truth)
+    return T.assemble_features(candidate_pairs(s) if candidates is None else candidates, feature_stages(s) if stages is None else stages, truth)
 
 
 AF = f"""{IF}, {pairs_sql('pr', f"AND event_ts<TIMESTAMP'{CUT}'")}, ca AS (SELECT DISTINCT user_id, item_id FROM ev WHERE event_ts<TIMESTAMP'{CUT}'), us AS (SELECT user_id, SUM(pos_count)::BIGINT AS total_pos, GREATEST(DATE_DIFF('day',MAX(last_ts)::DATE,DATE'{CUT}'),0)::INT AS days_since_last FROM pr GROUP BY 1),
 {hd_sql('hd', f"WHERE event_ts<TIMESTAMP'{CUT}'")}, ia AS (SELECT user_id, item_id, SUM(lead_count) AS leads FROM inter WHERE date<DATE'{CUT}' GROUP BY 1,2), tr AS (SELECT DISTINCT user_id, item_id, 1 AS label FROM ev WHERE event_type IN {PO} AND event_ts>=TIMESTAMP'{CUT}')"""
 
 
-@query("assemble_features", "ev dim snap inter", f"""WITH {AF} SELECT ca.user_id, ca.item_id, coalesce(i.days_since_posted,0) AS days_since_posted, round(coalesce(trend_pos_log,0),6) AS trend_pos_log, coalesce(total_pos,0) AS total_pos, coalesce(days_since_last,999)::INT AS days_since_last,
+AFS = f"""WITH {AF} SELECT ca.user_id, ca.item_id, coalesce(i.days_since_posted,0) AS days_since_posted, round(coalesce(trend_pos_log,0),6) AS trend_pos_log, coalesce(total_pos,0) AS total_pos, coalesce(days_since_last,999)::INT AS days_since_last,
  (CASE WHEN last_ts IS NULL THEN 999 ELSE GREATEST(floor((epoch_us(TIMESTAMP'{CUT}')-epoch_us(last_ts))/8.64e10),0) END)::BIGINT AS days_since_ui, coalesce(n_chat,0) AS n_chat, round(coalesce(decay_score,0),6) AS decay_score, coalesce(leads,0) AS leads, coalesce(label,0)::INT AS label
-FROM ca LEFT JOIN itf i USING (item_id) LEFT JOIN us USING (user_id) LEFT JOIN pr USING (user_id, item_id) LEFT JOIN hd USING (user_id, item_id) LEFT JOIN ia USING (user_id, item_id) LEFT JOIN tr USING (user_id, item_id)""")
+FROM ca LEFT JOIN itf i USING (item_id) LEFT JOIN us USING (user_id) LEFT JOIN pr USING (user_id, item_id) LEFT JOIN hd USING (user_id, item_id) LEFT JOIN ia USING (user_id, item_id) LEFT JOIN tr USING (user_id, item_id)"""
+AFC = ["user_id", "item_id", "days_since_posted", "trend_pos_log", "total_pos", "days_since_last", "days_since_ui", "n_chat", "decay_score", "leads", "label"]
+
+
+@query("assemble_features", "ev dim snap inter", AFS)
 def _(s):
-    return assembled(s).select("user_id", "item_id", "days_since_posted", "trend_pos_log", "total_pos", "days_since_last", "days_since_ui", "n_chat", "decay_score", "leads", "label")
+    return assembled(s).select(*AFC)
+
+
+@query("assemble_from_stages", "ev dim snap inter", AFS)
+def _(s):
+    """The same rows from stages that are written in buckets and could serve other candidates too."""
+    return assembled(s, bucketed(candidate_pairs(s), "candidates", "user_id", "item_id"), T.stage_features(feature_stages(s))).select(*AFC)
 
 
 def price_log_sql(c: str) -> str:
@@ -320,3 +338,18 @@ def _(s):
 def _(s):
     pairs = T.user_item_positive(s.ev).select("user_id", "item_id")
     return T.title_similarity(s.ev.select("user_id", "item_id").distinct(), T.user_embedding_profile(pairs, s.vectors), s.vectors)
+
+
+WINDOWS = (1, 7, 14, 28)
+
+
+@query("sketched_uniques", "ev", f"""SELECT item_id, {', '.join(f"COUNT(DISTINCT user_id) FILTER (date>DATE'{END}'-{d}) AS users_{d}d" for d in WINDOWS)}, 1::INT AS near
+FROM ev WHERE date<=DATE'{END}' AND date>DATE'{END}'-28 AND user_id IS NOT NULL GROUP BY 1""")
+def _(s):
+    """Users per item over four windows; ``near`` says that the daily sketches are within 3 percent of them all."""
+    sketches = durable(K.daily_sketches(s.ev, ["item_id"]), "sketches")
+    names = [f"users_{d}d" for d in WINDOWS]
+    exact = K.exact_window_uniques(s.ev, ["item_id"], END, WINDOWS)
+    both = exact.join(K.window_uniques(sketches, ["item_id"], END, WINDOWS, prefix="about"), "item_id")
+    near = [F.abs(F.col(n) - F.col(n.replace("users", "about"))) <= F.col(n) * 0.03 for n in names]
+    return both.select("item_id", *names, F.when(reduce(lambda a, b: a & b, near), 1).otherwise(0).alias("near"))

@@ -80,7 +80,7 @@ def _(s):
 
 @query("block_sample")
 def _(s):
-    return R.block_sample(s.ev, 20).groupBy("event_type").agg(F.count("*").alias("n"))
+    return R.block_sample(s.raw("events"), 20).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("row_sample")

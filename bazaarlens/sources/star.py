@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import zlib
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -50,18 +54,53 @@ def filtered_scan(
     return out.select(*columns)
 
 
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system, so that any store Spark reaches will do."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def input_files(df: DataFrame) -> list[tuple[str, int, int]]:
+    """(path as ``_metadata.file_path`` has it, length, time) of every file behind ``df``, sorted."""
+    spark, out = df.sparkSession, []
+    for name in df.inputFiles():  # encoded as URIs
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((path.toString(), status.getLen(), status.getModificationTime()))
+    return sorted(out)
+
+
+def stage_signature(df: DataFrame) -> str:
+    """What a stage is made of: its input files with lengths and times, and its plan without Spark's running numbers."""
+    plan = re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().analyzed().toString())
+    return hashlib.sha256(json.dumps([input_files(df), plan, df.schema.json()]).encode()).hexdigest()
+
+
 def stage_write(df: DataFrame, path: str, partition_by: Sequence[str] = (), overwrite: bool = False) -> tuple[DataFrame, str]:
-    """Write one stage as ZSTD parquet unless it is there already; returns the table and the status.
+    """Write one stage as ZSTD parquet unless the same one is there already; returns the table and the status.
 
-    A finished Spark write leaves ``_SUCCESS``; a half-written folder is written again.
+    A finished write leaves ``_SUCCESS`` and then a manifest of the stage's inputs and plan. A
+    half-written folder, changed input files or another plan are written again.
     """
     spark = df.sparkSession
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = path.rstrip("/")
+    done, fs = _path(spark, f"{base}/_SUCCESS")
+    manifest, _ = _path(spark, f"{base}/_manifest")
+    signature = stage_signature(df.select(*partition_by, *[c for c in df.columns if c not in partition_by]))
+    known = None
+    if fs.exists(done) and fs.exists(manifest):
+        stream = fs.open(manifest)
+        known = bytes(stream.readAllBytes()).decode()
+        stream.close()
     status = "kept"
-    if overwrite or not fs.exists(done):
+    if overwrite or known != signature:
+        if fs.exists(manifest):
+            fs.delete(manifest, False)
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        stream = fs.create(manifest, True)
+        stream.write(bytearray(signature.encode()))
+        stream.close()
         status = "written"
     return spark.read.parquet(path), status
 
@@ -113,7 +152,28 @@ def align_to_template(predictions: DataFrame, template: DataFrame) -> DataFrame:
 # ---- samples ------------------------------------------------------------------------------------
 
 def block_sample(df: DataFrame, percent: float, seed: int = 7) -> DataFrame:
-    return df.sample(fraction=percent / 100.0, seed=seed)
+    """``percent`` of a table's bytes as whole files: only those are opened when the scan runs.
+
+    Files are taken in the order of a seeded hash of their names until the next would be too much;
+    of that one the missing share of rows is drawn. So totals are scaled by 100 / percent. A
+    derived table has no files to choose from: its rows are drawn one by one.
+    """
+    if "_metadata" not in df._jdf.queryExecution().analyzed().metadataOutput().mkString(",") or percent >= 100:
+        return df.sample(fraction=min(percent, 100) / 100.0, seed=seed)
+    sizes = {name: length for name, length, _ in input_files(df)}
+    left = sum(sizes.values()) * percent / 100.0
+    whole: list[str] = []
+    for name in sorted(sizes, key=lambda n: (zlib.crc32(f"{seed}:{n.rpartition('/')[2]}".encode()), n)):
+        if sizes[name] > left:
+            part, share = name, left / sizes[name]
+            break
+        whole.append(name)
+        left -= sizes[name]
+    else:
+        part, share = None, 0.0
+    at = F.col("_metadata.file_path")
+    taken = df.filter(at.isin(whole + [part] if part else whole))
+    return taken.filter(at.isin(whole) | (F.rand(seed) < F.lit(share))) if part else taken
 
 
 def row_sample(df: DataFrame, fraction: float, seed: int = 7) -> DataFrame:
