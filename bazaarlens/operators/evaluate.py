@@ -15,6 +15,7 @@ from bazaarlens.functions.columns import flag, pct, ratio
 from bazaarlens.operators.core import histogram, prefix_sums, quantiles, share_of_all, top_n, unpivot_row
 from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.stats import entropy, gini, hhi, lorenz_curve
+from bazaarlens.session import durable
 
 KEYS = ["user_id", "item_id"]
 
@@ -231,14 +232,29 @@ HEALTH = {
 }
 
 
+def item_exposure(ranked: DataFrame, dim: DataFrame, k: int = 10, max_age: int = 7) -> DataFrame:
+    """One row per listing or listed item: its slots, those of them that are fresh, and whose it is."""
+    slots = ranked.groupBy("item_id").agg(F.count("*").alias("x"), F.count_if(F.col("rank") <= k).alias("top"))
+    known = dim.select("item_id", "seller_id", "category", "age", F.lit(1).alias("listed"))
+    both = known.join(slots, "item_id", "full").fillna(0, ["x", "top", "listed"])
+    return both.withColumn("fresh", F.when(F.col("age") <= max_age, F.col("top")).otherwise(0))
+
+
 def health_scorecard(ranked: DataFrame, dim: DataFrame, thresholds: Mapping[str, tuple] = HEALTH) -> DataFrame:
-    """Six metrics with good / warn / bad by their thresholds."""
-    cats = ranked.join(dim.select("item_id", "category"), "item_id").groupBy("category").agg(F.count("*").alias("x"))
-    cover = coverage(ranked, dim)
+    """Six metrics with good / warn / bad by their thresholds, all from one written table of exposure per item."""
+    items = durable(item_exposure(ranked, dim), "exposure")
+    shown, listed = F.col("x") > 0, F.col("listed") == 1
+    plain = items.agg(
+        pct(F.sum("fresh"), F.sum("top")).alias("freshness"), pct(F.count_if(listed & shown), F.count_if(listed)).alias("items"),
+        (F.lit(10000.0) * F.sum(F.col("x").cast("double") * F.col("x")) / F.pow(F.sum("x").cast("double"), F.lit(2.0))).alias("hhi"))
+    sellers = durable(items.filter(listed).groupBy("seller_id").agg(F.sum("x").alias("exposure")), "sellers")
+    owned = F.col("seller_id").isNotNull()
+    cats = items.filter(listed & shown).groupBy("category").agg(F.sum("x").alias("x"))
     values = {
-        "freshness_at_10": freshness_at_k(ranked, dim).select("freshness_pct"), "seller_coverage": cover.select("seller_coverage_pct"),
-        "item_coverage": cover.select("item_coverage_pct"), "category_entropy": entropy(cats, [], "x").select("normalized_entropy"),
-        "seller_gini": gini(seller_exposure(ranked, dim), [], "exposure", bounded=True).select("gini"), "item_hhi": item_exposure_hhi(ranked).select("item_hhi")}
+        "freshness_at_10": plain.select("freshness"), "item_coverage": plain.select("items"), "item_hhi": plain.select("hhi"),
+        "seller_coverage": sellers.agg(pct(F.count_if(owned & (F.col("exposure") > 0)), F.count_if(owned)).alias("sellers")),
+        "category_entropy": entropy(cats, [], "x").select("normalized_entropy"),
+        "seller_gini": gini(sellers.filter("exposure > 0"), [], "exposure", bounded=True).select("gini")}
     rows = None
     for name, (low, high, direction) in thresholds.items():
         one = values[name].toDF("value").select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))

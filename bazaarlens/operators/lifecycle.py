@@ -349,6 +349,89 @@ def weekly_decomposition(series: DataFrame, keys: Sequence[str], date: str = "da
         "residual", F.col("detrended") - F.col("seasonal")).drop("detrended")
 
 
+def _loess(span: int) -> Column:
+    """Local lines through ``z`` (structs of place, value, weight), one value per place.
+
+    The nearest ``span`` places get tricube weights by distance, times their own weight. Where the
+    weights leave no line (one place, or none), the weighted mean or the place's own value stands.
+    """
+    n = F.size("z")
+    take = F.least(F.lit(span), n)
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "x", "xx", "y", "xy")])
+
+    def fit(p):
+        i = p["j"]
+        low = F.greatest(F.lit(0), F.least(i - F.floor(take / 2).cast("int"), n - take))
+        reach = F.greatest(i - low, low + take - 1 - i).cast("double") + 1.0
+
+        def add(s, q):
+            x = (q["j"] - i).cast("double")
+            w = q["w"] * F.pow(1.0 - F.pow(F.abs(x) / reach, F.lit(3.0)), F.lit(3.0))
+            return F.struct((s["w"] + w).alias("w"), (s["x"] + w * x).alias("x"), (s["xx"] + w * x * x).alias("xx"), (s["y"] + w * q["y"]).alias("y"), (s["xy"] + w * x * q["y"]).alias("xy"))
+
+        def line(s):
+            spread = s["w"] * s["xx"] - s["x"] * s["x"]
+            return F.when(spread > 1e-9, (s["xx"] * s["y"] - s["x"] * s["xy"]) / spread).when(s["w"] > 1e-9, s["y"] / s["w"]).otherwise(p["y"])
+
+        return F.aggregate(F.slice("z", low + 1, take), zero, add, line)
+
+    return F.transform("z", fit)
+
+
+def _weekday_means() -> Column:
+    """Weighted mean of (value - trend) per weekday, centered over the weekdays that occur."""
+    def mean(d):
+        def add(s, q):
+            w = F.when(q["dow"] == d, q["w"]).otherwise(0.0)
+            return F.struct((s["w"] + w).alias("w"), (s["y"] + w * (q["y"] - q["t"])).alias("y"))
+
+        zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("y"))
+        return F.aggregate("z", zero, add, lambda s: F.when(s["w"] > 1e-9, s["y"] / s["w"]))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(6)), mean)
+
+
+def robust_decomposition(series: DataFrame, keys: Sequence[str], date: str = "date", value: str = "y", span: int = 21, rounds: int = 5) -> DataFrame:
+    """Trend, weekly seasonal part, residual and robustness weight of daily series, one row per series while it is fitted.
+
+    ``rounds`` times: the seasonal part is the weighted mean per weekday of what the trend leaves,
+    the trend is a LOESS of what the seasonal part leaves, and days far from both get bisquare
+    weights by six median residuals, so that a holiday moves neither. Days without value are left
+    out. Everything is array expressions; thousands of series are fitted side by side. A series has a row per
+    calendar day, which bounds its arrays.
+    """
+    keys = list(keys)
+    day = F.struct(F.col(date).alias("date"), F.col(value).cast("double").alias("y"))
+    rows = series.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(day)).alias("days"))
+    zeros = F.transform("days", lambda d: F.lit(0.0))
+    # The first trend is a plain LOESS of the values, with all weights one.
+    rows = rows.withColumns({"weight": F.transform("days", lambda d: F.lit(1.0)), "seasonal": zeros})
+
+    def places(of) -> Column:
+        return F.transform("days", of)
+
+    for number in range(rounds + 1):
+        rows = rows.withColumn("z", places(lambda d, i: F.struct(i.alias("j"), (d["y"] - F.get("seasonal", i)).alias("y"), F.get("weight", i).alias("w"))))
+        rows = rows.withColumn("trend", _loess(span))
+        if number == rounds:
+            break
+        rows = rows.withColumn("z", places(lambda d, i: F.struct(F.weekday(d["date"]).alias("dow"), d["y"].alias("y"), F.get("trend", i).alias("t"), F.get("weight", i).alias("w"))))
+        rows = rows.withColumn("means", _weekday_means())
+        known = F.filter("means", lambda m: m.isNotNull())
+        center = F.aggregate(known, F.lit(0.0), lambda s, m: s + m) / F.size(known)
+        rows = rows.withColumn("center", center).withColumn("seasonal", places(lambda d, i: F.coalesce(F.get("means", F.weekday(d["date"])) - F.col("center"), F.lit(0.0))))
+        rows = rows.withColumn("off", places(lambda d, i: F.abs(d["y"] - F.get("trend", i) - F.get("seasonal", i))))
+        ordered, half = F.sort_array("off"), F.size("off") / 2
+        middle = (F.get(ordered, F.floor((F.size("off") - 1) / 2).cast("int")) + F.get(ordered, F.floor(half).cast("int"))) / 2
+        rows = rows.withColumn("limit", 6.0 * middle)
+        rows = rows.withColumn("weight", F.transform("off", lambda r: F.when(F.col("limit") <= 1e-12, 1.0).when(
+            r >= F.col("limit"), 0.0).otherwise(F.pow(1.0 - F.pow(r / F.col("limit"), F.lit(2.0)), F.lit(2.0)))))
+    out = rows.select(*keys, F.posexplode("days").alias("i", "d"), "trend", "seasonal", "weight")
+    at = lambda c: F.get(c, F.col("i"))
+    return out.select(*keys, F.col("d.date").alias(date), F.col("d.y").alias(value), at("trend").alias("trend"), at("seasonal").alias("seasonal"),
+                      (F.col("d.y") - at("trend") - at("seasonal")).alias("residual"), at("weight").alias("weight"))
+
+
 def weekday_spread(decomposed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Peak weekday and weekend minus midweek of the seasonal profile."""
     profile = decomposed.select(*keys, "dow", "seasonal").distinct()

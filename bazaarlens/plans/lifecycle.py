@@ -290,3 +290,9 @@ def _(s):
  round(AVG(seasonal) FILTER (dow>=5)-AVG(seasonal) FILTER (dow BETWEEN 1 AND 4),6) AS weekend_minus_midweek FROM sn GROUP BY 1""")
 def _(s):
     return L.weekday_spread(L.weekly_decomposition(daily(s), ["city_name"], holiday=("2024-01-14", "2024-01-16")), ["city_name"])
+
+
+@query("robust_decomposition")
+def _(s):
+    """LOESS trend and weekly part with bisquare weights (no SQL form; equal to plain Python in the tests)."""
+    return L.robust_decomposition(daily(s), ["city_name"])

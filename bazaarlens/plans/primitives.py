@@ -224,10 +224,9 @@ SELECT user_id, COUNT(*) AS n, COUNT(DISTINCT item_id) AS items FROM p JOIN i US
 def _(s):
     ordinal = F.when(F.col("price_bucket").isNull(), -1).otherwise(F.length("price_bucket"))
     dim = s.dim.withColumn("i_ord", ordinal).select("item_id", "category", "district_name", "i_ord")
-    wishes = s.ev.select("user_id", "item_id").join(dim.withColumnRenamed("i_ord", "u_ord"), "item_id").groupBy(
-        "user_id", "category", "district_name", "u_ord").agg(F.count("*").alias("w"))
-    pairs = J.ordinal_band_join(wishes, dim, ["category", "district_name"], "u_ord", "i_ord")
-    return pairs.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("items"))
+    wishes = s.ev.select("user_id", "item_id").join(dim.withColumnRenamed("i_ord", "u_ord"), "item_id").select(
+        "user_id", "category", "district_name", "u_ord").distinct()
+    return J.ordinal_band_counts(wishes, dim, "user_id", ["category", "district_name"], "u_ord", "i_ord")
 
 
 @query("first_last_self_join", "ev", """

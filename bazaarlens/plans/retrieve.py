@@ -84,14 +84,15 @@ def _(s):
     return history(s)
 
 
-SPC = f"""{U2}, pp2 AS (SELECT item_id, category, city_name, c FROM (SELECT item_id, SUM(contacts_24h) AS c FROM snap WHERE date>=DATE'2024-01-16' GROUP BY 1) JOIN dim USING (item_id)), sl AS (SELECT *, row_number() OVER (PARTITION BY category, city_name ORDER BY c DESC, item_id)::INT AS rank FROM pp2 QUALIFY rank<=50),
+SPC = f"""{U2}, pp2 AS (SELECT item_id, category, city_name, c FROM (SELECT item_id, SUM(contacts_24h) AS c FROM snap WHERE date>=DATE'2024-01-16' GROUP BY 1) JOIN dim USING (item_id) WHERE lower(coalesce(ad_status,''))<>'deleted' AND item_id IN (SELECT item_id FROM ev WHERE event_type IN {PO})), sl AS (SELECT *, row_number() OVER (PARTITION BY category, city_name ORDER BY c DESC, item_id)::INT AS rank FROM pp2 QUALIFY rank<=50),
 gl AS (SELECT item_id, c, row_number() OVER (ORDER BY c DESC, item_id)::INT AS rank FROM pp2 QUALIFY rank<=50), sp AS (SELECT user_id, sl.item_id, sl.c AS score, sl.rank FROM u2 JOIN sl ON u2.top_category=sl.category AND u2.top_city=sl.city_name
  UNION ALL SELECT user_id, gl.item_id, gl.c, gl.rank FROM u2, gl WHERE NOT EXISTS (SELECT 1 FROM sl WHERE u2.top_category=sl.category AND u2.top_city=sl.city_name))"""
 
 
 @query("segment_popularity_candidates", "ev dim snap", f"WITH {SPC} SELECT user_id, item_id, score, rank FROM sp")
 def _(s):
-    return R.segment_popularity_candidates(users_v2(s), s.dim, s.snap.filter("date >= DATE'2024-01-16'"))
+    live = item_tiers(s.dim, s.ev, s.snap, END, "2023-12-01").filter("tier IN ('A', 'B')").select("item_id")
+    return R.segment_popularity_candidates(users_v2(s), s.dim.join(live, "item_id", "left_semi"), s.snap.filter("date >= DATE'2024-01-16'"))
 
 
 @query("cold_item_candidates", "ev dim snap", f"""WITH {PR}, {UP}, {UX}, e AS (SELECT item_id, COUNT(*) AS n_pos FROM ev WHERE event_type IN {PO} GROUP BY 1), s AS (SELECT item_id, SUM(contacts_24h) AS c FROM snap GROUP BY 1),
@@ -144,16 +145,30 @@ def popular(s, k=10):
     return R.top_array(counts, [F.desc("pos"), F.asc("item_id")], k)
 
 
-@query("session_item_to_item", "ev dim snap", f"""WITH fc AS (SELECT user_id, item_id FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_ts, event_id)=1), sn AS (SELECT item_id, coalesce(arg_max(contacts_24h,date),0) AS c FROM snap WHERE date<=DATE'{END}' GROUP BY 1),
+SI2I = f"""fc AS (SELECT user_id, item_id FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_ts, event_id)=1), sn AS (SELECT item_id, coalesce(arg_max(contacts_24h,date),0) AS c FROM snap WHERE date<=DATE'{END}' GROUP BY 1),
 dm AS (SELECT item_id, category, city_name, district_name, coalesce(c,0) AS c FROM dim LEFT JOIN sn USING (item_id)), l1 AS (SELECT *, row_number() OVER (PARTITION BY category, district_name ORDER BY c DESC, item_id) AS r FROM dm QUALIFY r<=15), l2 AS (SELECT *, row_number() OVER (PARTITION BY category, city_name ORDER BY c DESC, item_id) AS r FROM dm QUALIFY r<=15),
 l3 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY c DESC, item_id) AS r FROM dm QUALIFY r<=15), {POP10}, u AS (SELECT fc.user_id, fc.item_id AS clicked, category, city_name, district_name FROM fc JOIN dim USING (item_id)),
 a AS (SELECT user_id, clicked, l1.item_id AS rec, 1 AS t, r FROM u JOIN l1 USING (category, district_name) UNION ALL SELECT user_id, clicked, l2.item_id, 2, r FROM u JOIN l2 ON u.category=l2.category AND u.city_name=l2.city_name UNION ALL SELECT user_id, clicked, l3.item_id, 3, r FROM u JOIN l3 USING (category) UNION ALL SELECT user_id, clicked, p10.item_id, 4, r FROM u, p10),
-b AS (SELECT user_id, rec, MIN(t*100+r) AS o FROM a WHERE rec<>clicked GROUP BY 1,2)
-SELECT user_id, rec AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY o)::INT AS rank FROM b QUALIFY rank<=10""")
-def _(s):
+b AS (SELECT user_id, rec, MIN(t*100+r) AS o FROM a WHERE rec<>clicked GROUP BY 1,2),
+si AS (SELECT user_id, rec AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY o)::INT AS rank FROM b QUALIFY rank<=10)"""
+
+
+def session_lists(s):
     return R.session_item_to_item(T.first_click(s.ev), s.dim, T.snapshot_features(s.snap, END), popular(s))
 
 
+@query("session_item_to_item", "ev dim snap", f"WITH {SI2I} SELECT user_id, item_id, rank FROM si")
+def _(s):
+    return session_lists(s)
+
+
+@query("session_cold_fallback", "ev dim snap test_users", f"""WITH {SI2I}, cu AS (SELECT user_id FROM test_users WHERE user_id NOT IN (SELECT user_id FROM ev WHERE event_type IN {PO})), fl AS (SELECT user_id FROM si JOIN cu USING (user_id) GROUP BY 1 HAVING COUNT(*)=10)
+SELECT user_id, item_id, rank, 'session' AS origin FROM si JOIN fl USING (user_id) UNION ALL SELECT user_id, item_id, r, 'cold' FROM cu, p10 WHERE user_id NOT IN (SELECT user_id FROM fl)""")
+def _(s):
+    cold = s.test_users.join(s.ev.filter(is_positive()).select("user_id"), "user_id", "left_anti")
+    return R.cold_session_lists(session_lists(s), cold, popular(s))
+
+
 MG = f"""{CVC}, {HC}, {PR}, {UP}, {UX}, {FC}, st AS (SELECT user_id, item_id, 'covis' AS source, score FROM cc UNION ALL SELECT user_id, item_id, 'als', score FROM hr UNION ALL SELECT user_id, item_id, 'fresh', score FROM fm),
 nm AS (SELECT *, (score-MIN(score) OVER w)/(MAX(score) OVER w-MIN(score) OVER w+1e-10) AS norm FROM st WINDOW w AS (PARTITION BY user_id, source)), rp AS (SELECT user_id, item_id, pos_count::DOUBLE AS repeat_count FROM pr WHERE pos_count>1),
 al AS (SELECT user_id, item_id, source, score, norm, 0.0E0 AS rc FROM nm UNION ALL SELECT user_id, item_id, 'repeat', NULL, NULL, repeat_count FROM rp),
@@ -198,3 +213,36 @@ def _(s):
     return R.modal_profile_fill(T.user_profile(T.user_item_positive(s.ev), END), s.test_users, ["pref_category", "pref_city"])
 
 
+
+
+def item_cf(s, k=100):
+    """Unseen items nearest to the test users' vectors."""
+    pairs = T.user_item_positive(s.ev).select("user_id", "item_id", "pos_count")
+    return R.item_embedding_cf(R.user_vectors(pairs, s.vectors), s.vectors, pairs, k=k, targets=s.test_users)
+
+
+def retrieved(s, k=100):
+    """The lists of every retriever for the test users, each written once: factors, co-visits, vectors, fresh content."""
+    users = s.test_users
+    fresh = R.fresh_content_candidates(durable(preferences(s).join(users, "user_id", "left_semi"), "preferences"), fresh_items(s))
+    lists = {"als": als_scores(s, k), "covis": covisited(s).join(users, "user_id", "left_semi"), "itemcf": item_cf(s, k), "fresh": fresh}
+    return {name: durable(df.select("user_id", "item_id", "score"), name) for name, df in lists.items()}
+
+
+def merged_for_test_users(s, sources, cap=500):
+    repeats = T.user_item_positive(s.ev).join(s.test_users, "user_id", "left_semi").filter("pos_count > 1").select("user_id", "item_id", F.col("pos_count").alias("repeat_count"))
+    return R.merge_candidates(sources, repeats, cap=cap)
+
+
+@query("merge_retrievers")
+def _(s):
+    """The merge over what the retrievers themselves find (factors have no SQL form; tested against brute force)."""
+    norms = [f"{n}_norm" for n in ("als", "covis", "itemcf", "fresh")]
+    return merged_for_test_users(s, retrieved(s)).select("user_id", "item_id", *norms, "repeat_count", "is_repeat", "source_count", "blend_score", "cand_rank")
+
+
+@query("item_embedding_cf_indexed")
+def _(s):
+    """Item CF through the codes of the index instead of every reachable cell (tested by its recall)."""
+    pairs = T.user_item_positive(s.ev).select("user_id", "item_id", "pos_count")
+    return R.item_embedding_cf(R.user_vectors(pairs, s.vectors), s.vectors, pairs, k=20, exact=False, probes=12, keep=100)

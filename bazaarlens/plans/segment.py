@@ -161,3 +161,37 @@ j AS (SELECT dim.*, coalesce(n_pos,0) AS n_pos, le, coalesce(c,0) AS contacts_to
 SELECT item_id, n_pos, contacts_total, DATE_DIFF('day',posted_date,DATE'2024-01-30')::INT AS age_days, (posted_date<DATE'2023-12-01')::INT AS is_pre_window, CASE WHEN dead THEN 'D' WHEN n_pos>0 AND DATE_DIFF('day',le,DATE'2024-01-30')<=5 THEN 'A' WHEN n_pos>0 THEN 'B' ELSE 'C' END AS tier FROM d""")
 def _(s):
     return E.item_tiers(s.dim, s.ev, s.snap, "2024-01-30", "2023-12-01", 5).select("item_id", "n_pos", "contacts_total", "age_days", "is_pre_window", "tier")
+
+
+# ---- clusters by density -------------------------------------------------------------------------
+
+LISTING_COLUMNS = ["n_pageviews", "n_contacts", "n_users", "avg_dwell", "avg_position", "contact_rate_pct", "repeat_viewer_pct"]
+
+
+def user_clusters(s):
+    """Users of each category clustered by the density of their behavior, written once."""
+    users = E.user_intent_features(s.ev, s.dim)
+    return durable(E.density_clusters(E.projected(users, "user_id", USER_COLUMNS, CATEGORIES)), "userclusters")
+
+
+@query("density_clusters")
+def _(s):
+    return E.cluster_profiles(user_clusters(s), USER_COLUMNS)
+
+
+@query("segment_bridge_clusters")
+def _(s):
+    """CVR of listings by health segment and the cluster of their behavior."""
+    rows = durable(E.with_positive(E.health_segments(listings(s)), s.ev), "health")
+    clusters = E.density_clusters(E.projected(rows, "item_id", LISTING_COLUMNS, CATEGORIES)).select("item_id", "cluster")
+    return E.segment_bridge(rows.join(clusters, "item_id"), ["category", "health_segment", "cluster", "ad_type"], 2)
+
+
+@query("user_positive_rate_clusters")
+def _(s):
+    return E.user_positive_rate(user_clusters(s), s.ev, "cluster")
+
+
+@query("session_funnel_clusters")
+def _(s):
+    return E.session_funnel_by_cluster(s.ev, E.session_journey_features(s.ev, 2), user_clusters(s))
