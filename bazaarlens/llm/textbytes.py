@@ -2,11 +2,14 @@
 
 A batch is walked in chunks of a few MB, so a task's temporary arrays stay bounded whatever the
 batch holds; one text is never split. Hashes are 64-bit polynomial sums over random byte values, so
-the hash of any span of bytes or words comes from two prefix sums.
+the hash of any span of bytes or words comes from two prefix sums. Modulo a power of two, certain
+words of 1024 letters and more share their sum whatever the base, so long words are named by a
+cryptographic hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
+#: Words from this length on are hashed as a whole.
+LONG_WORD = 256
 
 _U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -159,7 +164,10 @@ def words(chunk: Chunk, table: np.ndarray, data: np.ndarray | None = None) -> Wo
 
 
 def word_hashes(data: np.ndarray, found: Words) -> np.ndarray:
-    return span_hash(prefix_sums(BYTE_VALUES[data]), found.start, found.end)
+    out = span_hash(prefix_sums(BYTE_VALUES[data]), found.start, found.end)
+    for i in np.flatnonzero(found.end - found.start >= LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[found.start[i] : found.end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

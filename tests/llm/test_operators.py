@@ -18,6 +18,12 @@ SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, n string"
 
 
+def twins(n):
+    """Two words whose polynomial hashes modulo a power of two are equal for every base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 def made(n=160, seed=3):
     """Copies, near copies, shared passages, repeated and missing ids, null, empty, long and repetitive texts."""
     r = random.Random(seed)
@@ -27,6 +33,8 @@ def made(n=160, seed=3):
         p = r.choice(base).split() + r.choice(base).split()[: r.randint(0, 50)]
         if r.random() < 0.5 and p:
             p[r.randrange(len(p))] = f"edit{i % 7}"
+        if r.random() < 0.1:
+            p.insert(0, twins(r.choice([1024, 2048]))[r.random() < 0.5])
         rows.append((r.choice([i, i, i, None, 7]), r.choice([" ".join(p)] * 12 + [None, "", " \n", "ha " * 400, "é" * 100 + "\0" * 60]), r.choice(["en", "de", None, "xx"]), r.choice(["s", "s", "t", None]), 1, 5, "n"))
     return rows
 
@@ -56,6 +64,17 @@ def test_near_in_blocks(spark, monkeypatch):
     assert ordered(ngram_join.jaccard_components(docs).collect()) == ordered(brute.near(rows_of(docs)))
 
 
+def test_levels_of_more_buckets_than_the_bitmaps_have_words(spark):
+    """Every shingle of two documents is marked, however many shuffle partitions a cluster uses."""
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "x y z w v")], "doc_id long, text string")
+    maps = ngram_join._levels(docs, 4, 20_000)
+    hashes = np.concatenate([h for _, _, h in ngram_join.shingle_sets(docs.select("text").limit(1).toArrow().column("text").combine_chunks(), 4)])
+    bits = ngram_join._place(hashes, 20_000, ngram_join.LEVELS[0][1])
+    marks = np.unpackbits(maps[0], bitorder="little")
+    assert marks[bits.astype(np.int64)].all() and marks.sum() <= len(hashes)
+
+
 def test_divide_skip_links_what_a_plain_join_links():
     r = random.Random(1)
     for _ in range(30):
@@ -137,6 +156,39 @@ def test_packing(docs):
     assert tokens == expected
 
 
+def plain_best_fit(sizes, sources, clusters, capacity):
+    """Every bin is looked at for every piece."""
+    bins, at = [], {}
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fits = [(capacity - used, b) for b, (used, s, c) in enumerate(bins) if used + sizes[i] <= capacity and sources[i] not in s and clusters[i] not in c and used < capacity]
+        b = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append((0, set(), set()))
+        used, s, c = bins[b]
+        at[i] = (b, used)
+        bins[b] = (used + sizes[i], s | ({sources[i]} - {-1}), c | ({clusters[i]} - {-1}))
+    return [at[i][0] for i in range(len(sizes))], [at[i][1] for i in range(len(sizes))]
+
+
+def test_best_fit_equals_the_plain_rule():
+    r = random.Random(7)
+    for n, kinds in ((200, 9), (200, 60), (120, 1)):
+        pieces = [r.randint(1, 100) for _ in range(n)], [r.randint(-1, kinds) for _ in range(n)], [r.choice([-1, r.randint(0, n)]) for _ in range(n)]
+        assert packing.best_fit(*pieces, 100) == plain_best_fit(*pieces, 100)
+
+
+def test_packing_equals_the_plain_rule(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    pieces = []
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        n = len(brute.PLAIN.findall(r.text or "")) + 1
+        pieces += [(r.doc_id, k, min(packing.CAPACITY, n - at), r.source, r.text or "") for k, at in enumerate(range(0, n, packing.CAPACITY))]
+    number = lambda values: [-1 if v is None else sorted({x for x in values if x is not None}).index(v) for v in values]
+    bins, offsets = plain_best_fit([p[2] for p in pieces], number([p[3] for p in pieces]), number([p[4] for p in pieces]), packing.CAPACITY)
+    got = {(r.doc_id, r.piece): (r.bin, r.bin_offset, r.n_tokens) for r in packing.pack(docs).collect()}
+    assert got == {(p[0], p[1]): (b, o, p[2]) for p, b, o in zip(pieces, bins, offsets)}
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins, offsets = packing.best_fit([60, 70, 30, 25, 25], [0, 1, 1, 2, 2], [-1] * 5, 100)
     assert bins == [1, 0, 1, 0, 2] and offsets == [0, 0, 60, 70, 0]
@@ -165,7 +217,7 @@ def test_js_distance(spark):
 
 def test_scores(docs):
     got = ordered(ppm.score_digest(docs).collect())
-    want = ordered(brute.scores(rows_of(docs), ppm.ORDER, ppm.MIN_SHARE))
+    want = ordered(brute.scores(rows_of(docs), ppm.ORDER))
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for i in (5, 6):
         assert [r[i] for r in got] == pytest.approx([r[i] for r in want], rel=1e-9)
@@ -299,7 +351,7 @@ def test_scores_keep_rare_contexts(spark):
     train, held = [[i for i in range(1, 300) if brute.held_out(i) == h] for h in (False, True)]
     rows = [(train[0], "ab cd " * 400_000), (train[1], "the quixotic zephyr"), (train[2], "the quixotic zephyr"), (held[0], "the quixotic zephyr ab"), (held[1], "unknown")]
     got = {r.doc_id: r.score for r in ppm.score_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == pytest.approx({r[0]: r[6] for r in brute.scores(rows, ppm.ORDER, 0)}, rel=1e-9)
+    assert got == pytest.approx({r[0]: r[6] for r in brute.scores(rows, ppm.ORDER)}, rel=1e-9)
 
 
 @pytest.mark.parametrize("limit", [0, 2])
@@ -344,3 +396,10 @@ def test_secrets_without_digits_are_candidates(spark):
     got = {r.key: r for r in pii.votes(pii.candidates(docs)).collect()}
     assert {k: (r.kind, r.match, r.v_secret_context) for k, r in got.items()} == {1: ("secret", "abcdefghijklmnopqrstuvwxyz", 1), 2: ("secret", "ABCDEFGHIJKLMNOPQRST", 1)}
     assert [r.key for r in docs.filter(pii.may_hold(F.col("text"))).orderBy("key").collect()] == [1, 2]
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail bob@example.com now", 5, 6, None), (2, None, 7, 8, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _ long, __ long, key string")
+    got = {r.doc_id: tuple(r) for r in pii.redact(docs).collect()}
+    assert got == {1: (1, "mail [EMAIL] now", 5, 6, None), 2: (2, None, 7, 8, "x")}
