@@ -35,8 +35,6 @@ from bazaarlens.session import durable
 ORDER = 5
 #: Orders that are broadcast; their entries are at most the strings of so many bytes.
 SHORT = 3
-#: Share of the training bytes that an entry needs: none, all are kept.
-MIN_SHARE = 0.0
 #: Bytes of text in a unit.
 UNIT_BYTES = 1 << 23
 FOLDS, HELD_OUT = 7, 2
@@ -302,7 +300,7 @@ def unigram_sums(docs: DataFrame, buckets: int) -> DataFrame:
                 continue
             hashes, row = (np.concatenate(x) for x in zip(*found))
             del found
-            bucket = (hashes % np.uint64(buckets)).astype(np.int16)
+            bucket = (hashes % np.uint64(buckets)).astype(np.int32)
             by_bucket = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
             for b in range(buckets):

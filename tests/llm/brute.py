@@ -98,7 +98,7 @@ def held_out(d):
     return zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
 
 
-def scores(rows, order, share):
+def scores(rows, order):
     """Word unigram figures and the byte model's score, by dictionaries."""
     tokens = [PLAIN.findall(lower(t)) + [None] for _, t in rows]
     count = collections.Counter(x for (d, _), w in zip(rows, tokens) if not held_out(d) for x in w)
@@ -112,11 +112,6 @@ def scores(rows, order, share):
             for i in range(order, len(s)):
                 for k in range(order + 1):
                     table[k][s[i - k : i]][s[i]] += 1
-    for k in range(order + 1):
-        for context in list(table[k]):
-            table[k][context] = {b: n for b, n in table[k][context].items() if n >= size * share}
-            if not table[k][context]:
-                del table[k][context]
 
     def model(s):
         out = 0.0
