@@ -204,7 +204,8 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; overlapping spans become one."""
     own = [c for c in docs.columns if c not in ("doc_id", "text")]
-    plain = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0).alias("_")).alias("_own"))
+    filler = "_" * (1 + max([0, *map(len, own)]))  # no column's name; a struct needs a field
+    plain = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0).alias(filler)).alias("_own"))
     rows, _ = keyed(plain, "_own")
     found = spans(rows.select("key", "text"))
     order = W.partitionBy("key").orderBy("start", F.col("end").desc())
