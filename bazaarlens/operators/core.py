@@ -39,6 +39,17 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, r
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
+def at_most(df: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
+    """``df``, once it is sure that no key has more than ``most`` rows; else the job raises.
+
+    For operators that gather a key's rows in one array: map tasks stop at one row too many, so a
+    key beyond the bound is never gathered, and nothing is cut in silence.
+    """
+    rows = top_n(df, keys, order, most + 1, "__nth")
+    told = F.concat(F.lit(f"more than {most} rows for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    return rows.filter(F.when(F.col("__nth") > most, F.raise_error(told).cast("boolean")).otherwise(F.lit(True))).drop("__nth")
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return top_n(df, keys, order, 1, "__rn").drop("__rn")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import decay, flag, is_login, is_positive, weighted
-from bazaarlens.operators.core import first_rows, histogram, join_keys, prefix_sums, top_n
+from bazaarlens.operators.core import at_most, first_rows, histogram, join_keys, prefix_sums, top_n
 from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.windows import min_max_norm
 
@@ -112,13 +112,15 @@ def cold_override(ranked: DataFrame, cold_users: DataFrame, cold_list: Column) -
 
 
 def diversity_cap(
-    ranked: DataFrame, dim: DataFrame, k: int = 10, max_seller: int = 7, max_district: int = 8, bonus: float = 0.05, fresh_days: int = 7
+    ranked: DataFrame, dim: DataFrame, k: int = 10, max_seller: int = 7, max_district: int = 8, bonus: float = 0.05, fresh_days: int = 7, most: int = 5000
 ) -> DataFrame:
     """Greedy list under a seller and a district cap with a freshness bonus, back-filled to k.
 
-    The two caps depend on earlier picks, so each user's short sorted list is folded once.
+    The two caps depend on earlier picks, so each user's short sorted list is folded once; a list of
+    more than ``most`` candidates raises.
     """
-    joined = ranked.select("user_id", "item_id", "score").join(dim.select("item_id", "seller_id", "district_name", "age"), "item_id", "left")
+    short = at_most(ranked.select("user_id", "item_id", "score"), ["user_id"], [F.desc("score"), F.asc("item_id")], most)
+    joined = short.join(dim.select("item_id", "seller_id", "district_name", "age"), "item_id", "left")
     scored = joined.withColumn("score", F.col("score") + F.when(F.col("age") <= fresh_days, bonus).otherwise(0.0))
     row = F.struct((-F.round("score", 9)).alias("o"), F.col("item_id"), F.col("seller_id"), F.col("district_name"), F.col("score"))
     lists = scored.groupBy("user_id").agg(F.sort_array(F.collect_list(row)).alias("all"))

@@ -14,7 +14,9 @@ from bazaarlens.functions.columns import decay, seconds, unit, weighted
 from bazaarlens.operators.core import in_slices, join_keys, running_count, top_n
 from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.quality import RENT_ORDER, SALE_ORDER
-from bazaarlens.operators.vector_index import Cells, Index, build_index, code_scores, nearest_cells, reachable_cells, vectors_of
+from bazaarlens.operators.vector_index import (
+    Cells, Index, blocks_to_cells, blocks_to_reachable_cells, build_index, code_scores, nearest_cells, vectors_of,
+)
 from bazaarlens.operators.windows import gap_sessionize
 from bazaarlens.session import durable, shared_folder
 from bazaarlens.sources.star import global_row_number
@@ -122,34 +124,37 @@ def nearest_items(
     built = build_index(items, cells, seed=seed)
     if built is None:
         return users.sparkSession.createDataFrame([], f"{schema}, rank int")
-    probed = durable(nearest_cells(users, built, probes, coarse_probes), "probed")
+    rows = users.select("user_id", "uvec")
+    if seen is not None:  # per user at most one entry for each cell of the model
+        per_cell = seen.join(built.rows.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.count("*").cast("int").alias("n"))
+        rows = rows.join(per_cell.groupBy("user_id").agg(F.collect_list(F.struct("cell", "n")).alias("seen")), "user_id", "left")
+    probed = durable(nearest_cells(rows, built, probes, coarse_probes), "probed")
     order = [F.desc(F.round("score", 9)), F.asc("item_id")]
-    first_cells = probed.select("user_id", "uvec", F.explode("cells").alias("cell"))
     if not exact:
-        rough = _read_cells(first_cells, built, seen, block, ["cell", "code"], _best_of_codes(built.index, keep or 5 * k), schema)
+        rough = _meet(blocks_to_cells(probed, built, block), _packed(built, ["cell", "code"], block), built, seen, block, _best_of_codes(built.index, keep or 5 * k), schema)
         kept = top_n(rough, ["user_id"], order, keep or 5 * k).select("user_id", "item_id")
         return top_n(_exact_scores(kept, probed, built.rows, schema), ["user_id"], order, k)
 
-    first = durable(top_n(_read_cells(first_cells, built, seen, block, ["cell", "ivec"], _best_of_blocks(k), schema), ["user_id"], order, k), "first")
+    packed = durable(_packed(built, ["cell", "ivec"], block), "packed")
+    first = durable(top_n(_meet(blocks_to_cells(probed, built, block), packed, built, seen, block, _best_of_blocks(k), schema), ["user_id"], order, k), "first")
     reach = first.groupBy("user_id").agg(
         F.when(F.count("*") == k, F.sqrt(F.greatest(2.0 - 2.0 * F.min("score"), F.lit(0.0)))).alias("reach"))
-    more = reachable_cells(probed.join(reach, "user_id", "left"), built)
-    both = first.select("user_id", "item_id", "score").unionByName(_read_cells(more, built, seen, block, ["cell", "ivec"], _best_of_blocks(k), schema))
+    more = blocks_to_reachable_cells(probed.join(reach, "user_id", "left"), built, block)
+    both = first.select("user_id", "item_id", "score").unionByName(_meet(more, packed, built, seen, block, _best_of_blocks(k), schema))
     return top_n(both, ["user_id"], order, k)
 
 
-def _read_cells(wanted: DataFrame, built: Cells, seen: DataFrame | None, block: int, columns: Sequence[str], best, schema: str) -> DataFrame:
-    """(user_id, item_id, score): what ``best`` takes from each pair of a user block and an item block of the ``wanted`` cells."""
-    rows = wanted.withColumn("extra", F.lit(0))
-    if seen is not None:
-        per_cell = seen.join(built.rows.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.count("*").alias("n"))
-        rows = rows.join(per_cell, ["user_id", "cell"], "left").withColumn("extra", F.coalesce("n", F.lit(0))).drop("n")
-    vector = columns[-1]
-    packed = _blocks(built.rows.select("item_id", *columns), "item_id", vector, block).withColumnRenamed("block", "piece")
+def _packed(built: Cells, columns: Sequence[str], block: int) -> DataFrame:
+    """The items of every cell in pieces of about ``block``."""
+    return _blocks(built.rows.select("item_id", *columns), "item_id", columns[-1], block).withColumnRenamed("block", "piece")
+
+
+def _meet(sent: DataFrame, packed: DataFrame, built: Cells, seen: DataFrame | None, block: int, best, schema: str) -> DataFrame:
+    """(user_id, item_id, score): what ``best`` takes from each pair of a user block and an item piece of its cell."""
     last = [(c, math.ceil(n / block) - 1) for c, n in enumerate(built.n.tolist()) if n]  # one row per cell of the model
-    pieces = wanted.sparkSession.createDataFrame(last, "cell int, last int")
-    sent = _blocks(rows, "user_id", "uvec", block, "extra").drop("block").join(pieces, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    hits = sent.join(packed, ["cell", "piece"]).mapInPandas(best, schema)
+    pieces = sent.sparkSession.createDataFrame(last, "cell int, last int")
+    dealt = sent.join(pieces, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    hits = dealt.join(packed, ["cell", "piece"]).mapInPandas(best, schema)
     return hits if seen is None else hits.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
 
 
@@ -164,18 +169,14 @@ def _exact_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, schema:
     return both.select("user_id", "item_id", "uvec", "ivec").mapInArrow(dots, schema)
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, size: int, extra: str | None = None) -> DataFrame:
-    """Rows of a cell packed into blocks of about ``size``: ids and one flat vector array each."""
+def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Rows of a cell packed into blocks of about ``size``: ids and one flat vector array (or the codes) each."""
     counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
-    row = [key, vector] + ([extra] if extra else [])
     cut = rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("n_blocks")).cast("int"))
-    packed = cut.groupBy("cell", "block").agg(F.collect_list(F.struct(*row)).alias("l"))
+    packed = cut.groupBy("cell", "block").agg(F.collect_list(F.struct(key, vector)).alias("l"))
     values = F.transform("l", lambda x: x[vector])
     flat = F.flatten(values) if dict(rows.dtypes)[vector].startswith("array") else values
-    out = [F.transform("l", lambda x: x[key]).alias(f"{key}s"), flat.alias(f"{vector}s")]
-    if extra:
-        out.append(F.transform("l", lambda x: x[extra]).alias("extras"))
-    return packed.select("cell", "block", *out)
+    return packed.select("cell", "block", F.transform("l", lambda x: x[key]).alias(f"{key}s"), flat.alias(f"{vector}s"))
 
 
 def _best_rows(users, items, extras, scores, k: int):

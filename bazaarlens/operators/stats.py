@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.columns import as_col, pct, ratio
 from bazaarlens.operators.core import (
-    histogram, join_keys, prefix_sums, quantiles, ranks, share_of_all, share_within,
+    at_most, histogram, join_keys, prefix_sums, quantiles, ranks, share_of_all, share_within,
 )
 
 
@@ -42,17 +42,18 @@ def mode_value(df: DataFrame, keys: Sequence[str], value: str, out: str = "mode"
     )
 
 
-def string_list_agg(df: DataFrame, keys: Sequence[str], value: str, out: str, sep: str = ", ") -> DataFrame:
-    """Distinct values of a small domain (categories, channels) joined into one text per key."""
-    return df.select(*keys, value).distinct().groupBy(*keys).agg(
+def string_list_agg(df: DataFrame, keys: Sequence[str], value: str, out: str, sep: str = ", ", most: int = 1000) -> DataFrame:
+    """Distinct values of a small domain (categories, channels) joined into one text per key; more than ``most`` raise."""
+    values = at_most(df.select(*keys, value).distinct(), keys, [F.asc(value)], most)
+    return values.groupBy(*keys).agg(
         F.array_join(F.sort_array(F.collect_list(value)), sep).alias(out)
     )
 
 
-def ordered_list_agg(df: DataFrame, keys: Sequence[str], rank: str, value: str, out: str) -> DataFrame:
-    """The key's list in rank order; meant for ranked lists, which have at most k rows per key."""
+def ordered_list_agg(df: DataFrame, keys: Sequence[str], rank: str, value: str, out: str, most: int = 10_000) -> DataFrame:
+    """The key's list in rank order; meant for ranked lists, so more than ``most`` rows of a key raise."""
     pairs = F.sort_array(F.collect_list(F.struct(rank, value)))
-    return df.groupBy(*keys).agg(F.transform(pairs, lambda p: p[value]).alias(out))
+    return at_most(df, keys, [F.asc(rank), F.asc(value)], most).groupBy(*keys).agg(F.transform(pairs, lambda p: p[value]).alias(out))
 
 
 def having_min_n(df: DataFrame, dims: Sequence[str], aggs: Sequence[Column], min_n: int) -> DataFrame:

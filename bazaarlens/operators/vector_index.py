@@ -125,39 +125,90 @@ def _nearest_cells(index: Index, filled: np.ndarray, probes: int, coarse_probes:
                 distances = np.where(rank[:, index.of] < coarse_probes, distances, np.inf)
             order = distances.argsort(axis=1, kind="stable")[:, :probes]
             found = [[int(c) for c in row if np.isfinite(d[c])] for row, d in zip(order, distances)]
-            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("uvec"), pa.array(found, pa.list_(pa.int32()))], ["user_id", "uvec", "cells"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
     return run
 
 
 def nearest_cells(users: DataFrame, cells: Cells, probes: int, coarse_probes: int | None = None) -> DataFrame:
-    """(user_id, uvec, cells): the ``probes`` nearest filled cells of each user, looked for in the nearest coarse cells."""
-    kind = users.schema["user_id"].dataType.simpleString()
-    rows = users.select("user_id", F.col("uvec").cast("array<double>").alias("uvec"))
-    return rows.mapInArrow(_nearest_cells(cells.index, cells.n > 0, probes, coarse_probes), f"user_id {kind}, uvec array<double>, cells array<int>")
+    """``users`` (with ``uvec``) and ``cells``: the ``probes`` nearest filled cells of each, looked for in the nearest coarse cells."""
+    rows = users.withColumn("uvec", F.col("uvec").cast("array<double>"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(_nearest_cells(cells.index, cells.n > 0, probes, coarse_probes), f"{schema}, cells array<int>")
+
+
+def _listed(n_cells: int):
+    def choose(batch: pa.RecordBatch, points: np.ndarray) -> np.ndarray:
+        wanted = np.zeros((len(points), n_cells), dtype=bool)
+        for i, cells in enumerate(batch.column("cells").to_pylist()):
+            wanted[i, cells] = True
+        return wanted
+
+    return choose
 
 
 def _reachable(index: Index, radius: np.ndarray, filled: np.ndarray):
+    def choose(batch: pa.RecordBatch, points: np.ndarray) -> np.ndarray:
+        reach = batch.column("reach").to_numpy(zero_copy_only=False)
+        bound = np.sqrt(squared_distances(points, index.fine)) - radius[None, :]
+        wanted = filled[None, :] & (np.isnan(reach)[:, None] | (bound <= reach[:, None] + 1e-6))
+        for i, done in enumerate(batch.column("cells").to_pylist()):
+            wanted[i, done] = False
+        return wanted
+
+    return choose
+
+
+def _blocks_of_users(choose, block: int, rows: int = 16384):
+    def lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
     def run(batches):
-        for batch in batches:
-            points = vectors_of(batch.column("uvec"))
-            reach = batch.column("reach").to_numpy(zero_copy_only=False)
-            bound = np.sqrt(squared_distances(points, index.fine)) - radius[None, :]
-            wanted = filled[None, :] & (np.isnan(reach)[:, None] | (bound <= reach[:, None] + 1e-6))
-            for i, done in enumerate(batch.column("cells").to_pylist()):
-                wanted[i, done] = False
-            u, c = np.nonzero(wanted)
-            at = pa.array(u)
-            yield pa.RecordBatch.from_arrays([batch.column("user_id").take(at), batch.column("uvec").take(at), pa.array(c.astype(np.int32))], ["user_id", "uvec", "cell"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, block):
+                batch = whole.slice(start, block)
+                points = vectors_of(batch.column("uvec"))
+                seen = np.zeros((0, 0), dtype=np.int32)
+                wanted = choose(batch, points)
+                if "seen" in batch.schema.names:
+                    seen = np.zeros(wanted.shape, dtype=np.int32)
+                    for i, pairs in enumerate(batch.column("seen").to_pylist()):
+                        for p in pairs or ():
+                            seen[i, p["cell"]] = p["n"]
+                cell, user = np.nonzero(wanted.T)
+                ends = np.flatnonzero(np.diff(cell, append=-1)) + 1
+                at = 0
+                while at < len(cell):  # whole cells, about ``rows`` users in all
+                    to = int(ends[max(np.searchsorted(ends, at + rows, "right") - 1, np.searchsorted(ends, at, "right"))])
+                    c, u = cell[at:to], user[at:to]
+                    heads = np.flatnonzero(np.diff(c, prepend=-1))
+                    offsets = np.append(heads, len(c))
+                    extra = seen[u, c] if seen.size else np.zeros(len(c), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c[heads].astype(np.int32)), lists(batch.column("user_id").take(pa.array(u)), offsets),
+                         lists(pa.array(points[u].ravel()), offsets * points.shape[1]), lists(pa.array(extra.astype(np.int32)), offsets)],
+                        ["cell", "user_ids", "uvecs", "extras"])
+                    at = to
 
     return run
 
 
-def reachable_cells(users: DataFrame, cells: Cells) -> DataFrame:
-    """(user_id, uvec, cell): the other cells that can hold something within each user's ``reach`` (null: anything)."""
+def _sent(users: DataFrame, choose, block: int) -> DataFrame:
     kind = users.schema["user_id"].dataType.simpleString()
-    rows = users.select("user_id", "uvec", "cells", "reach")
-    return rows.mapInArrow(_reachable(cells.index, cells.radius, cells.n > 0), f"user_id {kind}, uvec array<double>, cell int")
+    return users.mapInArrow(_blocks_of_users(choose, block), f"cell int, user_ids array<{kind}>, uvecs array<double>, extras array<int>")
+
+
+def blocks_to_cells(probed: DataFrame, cells: Cells, block: int) -> DataFrame:
+    """(cell, user_ids, uvecs, extras): blocks of up to ``block`` users for each of their ``cells``; ``extras`` counts what they have seen there.
+
+    Blocks are cut from the rows as they come, inside the task: nothing is shuffled to form them.
+    """
+    return _sent(probed, _listed(len(cells.n)), block)
+
+
+def blocks_to_reachable_cells(probed: DataFrame, cells: Cells, block: int) -> DataFrame:
+    """The same for all other cells that can hold something within each user's ``reach`` (null: anything)."""
+    return _sent(probed, _reachable(cells.index, cells.radius, cells.n > 0), block)
 
 
 def code_scores(index: Index, cell: int, users: np.ndarray, codes: np.ndarray) -> np.ndarray:

@@ -170,3 +170,53 @@ def test_few_and_no_items(spark):
     assert retrieve.nearest_items(u, i.limit(0), None, 10).count() == 0
     assert retrieve.nearest_items(u.limit(0), i, None, 10).count() == 0
     assert vector_index.build_index(i.limit(0)) is None
+
+
+# ---- pointwise rankers ---------------------------------------------------------------------------
+
+NAMES = ["taste", "level", "noise"]
+OPTIONS = {"depth": 2, "iterations": 4}
+
+
+@pytest.fixture(scope="module")
+def lists(spark):
+    return spark.createDataFrame(shops(3, users=40, items=12), "user_id long, item_id long, label int, taste double, level double, noise double").cache()
+
+
+def test_importance_finds_the_feature_that_carries_the_label(spark, lists):
+    models = rank.train_ranker(lists, NAMES, seeds=(1, 2), **OPTIONS)
+    got = {r.feature: r.importance for r in rank.feature_importance(spark, models, NAMES).collect()}
+    assert sum(got.values()) == pytest.approx(1) and got["taste"] > 0.5 > got["noise"]
+
+
+def test_top_k_is_the_order_of_the_mean_score(lists):
+    models = rank.train_ranker(lists, NAMES, seeds=(1, 2), **OPTIONS)
+    scored = rank.score(lists, models, NAMES).collect()
+    each = [{(r.user_id, r.item_id): r.score for r in rank.score(lists, [m], NAMES).collect()} for m in models]
+    assert all(r.score == pytest.approx((each[0][r.user_id, r.item_id] + each[1][r.user_id, r.item_id]) / 2) for r in scored)
+    want = sorted(((r.user_id, -r.score, r.item_id) for r in scored))
+    got = {(r.user_id, r["rank"]): r.item_id for r in rank.score_and_top_k(lists, models, NAMES, 3).collect()}
+    for u in {x[0] for x in want}:
+        assert [got[u, k] for k in (1, 2, 3)] == [i for v, _, i in want if v == u][:3]
+
+
+def test_each_part_of_the_market_has_its_own_model(lists, monkeypatch):
+    seen = []
+    train = rank.train_ranker
+    monkeypatch.setattr(rank, "train_ranker", lambda rows, *a, **k: seen.append((rows.count(), train(rows, *a, **k))) or seen[-1][1])
+    metro = F.col("item_id") < 5
+    got = {(r.user_id, r.item_id): r.score for r in rank.geo_expert_ranker(lists, NAMES, metro, **OPTIONS).collect()}
+    assert [n for n, _ in seen] == [40 * 5, 40 * 7] and len(got) == 40 * 12
+    for part, (_, models) in zip((lists.filter(metro), lists.filter(~metro)), seen):
+        assert all(got[r.user_id, r.item_id] == pytest.approx(r.score) for r in rank.score(part, models, NAMES).collect())
+
+
+def test_cold_track_ignores_user_features_and_keeps_the_pool(spark, lists, monkeypatch):
+    seen = []
+    train = rank.train_ranker
+    monkeypatch.setattr(rank, "train_ranker", lambda *a, **k: seen.append(train(*a, **k)) or seen[-1])
+    pool = lists.groupBy("item_id").agg(F.avg("taste").alias("taste"), F.avg("level").alias("level"), F.avg("noise").alias("noise"), F.sum("label").alias("pop"))
+    best = spark.range(1).select(rank.cold_track(lists, NAMES, ["taste"], pool, "pop", size=5, k=3, **OPTIONS).alias("a")).first().a
+    assert seen[0][0].featureImportances[0] == 0.0 and sum(seen[0][0].featureImportances) == pytest.approx(1)
+    popular = [r.item_id for r in pool.orderBy(F.desc("pop"), "item_id").limit(5).collect()]
+    assert len(best) == 3 and set(best) <= set(popular)

@@ -192,3 +192,17 @@ def test_band_counts_equal_the_pairs_and_make_none(spark):
     pairs = joins.ordinal_band_join(left, right, ["k", "j"], "u", "i").groupBy("who").agg(F.count("*").alias("n"), F.countDistinct("item").alias("items"))
     counts = joins.ordinal_band_counts(left, right, "who", ["k", "j"], "u", "i")
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_lists_beyond_their_bound_raise_instead_of_growing(spark):
+    rows = spark.createDataFrame([(u, r, 100 + r) for u in (1, 2) for r in range(1, 4 + u)], "user_id int, rank int, item_id int")
+    assert {r.user_id: r["items"] for r in stats.ordered_list_agg(rows, ["user_id"], "rank", "item_id", "items", most=5).collect()} == {1: [101, 102, 103, 104], 2: [101, 102, 103, 104, 105]}
+    with pytest.raises(Exception, match="more than 4 rows for 2"):
+        stats.ordered_list_agg(rows, ["user_id"], "rank", "item_id", "items", most=4).collect()
+    with pytest.raises(Exception, match="more than 3 rows"):
+        stats.string_list_agg(rows.withColumn("t", F.col("rank").cast("string")), ["user_id"], "t", "all", most=3).collect()
+    scored = rows.select("user_id", "item_id", F.col("rank").cast("double").alias("score"))
+    dim = rows.select("item_id", F.lit("s").alias("seller_id"), F.lit("d").alias("district_name"), F.lit(3).alias("age")).distinct()
+    assert post.diversity_cap(scored, dim, k=2, most=5).count() == 4
+    with pytest.raises(Exception, match="more than 4 rows"):
+        post.diversity_cap(scored, dim, k=2, most=4).collect()
