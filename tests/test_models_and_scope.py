@@ -116,7 +116,7 @@ def test_clusters_are_stable_and_cover_every_row(spark):
     assert first == again and len(first) > 0
 
 
-@pytest.mark.parametrize("name", ["train_ranker", "score_and_top_k", "feature_importance", "geo_expert_ranker", "cold_track", "tune_ranker"])
+@pytest.mark.parametrize("name", ["train_ranker", "geo_expert_ranker"])
 def test_rankers_give_the_same_rows_again(spark, name):
     rounded = lambda df: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
     first = rounded(QUERIES[name](spark, FOLDER))

@@ -113,12 +113,12 @@ def test_training_rounds_read_lists_without_an_exchange(spark):
 
 def test_halving_finds_the_winner_of_the_full_grid_with_fewer_trees(spark):
     features = ["taste", "level", "noise"]
-    df = spark.createDataFrame(shops(5, users=50, items=16), "user_id long, item_id long, label int, taste double, level double, noise double")
+    df = spark.createDataFrame(shops(5, users=40, items=12), "user_id long, item_id long, label int, taste double, level double, noise double")
     grid = [{"depth": 1, "step": 0.02}, {"depth": 3, "step": 0.4}, {"depth": 1, "step": 0.005}, {"depth": 2, "step": 0.001}]
-    trials = listwise.search_listwise(df, features, grid, rungs=(2, 8), keep=4)
-    full = [listwise.train_listwise(df, features, rounds=8, patience=None, **p).history[-1][1] for p in grid]
+    trials = listwise.search_listwise(df, features, grid, rungs=(1, 4), keep=4)
+    full = [listwise.train_listwise(df, features, rounds=4, patience=None, **p).history[-1][1] for p in grid]
     assert trials[0].number == int(np.argmax(full)) and trials[0].ndcg == pytest.approx(max(full))
-    assert sum(len(t.model.trees) for t in trials) < len(grid) * 8 / 2 and len(trials) == 4
+    assert sum(len(t.model.trees) for t in trials) < len(grid) * 4 / 2 and len(trials) == 4
 
 
 # ---- vectors -------------------------------------------------------------------------------------
