@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,10 +52,23 @@ def _unpack_ints(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=f"<i{data[0]}", offset=1).astype(np.int64)
 
 
-def _matrix(packed: list[bytes], dims: int) -> np.ndarray:
+def _matrix(packed: pa.Array, dims: int) -> np.ndarray:
+    """Packed vectors as rows, shorter ones padded with zeros; vectors of one length and width are read at once."""
+    packed = packed.combine_chunks() if isinstance(packed, pa.ChunkedArray) else packed
     out = np.zeros((len(packed), dims), dtype=np.int64)
-    for i, data in enumerate(packed):
-        part = _unpack_ints(data)
+    if not len(packed):
+        return out
+    _, offsets, data = packed.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    size = int(at[1] - at[0])
+    if (np.diff(at) == size).all():
+        raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].reshape(len(packed), size)
+        if (raw[:, 0] == raw[0, 0]).all():
+            part = np.ascontiguousarray(raw[:, 1:]).view(f"<i{raw[0, 0]}")
+            out[:, : part.shape[1]] = part
+            return out
+    for i, value in enumerate(packed.to_pylist()):
+        part = _unpack_ints(value)
         out[i, : len(part)] = part
     return out
 
@@ -103,7 +117,7 @@ def _blocks(objects: DataFrame, rows: int, n: int, dims: int, lists: int, cell:
 
     def pack(table: pa.Table) -> pa.Table:
         ids, cuts = table.column("id").to_numpy(), table.column("cut").to_numpy()
-        whole = _matrix(table.column("v").to_pylist(), dims)
+        whole = _matrix(table.column("v"), dims)
         return pa.table({
             cell: pa.array([table.column(cell)[0].as_py()] * lists, pa.int64()), "list": pa.array(range(lists), pa.int32()),
             "ids": pa.array([ids.tobytes()] * lists, pa.binary()), "cuts": pa.array([cuts.tobytes()] * lists, pa.binary()),
@@ -158,12 +172,12 @@ def _reaching(lists: int):
 
 def _dots(batches):
     for batch in batches:
-        a, b = (batch.column(c).to_pylist() for c in ("qv", "iv"))
-        dims = max([0, *map(len, a), *map(len, b)])
+        a, b = (batch.column(c) for c in ("qv", "iv"))
+        dims = max(pc.max(pc.binary_length(c)).as_py() or 0 for c in (a, b))  # no vector has more components than bytes
         x, y = _matrix(a, dims), _matrix(b, dims)
         if _most(x) * _most(y) * max(1, dims) >= 1 << 60:
             raise ValueError("inner products need more than 64 bits")
-        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("item"), batch.column("min_id"), pa.array((x * y).sum(axis=1), pa.int64())], ["q", "item", "min_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("item"), batch.column("min_id"), pa.array(np.einsum("ij,ij->i", x, y), pa.int64())], ["q", "item", "min_id", "score"])
 
 
 def exact_scores(pairs: DataFrame, queries: DataFrame, objects: DataFrame) -> DataFrame:
