@@ -50,12 +50,14 @@ class WordIds:
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.model = self.tokenizer.model
         self.parts: dict[bytes, bytes] = {}
+        #: Whether ids need more than two bytes.
+        self.wide = max(self.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         self.clear()
 
     def clear(self) -> None:
         self.hashes = np.zeros(self.SLOTS, dtype=np.uint64)
         self.entry = np.zeros(self.SLOTS, dtype=np.int32)
-        self.flat, self.flat_n = np.full(1 << 16, self.end_id, dtype=np.uint32), 1
+        self.flat, self.flat_n = np.full(1 << 16, self.end_id, dtype=np.uint32 if self.wide else np.uint16), 1
         self.start, self.size, self.n = np.zeros(1 << 16, dtype=np.int32), np.ones(1 << 16, dtype=np.int32), 1
 
     def part(self, raw: bytes) -> bytes:
@@ -120,11 +122,10 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(tokenizer, end_id)
-        wide = max(known.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         for rows in batches:
             for chunk in chunks(rows.column("text")):
                 ids, counts = known.ids(chunk.data, words(chunk, PLAIN_WORD))
-                raw = ids.astype("<u4" if wide else "<u2")
+                raw = ids.astype("<u4" if known.wide else "<u2")
                 offsets = np.concatenate(([0], np.cumsum(counts * raw.itemsize))).astype(np.int32)
                 part = rows.slice(int(chunk.rows[0]), len(chunk.rows))
                 yield batch(key=part.column("key"), doc_id=part.column("doc_id"), n=pa.array(counts.astype(np.int64)),
