@@ -35,8 +35,9 @@ from bazaarlens.session import durable
 ORDER = 5
 #: Orders that are broadcast; their entries are at most the strings of so many bytes.
 SHORT = 3
-#: Bytes of text in a unit.
+#: Bytes of text in a unit, and of those whose codes are looked up at a time.
 UNIT_BYTES = 1 << 23
+LOOKUP_BYTES = 1 << 20
 FOLDS, HELD_OUT = 7, 2
 NEW_LINE, SPACE = 10, 32
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -276,7 +277,10 @@ def score(docs: DataFrame, buckets: int) -> DataFrame:
                 value = np.concatenate([unpack(x["values"], "f8") for x in found])
                 first = np.cumsum(size) - size
                 use, each = coded(stream, first), np.zeros(len(stream))
-                each[use] = value[known.find(grams(stream)[use])]
+                for at in range(0, len(stream), LOOKUP_BYTES):  # so that a unit's codes never stand side by side
+                    low, to = max(0, at - ORDER), at + LOOKUP_BYTES
+                    code, own = grams(stream[low:to])[at - low :], use[at:to]
+                    each[at:to][own] = value[known.find(code[own])]
                 yield batch(
                     key=pa.array(keys), doc_id=pa.array(ids, mask=valid == 0), held_out=pa.array(out == 1), n_tokens=pa.array(tokens),
                     score=pa.array(np.add.reduceat(each, first)))

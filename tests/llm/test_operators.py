@@ -223,6 +223,14 @@ def test_scores(docs):
         assert [r[i] for r in got] == pytest.approx([r[i] for r in want], rel=1e-9)
 
 
+def test_scores_do_not_depend_on_the_slices_of_a_unit(spark, monkeypatch):
+    docs = spark.createDataFrame(made(40, 9), SCHEMA)
+    want = ordered(ppm.score_digest(docs).collect())
+    monkeypatch.setattr(ppm, "LOOKUP_BYTES", 97)
+    got = ordered(ppm.score_digest(docs).collect())
+    assert [r[0] for r in got] == [r[0] for r in want] and [r[6] for r in got] == pytest.approx([r[6] for r in want], rel=1e-12)
+
+
 def test_byte_model_beats_the_words_on_held_out_texts(spark):
     got = ppm.score_digest(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
