@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
@@ -15,7 +14,7 @@ from bazaarlens.operators.core import in_slices, join_keys, running_count, top_n
 from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.quality import RENT_ORDER, SALE_ORDER
 from bazaarlens.operators.vector_index import (
-    Cells, Index, blocks_to_cells, blocks_to_reachable_cells, build_index, code_scores, nearest_cells, vectors_of,
+    Cells, Index, blocks_to_cells, blocks_to_reachable_cells, build_index, code_scores, nearest_cells,
 )
 from bazaarlens.operators.windows import gap_sessionize
 from bazaarlens.session import durable, shared_folder
@@ -110,9 +109,10 @@ def nearest_items(
     number. For unit vectors cosine order is distance order, and by the triangle inequality a cell of
     radius r around c holds nothing nearer to u than d(u,c) - r. The nearest cells give each user a
     distance within which k unseen items already lie; only cells that could hold something nearer are
-    read in the second pass. So the ``exact`` form approximates nothing. Otherwise the codes of the
-    ``probes`` nearest cells, looked for in the ``coarse_probes`` nearest coarse cells, are scored, and
-    the ``keep`` best (5k) are ranked again by their vectors; nothing else is read.
+    read in the second pass, and of those only rows that reach the k-th score of the first. So the
+    ``exact`` form approximates nothing. Otherwise the codes of the ``probes`` nearest cells, looked for
+    in the ``coarse_probes`` nearest coarse cells, are scored, and the ``keep`` best (5k) of each piece of
+    a cell are ranked again by their vectors where they lie; nothing else is read.
 
     Work is dealt by (cell, item block): a user block goes to each item block of its cells, they meet
     as matrices of about ``block`` rows, and only each user's best rows leave the task, so a hot cell
@@ -131,63 +131,57 @@ def nearest_items(
     probed = durable(nearest_cells(rows, built, probes, coarse_probes), "probed")
     order = [F.desc(F.round("score", 9)), F.asc("item_id")]
     if not exact:
-        rough = _meet(blocks_to_cells(probed, built, block), _packed(built, ["cell", "code"], block), built, seen, block, _best_of_codes(built.index, keep or 5 * k), schema)
-        kept = top_n(rough, ["user_id"], order, keep or 5 * k).select("user_id", "item_id")
-        return top_n(_exact_scores(kept, probed, built.rows, schema), ["user_id"], order, k)
+        best = _best_of_codes(built.index, keep or 5 * k, k)
+        return top_n(_meet(blocks_to_cells(probed, built, block), _packed(built, ["cell", "code", "ivec"], block), seen, best, schema), ["user_id"], order, k)
 
     packed = durable(_packed(built, ["cell", "ivec"], block), "packed")
-    first = durable(top_n(_meet(blocks_to_cells(probed, built, block), packed, built, seen, block, _best_of_blocks(k), schema), ["user_id"], order, k), "first")
-    reach = first.groupBy("user_id").agg(
-        F.when(F.count("*") == k, F.sqrt(F.greatest(2.0 - 2.0 * F.min("score"), F.lit(0.0)))).alias("reach"))
+    first = durable(top_n(_meet(blocks_to_cells(probed, built, block), packed, seen, _best_of_blocks(k), schema), ["user_id"], order, k), "first")
+    full = F.when(F.count("*") == k, F.min("score"))
+    reach = first.groupBy("user_id").agg(full.alias("floor")).filter("floor is not null").withColumn("reach", F.sqrt(F.greatest(2.0 - 2.0 * F.col("floor"), F.lit(0.0))))
     more = blocks_to_reachable_cells(probed.join(reach, "user_id", "left"), built, block)
-    both = first.select("user_id", "item_id", "score").unionByName(_meet(more, packed, built, seen, block, _best_of_blocks(k), schema))
+    both = first.select("user_id", "item_id", "score").unionByName(_meet(more, packed, seen, _best_of_blocks(k), schema))
     return top_n(both, ["user_id"], order, k)
 
 
 def _packed(built: Cells, columns: Sequence[str], block: int) -> DataFrame:
     """The items of every cell in pieces of about ``block``."""
-    return _blocks(built.rows.select("item_id", *columns), "item_id", columns[-1], block).withColumnRenamed("block", "piece")
+    return _blocks(built.rows.select("item_id", *columns), "item_id", columns[1:], block).withColumnRenamed("block", "piece")
 
 
-def _meet(sent: DataFrame, packed: DataFrame, built: Cells, seen: DataFrame | None, block: int, best, schema: str) -> DataFrame:
-    """(user_id, item_id, score): what ``best`` takes from each pair of a user block and an item piece of its cell."""
-    last = [(c, math.ceil(n / block) - 1) for c, n in enumerate(built.n.tolist()) if n]  # one row per cell of the model
-    pieces = sent.sparkSession.createDataFrame(last, "cell int, last int")
-    dealt = sent.join(pieces, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    hits = dealt.join(packed, ["cell", "piece"]).mapInPandas(best, schema)
-    return hits if seen is None else hits.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+def _meet(sent: DataFrame, packed: DataFrame, seen: DataFrame | None, best, schema: str) -> DataFrame:
+    """(user_id, item_id, score): what ``best`` takes from each pair of a user block and an item piece of its cell.
 
-
-def _exact_scores(pairs: DataFrame, users: DataFrame, items: DataFrame, schema: str) -> DataFrame:
-    def dots(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("user_id"), b.column("item_id"), pa.array((vectors_of(b.column("uvec")) * vectors_of(b.column("ivec"))).sum(axis=1))], ["user_id", "item_id", "score"])
-
-    both = pairs.join(items.select("item_id", "ivec"), "item_id").join(users.select("user_id", "uvec"), "user_id")
-    return both.select("user_id", "item_id", "uvec", "ivec").mapInArrow(dots, schema)
+    User blocks are far larger than the rows they are cut from, and Spark judges them by those: they
+    must not be taken for a small table and sent through the driver.
+    """
+    dealt = sent.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    hits = dealt.hint("merge").join(packed.hint("merge"), ["cell", "piece"]).mapInPandas(best, schema)
+    return hits if seen is None else hits.join(seen.select("user_id", "item_id").hint("merge"), ["user_id", "item_id"], "left_anti")
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """Rows of a cell packed into blocks of about ``size``: ids and one flat vector array (or the codes) each."""
+def _blocks(rows: DataFrame, key: str, values: Sequence[str], size: int) -> DataFrame:
+    """Rows of a cell packed into blocks of about ``size``: ids and one flat array of each vector (or the codes)."""
     counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
     cut = rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("n_blocks")).cast("int"))
-    packed = cut.groupBy("cell", "block").agg(F.collect_list(F.struct(key, vector)).alias("l"))
-    values = F.transform("l", lambda x: x[vector])
-    flat = F.flatten(values) if dict(rows.dtypes)[vector].startswith("array") else values
-    return packed.select("cell", "block", F.transform("l", lambda x: x[key]).alias(f"{key}s"), flat.alias(f"{vector}s"))
+    packed = cut.groupBy("cell", "block").agg(F.collect_list(F.struct(key, *values)).alias("l"))
+    types = dict(rows.dtypes)
+
+    def flat(name: str) -> Column:
+        one = F.transform("l", lambda x: x[name])
+        return F.flatten(one) if types[name].startswith("array") else one
+
+    return packed.select("cell", "block", F.transform("l", lambda x: x[key]).alias(f"{key}s"), *[flat(v).alias(f"{v}s") for v in values])
 
 
-def _best_rows(users, items, extras, scores, k: int):
-    """Each user's best ``k`` rows of a block and as many as it has seen there, ties included."""
+def _best_rows(users, items, extras, floors, scores, k: int):
+    """Each user's best ``k`` rows of a block and as many as it has seen there, ties included; none below the floor."""
     import numpy as np
     import pandas as pd
 
     users, items, extras = np.asarray(users), np.asarray(items), np.asarray(extras)
     order = np.sort(scores, axis=1)
-    limit = order[np.arange(len(users)), len(items) - np.minimum(k + extras, len(items))]
-    u, i = np.nonzero(scores >= limit[:, None] - 1e-9)
+    limit = np.fmax(order[np.arange(len(users)), len(items) - np.minimum(k + extras, len(items))], np.asarray(floors, dtype=np.float64))
+    u, i = np.nonzero(scores >= limit[:, None] - 2e-9)  # scores are compared at nine digits
     return pd.DataFrame({"user_id": users[u], "item_id": items[i], "score": scores[u, i]})
 
 
@@ -198,23 +192,28 @@ def _best_of_blocks(k: int):
         import numpy as np
 
         for batch in batches:
-            for users, uvecs, extras, items, ivecs in zip(batch.user_ids, batch.uvecs, batch.extras, batch.item_ids, batch.ivecs):
+            for users, uvecs, extras, floors, items, ivecs in zip(batch.user_ids, batch.uvecs, batch.extras, batch.floors, batch.item_ids, batch.ivecs):
                 scores = np.asarray(uvecs).reshape(len(users), -1) @ np.asarray(ivecs).reshape(len(items), -1).T
-                yield _best_rows(users, items, extras, scores, k)
+                yield _best_rows(users, items, extras, floors, scores, k)
 
     return run
 
 
-def _best_of_codes(index: Index, k: int):
-    """As ``_best_of_blocks``, with scores estimated from the items' codes."""
+def _best_of_codes(index: Index, keep: int, k: int):
+    """As ``_best_of_blocks``, for each user only over the ``keep`` items (and as many as it has seen there) whose codes score best."""
 
     def run(batches):
         import numpy as np
 
         for batch in batches:
-            for cell, users, uvecs, extras, items, codes in zip(batch.cell, batch.user_ids, batch.uvecs, batch.extras, batch.item_ids, batch.codes):
+            for cell, users, uvecs, extras, floors, items, codes, ivecs in zip(
+                    batch.cell, batch.user_ids, batch.uvecs, batch.extras, batch.floors, batch.item_ids, batch.codes, batch.ivecs):
                 codes = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(items), -1)
-                yield _best_rows(users, items, extras, code_scores(index, int(cell), np.asarray(uvecs).reshape(len(users), -1), codes), k)
+                points, vectors = np.asarray(uvecs).reshape(len(users), -1), np.asarray(ivecs).reshape(len(items), -1)
+                rough = code_scores(index, int(cell), points, codes)
+                least = np.sort(rough, axis=1)[np.arange(len(users)), len(items) - np.minimum(keep + np.asarray(extras), len(items))]
+                scores = np.where(rough >= least[:, None], points @ vectors.T, -np.inf)
+                yield _best_rows(users, items, extras, floors, scores, k)
 
     return run
 

@@ -47,15 +47,20 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * a @ b.T, 0.0)
 
 
+def nearest(points: np.ndarray, to: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """The nearest row of ``to`` for each point, a slice of points at a time."""
+    return np.concatenate([squared_distances(points[i : i + rows], to).argmin(axis=1) for i in range(0, len(points), rows)])
+
+
 def centers(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Lloyd's k-means on a sample; a center without points moves to a random one."""
     k = max(1, min(k, len(points)))
     out = points[rng.choice(len(points), k, replace=False)].copy()
     for _ in range(rounds):
-        nearest = squared_distances(points, out).argmin(axis=1)
-        counts = np.bincount(nearest, minlength=k)
+        home = nearest(points, out)
+        counts = np.bincount(home, minlength=k)
         sums = np.zeros_like(out)
-        np.add.at(sums, nearest, points)
+        np.add.at(sums, home, points)
         out = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], points[rng.integers(0, len(points), k)])
     return out
 
@@ -63,7 +68,7 @@ def centers(points: np.ndarray, k: int, rng: np.random.Generator, rounds: int =
 def fit_index(points: np.ndarray, cells: int, parts: int, seed: int) -> Index:
     rng = np.random.default_rng(seed)
     coarse = centers(points, max(1, round(math.sqrt(cells))), rng)
-    home = squared_distances(points, coarse).argmin(axis=1)
+    home = nearest(points, coarse)
     fine, of = [], []
     for c in range(len(coarse)):
         own = points[home == c]
@@ -71,7 +76,7 @@ def fit_index(points: np.ndarray, cells: int, parts: int, seed: int) -> Index:
             fine.append(centers(own, max(1, round(cells * len(own) / len(points))), rng))
             of += [c] * len(fine[-1])
     every = np.concatenate(fine)
-    residuals = points - every[squared_distances(points, every).argmin(axis=1)]
+    residuals = points - every[nearest(points, every)]
     split = np.array_split(np.arange(points.shape[1]), max(1, min(parts, points.shape[1])))
     return Index(coarse, every, np.array(of), [centers(residuals[:, p], CODES, rng) for p in split])
 
@@ -159,7 +164,7 @@ def _reachable(index: Index, radius: np.ndarray, filled: np.ndarray):
     return choose
 
 
-def _blocks_of_users(choose, block: int, rows: int = 16384):
+def _blocks_of_users(choose, last: np.ndarray, block: int, rows: int = 16384):
     def lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
@@ -184,31 +189,35 @@ def _blocks_of_users(choose, block: int, rows: int = 16384):
                     heads = np.flatnonzero(np.diff(c, prepend=-1))
                     offsets = np.append(heads, len(c))
                     extra = seen[u, c] if seen.size else np.zeros(len(c), dtype=np.int32)
+                    floor = batch.column("floor").to_numpy(zero_copy_only=False)[u] if "floor" in batch.schema.names else np.full(len(u), np.nan)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[heads].astype(np.int32)), lists(batch.column("user_id").take(pa.array(u)), offsets),
-                         lists(pa.array(points[u].ravel()), offsets * points.shape[1]), lists(pa.array(extra.astype(np.int32)), offsets)],
-                        ["cell", "user_ids", "uvecs", "extras"])
+                        [pa.array(c[heads].astype(np.int32)), pa.array(last[c[heads]].astype(np.int32)), lists(batch.column("user_id").take(pa.array(u)), offsets),
+                         lists(pa.array(points[u].ravel()), offsets * points.shape[1]), lists(pa.array(extra.astype(np.int32)), offsets), lists(pa.array(floor), offsets)],
+                        ["cell", "last", "user_ids", "uvecs", "extras", "floors"])
                     at = to
 
     return run
 
 
-def _sent(users: DataFrame, choose, block: int) -> DataFrame:
+def _sent(users: DataFrame, cells: Cells, choose, block: int) -> DataFrame:
     kind = users.schema["user_id"].dataType.simpleString()
-    return users.mapInArrow(_blocks_of_users(choose, block), f"cell int, user_ids array<{kind}>, uvecs array<double>, extras array<int>")
+    last = np.ceil(cells.n / block) - 1
+    return users.mapInArrow(_blocks_of_users(choose, last, block), f"cell int, last int, user_ids array<{kind}>, uvecs array<double>, extras array<int>, floors array<double>")
 
 
 def blocks_to_cells(probed: DataFrame, cells: Cells, block: int) -> DataFrame:
-    """(cell, user_ids, uvecs, extras): blocks of up to ``block`` users for each of their ``cells``; ``extras`` counts what they have seen there.
+    """(cell, last, user_ids, uvecs, extras, floors): blocks of up to ``block`` users for each of their ``cells``.
 
-    Blocks are cut from the rows as they come, inside the task: nothing is shuffled to form them.
+    ``last`` is the number of the cell's last piece of ``block`` items, ``extras`` counts what the users
+    have seen there, ``floors`` holds their ``floor`` (NaN without one). Blocks are cut from the rows as
+    they come, inside the task: nothing is shuffled to form them.
     """
-    return _sent(probed, _listed(len(cells.n)), block)
+    return _sent(probed, cells, _listed(len(cells.n)), block)
 
 
 def blocks_to_reachable_cells(probed: DataFrame, cells: Cells, block: int) -> DataFrame:
     """The same for all other cells that can hold something within each user's ``reach`` (null: anything)."""
-    return _sent(probed, _reachable(cells.index, cells.radius, cells.n > 0), block)
+    return _sent(probed, cells, _reachable(cells.index, cells.radius, cells.n > 0), block)
 
 
 def code_scores(index: Index, cell: int, users: np.ndarray, codes: np.ndarray) -> np.ndarray:

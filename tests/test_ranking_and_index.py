@@ -220,3 +220,19 @@ def test_cold_track_ignores_user_features_and_keeps_the_pool(spark, lists, monke
     assert seen[0][0].featureImportances[0] == 0.0 and sum(seen[0][0].featureImportances) == pytest.approx(1)
     popular = [r.item_id for r in pool.orderBy(F.desc("pop"), "item_id").limit(5).collect()]
     assert len(best) == 3 and set(best) <= set(popular)
+
+
+def test_user_blocks_never_pass_through_the_driver_and_only_rows_above_the_floor_leave(spark, monkeypatch):
+    users, items = unit_rows(3, 60, 8, 4), unit_rows(4, 400, 8, 4)
+    u = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(users)], "user_id long, uvec array<double>")
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(items)], "item_id long, ivec array<double>")
+    sent = []
+    plain = retrieve._meet
+    monkeypatch.setattr(retrieve, "_meet", lambda *a: sent.append(plain(*a)) or sent[-1])
+    got = retrieve.nearest_items(u, v, None, 5, cells=20, probes=2)
+    scores = users @ items.T
+    want = {(i, int(j)) for i in range(60) for j in np.argsort(-scores[i])[:5]}
+    assert {(r.user_id, r.item_id) for r in got.collect()} == want
+    assert all("BroadcastHashJoin [cell" not in x._jdf.queryExecution().executedPlan().toString() for x in sent)
+    found = {(r.user_id, r.item_id) for x in sent for r in x.collect()}
+    assert sent[1].count() <= 60 * 5 * 2 and want <= found
