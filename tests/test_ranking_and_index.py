@@ -236,3 +236,16 @@ def test_user_blocks_never_pass_through_the_driver_and_only_rows_above_the_floor
     assert all("BroadcastHashJoin [cell" not in x._jdf.queryExecution().executedPlan().toString() for x in sent)
     found = {(r.user_id, r.item_id) for x in sent for r in x.collect()}
     assert sent[1].count() <= 60 * 5 * 2 and want <= found
+
+
+def test_the_index_ranks_by_vectors_where_they_lie(spark, monkeypatch):
+    users, items = unit_rows(5, 30, 8, 4), unit_rows(6, 400, 8, 4)
+    u = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(users)], "user_id long, uvec array<double>")
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(items)], "item_id long, ivec array<double>")
+    sent = []
+    plain = retrieve._meet
+    monkeypatch.setattr(retrieve, "_meet", lambda *a: sent.append(plain(*a)) or sent[-1])
+    got = retrieve.nearest_items(u, v, None, 5, cells=20, probes=6, exact=False, keep=50).collect()
+    assert all(r.score == pytest.approx(float(users[r.user_id] @ items[r.item_id])) for r in got)
+    hits = sent[0].collect()  # at most k rows of each cell leave, not the 50 whose vectors are read
+    assert len(hits) <= 30 * 6 * 5
