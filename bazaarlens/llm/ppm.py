@@ -38,6 +38,8 @@ SHORT = 3
 #: Bytes of text in a unit, and of those whose codes are looked up at a time.
 UNIT_BYTES = 1 << 23
 LOOKUP_BYTES = 1 << 20
+#: Words that are copied into a stream at a time.
+LOOKUP_WORDS = 1 << 16
 FOLDS, HELD_OUT = 7, 2
 NEW_LINE, SPACE = 10, 32
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -62,9 +64,12 @@ def streams(data: np.ndarray, found: Words) -> tuple[np.ndarray, np.ndarray]:
     start[at], size[at] = found.start, found.end - found.start
     gap = np.full(len(start), 1, dtype=np.int64)
     gap[base] = ORDER
-    end = np.cumsum(size + gap)
-    source = ragged(start, size + gap)
-    out = data[np.minimum(source, max(0, len(data) - 1))] if len(data) else np.zeros(len(source), dtype=np.uint8)
+    size += gap
+    end = np.cumsum(size)
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    for i in range(0, len(start) if len(data) else 0, LOOKUP_WORDS):
+        source = ragged(start[i : i + LOOKUP_WORDS], size[i : i + LOOKUP_WORDS])
+        out[end[i] - size[i] :][: len(source)] = data[np.minimum(source, len(data) - 1)]
     out[end - 1] = SPACE
     out[end[base + items - 1] - 1] = NEW_LINE
     for k in range(ORDER):
@@ -101,6 +106,31 @@ def summed(code: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return code[order][heads], np.add.reduceat(n[order], heads) if len(heads) else n[:0]
 
 
+def distinct_codes(stream: np.ndarray, use: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of the used bytes, sorted, and how often training bytes hold each.
+
+    Numbers are formed for a slice of the text at a time, with the fold in the lowest bit, and sorted
+    in place, so a unit's numbers stand in memory once.
+    """
+    code, at = np.empty(int(use.sum()), dtype=np.uint64), 0
+    for start in range(0, len(stream), LOOKUP_BYTES):
+        low, to = max(0, start - ORDER), start + LOOKUP_BYTES
+        own = use[start:to]
+        part = grams(stream[low:to])[start - low :][own]
+        part <<= np.uint64(1)
+        part |= train[start:to][own]
+        code[at : at + len(part)] = part
+        at += len(part)
+    code.sort()
+    heads = heads_of(code)
+    times = np.diff(np.append(heads, len(code)))
+    code = code[heads]
+    times *= (code & np.uint64(1)).astype(np.int64)  # held-out bytes count as none
+    code >>= np.uint64(1)
+    heads = heads_of(code)
+    return code[heads], np.add.reduceat(times, heads) if len(heads) else times
+
+
 def units(docs: DataFrame, buckets: int) -> DataFrame:
     """For each unit one row with its texts (body) and, for each bucket, its distinct codes and their
     number in training texts. A unit is named by its first key."""
@@ -116,14 +146,8 @@ def units(docs: DataFrame, buckets: int) -> DataFrame:
                 stream, first = streams(data, found)
                 size = np.diff(np.append(first, len(stream)))
                 use, train = coded(stream, first), np.repeat(~out[chunk.rows], size)
-                code = grams(stream)
-                trained, other = np.sort(code[use & train]), np.unique(code[use & ~train])
-                del code, use, train
-                heads = heads_of(trained)
-                times, trained = np.diff(np.append(heads, len(trained))), trained[heads]
-                every = np.union1d(trained, other)
-                n = np.zeros(len(every), dtype=np.int64)
-                n[np.searchsorted(every, trained)] = times
+                every, n = distinct_codes(stream, use, train)
+                del use, train
                 near = (every >> np.uint64(8)) & np.uint64((1 << 8 * SHORT) - 1)
                 bucket = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")

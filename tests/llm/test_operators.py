@@ -223,6 +223,23 @@ def test_scores(docs):
         assert [r[i] for r in got] == pytest.approx([r[i] for r in want], rel=1e-9)
 
 
+def test_a_unit_forms_its_numbers_in_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    stream = np.frombuffer(b"".join(r.choice([b"the ", b"cat ", b"sat ", b"mat "], 1 << 21)), dtype=np.uint8)
+    use, train = r.random(len(stream)) < 0.9, r.random(len(stream)) < 0.8
+    use[: ppm.ORDER] = False
+    tracemalloc.start()
+    code, n = ppm.distinct_codes(stream, use, train)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = ppm.grams(stream)
+    assert (code == np.unique(whole[use])).all() and peak < 14 * len(stream)
+    trained, times = np.unique(whole[use & train], return_counts=True)
+    assert (trained == code[n > 0]).all() and (times == n[n > 0]).all()
+
+
 def test_scores_do_not_depend_on_the_slices_of_a_unit(spark, monkeypatch):
     docs = spark.createDataFrame(made(40, 9), SCHEMA)
     want = ordered(ppm.score_digest(docs).collect())
