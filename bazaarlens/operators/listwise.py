@@ -80,52 +80,97 @@ def _sum_of(trees: Sequence[Tree], step: float) -> Column:
     return sum((leaf_of("x", t.root, t.values) * step for t in trees), F.lit(0.0))
 
 
-def pair_gradients(labels, scores, k: int):
-    """(g, h) of one list: sums of pair gradients and of their weights.
+#: Pairs that are held at a time while gradients are summed.
+PAIRS = 1 << 20
+
 
-    Rows stand in the order that breaks ties of the score. A swap of two rows changes NDCG@k by the
-    difference of their gains times that of their discounts; positions behind k have discount 0.
+def gradients_of_lists(heads, labels, scores, k: int):
+    """(g, h) of the rows of many lists: sums of pair gradients and of their weights.
+
+    A list starts where ``heads`` is true; its rows stand in the order that breaks ties of the score.
+    A swap of two rows changes NDCG@k by the difference of their gains times that of their discounts;
+    positions behind k have discount 0. Pairs are formed across all lists at once, a bounded number at a time.
     """
     import numpy as np
 
     n = len(labels)
+    of = np.cumsum(heads) - 1
+    first = np.flatnonzero(heads)[of]
+    rank = np.arange(n) - first  # lists are contiguous, so the i-th row of a sorted list has the rank of its i-th row
     place = np.empty(n, dtype=np.int64)
-    place[np.argsort(-scores, kind="stable")] = np.arange(n)
+    place[np.lexsort((-scores, of))] = rank
     discount = np.where(place < k, 1.0 / np.log2(place + 2.0), 0.0)
     gain = np.exp2(labels) - 1.0
-    ideal = float((np.sort(gain)[::-1][:k] / np.log2(np.arange(min(n, k)) + 2.0)).sum())
+    ideal = np.bincount(of, np.where(rank < k, gain[np.lexsort((-gain, of))] / np.log2(rank + 2.0), 0.0))
+    rising = np.lexsort((labels, of))  # every row stands behind the rows of its list with smaller labels
+    level = np.flatnonzero(heads | (np.diff(labels[rising], prepend=np.nan) != 0))
+    start = level[np.searchsorted(level, np.arange(n), "right") - 1]
+    below = np.where(ideal[of] > 0, start - first, 0)
+    ends = np.cumsum(below)
     g, h = np.zeros(n), np.zeros(n)
-    if ideal <= 0:
-        return g, h
-    for level in np.unique(labels)[1:]:
-        up, down = np.flatnonzero(labels == level), np.flatnonzero(labels < level)
-        change = np.abs((gain[up, None] - gain[None, down]) * (discount[up, None] - discount[None, down])) / ideal
-        miss = 1.0 / (1.0 + np.exp(np.clip(scores[up, None] - scores[None, down], -60, 60)))
+    at = 0
+    while at < n:
+        done = ends[at - 1] if at else 0
+        to = max(int(np.searchsorted(ends, done + PAIRS, "right")), at + 1)
+        counts = below[at:to]
+        up = np.repeat(np.arange(at, to), counts)
+        down = rising[np.arange(len(up)) - np.repeat(ends[at:to] - counts - done, counts) + first[up]]
+        up = rising[up]
+        change = np.abs((gain[up] - gain[down]) * (discount[up] - discount[down])) / ideal[of[up]]
+        miss = 1.0 / (1.0 + np.exp(np.clip(scores[up] - scores[down], -60, 60)))
         push, weight = miss * change, miss * (1.0 - miss) * change
-        g[up] += push.sum(axis=1)
-        h[up] += weight.sum(axis=1)
-        g[down] -= push.sum(axis=0)
-        h[down] += weight.sum(axis=0)
+        g += np.bincount(up, push, n) - np.bincount(down, push, n)
+        h += np.bincount(up, weight, n) + np.bincount(down, weight, n)
+        at = to
     return g, h
 
 
+def pair_gradients(labels, scores, k: int):
+    """``gradients_of_lists`` for one list."""
+    import numpy as np
+
+    return gradients_of_lists(np.arange(len(labels)) == 0, labels, scores, k)
+
+
 def _gradients(k: int):
-    def run(table):
+    def moved(table):
         import numpy as np
         import pyarrow as pa
 
-        order = np.argsort(table.column("place").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        g, h = pair_gradients(table.column("label").to_numpy(), table.column("score").to_numpy(), k)
-        moved = np.flatnonzero(h > 0)
-        return pa.table({"x": table.column("x").take(pa.array(moved)), "g": g[moved], "h": h[moved]})
+        g, h = gradients_of_lists(table.column("nth").to_numpy() == 1, table.column("label").to_numpy(), table.column("score").to_numpy(), k)
+        rows = np.flatnonzero(h > 0)
+        x = table.column("x").take(pa.array(rows)).combine_chunks()
+        return pa.RecordBatch.from_arrays([x, pa.array(g[rows]), pa.array(h[rows])], ["x", "g", "h"])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        left = None  # the last list of a batch may go on in the next one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if left is None else pa.concat_tables([left, table])
+            last = int(np.flatnonzero(table.column("nth").to_numpy() == 1)[-1])
+            if last:
+                yield moved(table.slice(0, last))
+            left = table.slice(last)
+        if left is not None:
+            yield moved(left)
 
     return run
 
 
 def list_gradients(rows: DataFrame, k: int) -> DataFrame:
-    """(x, g, h): the rows of (user_id, place, label, score, x) that some pair moves."""
-    return rows.select("user_id", "place", "label", "score", "x").groupBy("user_id").applyInArrow(_gradients(k), "x array<double>, g double, h double")
+    """(x, g, h): the rows of (user_id, place, label, score, x) that some pair moves.
+
+    A window numbers each user's rows where they lie, so lists come to Python whole and in order, many in one call.
+    """
+    from pyspark.sql import Window as W
+
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy("place")).alias("nth")
+    return rows.select("label", "score", "x", nth).mapInArrow(_gradients(k), "x array<double>, g double, h double")
 
 
 def fit_tree(gradients: DataFrame, depth: int, least_rows: int, l2: float, seed: int) -> Tree:

@@ -111,6 +111,29 @@ def test_training_rounds_read_lists_without_an_exchange(spark):
     assert "Exchange" not in plan and listwise.list_gradients(lists, 5).count() > 0
 
 
+def test_many_lists_reach_python_in_one_call_and_lists_may_span_batches(spark):
+    r = np.random.default_rng(5)
+    rows = [(u, p, float(r.integers(0, 3)), round(float(r.normal()), 1), [float(u), float(p)]) for u in range(40) for p in range(1 + u % 13)]
+    df = spark.createDataFrame(rows, "user_id long, place int, label double, score double, x array<double>")
+    got = listwise.list_gradients(df, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    want = {}
+    for u in range(40):
+        own = [x for x in rows if x[0] == u]
+        if len({x[2] for x in own}) > 1:
+            g, h = brute_gradients([x[2] for x in own], [x[3] for x in own], 4)
+            want |= {tuple(x[4]): (a, b) for x, a, b in zip(own, g, h) if b > 1e-15}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (size, "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            found = {tuple(x.x): (x.g, x.h) for x in got.collect()}
+            assert found.keys() == want.keys() and all(found[x] == pytest.approx(want[x]) for x in want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_halving_finds_the_winner_of_the_full_grid_with_fewer_trees(spark):
     features = ["taste", "level", "noise"]
     df = spark.createDataFrame(shops(5, users=40, items=12), "user_id long, item_id long, label int, taste double, level double, noise double")
