@@ -19,7 +19,7 @@ from bazaarlens.operators.quality import price_log
 from bazaarlens.operators.stats import entropy, mode_value
 from bazaarlens.operators.windows import segment_zscore
 from bazaarlens.schemas import CATEGORIES
-from bazaarlens.session import bucketed
+from bazaarlens.session import bucketed, durable
 
 # Event weights in use, renewal days and age multipliers by category.
 DECAY_WEIGHTS = {"view_phone": 10.0, "contact_chat": 9.0, "contact_zalo": 9.0, "contact_sms": 8.0, "other_interaction": 2.5}
@@ -305,11 +305,33 @@ def user_features_v2(events: DataFrame, dim: DataFrame, cutoff: str) -> DataFram
     for column, name in (("category", "top_category"), ("city_name", "top_city"), ("surface", "main_surface"), ("device", "main_device")):
         out = join_keys(out, mode_value(pos, ["user_id"], column, name, "__n").drop("__n"), ["user_id"], "left")
     views = rows.filter(is_pageview() & recent).groupBy("user_id").agg(F.count("*").alias("n_pageviews_30d"), F.avg("dwell_time_sec").alias("avg_dwell"))
-    prices = pos.select("user_id", "item_id").join(dim.select("item_id", price_log("price_bucket").alias("price_log")), "item_id")
+    prices = pos.select("user_id", "item_id").join(priced(dim).select("item_id", "price_log"), "item_id")
     median = quantiles(prices, ["user_id"], "price_log", {"price_pref_log": 0.5}, bounded=True)
     return join_keys(join_keys(out, views, ["user_id"], "left"), median, ["user_id"], "left")
 
 
+def priced(dim: DataFrame) -> DataFrame:
+    """``dim`` with ``price_log``, read once for each distinct price text instead of once for each listing."""
+    logs = dim.select("price_bucket").distinct().withColumn("price_log", price_log("price_bucket"))
+    return join_keys(dim, logs, ["price_bucket"], "left")
+
+
+def user_tastes(events: DataFrame, prices: DataFrame, cutoff: str) -> DataFrame:
+    """``top_category``, ``top_city`` and ``price_pref_log`` of ``user_features_v2`` alone, from the items' ``prices`` (``price_log``).
+
+    All three are modes or medians over the positive events, so these are counted once by user and item.
+    """
+    pos = before(events.filter(is_positive()), cutoff)
+    counts = durable(pos.groupBy("user_id", "item_id", "category", "city_name").agg(F.count("*").alias("c")), "positives")
+    out = counts.select("user_id").distinct()
+    for column, name in (("category", "top_category"), ("city_name", "top_city")):
+        sums = counts.filter(F.col(column).isNotNull()).groupBy("user_id", column).agg(F.sum("c").alias("c"))
+        out = join_keys(out, sums.groupBy("user_id").agg(F.min_by(column, F.struct(-F.col("c"), F.col(column))).alias(name)), ["user_id"], "left")
+    paid = counts.join(prices.select("item_id", "price_log"), "item_id").filter("price_log IS NOT NULL")
+    hist = paid.groupBy("user_id", "price_log").agg(F.sum("c").alias("c"))
+    return join_keys(out, hist.groupBy("user_id").agg(F.percentile("price_log", F.lit(0.5), F.col("c")).alias("price_pref_log")), ["user_id"], "left")
+
+
 def item_features_v2(events: DataFrame, snapshot: DataFrame, dim: DataFrame, cutoff: str) -> DataFrame:
     end = F.lit(cutoff).cast("timestamp_ntz")
     pos = before(events.filter(is_positive()), cutoff).withColumn("age", (seconds(end) - seconds("event_ts")) / 86400.0)
@@ -326,7 +348,7 @@ def item_features_v2(events: DataFrame, snapshot: DataFrame, dim: DataFrame, cut
         mean("views_24h", 7).alias("v7"), mean("contacts_24h", 7).alias("c7"), mean("views_24h", 30).alias("v30"), mean("contacts_24h", 30).alias("c30"),
         F.count("*").alias("n_days"))
     floor = F.lit(0.01)
-    joined = dim.select("item_id", "category", "city_name", price_log("price_bucket").alias("price_log")).join(agg, "item_id", "left").join(means, "item_id", "left")
+    joined = priced(dim).select("item_id", "category", "city_name", "price_log").join(agg, "item_id", "left").join(means, "item_id", "left")
     out = joined.fillna(0, ["n_pos", "n_pos_7d", "n_pos_30d", "n_users", "n_days"]).withColumns({
         "cr_30d": F.col("c30") / F.greatest("v30", floor), "velocity_contacts": (F.col("c7") - F.col("c30")) / F.greatest("c30", floor),
         "velocity_views": (F.col("v7") - F.col("v30")) / F.greatest("v30", floor),

@@ -311,7 +311,9 @@ def _(s):
 @query("cross_features", "ev snap dim", f"""WITH {U2}, c AS (SELECT DISTINCT user_id, item_id FROM ev) SELECT c.user_id, c.item_id, coalesce((top_category=d.category)::INT,0) AS same_category, coalesce((top_city=d.city_name)::INT,0) AS same_city, round(-abs(pl.price_log-price_pref_log),6) AS price_affinity
 FROM c LEFT JOIN u2 USING (user_id) LEFT JOIN dim d ON d.item_id=c.item_id LEFT JOIN pl ON pl.item_id=c.item_id""")
 def _(s):
-    return T.cross_features(s.ev.select("user_id", "item_id").distinct(), users_v2(s), items_v2(s)).select("user_id", "item_id", "same_category", "same_city", "price_affinity")
+    """Users and items carry only the columns that are compared; no other feature is computed."""
+    listed = durable(T.priced(s.dim).select("item_id", "category", "city_name", "price_log"), "listed")
+    return T.cross_features(s.ev.select("user_id", "item_id").distinct(), T.user_tastes(s.ev, listed, CUT), listed).select("user_id", "item_id", "same_category", "same_city", "price_affinity")
 
 
 IQ = "(0.2*(coalesce(images_count,0)>3)::INT+0.2*coalesce((seller_type='private')::INT,0)+0.3*coalesce((legal_status='so_hong')::INT,0)+0.15*(house_type IS NOT NULL)::INT+0.15*(direction IS NOT NULL)::INT)::DOUBLE"
