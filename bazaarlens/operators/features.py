@@ -374,10 +374,13 @@ def user_embedding_profile(pairs: DataFrame, vectors: DataFrame, weight: str | N
     """Weighted mean of the unit vectors of a user's items: one summing buffer for each user and task."""
     units = vectors.select("item_id", array_to_vector(unit("embedding")).alias("u"))
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    means = pairs.join(units, "item_id").groupBy("user_id").agg(Summarizer.mean(F.col("u"), w).alias("m"))
+    means = pairs.join(units.hint("merge"), "item_id").groupBy("user_id").agg(Summarizer.mean(F.col("u"), w).alias("m"))
     return means.select("user_id", vector_to_array("m").alias("profile"))
 
 
 def title_similarity(candidates: DataFrame, profiles: DataFrame, vectors: DataFrame) -> DataFrame:
-    joined = candidates.join(profiles, "user_id").join(vectors.select("item_id", "embedding"), "item_id")
+    """Cosine of the user's profile and the item's vector. One of the two travels with every pair: the
+    item's, as it is stored, which takes half the bytes of a profile of doubles. Vectors are far larger
+    than Spark takes them for, so neither side is left to a broadcast."""
+    joined = candidates.join(vectors.select("item_id", "embedding").hint("merge"), "item_id").join(profiles.hint("merge"), "user_id")
     return joined.select(*candidates.columns, cosine("profile", "embedding").alias("similarity"))

@@ -28,3 +28,12 @@ def test_a_price_text_is_read_once_for_all_its_listings(spark):
     plan = features.priced(dim)._jdf.queryExecution().optimizedPlan().toString()
     read = [line for line in plan.splitlines() if "regexp_extract" in line]
     assert read and all("Aggregate [price_bucket" in line for line in read)
+
+
+def test_profiles_do_not_travel_with_every_pair(spark):
+    s = Star(spark, FOLDER)
+    pairs = s.ev.select("user_id", "item_id").distinct()
+    joined = features.title_similarity(pairs, features.user_embedding_profile(pairs, s.vectors), s.vectors)
+    outer = next(x for x in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert "user_id" in outer and "item_id" not in outer
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
