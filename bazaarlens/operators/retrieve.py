@@ -274,7 +274,9 @@ def covisit_candidates(history: DataFrame, neighbors: DataFrame, n: int = 100) -
 
 def history_candidates(events: DataFrame, allowed: DataFrame, n: int = 30, tau: float = 14.0, weights: Mapping[str, float] = INTENT) -> DataFrame:
     rows = events.join(allowed.select("item_id"), "item_id", "left_semi")
-    newest = rows.agg(F.max("event_ts")).scalar()
+    # One row for each item meets the allowed ones here, not each event.
+    lasts = events.groupBy("item_id").agg(F.max("event_ts").alias("last"))
+    newest = lasts.join(allowed.select("item_id"), "item_id", "left_semi").agg(F.max("last")).scalar()
     age = (seconds(newest) - seconds("event_ts")) / 86400.0
     scored = rows.groupBy("user_id", "item_id").agg(F.sum(weighted("event_type", weights, 1.0) * decay(age, tau)).alias("score"))
     return top_n(scored, ["user_id"], [F.desc(F.round("score", 9)), F.asc("item_id")], n)
@@ -390,27 +392,28 @@ def merge_candidates(
 ) -> DataFrame:
     """All sources in one wide row per pair: per-user normalized scores, source count, blend, cap.
 
-    Sources are stacked long, so one shuffle by pair replaces one join per source; the per-user
-    bounds come from a combining aggregation.
+    Sources are stacked long and dealt once by user; pairs, the users' bounds and their best rows are all
+    found there, so nothing is dealt again. A user's rows are the retrievers' lists, which are short, and
+    the items it came back to.
     """
-    stacked = None
+    columns = ["user_id", "item_id", "source", "score", "repeat_count"]
+    extra = repeats.select("user_id", "item_id", F.lit("repeat").alias("source"), F.lit(None).cast("double").alias("score"), F.col("repeat_count").cast("double").alias("repeat_count"))
+    stacked = extra.select(*columns)
     for name, df in sources.items():
-        one = df.select("user_id", "item_id", F.lit(name).alias("source"), F.col("score").cast("double").alias("score"))
-        stacked = one if stacked is None else stacked.unionByName(one)
-    best = stacked.groupBy("user_id", "item_id", "source").agg(F.max("score").alias("score"))
-    bounds = best.groupBy("user_id", "source").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    normed = best.join(bounds, ["user_id", "source"]).withColumn("norm", (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-10))
-    base = normed.select("user_id", "item_id", "source", "score", "norm", F.lit(0.0).alias("repeat_count"))
-    extra = repeats.select("user_id", "item_id", F.lit("repeat").alias("source"), F.lit(None).cast("double").alias("score"),
-                           F.lit(None).cast("double").alias("norm"), F.col("repeat_count").cast("double").alias("repeat_count"))
+        one = df.select("user_id", "item_id", F.lit(name).alias("source"), F.col("score").cast("double").alias("score"), F.lit(0.0).alias("repeat_count"))
+        stacked = stacked.unionByName(one.select(*columns))
     is_src = {n: F.col("source") == n for n in sources}
-    wide = base.unionByName(extra).groupBy("user_id", "item_id").agg(
+    pairs = stacked.repartition("user_id").groupBy("user_id", "item_id").agg(
         *[F.max(F.when(c, F.col("score"))).alias(f"{n}_score") for n, c in is_src.items()],
-        *[F.coalesce(F.max(F.when(c, F.col("norm"))), F.lit(0.0)).alias(f"{n}_norm") for n, c in is_src.items()],
         F.max("repeat_count").alias("repeat_count"), F.max(F.when(F.col("source") == "repeat", 1).otherwise(0)).alias("is_repeat"),
-        F.count("*").alias("source_count"))
+        (sum((F.max(c.cast("long")) for c in is_src.values()), F.count_if(F.col("source") == "repeat"))).alias("source_count"))
+    user, wide = W.partitionBy("user_id"), pairs
+    for n in sources:
+        score, lo, hi = F.col(f"{n}_score"), F.min(f"{n}_score").over(user), F.max(f"{n}_score").over(user)
+        wide = wide.withColumn(f"{n}_norm", F.coalesce((score - lo) / (hi - lo + 1e-10), F.lit(0.0)))
+    kept = ["user_id", "item_id", *[f"{n}_score" for n in sources], *[f"{n}_norm" for n in sources], "repeat_count", "is_repeat", "source_count"]
     blend = sum((F.lit(weights.get(n, 0.0)) * F.col(f"{n}_norm") for n in sources), F.lit(repeat_weight) * F.col("is_repeat"))
-    scored = wide.withColumn("blend_score", blend)
+    scored = wide.select(*kept, blend.alias("blend_score"))
     return top_n(scored, ["user_id"], [F.desc(F.round("blend_score", 9)), F.asc("item_id")], cap, "cand_rank")
 
 

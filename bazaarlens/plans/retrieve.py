@@ -19,6 +19,12 @@ CINT = "CASE event_type WHEN 'view_phone' THEN 2.0E0 WHEN 'contact_chat' THEN 3
 INT = "CASE event_type WHEN 'view_phone' THEN 3.0E0 WHEN 'contact_chat' THEN 2 WHEN 'contact_zalo' THEN 2 WHEN 'contact_sms' THEN 2 WHEN 'other_interaction' THEN 1 ELSE {d} END"
 
 
+def written(s):
+    """The star over one written copy of what the retrievers read of its events: their texts are parsed once, not in every scan."""
+    read = ["event_id", "event_ts", "date", "user_id", "item_id", "category", "event_type", "is_login", "city_name"]
+    return s.over(durable(s.ev.select(*read), "events"))
+
+
 def als_scores(s, n=20):
     pairs = T.user_item_positive(s.ev)
     factors = R.fit_als(R.confidence(pairs, END), rank=16, iterations=5)
@@ -50,7 +56,8 @@ cs AS (SELECT a, b, SUM(w) AS score FROM fp GROUP BY 1,2), sd AS (SELECT a AS it
 
 
 def neighbors(s):
-    return R.covisit_pairs(R.last_touches(s.ev.filter(is_positive())), gap_seconds=GAP)
+    # Written first: cutting them into slices reads them twice.
+    return R.covisit_pairs(durable(R.last_touches(s.ev.filter(is_positive())), "touches"), gap_seconds=GAP)
 
 
 @query("covisit_pairs", "ev", f"WITH {CVP} SELECT item_id, neighbor, round(score,6) AS score, rank FROM cp")
@@ -122,8 +129,8 @@ def fresh_items(s):
     return joined.withColumn("score", F.col("quality") * F.log1p(velocity * 10 + F.col("p1") * 0.1))
 
 
-def preferences(s):
-    pairs = T.user_item_positive(s.ev)
+def preferences(s, pairs=None):
+    pairs = T.user_item_positive(s.ev) if pairs is None else pairs
     return T.user_profile(pairs, END).join(T.user_preferences_ext(pairs, s.dim), "user_id").select(
         "user_id", "pref_category", F.col("pref_district_name").alias("pref_district"), price_ordinal("pref_price_bucket").alias("pref_ordinal"))
 
@@ -179,8 +186,10 @@ MGC = ["user_id", "item_id", "covis_norm", "als_norm", "fresh_norm", "repeat_cou
 
 def merged(s):
     """History stands in the matrix-factorization slot, so that the whole merge has an exact SQL form."""
-    repeats = T.user_item_positive(s.ev).filter("pos_count > 1").select("user_id", "item_id", F.col("pos_count").alias("repeat_count"))
-    fresh = R.fresh_content_candidates(durable(preferences(s), "preferences"), fresh_items(s))
+    s = written(s)
+    pairs = durable(T.user_item_positive(s.ev), "pairs")
+    repeats = pairs.filter("pos_count > 1").select("user_id", "item_id", F.col("pos_count").alias("repeat_count"))
+    fresh = R.fresh_content_candidates(durable(preferences(s, pairs), "preferences"), fresh_items(s))
     # Every retriever is a stage of its own: its list is written once and read by the merge.
     sources = {name: durable(df.select("user_id", "item_id", "score"), name) for name, df in
                (("covis", covisited(s)), ("als", history(s)), ("fresh", fresh))}
@@ -237,6 +246,7 @@ def merged_for_test_users(s, sources, cap=500):
 @query("merge_retrievers")
 def _(s):
     """The merge over what the retrievers themselves find (factors have no SQL form; tested against brute force)."""
+    s = written(s)
     norms = [f"{n}_norm" for n in ("als", "covis", "itemcf", "fresh")]
     return merged_for_test_users(s, retrieved(s)).select("user_id", "item_id", *norms, "repeat_count", "is_repeat", "source_count", "blend_score", "cand_rank")
 

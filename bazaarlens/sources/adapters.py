@@ -102,6 +102,12 @@ class Star:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+    def over(self, events: DataFrame) -> Star:
+        """The same tables with ``events`` in the place of the event table, such as a written copy of it."""
+        other = Star(self.spark, self.folder)
+        other.ev = events
+        return other
+
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

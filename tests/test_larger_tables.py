@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from bazaarlens.operators import features
 from bazaarlens.operators.quality import price_log
+from bazaarlens.operators.retrieve import merge_candidates
+from bazaarlens.plans import retrieve
 from bazaarlens.plans.features import CUT
 from bazaarlens.plans.registry import QUERIES
 from bazaarlens.sources.adapters import Star
@@ -37,3 +39,29 @@ def test_profiles_do_not_travel_with_every_pair(spark):
     outer = next(x for x in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
     assert "user_id" in outer and "item_id" not in outer
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_are_read_once_for_all_retrievers_of_a_merge(spark, monkeypatch):
+    stages, write = {}, retrieve.durable
+
+    def told(df, name):
+        stages[name] = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(retrieve, "durable", told)
+    plan = retrieve.merged(Star(spark, FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" in stages.pop("events") and "events.parquet" not in plan
+    assert {"touches", "pairs"} <= set(stages) and not any("events.parquet" in p for p in stages.values())
+
+
+def test_a_merge_deals_its_rows_once(spark):
+    sources = {"a": [(1, 10, 2.0), (1, 11, 4.0), (2, 10, 5.0), (None, 10, 1.0), (None, 12, 3.0)], "b": [(1, 11, 7.0), (1, 12, 9.0), (1, 12, 8.0)]}
+    frames = {n: spark.createDataFrame(rows, "user_id long, item_id long, score double") for n, rows in sources.items()}
+    repeats = spark.createDataFrame([(1, 10, 3), (3, 13, 2)], "user_id long, item_id long, repeat_count long")
+    merged = merge_candidates(frames, repeats, {"a": 0.5, "b": 0.25}, 0.1, cap=3)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.user_id, r.item_id): (round(r.a_norm, 6), round(r.b_norm, 6), r.repeat_count, r.is_repeat, r.source_count, round(r.blend_score, 6), r.cand_rank) for r in merged.collect()}
+    assert got == {
+        (1, 11): (1.0, 0.0, 0.0, 0, 2, 0.5, 1), (1, 12): (0.0, 1.0, 0.0, 0, 1, 0.25, 2), (1, 10): (0.0, 0.0, 3.0, 1, 2, 0.1, 3),
+        (2, 10): (0.0, 0.0, 0.0, 0, 1, 0.0, 1), (3, 13): (0.0, 0.0, 2.0, 1, 1, 0.1, 1),
+        (None, 12): (1.0, 0.0, 0.0, 0, 1, 0.5, 1), (None, 10): (0.0, 0.0, 0.0, 0, 1, 0.0, 2)}
