@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from bazaarlens.functions.columns import as_col, bucketize, flag, has_query, is_pageview, pct
 from bazaarlens.operators.core import join_keys, quantiles, share_of_all, share_within, top_n
 from bazaarlens.operators.joins import full_outer_zero
+from bazaarlens.session import durable
 
 # Labels, keyword lists and patterns of the query slots (texts without diacritics).
 UNKNOWN_GEO = "khong_ro_tinh"
@@ -195,15 +196,30 @@ def top_disagreements(enriched: DataFrame, k: int = 25) -> DataFrame:
     return bad.orderBy(F.desc("n"), "province", "city_name").limit(k)
 
 
-def weighted_ngrams(df: DataFrame, text: str, weight: Column, sizes: Sequence[int], k: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Most frequent n-grams by weight, from whole texts; n-grams combine before the shuffle."""
+def weighted_ngrams(
+    df: DataFrame, text: str, weight: Column, sizes: Sequence[int], k: int, keys: Sequence[str] = (), frequent: int | None = None
+) -> DataFrame:
+    """Most frequent n-grams by weight (none negative), from whole texts; n-grams combine before the shuffle.
+
+    Of long texts nearly every n-gram is rare, so that little combines and all of them travel. There
+    ``frequent`` counts words first and then n-grams of the so many most frequent words of each key. An
+    n-gram is never more frequent than its rarest word: where the k-th of these n-grams has more than any
+    word left out, the list is exact, and where that does not hold for every key, all n-grams are counted.
+    """
     tokens = df.select(*keys, weight.alias("w"), F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "").alias("tok"))
+    found = None if frequent is None else _ngrams_of_frequent_words(tokens, sizes, k, keys, frequent)
+    return _top_ngrams(tokens, sizes, k, keys) if found is None else found
 
+
+def _top_ngrams(tokens: DataFrame, sizes: Sequence[int], k: int, keys: Sequence[str], gaps: bool = False) -> DataFrame:
+    """The ``k`` n-grams of largest weight; with ``gaps`` some tokens are NULL and belong to none."""
     def grams(n: int) -> Column:
         joined = F.col("tok")
         for shift in range(1, n):  # glue every token to the text before it
             left = F.greatest(F.size("tok") - shift, F.lit(0))
             joined = F.zip_with(F.slice(joined, 1, left), F.slice("tok", shift + 1, left), lambda a, b: F.concat(a, F.lit(" "), b))
+        if gaps:
+            joined = F.filter(joined, lambda g: g.isNotNull())
         return F.transform(joined, lambda g: F.struct(F.lit(n).alias("size"), g.alias("gram")))
 
     exploded = tokens.select(*keys, "w", F.explode(F.concat(*[grams(n) for n in sizes])).alias("g"))
@@ -211,6 +227,22 @@ def weighted_ngrams(df: DataFrame, text: str, weight: Column, sizes: Sequence[in
     return top_n(counts, [*keys, "size"], [F.desc("n"), F.asc("gram")], k)
 
 
+def _ngrams_of_frequent_words(tokens: DataFrame, sizes: Sequence[int], k: int, keys: Sequence[str], frequent: int, most: int = 16384) -> DataFrame | None:
+    """``_top_ngrams`` by way of the ``frequent`` words of each key; None where that cannot be shown to be exact."""
+    keys = list(keys)
+    words = tokens.select(*keys, "w", F.explode("tok").alias("word")).groupBy(*keys, "word").agg(F.sum("w").alias("n"))
+    best = durable(top_n(words, keys, [F.desc("n"), F.asc("word")], frequent + 1), "words")
+    listed = [r.word for r in best.filter(F.col("rank") <= frequent).select("word").distinct().limit(most + 1).collect()]
+    if not listed or len(listed) > most:  # many keys: the list would not be a small one
+        return None
+    kept = tokens.withColumn("tok", F.transform("tok", lambda t: F.when(t.isin(listed), t)))
+    found = durable(_top_ngrams(kept, sizes, k, keys, gaps=True), "ngrams")
+    outside = best.filter(F.col("rank") > frequent).select(*keys, F.explode(F.array(*[F.lit(n) for n in sizes])).alias("size"), F.col("n").alias("__out"))
+    least = found.filter(F.col("rank") == k).select(*keys, "size", F.col("n").alias("__least"))
+    doubt = join_keys(outside, least, [*keys, "size"], "left").filter("__least IS NULL OR __least <= __out")
+    return found if doubt.isEmpty() else None
+
+
 def geo_coverage_metrics(enriched: DataFrame) -> DataFrame:
     """Unknown percent, concentration on the largest places, per category."""
     unknown = enriched.groupBy("category").agg(

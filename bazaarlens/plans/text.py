@@ -106,7 +106,7 @@ def _(s):
 g AS (SELECT lang, unnest(list_transform(range(1,len(tok)), lambda i: array_to_string(tok[i:i+1],' '))) AS gram FROM t), c AS (SELECT lang, gram, COUNT(*) AS n FROM g GROUP BY 1,2)
 SELECT lang, 2::INT AS size, gram, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram)::INT AS rank FROM c QUALIFY rank<=20""")
 def _(s):
-    return X.weighted_ngrams(s.docs.withColumn("t", F.lower("text")), "t", F.lit(1), [2], 20, ["lang"])
+    return X.weighted_ngrams(s.docs.withColumn("t", F.lower("text")), "t", F.lit(1), [2], 20, ["lang"], frequent=512)
 
 
 @query("geo_coverage_metrics", "ev dim region_map", f"""WITH {SLOT}, u AS (SELECT category, round(100.0*SUM(CASE WHEN geo_a='khong_ro_tinh' THEN n ELSE 0 END)/SUM(n),6) AS unknown_pct, round(100.0*SUM(CASE WHEN price_slot<>'khong_ro_gia' THEN n ELSE 0 END)/SUM(n),6) AS price_led_pct, SUM(n) AS t FROM en GROUP BY 1),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from bazaarlens.operators import features
+from pyspark.sql import functions as F
+
+from bazaarlens.operators import features, text
 from bazaarlens.operators.quality import price_log
 from bazaarlens.operators.retrieve import merge_candidates
 from bazaarlens.plans import retrieve
@@ -65,3 +67,22 @@ def test_a_merge_deals_its_rows_once(spark):
         (1, 11): (1.0, 0.0, 0.0, 0, 2, 0.5, 1), (1, 12): (0.0, 1.0, 0.0, 0, 1, 0.25, 2), (1, 10): (0.0, 0.0, 3.0, 1, 2, 0.1, 3),
         (2, 10): (0.0, 0.0, 0.0, 0, 1, 0.0, 1), (3, 13): (0.0, 0.0, 2.0, 1, 1, 0.1, 1),
         (None, 12): (1.0, 0.0, 0.0, 0, 1, 0.5, 1), (None, 10): (0.0, 0.0, 0.0, 0, 1, 0.0, 2)}
+
+
+def test_ngrams_of_frequent_words_are_all_ngrams(spark):
+    rows = [("en", "a b a b a b c d"), ("en", "a b x y x y z"), ("fr", "q r s"), ("fr", None), (None, "a b  a b\tc"), ("es", "")]
+    rows += [("de", " ".join(f"m{i} n{i}" for i in range(30)))]  # every pair once: ties, decided by the text
+    texts = spark.createDataFrame(rows, "lang string, t string")
+    cells = lambda df: sorted(map(str, df.collect()))
+    for sizes in ([2], [2, 3]):
+        whole = cells(text.weighted_ngrams(texts, "t", F.lit(1), sizes, 2, ["lang"]))
+        for frequent in (1, 2, 4, 1000):
+            assert cells(text.weighted_ngrams(texts, "t", F.lit(1), sizes, 2, ["lang"], frequent=frequent)) == whole
+    tokens = texts.filter("lang = 'en'").select("lang", F.lit(1).alias("w"), F.split("t", " ").alias("tok"))
+    assert text._ngrams_of_frequent_words(tokens, [2], 1, ["lang"], 2) is not None
+    assert text._ngrams_of_frequent_words(tokens, [2], 3, ["lang"], 2) is None
+
+
+def test_rare_bigrams_of_documents_do_not_travel(spark):
+    plan = QUERIES["document_ngrams"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # counted already, from the frequent words
