@@ -69,13 +69,15 @@ def seller_features(events: DataFrame, dim: DataFrame, min_listings: int = 3) ->
     return sellers.withColumns({"contacts_per_listing": ratio("contacts", "n_listings"), "pageviews_per_listing": ratio("pageviews", "n_listings")})
 
 
-def session_journey_features(events: DataFrame, min_events: int = 3) -> DataFrame:
+def session_journey_features(events: DataFrame, min_events: int = 3, owner: bool = False) -> DataFrame:
+    """Behavior of every (session, category) with enough events; with ``owner`` also its user (the largest id of several)."""
     ev = event_flags(events)
+    users = [F.max("user_id").alias("user_id")] if owner else []
     s = ev.groupBy("session_id", "category").agg(
         F.max("device").alias("device"), F.count("*").alias("n_events"), F.countDistinct("item_id").alias("n_items"),
         F.max("is_search").alias("has_search"), F.max(flag(is_explicit())).alias("has_contact"), F.sum("is_pageview").alias("n_pageviews"),
         F.max("dwell_time_sec").alias("max_dwell"), F.avg(F.when(F.col("is_pageview") == 1, F.col("dwell_time_sec"))).alias("avg_dwell"),
-        ((seconds(F.max("event_ts")) - seconds(F.min("event_ts"))) / 60.0).alias("duration_min")).filter(F.col("n_events") >= min_events)
+        ((seconds(F.max("event_ts")) - seconds(F.min("event_ts"))) / 60.0).alias("duration_min"), *users).filter(F.col("n_events") >= min_events)
     deep = (F.col("n_items") >= 3) & (F.coalesce("max_dwell", F.lit(0.0)) >= 60)
     bounce = (F.col("n_pageviews") >= 2) & (F.col("has_contact") == 0) & (F.coalesce("avg_dwell", F.lit(0.0)) < 15)
     return s.withColumns({"deep_compare": flag(deep), "bounce_like": flag(bounce)})
@@ -234,9 +236,13 @@ def user_positive_rate(users: DataFrame, events: DataFrame, group: str) -> DataF
 
 
 def session_funnel_by_cluster(events: DataFrame, sessions: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Contact, search, compare and bounce rates per user cluster; unclustered users are -1."""
-    owner = events.groupBy("session_id", "category").agg(F.max("user_id").alias("user_id"))
-    joined = sessions.join(owner, ["session_id", "category"]).join(
+    """Contact, search, compare and bounce rates per user cluster; unclustered users are -1. Sessions that
+    do not carry their ``user_id`` get it from the events."""
+    if "user_id" in sessions.columns:
+        owned = sessions.filter("session_id IS NOT NULL AND category IS NOT NULL")
+    else:
+        owned = sessions.join(events.groupBy("session_id", "category").agg(F.max("user_id").alias("user_id")), ["session_id", "category"])
+    joined = owned.join(
         clusters.select("user_id", "category", "cluster"), ["user_id", "category"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
     return joined.groupBy("category", "cluster").agg(
         F.count("*").alias("sessions"), *[(F.avg(c) * 100).alias(f"{c}_pct") for c in ("has_contact", "has_search", "deep_compare", "bounce_like")])

@@ -127,7 +127,7 @@ def _(s):
 SELECT category, cluster, COUNT(*) AS sessions, round(100.0*AVG(has_contact),6) AS has_contact_pct, round(100.0*AVG(has_search),6) AS has_search_pct, round(100.0*AVG(deep_compare),6) AS deep_compare_pct, round(100.0*AVG(bounce_like),6) AS bounce_like_pct FROM j GROUP BY 1,2""")
 def _(s):
     users = E.user_intent_features(s.ev, s.dim).withColumn("cluster", (F.col("n_events") % 3).cast("int"))
-    return E.session_funnel_by_cluster(s.ev, E.session_journey_features(s.ev, 2), users)
+    return E.session_funnel_by_cluster(s.ev, E.session_journey_features(s.ev, 2, owner=True), users)
 
 
 @query("what_if_impacts", "ev dim snap", f"""WITH {HS}, {EF}, w AS (SELECT category, MAX(CASE WHEN health_segment='high_quality_underexposed' THEN n*avg_pageviews*GREATEST(40-med_exposure,0)*avg_rate/100.0*0.35 END) AS boost, MAX(CASE WHEN health_segment='oversaturated_low_conversion' THEN n*med_exposure*avg_pageviews*0.25 END) AS demote FROM ef GROUP BY 1),
@@ -171,7 +171,7 @@ LISTING_COLUMNS = ["n_pageviews", "n_contacts", "n_users", "avg_dwell", "avg_pos
 def user_clusters(s):
     """Users of each category clustered by the density of their behavior, written once."""
     users = E.user_intent_features(s.ev, s.dim)
-    return durable(E.density_clusters(E.projected(users, "user_id", USER_COLUMNS, CATEGORIES)), "userclusters")
+    return durable(E.density_clusters(durable(E.projected(users, "user_id", USER_COLUMNS, CATEGORIES), "points")), "userclusters")
 
 
 @query("density_clusters")
@@ -194,4 +194,4 @@ def _(s):
 
 @query("session_funnel_clusters")
 def _(s):
-    return E.session_funnel_by_cluster(s.ev, E.session_journey_features(s.ev, 2), user_clusters(s))
+    return E.session_funnel_by_cluster(s.ev, E.session_journey_features(s.ev, 2, owner=True), user_clusters(s))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bazaarlens.operators import features, text
+from bazaarlens.operators import features, segment, text
 from bazaarlens.operators.quality import price_log
 from bazaarlens.operators.retrieve import merge_candidates
 from bazaarlens.plans import retrieve
@@ -86,3 +86,14 @@ def test_ngrams_of_frequent_words_are_all_ngrams(spark):
 def test_rare_bigrams_of_documents_do_not_travel(spark):
     plan = QUERIES["document_ngrams"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # counted already, from the frequent words
+
+
+def test_sessions_bring_their_user_along(spark):
+    s = Star(spark, FOLDER)
+    users = segment.user_intent_features(s.ev, s.dim).select("user_id", "category", (F.col("n_events") % 3).cast("int").alias("cluster"))
+    users = spark.createDataFrame(users.collect(), users.schema)
+    one = segment.session_funnel_by_cluster(s.ev, segment.session_journey_features(s.ev, 2, owner=True), users)
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1  # the events are not read again for it
+    two = segment.session_funnel_by_cluster(s.ev, segment.session_journey_features(s.ev, 2), users)
+    cells = lambda df: sorted(tuple(round(float(v), 6) for v in r) for r in df.collect())
+    assert cells(one) == cells(two)
