@@ -14,7 +14,7 @@ from bazaarlens.operators.core import in_slices, join_keys, running_count, top_n
 from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.quality import RENT_ORDER, SALE_ORDER
 from bazaarlens.operators.vector_index import (
-    Cells, Index, blocks_to_cells, blocks_to_reachable_cells, build_index, code_scores, nearest_cells,
+    Cells, Index, blocks_to_bundles, blocks_to_cells, blocks_to_reachable_cells, build_index, bundle_cells, code_scores, items_of_bundles, nearest_cells,
 )
 from bazaarlens.operators.windows import gap_sessionize
 from bazaarlens.session import durable, shared_folder
@@ -101,7 +101,7 @@ def item_embedding_cf(
 
 def nearest_items(
     users: DataFrame, items: DataFrame, seen: DataFrame | None, k: int, cells: int | None = None, probes: int = 4, block: int = 1024, seed: int = 7,
-    exact: bool = True, keep: int | None = None, coarse_probes: int | None = None,
+    exact: bool = True, keep: int | None = None, coarse_probes: int | None = None, bundle: int = 16384,
 ) -> DataFrame:
     """Top-k items by inner product for unit vectors ``uvec`` and ``ivec``, without pairing rows.
 
@@ -112,12 +112,14 @@ def nearest_items(
     read in the second pass, and of those only rows that reach the k-th score of the first. So the
     ``exact`` form approximates nothing. Otherwise the codes of the ``probes`` nearest cells, looked for
     in the ``coarse_probes`` nearest coarse cells, are scored, and the ``keep`` best (5k) of each piece of
-    a cell are ranked again by their vectors where they lie; nothing else is read.
+    a cell are ranked again by their vectors where they lie; nothing else is read. There neighbouring
+    cells lie together in bundles of up to ``bundle`` items: a user goes to a bundle once and leaves it
+    with one list of the best ``k``.
 
     Work is dealt by (cell, item block): a user block goes to each item block of its cells, they meet
     as matrices of about ``block`` rows, and only each user's best rows leave the task, so a hot cell
     is many equal pieces on many machines. Bounds are taken inside a user's row, before it is copied
-    to the cells it needs.
+    to the cells it needs. What a user has seen goes along and is left out where it lies.
     """
     types = {f.name: f.dataType.simpleString() for f in [*users.schema, *items.schema]}
     schema = f"user_id {types['user_id']}, item_id {types['item_id']}, score double"
@@ -125,21 +127,22 @@ def nearest_items(
     if built is None:
         return users.sparkSession.createDataFrame([], f"{schema}, rank int")
     rows = users.select("user_id", "uvec")
-    if seen is not None:  # per user at most one entry for each cell of the model
-        per_cell = seen.join(built.rows.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.count("*").cast("int").alias("n"))
-        rows = rows.join(per_cell.groupBy("user_id").agg(F.collect_list(F.struct("cell", "n")).alias("seen")), "user_id", "left")
+    if seen is not None:  # what a user has seen, by the cells of the model
+        per_cell = seen.join(built.rows.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.collect_set("item_id").alias("items"))
+        rows = rows.join(per_cell.groupBy("user_id").agg(F.collect_list(F.struct("cell", "items")).alias("seen")), "user_id", "left")
     probed = durable(nearest_cells(rows, built, probes, coarse_probes), "probed")
     order = [F.desc(F.round("score", 9)), F.asc("item_id")]
     if not exact:
-        best = _best_of_codes(built.index, keep or 5 * k, k)
-        return top_n(_meet(blocks_to_cells(probed, built, block), _packed(built, ["cell", "code", "ivec"], block), seen, best, schema), ["user_id"], order, k)
+        bundles = bundle_cells(probed, built, block, bundle)
+        best = _best_of_bundles(built.index, keep or 5 * k, k)
+        return top_n(_meet(blocks_to_bundles(probed, built, bundles), items_of_bundles(built, bundles), ["bundle", "part"], best, schema), ["user_id"], order, k)
 
     packed = durable(_packed(built, ["cell", "ivec"], block), "packed")
-    first = durable(top_n(_meet(blocks_to_cells(probed, built, block), packed, seen, _best_of_blocks(k), schema), ["user_id"], order, k), "first")
+    first = durable(top_n(_meet(_dealt(blocks_to_cells(probed, built, block)), packed, ["cell", "piece"], _best_of_blocks(k), schema), ["user_id"], order, k), "first")
     full = F.when(F.count("*") == k, F.min("score"))
     reach = first.groupBy("user_id").agg(full.alias("floor")).filter("floor is not null").withColumn("reach", F.sqrt(F.greatest(2.0 - 2.0 * F.col("floor"), F.lit(0.0))))
     more = blocks_to_reachable_cells(probed.join(reach, "user_id", "left"), built, block)
-    both = first.select("user_id", "item_id", "score").unionByName(_meet(more, packed, seen, _best_of_blocks(k), schema))
+    both = first.select("user_id", "item_id", "score").unionByName(_meet(_dealt(more), packed, ["cell", "piece"], _best_of_blocks(k), schema))
     return top_n(both, ["user_id"], order, k)
 
 
@@ -148,15 +151,18 @@ def _packed(built: Cells, columns: Sequence[str], block: int) -> DataFrame:
     return _blocks(built.rows.select("item_id", *columns), "item_id", columns[1:], block).withColumnRenamed("block", "piece")
 
 
-def _meet(sent: DataFrame, packed: DataFrame, seen: DataFrame | None, best, schema: str) -> DataFrame:
-    """(user_id, item_id, score): what ``best`` takes from each pair of a user block and an item piece of its cell.
+def _dealt(sent: DataFrame) -> DataFrame:
+    """User blocks for every piece of their cell."""
+    return sent.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+
+
+def _meet(sent: DataFrame, packed: DataFrame, keys: Sequence[str], best, schema: str) -> DataFrame:
+    """(user_id, item_id, score): what ``best`` takes from each pair of a user block and the items of its ``keys``.
 
     User blocks are far larger than the rows they are cut from, and Spark judges them by those: they
     must not be taken for a small table and sent through the driver.
     """
-    dealt = sent.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    hits = dealt.hint("merge").join(packed.hint("merge"), ["cell", "piece"]).mapInPandas(best, schema)
-    return hits if seen is None else hits.join(seen.select("user_id", "item_id").hint("merge"), ["user_id", "item_id"], "left_anti")
+    return sent.hint("merge").join(packed.hint("merge"), list(keys)).mapInPandas(best, schema)
 
 
 def _blocks(rows: DataFrame, key: str, values: Sequence[str], size: int) -> DataFrame:
@@ -173,16 +179,27 @@ def _blocks(rows: DataFrame, key: str, values: Sequence[str], size: int) -> Data
     return packed.select("cell", "block", F.transform("l", lambda x: x[key]).alias(f"{key}s"), *[flat(v).alias(f"{v}s") for v in values])
 
 
-def _best_rows(users, items, extras, floors, scores, k: int):
-    """Each user's best ``k`` rows of a block and as many as it has seen there, ties included; none below the floor."""
+def _without_seen(scores, items, extras, seens):
+    """``scores`` of a user block and an item block, and -inf for what the users have seen: ``extras`` of ``seens`` each."""
+    import numpy as np
+
+    if not len(seens):
+        return scores
+    known, column = np.unique(items, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, seens), len(known) - 1)
+    here = known[at] == seens
+    seen = np.zeros((len(scores), len(known)), dtype=bool)
+    seen[np.repeat(np.arange(len(scores)), extras)[here], at[here]] = True
+    return np.where(seen[:, column], -np.inf, scores)
+
+
+def _best_places(scores, floors, k: int):
+    """Rows and columns of each row's best ``k`` scores, ties included; none below the floor."""
     import numpy as np
-    import pandas as pd
 
-    users, items, extras = np.asarray(users), np.asarray(items), np.asarray(extras)
-    order = np.sort(scores, axis=1)
-    limit = np.fmax(order[np.arange(len(users)), len(items) - np.minimum(k + extras, len(items))], np.asarray(floors, dtype=np.float64))
-    u, i = np.nonzero(scores >= limit[:, None] - 2e-9)  # scores are compared at nine digits
-    return pd.DataFrame({"user_id": users[u], "item_id": items[i], "score": scores[u, i]})
+    n = scores.shape[1]
+    limit = np.fmax(np.partition(scores, n - min(k, n), axis=1)[:, n - min(k, n)], floors)
+    return np.nonzero((scores >= limit[:, None] - 2e-9) & (scores > -np.inf))  # scores are compared at nine digits
 
 
 def _best_of_blocks(k: int):
@@ -190,30 +207,63 @@ def _best_of_blocks(k: int):
 
     def run(batches):
         import numpy as np
+        import pandas as pd
 
         for batch in batches:
-            for users, uvecs, extras, floors, items, ivecs in zip(batch.user_ids, batch.uvecs, batch.extras, batch.floors, batch.item_ids, batch.ivecs):
+            for users, uvecs, extras, seens, floors, items, ivecs in zip(batch.user_ids, batch.uvecs, batch.extras, batch.seens, batch.floors, batch.item_ids, batch.ivecs):
+                users, items = np.asarray(users), np.asarray(items)
                 scores = np.asarray(uvecs).reshape(len(users), -1) @ np.asarray(ivecs).reshape(len(items), -1).T
-                yield _best_rows(users, items, extras, floors, scores, k)
+                scores = _without_seen(scores, items, np.asarray(extras), np.asarray(seens))
+                u, i = _best_places(scores, np.asarray(floors, dtype=np.float64), k)
+                yield pd.DataFrame({"user_id": users[u], "item_id": items[i], "score": scores[u, i]})
 
     return run
 
 
-def _best_of_codes(index: Index, keep: int, k: int):
-    """As ``_best_of_blocks``, for each user only over the ``keep`` items (and as many as it has seen there) whose codes score best."""
+def _best_of_bundles(index: Index, keep: int, k: int, block: int = 1024):
+    """Each user's best rows of a bundle, ties included: in every piece of a wanted cell over the ``keep`` items (and as many
+    as the user has seen in the cell) whose codes score best."""
 
-    def run(batches):
+    def of_cell(cell, points, codes, vectors, items, extras, seens):
         import numpy as np
 
+        rough = code_scores(index, cell, points, codes)
+        least = np.sort(rough, axis=1)[np.arange(len(points)), len(items) - np.minimum(keep + extras, len(items))]
+        scores = _without_seen(np.where(rough >= least[:, None], points @ vectors.T, -np.inf), items, extras, seens)
+        u, i = _best_places(scores, np.nan, k)
+        return u, i, scores[u, i]
+
+    def of_bundle(row):
+        import numpy as np
+        import pandas as pd
+
+        users, items, wanted, places, extras, seens = (np.asarray(x) for x in (row.user_ids, row.item_ids, row.wanted, row.places, row.extras, row.seens))
+        points, vectors = np.asarray(row.uvecs).reshape(len(users), -1), np.asarray(row.ivecs).reshape(len(items), -1)
+        codes = np.frombuffer(b"".join(row.codes), dtype=np.uint8).reshape(len(items), -1)
+        cells, pieces = np.asarray(row.cells), np.asarray(row.pieces)
+        order, upto = np.lexsort((pieces, cells)), np.concatenate([[0], np.cumsum(extras)])
+        new = (np.diff(cells[order], prepend=-1) != 0) | (np.diff(pieces[order], prepend=-1) != 0)
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        for own in np.split(order, np.flatnonzero(new)[1:]):
+            cell = int(cells[own[0]])
+            first, end = np.searchsorted(wanted, [cell, cell + 1])
+            for a in range(first, end, block):
+                b = min(a + block, end)
+                u, i, score = of_cell(cell, points[places[a:b]], codes[own], vectors[own], items[own], extras[a:b], seens[upto[a] : upto[b]])
+                found.append((places[a:b][u], own[i], score))
+        u, i, score = (np.concatenate(x) for x in zip(*found))
+        by = np.lexsort((-score, u))
+        starts = np.searchsorted(u[by], np.arange(len(users)))
+        counts = np.bincount(u, minlength=len(users))
+        limit = np.full(len(users), -np.inf)
+        limit[counts >= k] = score[by][starts[counts >= k] + k - 1]
+        best = score >= limit[u] - 2e-9
+        return pd.DataFrame({"user_id": users[u[best]], "item_id": items[i[best]], "score": score[best]})
+
+    def run(batches):
         for batch in batches:
-            for cell, users, uvecs, extras, floors, items, codes, ivecs in zip(
-                    batch.cell, batch.user_ids, batch.uvecs, batch.extras, batch.floors, batch.item_ids, batch.codes, batch.ivecs):
-                codes = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(items), -1)
-                points, vectors = np.asarray(uvecs).reshape(len(users), -1), np.asarray(ivecs).reshape(len(items), -1)
-                rough = code_scores(index, int(cell), points, codes)
-                least = np.sort(rough, axis=1)[np.arange(len(users)), len(items) - np.minimum(keep + np.asarray(extras), len(items))]
-                scores = np.where(rough >= least[:, None], points @ vectors.T, -np.inf)
-                yield _best_rows(users, items, extras, floors, scores, k)
+            for row in batch.itertuples(index=False):
+                yield of_bundle(row)
 
     return run
 

@@ -14,8 +14,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bazaarlens.session import durable
 
@@ -164,23 +166,33 @@ def _reachable(index: Index, radius: np.ndarray, filled: np.ndarray):
     return choose
 
 
-def _blocks_of_users(choose, last: np.ndarray, block: int, rows: int = 16384):
-    def lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+def _lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
+
+def _seen_there(batch: pa.RecordBatch, user: np.ndarray, cell: np.ndarray, kind: pa.DataType) -> tuple[np.ndarray, pa.Array]:
+    """For each (user, cell): how many items of the cell the user has seen, and these items one after the other."""
+    if "seen" not in batch.schema.names:
+        return np.zeros(len(user), dtype=np.int32), pa.array([], kind)
+    of = [{p["cell"]: p["items"] for p in pairs or ()} for pairs in batch.column("seen").to_pylist()]
+    own = [of[u].get(c, ()) for u, c in zip(user.tolist(), cell.tolist())]
+    return np.array([len(x) for x in own], dtype=np.int32), pa.array([i for x in own for i in x], kind)
+
+
+def _item_kind(cells: Cells) -> tuple[str, pa.DataType]:
+    kind = cells.rows.schema["item_id"].dataType
+    return kind.simpleString(), to_arrow_type(kind)
+
+
+def _blocks_of_users(choose, last: np.ndarray, block: int, kind: pa.DataType, rows: int = 16384):
     def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, block):
                 batch = whole.slice(start, block)
                 points = vectors_of(batch.column("uvec"))
-                seen = np.zeros((0, 0), dtype=np.int32)
-                wanted = choose(batch, points)
-                if "seen" in batch.schema.names:
-                    seen = np.zeros(wanted.shape, dtype=np.int32)
-                    for i, pairs in enumerate(batch.column("seen").to_pylist()):
-                        for p in pairs or ():
-                            seen[i, p["cell"]] = p["n"]
-                cell, user = np.nonzero(wanted.T)
+                cell, user = np.nonzero(choose(batch, points).T)
+                extras, seens = _seen_there(batch, user, cell, kind)
+                upto = np.concatenate([[0], np.cumsum(extras)])
                 ends = np.flatnonzero(np.diff(cell, append=-1)) + 1
                 at = 0
                 while at < len(cell):  # whole cells, about ``rows`` users in all
@@ -188,29 +200,30 @@ def _blocks_of_users(choose, last: np.ndarray, block: int, rows: int = 16384):
                     c, u = cell[at:to], user[at:to]
                     heads = np.flatnonzero(np.diff(c, prepend=-1))
                     offsets = np.append(heads, len(c))
-                    extra = seen[u, c] if seen.size else np.zeros(len(c), dtype=np.int32)
                     floor = batch.column("floor").to_numpy(zero_copy_only=False)[u] if "floor" in batch.schema.names else np.full(len(u), np.nan)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[heads].astype(np.int32)), pa.array(last[c[heads]].astype(np.int32)), lists(batch.column("user_id").take(pa.array(u)), offsets),
-                         lists(pa.array(points[u].ravel()), offsets * points.shape[1]), lists(pa.array(extra.astype(np.int32)), offsets), lists(pa.array(floor), offsets)],
-                        ["cell", "last", "user_ids", "uvecs", "extras", "floors"])
+                        [pa.array(c[heads].astype(np.int32)), pa.array(last[c[heads]].astype(np.int32)), _lists(batch.column("user_id").take(pa.array(u)), offsets),
+                         _lists(pa.array(points[u].ravel()), offsets * points.shape[1]), _lists(pa.array(extras[at:to]), offsets),
+                         _lists(seens.slice(upto[at], upto[to] - upto[at]), upto[at + offsets] - upto[at]), _lists(pa.array(floor), offsets)],
+                        ["cell", "last", "user_ids", "uvecs", "extras", "seens", "floors"])
                     at = to
 
     return run
 
 
 def _sent(users: DataFrame, cells: Cells, choose, block: int) -> DataFrame:
-    kind = users.schema["user_id"].dataType.simpleString()
+    kind, (item, arrow) = users.schema["user_id"].dataType.simpleString(), _item_kind(cells)
     last = np.ceil(cells.n / block) - 1
-    return users.mapInArrow(_blocks_of_users(choose, last, block), f"cell int, last int, user_ids array<{kind}>, uvecs array<double>, extras array<int>, floors array<double>")
+    return users.mapInArrow(
+        _blocks_of_users(choose, last, block, arrow), f"cell int, last int, user_ids array<{kind}>, uvecs array<double>, extras array<int>, seens array<{item}>, floors array<double>")
 
 
 def blocks_to_cells(probed: DataFrame, cells: Cells, block: int) -> DataFrame:
-    """(cell, last, user_ids, uvecs, extras, floors): blocks of up to ``block`` users for each of their ``cells``.
+    """(cell, last, user_ids, uvecs, extras, seens, floors): blocks of up to ``block`` users for each of their ``cells``.
 
-    ``last`` is the number of the cell's last piece of ``block`` items, ``extras`` counts what the users
-    have seen there, ``floors`` holds their ``floor`` (NaN without one). Blocks are cut from the rows as
-    they come, inside the task: nothing is shuffled to form them.
+    ``last`` is the number of the cell's last piece of ``block`` items, ``extras`` counts what each user
+    has seen there and ``seens`` names it, user by user; ``floors`` holds their ``floor`` (NaN without
+    one). Blocks are cut from the rows as they come, inside the task: nothing is shuffled to form them.
     """
     return _sent(probed, cells, _listed(len(cells.n)), block)
 
@@ -220,6 +233,96 @@ def blocks_to_reachable_cells(probed: DataFrame, cells: Cells, block: int) -> Da
     return _sent(probed, cells, _reachable(cells.index, cells.radius, cells.n > 0), block)
 
 
+class Bundles(NamedTuple):
+    """Neighbouring cells whose items are read together: pieces and the first and last bundle of each cell,
+    pieces of a cell in one bundle, and in how many parts the users of each bundle are dealt."""
+
+    pieces: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    per: int
+    parts: np.ndarray
+
+
+def bundle_cells(probed: DataFrame, cells: Cells, block: int, size: int, dealt: int = 131072) -> Bundles:
+    """Bundles of up to ``size`` items: cells in their order, which keeps those of a coarse cell together; a larger
+    cell has several to itself. A bundle has one part for every ``dealt`` (user, cell) it is asked for, so copies of
+    its items grow no faster than its users."""
+    per = max(1, size // block)
+    pieces = np.maximum(np.ceil(cells.n / block).astype(np.int64), 1)
+    first, bundle, filled = np.zeros_like(pieces), 0, 0
+    for c, n in enumerate(cells.n):
+        if filled and filled + n > size:
+            bundle, filled = bundle + 1, 0
+        first[c], filled = bundle, filled + n
+        bundle += (pieces[c] - 1) // per
+    last = first + (pieces - 1) // per
+    wanted = np.zeros(int(last.max()) + 1)
+    for r in probed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():  # one row per cell of the model
+        wanted[first[r.cell] : last[r.cell] + 1] += r["count"]
+    return Bundles(pieces, first, last, per, np.maximum(np.ceil(wanted / dealt), 1).astype(np.int64))
+
+
+def _blocks_for_bundles(bundles: Bundles, kind: pa.DataType, rows: int = 16384):
+    def run(batches):
+        number = TaskContext.get().partitionId()  # blocks go round the parts of a bundle
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                points, number = vectors_of(batch.column("uvec")), number + 1
+                wanted = batch.column("cells")
+                cell = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                user = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))
+                times = bundles.last[cell] - bundles.first[cell] + 1
+                bundle = np.repeat(bundles.first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                cell, user = np.repeat(cell, times), np.repeat(user, times)
+                order = np.lexsort((user, cell, bundle))
+                cell, user, bundle = cell[order], user[order], bundle[order]
+                extras, seens = _seen_there(batch, user, cell, kind)
+                upto = np.concatenate([[0], np.cumsum(extras)])
+                heads = np.append(np.flatnonzero(np.diff(bundle, prepend=-1)), len(bundle))
+                for at, to in zip(heads[:-1], heads[1:]):
+                    b = int(bundle[at])
+                    people, place = np.unique(user[at:to], return_inverse=True)
+                    one = [batch.column("user_id").take(pa.array(people)), pa.array(points[people].ravel()), pa.array(cell[at:to].astype(np.int32)), pa.array(place.astype(np.int32)),
+                           pa.array(extras[at:to]), seens.slice(upto[at], upto[to] - upto[at])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b], pa.int32()), pa.array([number % int(bundles.parts[b])], pa.int32()), *[_lists(x, np.array([0, len(x)])) for x in one]],
+                        ["bundle", "part", "user_ids", "uvecs", "wanted", "places", "extras", "seens"])
+
+    return run
+
+
+def blocks_to_bundles(probed: DataFrame, cells: Cells, bundles: Bundles) -> DataFrame:
+    """(bundle, part, user_ids, uvecs, wanted, places, extras, seens): users with all their ``cells`` of one bundle.
+
+    A user's vector goes to a bundle once, whatever number of its cells the user asks for. ``wanted``
+    lists cells in ascending order, ``places`` the asking user's place in ``user_ids``; ``extras`` and
+    ``seens`` tell what that user has seen in that cell.
+    """
+    kind, (item, arrow) = probed.schema["user_id"].dataType.simpleString(), _item_kind(cells)
+    return probed.mapInArrow(
+        _blocks_for_bundles(bundles, arrow),
+        f"bundle int, part int, user_ids array<{kind}>, uvecs array<double>, wanted array<int>, places array<int>, extras array<int>, seens array<{item}>")
+
+
+def items_of_bundles(cells: Cells, bundles: Bundles) -> DataFrame:
+    """(bundle, part, item_ids, cells, pieces, codes, ivecs): the items of each bundle, a copy for each of its parts."""
+    spark = cells.rows.sparkSession
+    table = [(c, int(p), int(f)) for c, (p, f) in enumerate(zip(bundles.pieces, bundles.first))]
+    parts = [(b, int(p)) for b, p in enumerate(bundles.parts)]
+    cut = (
+        cells.rows.join(F.broadcast(spark.createDataFrame(table, "cell int, n_pieces long, first long")), "cell")
+        .withColumn("piece", F.pmod(F.xxhash64("item_id"), F.col("n_pieces")).cast("int"))
+        .withColumn("bundle", (F.col("first") + F.floor(F.col("piece") / bundles.per)).cast("int"))
+        .join(F.broadcast(spark.createDataFrame(parts, "bundle int, n_parts int")), "bundle")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    )
+    columns = {"item_id": "item_ids", "cell": "cells", "piece": "pieces", "code": "codes", "ivec": "ivecs"}
+    packed = cut.groupBy("bundle", "part").agg(F.collect_list(F.struct(*columns)).alias("l"))
+    return packed.select("bundle", "part", *[F.flatten(f"l.{a}").alias(b) if a == "ivec" else F.col(f"l.{a}").alias(b) for a, b in columns.items()])
+
+
 def code_scores(index: Index, cell: int, users: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Estimated inner products of users with the coded items of a cell."""
     out = np.repeat((users @ index.fine[cell])[:, None], len(codes), axis=1)

@@ -272,3 +272,43 @@ def test_the_index_ranks_by_vectors_where_they_lie(spark, monkeypatch):
     assert all(r.score == pytest.approx(float(users[r.user_id] @ items[r.item_id])) for r in got)
     hits = sent[0].collect()  # at most k rows of each cell leave, not the 50 whose vectors are read
     assert len(hits) <= 30 * 6 * 5
+
+
+def test_a_user_goes_to_a_bundle_of_cells_once_and_leaves_it_with_one_list(spark, monkeypatch):
+    """Before, each probed cell took a copy of the user's vector and gave ``k`` rows, and seen items left by a join of all these rows."""
+    users, items = unit_rows(5, 30, 8, 4), unit_rows(6, 400, 8, 4)
+    u = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(users)], "user_id long, uvec array<double>")
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(items)], "item_id long, ivec array<double>")
+    seen_pairs = {(n, int(x)) for n in range(0, 30, 2) for x in np.argsort(-(items @ users[n]))[:4]}
+    seen = spark.createDataFrame(sorted(seen_pairs), "user_id long, item_id long")
+    met = []
+    plain = retrieve._meet
+    monkeypatch.setattr(retrieve, "_meet", lambda *a: met.append(plain(*a)) or met[-1])
+    got = retrieve.nearest_items(u, v, seen, 5, cells=20, probes=6, exact=False, keep=50).collect()
+    hits = met[0].collect()
+    assert len(got) == len(hits) == 30 * 5  # all cells are one bundle here
+    assert not {(r.user_id, r.item_id) for r in hits} & seen_pairs
+    assert "LeftAnti" not in met[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bundles_in_pieces_and_parts_change_no_result(spark, monkeypatch):
+    """A third of the items are one vector: its cell spans bundles, users of a bundle are dealt in parts; all cells probed is brute force."""
+    items = unit_rows(2, 900, 8, 5)
+    items[::3] = items[0]
+    users = unit_rows(7, 40, 8, 5)
+    u, i = frames(spark, users, items)
+    scores = np.round(users @ items.T, 9)
+    ranked = {n: sorted(range(900), key=lambda x: (-scores[n][x], x)) for n in range(40)}
+    seen_of = {n: set(ranked[n][: n % 7]) for n in range(40)}
+    seen = spark.createDataFrame([(f"u{n}", f"i{x:05d}") for n, s in seen_of.items() for x in s], "user_id string, item_id string")
+    plain, parts = retrieve.bundle_cells, []
+
+    def dealt(*a):
+        parts.append(plain(*a, dealt=100))
+        return parts[-1]
+
+    monkeypatch.setattr(retrieve, "bundle_cells", dealt)
+    got = tops(retrieve.nearest_items(u.repartition(3), i, seen, 20, block=50, exact=False, probes=1000, keep=900, bundle=100))
+    assert parts[0].parts.max() > 1 and (parts[0].last > parts[0].first).any()
+    want = {f"u{n}": [f"i{x:05d}" for x in ranked[n] if x not in seen_of[n]][:20] for n in range(40)}
+    assert {n: [got[n][r] for r in range(1, 21)] for n in got} == want
