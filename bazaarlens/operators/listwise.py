@@ -4,9 +4,10 @@ Every round asks, for each pair of a user's rows with unequal labels, how much N
 they swapped, and pushes the two apart by that much (lambda gradients). A weighted regression tree is
 fitted to the Newton target gradient / weight; its leaf values come from one aggregation by leaf.
 
-The training table is written once, bucketed by user, so no round shuffles rows to form lists. Lists
-are cut to ``cap`` rows, which bounds what one group holds. Users whose labels are all equal have no
-pairs and leave the table before training. Trees are column expressions: scoring stays in the JVM.
+The training table is written once, bucketed by user, so no round shuffles rows to form lists. Lists are
+whole: a swap behind place k changes nothing, so each row only meets the k best of its list, and rows go
+by in the order of their scores while those k are held. Users whose labels are all equal have no pairs
+and leave the table before training. Trees are column expressions: scoring stays in the JVM.
 """
 
 from __future__ import annotations
@@ -80,48 +81,46 @@ def _sum_of(trees: Sequence[Tree], step: float) -> Column:
     return sum((leaf_of("x", t.root, t.values) * step for t in trees), F.lit(0.0))
 
 
-#: Pairs that are held at a time while gradients are summed.
-PAIRS = 1 << 20
+def _moved(nth, labels, scores, ideal, k: int, done: int = 0):
+    """(g, h): sums of pair gradients and of their weights, for rows in the order of their list and of ``nth``, their place in it.
 
+    A swap of two rows changes NDCG@k by the difference of their gains times that of their discounts, and
+    places behind k have discount 0. So a row forms its pairs with the first k of the rows before it, and those
+    are all pairs that count. The first ``done`` rows have formed theirs already; ``ideal`` is the DCG of the list's best order.
+    """
+    import numpy as np
 
-def gradients_of_lists(heads, labels, scores, k: int):
-    """(g, h) of the rows of many lists: sums of pair gradients and of their weights.
+    n, heads = len(nth), nth == 1
+    first = np.flatnonzero(heads)[np.cumsum(heads) - 1]
+    discount = np.where(nth <= k, 1.0 / np.log2(nth + 1.0), 0.0)
+    gain = np.exp2(labels) - 1.0
+    g, h = np.zeros(n), np.zeros(n)
+    for place in range(1, min(k, int(nth.max(initial=0)) - 1) + 1):
+        row = np.flatnonzero((nth > place) & (ideal > 0) & (np.arange(n) >= done))
+        top = first[row] + place - 1
+        row, top = (x[labels[row] != labels[top]] for x in (row, top))
+        rises = np.where(labels[row] > labels[top], 1.0, -1.0)
+        change = np.abs((gain[row] - gain[top]) * (discount[row] - discount[top])) / ideal[row]
+        miss = 1.0 / (1.0 + np.exp(np.clip(rises * (scores[row] - scores[top]), -60, 60)))
+        push, weight = rises * miss * change, miss * (1.0 - miss) * change
+        g[row] += push  # a row meets one other at each place
+        h[row] += weight
+        g -= np.bincount(top, push, n)
+        h += np.bincount(top, weight, n)
+    return g, h
 
-    A list starts where ``heads`` is true; its rows stand in the order that breaks ties of the score.
-    A swap of two rows changes NDCG@k by the difference of their gains times that of their discounts;
-    positions behind k have discount 0. Pairs are formed across all lists at once, a bounded number at a time.
-    """
+
+def gradients_of_lists(heads, labels, scores, k: int):
+    """(g, h) of the rows of many lists. A list starts where ``heads`` is true; its rows stand in the order that breaks ties of the score."""
     import numpy as np
 
-    n = len(labels)
     of = np.cumsum(heads) - 1
-    first = np.flatnonzero(heads)[of]
-    rank = np.arange(n) - first  # lists are contiguous, so the i-th row of a sorted list has the rank of its i-th row
-    place = np.empty(n, dtype=np.int64)
-    place[np.lexsort((-scores, of))] = rank
-    discount = np.where(place < k, 1.0 / np.log2(place + 2.0), 0.0)
+    rank = np.arange(len(of)) - np.flatnonzero(heads)[of]
     gain = np.exp2(labels) - 1.0
     ideal = np.bincount(of, np.where(rank < k, gain[np.lexsort((-gain, of))] / np.log2(rank + 2.0), 0.0))
-    rising = np.lexsort((labels, of))  # every row stands behind the rows of its list with smaller labels
-    level = np.flatnonzero(heads | (np.diff(labels[rising], prepend=np.nan) != 0))
-    start = level[np.searchsorted(level, np.arange(n), "right") - 1]
-    below = np.where(ideal[of] > 0, start - first, 0)
-    ends = np.cumsum(below)
-    g, h = np.zeros(n), np.zeros(n)
-    at = 0
-    while at < n:
-        done = ends[at - 1] if at else 0
-        to = max(int(np.searchsorted(ends, done + PAIRS, "right")), at + 1)
-        counts = below[at:to]
-        up = np.repeat(np.arange(at, to), counts)
-        down = rising[np.arange(len(up)) - np.repeat(ends[at:to] - counts - done, counts) + first[up]]
-        up = rising[up]
-        change = np.abs((gain[up] - gain[down]) * (discount[up] - discount[down])) / ideal[of[up]]
-        miss = 1.0 / (1.0 + np.exp(np.clip(scores[up] - scores[down], -60, 60)))
-        push, weight = miss * change, miss * (1.0 - miss) * change
-        g += np.bincount(up, push, n) - np.bincount(down, push, n)
-        h += np.bincount(up, weight, n) + np.bincount(down, weight, n)
-        at = to
+    order = np.lexsort((-scores, of))  # lists are contiguous, so the i-th row of a sorted list has the rank of its i-th row
+    g, h = np.zeros(len(of)), np.zeros(len(of))
+    g[order], h[order] = _moved(rank + 1, labels[order], scores[order], ideal[of], k)
     return g, h
 
 
@@ -133,31 +132,32 @@ def pair_gradients(labels, scores, k: int):
 
 
 def _gradients(k: int):
-    def moved(table):
-        import numpy as np
-        import pyarrow as pa
-
-        g, h = gradients_of_lists(table.column("nth").to_numpy() == 1, table.column("label").to_numpy(), table.column("score").to_numpy(), k)
-        rows = np.flatnonzero(h > 0)
-        x = table.column("x").take(pa.array(rows)).combine_chunks()
-        return pa.RecordBatch.from_arrays([x, pa.array(g[rows]), pa.array(h[rows])], ["x", "g", "h"])
-
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        left = None  # the last list of a batch may go on in the next one
+        def out(table, g, h, rows):
+            rows = rows[h[rows] > 0]
+            return pa.RecordBatch.from_arrays([table.column("x").take(pa.array(rows)).combine_chunks(), pa.array(g[rows]), pa.array(h[rows])], ["x", "g", "h"])
+
+        best = sums = None  # the first k rows of the last list, which may go on in the next batch, and their sums so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            table = table if left is None else pa.concat_tables([left, table])
-            last = int(np.flatnonzero(table.column("nth").to_numpy() == 1)[-1])
-            if last:
-                yield moved(table.slice(0, last))
-            left = table.slice(last)
-        if left is not None:
-            yield moved(left)
+            table, done = pa.Table.from_batches([batch]), 0
+            if best is not None:
+                table, done = pa.concat_tables([best, table]), best.num_rows
+            nth, label, score, ideal = (table.column(c).to_numpy() for c in ("nth", "label", "score", "ideal"))
+            g, h = _moved(nth, label, score, ideal, k, done)
+            if done:
+                g[:done] += sums[0]
+                h[:done] += sums[1]
+            last = int(np.flatnonzero(nth == 1)[-1])
+            kept = np.arange(last, min(last + k, len(nth)))
+            best, sums = table.take(pa.array(kept)), (g[kept], h[kept])
+            yield out(table, g, h, np.setdiff1d(np.arange(len(nth)), kept, assume_unique=True))
+        if best is not None:
+            yield out(best, *sums, np.arange(best.num_rows))
 
     return run
 
@@ -165,12 +165,16 @@ def _gradients(k: int):
 def list_gradients(rows: DataFrame, k: int) -> DataFrame:
     """(x, g, h): the rows of (user_id, place, label, score, x) that some pair moves.
 
-    A window numbers each user's rows where they lie, so lists come to Python whole and in order, many in one call.
+    Windows number each user's rows where they lie, so lists come to Python in the order of their scores, many in one
+    call; a long one spans many, and no more than a batch and its best k rows are held.
     """
     from pyspark.sql import Window as W
 
-    nth = F.row_number().over(W.partitionBy("user_id").orderBy("place")).alias("nth")
-    return rows.select("label", "score", "x", nth).mapInArrow(_gradients(k), "x array<double>, g double, h double")
+    user = W.partitionBy("user_id")
+    worth = F.when(F.col("best") <= k, (F.pow(F.lit(2.0), F.col("label")) - 1.0) / F.log2(F.col("best") + 1.0)).otherwise(0.0)
+    ideal = rows.select("user_id", "place", "label", "score", "x", F.row_number().over(user.orderBy(F.desc("label"), "place")).alias("best")).withColumn("ideal", F.sum(worth).over(user))
+    nth = F.row_number().over(user.orderBy(F.desc("score"), "place")).alias("nth")
+    return ideal.select("label", "score", "x", "ideal", nth).mapInArrow(_gradients(k), "x array<double>, g double, h double")
 
 
 def fit_tree(gradients: DataFrame, depth: int, least_rows: int, l2: float, seed: int) -> Tree:
@@ -197,14 +201,17 @@ def list_ndcg(rows: DataFrame, k: int) -> float:
     return users.agg(F.avg(F.col("dcg") / F.col("ideal"))).first()[0] or 0.0
 
 
-def training_lists(rows: DataFrame, features: Sequence[str], label: str = "label", cap: int = 500, order: Sequence[Column] | None = None) -> DataFrame:
-    """(user_id, place, label, x, score): each user's first ``cap`` rows, where their labels differ.
+def training_lists(rows: DataFrame, features: Sequence[str], label: str = "label", cap: int | None = None, order: Sequence[Column] | None = None) -> DataFrame:
+    """(user_id, place, label, x, score): all rows of each user whose labels differ, or the first ``cap`` where a caller asks for them.
 
-    ``order`` says which rows stay and breaks ties of scores; the item's id by default.
+    ``order`` breaks ties of scores; the item's id by default.
     """
-    cut = top_n(clean_features(rows, features), ["user_id"], list(order or []) + [F.asc("item_id")], cap, "place")
+    from pyspark.sql import Window as W
+
+    ties, clean = [*(order or []), F.asc("item_id")], clean_features(rows, features)
+    lists = clean.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(*ties))) if cap is None else top_n(clean, ["user_id"], ties, cap, "place")
     values = F.array(*[as_col(f) for f in features])
-    table = cut.select("user_id", "place", F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("label"), values.alias("x"), F.lit(0.0).alias("score"))
+    table = lists.select("user_id", "place", F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("label"), values.alias("x"), F.lit(0.0).alias("score"))
     mixed = table.groupBy("user_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("hi > lo").select("user_id")
     return table.join(mixed, "user_id", "left_semi")
 
@@ -251,10 +258,10 @@ def _with_trees(table: DataFrame, trees: Sequence[Tree], step: float, group: int
 
 
 def train_listwise(
-    rows: DataFrame, features: Sequence[str], label: str = "label", cap: int = 500, order: Sequence[Column] | None = None, **options
+    rows: DataFrame, features: Sequence[str], label: str = "label", order: Sequence[Column] | None = None, **options
 ) -> ListwiseModel:
     """Listwise boosting on an 80/20 user split; see ``training_lists`` and ``boost`` for the options."""
-    return boost(bucketed(hash_split(training_lists(rows, features, label, cap, order), "user_id"), "lists", "user_id"), features, **options)
+    return boost(bucketed(hash_split(training_lists(rows, features, label, order=order), "user_id"), "lists", "user_id"), features, **options)
 
 
 class Trial(NamedTuple):
@@ -267,13 +274,13 @@ class Trial(NamedTuple):
 
 
 def search_listwise(
-    rows: DataFrame, features: Sequence[str], grid: Sequence[Mapping], rungs: Sequence[int] = (5, 15, 45), keep: int = 3, label: str = "label", cap: int = 500, k: int = 10,
+    rows: DataFrame, features: Sequence[str], grid: Sequence[Mapping], rungs: Sequence[int] = (5, 15, 45), keep: int = 3, label: str = "label", k: int = 10,
 ) -> list[Trial]:
     """Successive halving: all parameter sets get the first few rounds, the best ``1 / keep`` of them go on from their trees.
 
     Returns one trial per set, the winner first: those that came furthest, then the better. Ties go to the earlier set.
     """
-    table = bucketed(hash_split(training_lists(rows, features, label, cap), "user_id"), "lists", "user_id")
+    table = bucketed(hash_split(training_lists(rows, features, label), "user_id"), "lists", "user_id")
     alive = [Trial(i, p, ListwiseModel([], p.get("step", 0.1), tuple(features), ()), 0.0) for i, p in enumerate(grid)]
     done: list[Trial] = []
     for number, rung in enumerate(rungs):

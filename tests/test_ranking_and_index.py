@@ -105,6 +105,43 @@ def test_lists_are_cut_and_users_without_pairs_leave(spark):
     assert not empty.trees and listwise.score_listwise(df, empty).agg(F.sum("score")).first()[0] == 0
 
 
+def test_lists_are_trained_whole_and_no_list_is_held(spark):
+    r = np.random.default_rng(11)
+    rows = [(u, i, int(i >= 590 or r.random() < 0.02), float(i % 7)) for u in (1, 2) for i in range(600 + u)]
+    df = spark.createDataFrame(rows, "user_id long, item_id long, label int, f double")
+    lists = listwise.training_lists(df, ["f"])
+    assert lists.count() == 1203 and lists.agg(F.max("place")).first()[0] == 602
+    table = lists.withColumn("score", F.round(F.sin(F.col("place") * 3.0), 1)).withColumn("x", F.array(F.col("user_id").cast("double"), F.col("place").cast("double")))
+    want = {}
+    for u in (1, 2):
+        own = table.filter(f"user_id = {u}").orderBy("place").collect()
+        g, h = pairwise_gradients(np.array([x.label for x in own]), np.array([x.score for x in own]), 10)
+        want |= {tuple(x.x): (a, b) for x, a, b in zip(own, g, h) if b > 0}
+    for n in (10_000, 13):
+        size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+        try:
+            got = {tuple(x.x): (x.g, x.h) for x in listwise.list_gradients(table, 10).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+        assert any(place > 500 for _, place in got)
+
+
+def pairwise_gradients(labels, scores, k):
+    """All pairs of a list in one matrix."""
+    order = np.lexsort((np.arange(len(labels)), -scores))
+    place = np.empty(len(labels))
+    place[order] = np.arange(len(labels))
+    discount, gain = np.where(place < k, 1 / np.log2(place + 2), 0), 2.0**labels - 1
+    ideal = (np.sort(gain)[::-1][:k] / np.log2(np.arange(min(k, len(gain))) + 2)).sum()
+    up = labels[:, None] > labels[None, :]
+    change = np.where(up, np.abs((gain[:, None] - gain[None, :]) * (discount[:, None] - discount[None, :])) / ideal, 0)
+    miss = 1 / (1 + np.exp(scores[:, None] - scores[None, :]))
+    g, h = miss * change, miss * (1 - miss) * change
+    return g.sum(axis=1) - g.sum(axis=0), h.sum(axis=1) + h.sum(axis=0)
+
+
 def test_training_rounds_read_lists_without_an_exchange(spark):
     lists = bucketed(spark.range(100).select((F.col("id") % 9).alias("user_id"), F.col("id").cast("int").alias("place"), (F.col("id") % 2).cast("double").alias("label"), F.array(F.col("id").cast("double")).alias("x"), F.lit(0.0).alias("score")), "t", "user_id")
     plan = listwise.list_gradients(lists, 5)._jdf.queryExecution().executedPlan().toString()
