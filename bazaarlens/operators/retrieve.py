@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from bazaarlens.operators.core import in_slices, join_keys, running_count, top_n
 from bazaarlens.operators.joins import anti_exists
 from bazaarlens.operators.quality import RENT_ORDER, SALE_ORDER
 from bazaarlens.operators.vector_index import (
-    Cells, Index, blocks_to_bundles, blocks_to_cells, blocks_to_reachable_cells, build_index, bundle_cells, code_scores, items_of_bundles, nearest_cells,
+    Index, blocks_to_bundles, blocks_to_home_bundles, blocks_to_reachable_bundles, build_index, bundle_cells, bundled_items, code_scores, dealt_in_parts, items_of_bundles, nearest_cells, whole_bundles,
 )
 from bazaarlens.operators.windows import gap_sessionize
 from bazaarlens.session import durable, shared_folder
@@ -25,6 +27,8 @@ COVISIT_INTENT = {"view_phone": 2.0, "contact_chat": 3.0, "contact_zalo": 3.0, "
 INTENT = {"view_phone": 3.0, "contact_chat": 2.0, "contact_zalo": 2.0, "contact_sms": 2.0, "other_interaction": 1.0}
 BLEND = {"als": 0.35, "covis": 0.25, "itemcf": 0.15, "fresh": 0.15}
 REPEAT_WEIGHT = 0.10
+#: Users of one matrix product with a bundle of items.
+USER_BLOCK = 4096
 #: The highest step of the longer price scale.
 LAST_ORDINAL = max(len(SALE_ORDER), len(RENT_ORDER)) - 1
 
@@ -106,20 +110,21 @@ def nearest_items(
     """Top-k items by inner product for unit vectors ``uvec`` and ``ivec``, without pairing rows.
 
     Items are indexed in cells (``vector_index``), by default as many as the square root of their
-    number. For unit vectors cosine order is distance order, and by the triangle inequality a cell of
-    radius r around c holds nothing nearer to u than d(u,c) - r. The nearest cells give each user a
-    distance within which k unseen items already lie; only cells that could hold something nearer are
-    read in the second pass, and of those only rows that reach the k-th score of the first. So the
-    ``exact`` form approximates nothing. Otherwise the codes of the ``probes`` nearest cells, looked for
-    in the ``coarse_probes`` nearest coarse cells, are scored, and the ``keep`` best (5k) of each piece of
-    a cell are ranked again by their vectors where they lie; nothing else is read. There neighbouring
-    cells lie together in bundles of up to ``bundle`` items: a user goes to a bundle once and leaves it
-    with one list of the best ``k``.
-
-    Work is dealt by (cell, item block): a user block goes to each item block of its cells, they meet
-    as matrices of about ``block`` rows, and only each user's best rows leave the task, so a hot cell
-    is many equal pieces on many machines. Bounds are taken inside a user's row, before it is copied
-    to the cells it needs. What a user has seen goes along and is left out where it lies.
+    number; neighbouring cells lie together in bundles. For unit vectors cosine order is distance order,
+    and by the triangle inequality a cell of radius r around c holds nothing nearer to u than d(u,c) - r.
+    The ``exact`` form reads the bundle of a user's nearest cell, which gives a distance within which k
+    unseen items already lie; of the others only bundles with a cell that could hold something nearer
+    are read, and of those only rows that reach the k-th score of the first. It approximates nothing.
+    Otherwise the codes of the ``probes`` nearest cells, looked for in the ``coarse_probes`` nearest
+    coarse cells, are scored, and the ``keep`` best (5k) of each piece of a cell are ranked again by
+    their vectors where they lie; nothing else is read.
+
+    Work is dealt by (bundle, part of its users): bundles hold up to ``bundle`` items, in the exact form an
+    eighth of all or at most four times as many; a user goes to a bundle once, whatever number of its
+    cells is wanted, and leaves it with its best ``k``. So a user's vector is copied eight times, or once
+    for every 65,536 items, and an item's once for every 65,536 users. Users and items meet as matrices of bounded size, and a hot cell
+    spans several bundles. Bounds are taken inside a user's row, before it is copied. What a user has
+    seen goes along and is left out where it lies.
     """
     types = {f.name: f.dataType.simpleString() for f in [*users.schema, *items.schema]}
     schema = f"user_id {types['user_id']}, item_id {types['item_id']}, score double"
@@ -130,32 +135,28 @@ def nearest_items(
     if seen is not None:  # what a user has seen, by the cells of the model
         per_cell = seen.join(built.rows.select("item_id", "cell"), "item_id").groupBy("user_id", "cell").agg(F.collect_set("item_id").alias("items"))
         rows = rows.join(per_cell.groupBy("user_id").agg(F.collect_list(F.struct("cell", "items")).alias("seen")), "user_id", "left")
-    probed = durable(nearest_cells(rows, built, probes, coarse_probes), "probed")
+    probed = durable(nearest_cells(rows, built, 1 if exact else probes, coarse_probes), "probed")
     order = [F.desc(F.round("score", 9)), F.asc("item_id")]
     if not exact:
         bundles = bundle_cells(probed, built, block, bundle)
         best = _best_of_bundles(built.index, keep or 5 * k, k)
-        return top_n(_meet(blocks_to_bundles(probed, built, bundles), items_of_bundles(built, bundles), ["bundle", "part"], best, schema), ["user_id"], order, k)
-
-    packed = durable(_packed(built, ["cell", "ivec"], block), "packed")
-    first = durable(top_n(_meet(_dealt(blocks_to_cells(probed, built, block)), packed, ["cell", "piece"], _best_of_blocks(k), schema), ["user_id"], order, k), "first")
-    full = F.when(F.count("*") == k, F.min("score"))
+        return top_n(_meet(blocks_to_bundles(probed, built, bundles), items_of_bundles(bundled_items(built, bundles), bundles), ["bundle", "part"], best, schema), ["user_id"], order, k)
+
+    bundles, best, keys = whole_bundles(built, block, min(4 * bundle, math.ceil(built.n.sum() / 8))), _best_of_blocks(k), ["bundle", "part"]
+    items = durable(bundled_items(built, bundles).select("bundle", "item_id", "ivec"), "bundled")
+    home, asked = F.get("cells", 0), np.zeros(len(bundles.parts))
+    for r in probed.groupBy(home.alias("cell")).count().collect():  # one row per cell of the model
+        asked[bundles.first[r.cell]] += r["count"]
+    near, rest = (dealt_in_parts(bundles, n, USER_BLOCK) for n in (asked, np.full(len(asked), asked.sum())))
+    # A user's rows leave one task here, so its k-th score needs no order of all rows.
+    first = durable(_meet(blocks_to_home_bundles(probed, built, near, USER_BLOCK), items_of_bundles(items, near), keys, best, schema), "first")
+    full = F.when(F.count("*") >= k, F.min("score"))
     reach = first.groupBy("user_id").agg(full.alias("floor")).filter("floor is not null").withColumn("reach", F.sqrt(F.greatest(2.0 - 2.0 * F.col("floor"), F.lit(0.0))))
-    more = blocks_to_reachable_cells(probed.join(reach, "user_id", "left"), built, block)
-    both = first.select("user_id", "item_id", "score").unionByName(_meet(_dealt(more), packed, ["cell", "piece"], _best_of_blocks(k), schema))
+    more = blocks_to_reachable_bundles(probed.join(reach, "user_id", "left"), built, rest, USER_BLOCK)
+    both = first.unionByName(_meet(more, items_of_bundles(items, rest), keys, best, schema))
     return top_n(both, ["user_id"], order, k)
 
 
-def _packed(built: Cells, columns: Sequence[str], block: int) -> DataFrame:
-    """The items of every cell in pieces of about ``block``."""
-    return _blocks(built.rows.select("item_id", *columns), "item_id", columns[1:], block).withColumnRenamed("block", "piece")
-
-
-def _dealt(sent: DataFrame) -> DataFrame:
-    """User blocks for every piece of their cell."""
-    return sent.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-
-
 def _meet(sent: DataFrame, packed: DataFrame, keys: Sequence[str], best, schema: str) -> DataFrame:
     """(user_id, item_id, score): what ``best`` takes from each pair of a user block and the items of its ``keys``.
 
@@ -165,20 +166,6 @@ def _meet(sent: DataFrame, packed: DataFrame, keys: Sequence[str], best, schema:
     return sent.hint("merge").join(packed.hint("merge"), list(keys)).mapInPandas(best, schema)
 
 
-def _blocks(rows: DataFrame, key: str, values: Sequence[str], size: int) -> DataFrame:
-    """Rows of a cell packed into blocks of about ``size``: ids and one flat array of each vector (or the codes)."""
-    counts = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("n_blocks"))
-    cut = rows.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64(key), F.col("n_blocks")).cast("int"))
-    packed = cut.groupBy("cell", "block").agg(F.collect_list(F.struct(key, *values)).alias("l"))
-    types = dict(rows.dtypes)
-
-    def flat(name: str) -> Column:
-        one = F.transform("l", lambda x: x[name])
-        return F.flatten(one) if types[name].startswith("array") else one
-
-    return packed.select("cell", "block", F.transform("l", lambda x: x[key]).alias(f"{key}s"), *[flat(v).alias(f"{v}s") for v in values])
-
-
 def _without_seen(scores, items, extras, seens):
     """``scores`` of a user block and an item block, and -inf for what the users have seen: ``extras`` of ``seens`` each."""
     import numpy as np
@@ -202,20 +189,60 @@ def _best_places(scores, floors, k: int):
     return np.nonzero((scores >= limit[:, None] - 2e-9) & (scores > -np.inf))  # scores are compared at nine digits
 
 
-def _best_of_blocks(k: int):
-    """Matrix product of a user block and an item block; keeps each user's best rows, ties included."""
+def _best_above(scores, floors, k: int):
+    """Rows and columns as in ``_best_places``. Where all rows have floors, few scores reach them, and only those are ordered."""
+    import numpy as np
 
-    def run(batches):
+    if np.isnan(floors).any():
+        return _best_places(scores, floors, k)
+    u, i = np.nonzero(scores >= np.maximum(floors, -1e300)[:, None] - 2e-9)
+    counts = np.bincount(u, minlength=len(scores))
+    if counts.max(initial=0) <= k:
+        return u, i
+    order = np.lexsort((-scores[u, i], u))
+    ends = np.cumsum(counts)
+    limit = np.full(len(scores), -np.inf)
+    many = counts > k
+    limit[many] = scores[u, i][order][(ends - counts)[many] + k - 1]
+    kept = scores[u, i] >= limit[u] - 2e-9
+    return u[kept], i[kept]
+
+
+def _best_of_blocks(k: int, size: int = 1 << 22):
+    """Matrix products of a user block and a bundle, ``size`` scores at a time; keeps each user's best rows, ties included."""
+
+    def of_block(row):
         import numpy as np
         import pandas as pd
 
+        users, items, extras, seens, floors = (np.asarray(x) for x in (row.user_ids, row.item_ids, row.extras, row.seens, row.floors))
+        points, vectors = np.asarray(row.uvecs).reshape(len(users), -1), np.asarray(row.ivecs).reshape(len(items), -1)
+        who = what = np.zeros(0, dtype=np.int64)  # places of seen items, an item's copies each
+        if len(seens):
+            known, column = np.unique(items, return_inverse=True)
+            by = np.argsort(column, kind="stable")
+            starts = np.searchsorted(column[by], np.arange(len(known) + 1))
+            at = np.minimum(np.searchsorted(known, seens), len(known) - 1)
+            here = known[at] == seens
+            at, who = at[here], np.repeat(np.arange(len(users)), extras)[here]
+            copies = starts[at + 1] - starts[at]
+            what = by[np.repeat(starts[at], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)]
+            who = np.repeat(who, copies)
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        step = max(1, size // len(items))
+        for a in range(0, len(users), step):
+            scores = points[a : a + step] @ vectors.T
+            lo, hi = np.searchsorted(who, [a, a + step])
+            scores[who[lo:hi] - a, what[lo:hi]] = -np.inf
+            u, i = _best_above(scores, floors[a : a + step], k)
+            found.append((u + a, i, scores[u, i]))
+        u, i, score = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"user_id": users[u], "item_id": items[i], "score": score})
+
+    def run(batches):
         for batch in batches:
-            for users, uvecs, extras, seens, floors, items, ivecs in zip(batch.user_ids, batch.uvecs, batch.extras, batch.seens, batch.floors, batch.item_ids, batch.ivecs):
-                users, items = np.asarray(users), np.asarray(items)
-                scores = np.asarray(uvecs).reshape(len(users), -1) @ np.asarray(ivecs).reshape(len(items), -1).T
-                scores = _without_seen(scores, items, np.asarray(extras), np.asarray(seens))
-                u, i = _best_places(scores, np.asarray(floors, dtype=np.float64), k)
-                yield pd.DataFrame({"user_id": users[u], "item_id": items[i], "score": scores[u, i]})
+            for row in batch.itertuples(index=False):
+                yield of_block(row)
 
     return run
 

@@ -144,28 +144,6 @@ def nearest_cells(users: DataFrame, cells: Cells, probes: int, coarse_probes: in
     return rows.mapInArrow(_nearest_cells(cells.index, cells.n > 0, probes, coarse_probes), f"{schema}, cells array<int>")
 
 
-def _listed(n_cells: int):
-    def choose(batch: pa.RecordBatch, points: np.ndarray) -> np.ndarray:
-        wanted = np.zeros((len(points), n_cells), dtype=bool)
-        for i, cells in enumerate(batch.column("cells").to_pylist()):
-            wanted[i, cells] = True
-        return wanted
-
-    return choose
-
-
-def _reachable(index: Index, radius: np.ndarray, filled: np.ndarray):
-    def choose(batch: pa.RecordBatch, points: np.ndarray) -> np.ndarray:
-        reach = batch.column("reach").to_numpy(zero_copy_only=False)
-        bound = np.sqrt(squared_distances(points, index.fine)) - radius[None, :]
-        wanted = filled[None, :] & (np.isnan(reach)[:, None] | (bound <= reach[:, None] + 1e-6))
-        for i, done in enumerate(batch.column("cells").to_pylist()):
-            wanted[i, done] = False
-        return wanted
-
-    return choose
-
-
 def _lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
@@ -184,55 +162,6 @@ def _item_kind(cells: Cells) -> tuple[str, pa.DataType]:
     return kind.simpleString(), to_arrow_type(kind)
 
 
-def _blocks_of_users(choose, last: np.ndarray, block: int, kind: pa.DataType, rows: int = 16384):
-    def run(batches):
-        for whole in batches:
-            for start in range(0, whole.num_rows, block):
-                batch = whole.slice(start, block)
-                points = vectors_of(batch.column("uvec"))
-                cell, user = np.nonzero(choose(batch, points).T)
-                extras, seens = _seen_there(batch, user, cell, kind)
-                upto = np.concatenate([[0], np.cumsum(extras)])
-                ends = np.flatnonzero(np.diff(cell, append=-1)) + 1
-                at = 0
-                while at < len(cell):  # whole cells, about ``rows`` users in all
-                    to = int(ends[max(np.searchsorted(ends, at + rows, "right") - 1, np.searchsorted(ends, at, "right"))])
-                    c, u = cell[at:to], user[at:to]
-                    heads = np.flatnonzero(np.diff(c, prepend=-1))
-                    offsets = np.append(heads, len(c))
-                    floor = batch.column("floor").to_numpy(zero_copy_only=False)[u] if "floor" in batch.schema.names else np.full(len(u), np.nan)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[heads].astype(np.int32)), pa.array(last[c[heads]].astype(np.int32)), _lists(batch.column("user_id").take(pa.array(u)), offsets),
-                         _lists(pa.array(points[u].ravel()), offsets * points.shape[1]), _lists(pa.array(extras[at:to]), offsets),
-                         _lists(seens.slice(upto[at], upto[to] - upto[at]), upto[at + offsets] - upto[at]), _lists(pa.array(floor), offsets)],
-                        ["cell", "last", "user_ids", "uvecs", "extras", "seens", "floors"])
-                    at = to
-
-    return run
-
-
-def _sent(users: DataFrame, cells: Cells, choose, block: int) -> DataFrame:
-    kind, (item, arrow) = users.schema["user_id"].dataType.simpleString(), _item_kind(cells)
-    last = np.ceil(cells.n / block) - 1
-    return users.mapInArrow(
-        _blocks_of_users(choose, last, block, arrow), f"cell int, last int, user_ids array<{kind}>, uvecs array<double>, extras array<int>, seens array<{item}>, floors array<double>")
-
-
-def blocks_to_cells(probed: DataFrame, cells: Cells, block: int) -> DataFrame:
-    """(cell, last, user_ids, uvecs, extras, seens, floors): blocks of up to ``block`` users for each of their ``cells``.
-
-    ``last`` is the number of the cell's last piece of ``block`` items, ``extras`` counts what each user
-    has seen there and ``seens`` names it, user by user; ``floors`` holds their ``floor`` (NaN without
-    one). Blocks are cut from the rows as they come, inside the task: nothing is shuffled to form them.
-    """
-    return _sent(probed, cells, _listed(len(cells.n)), block)
-
-
-def blocks_to_reachable_cells(probed: DataFrame, cells: Cells, block: int) -> DataFrame:
-    """The same for all other cells that can hold something within each user's ``reach`` (null: anything)."""
-    return _sent(probed, cells, _reachable(cells.index, cells.radius, cells.n > 0), block)
-
-
 class Bundles(NamedTuple):
     """Neighbouring cells whose items are read together: pieces and the first and last bundle of each cell,
     pieces of a cell in one bundle, and in how many parts the users of each bundle are dealt."""
@@ -244,10 +173,8 @@ class Bundles(NamedTuple):
     parts: np.ndarray
 
 
-def bundle_cells(probed: DataFrame, cells: Cells, block: int, size: int, dealt: int = 131072) -> Bundles:
-    """Bundles of up to ``size`` items: cells in their order, which keeps those of a coarse cell together; a larger
-    cell has several to itself. A bundle has one part for every ``dealt`` (user, cell) it is asked for, so copies of
-    its items grow no faster than its users."""
+def _laid_out(cells: Cells, block: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Pieces, first and last bundle of each cell, and pieces of a cell in one bundle."""
     per = max(1, size // block)
     pieces = np.maximum(np.ceil(cells.n / block).astype(np.int64), 1)
     first, bundle, filled = np.zeros_like(pieces), 0, 0
@@ -257,12 +184,122 @@ def bundle_cells(probed: DataFrame, cells: Cells, block: int, size: int, dealt:
         first[c], filled = bundle, filled + n
         bundle += (pieces[c] - 1) // per
     last = first + (pieces - 1) // per
+    return pieces, first, last, per
+
+
+def bundle_cells(probed: DataFrame, cells: Cells, block: int, size: int, dealt: int = 131072) -> Bundles:
+    """Bundles of up to ``size`` items: cells in their order, which keeps those of a coarse cell together; a larger
+    cell has several to itself. A bundle has one part for every ``dealt`` (user, cell) it is asked for, so copies of
+    its items grow no faster than its users."""
+    pieces, first, last, per = _laid_out(cells, block, size)
     wanted = np.zeros(int(last.max()) + 1)
     for r in probed.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect():  # one row per cell of the model
         wanted[first[r.cell] : last[r.cell] + 1] += r["count"]
     return Bundles(pieces, first, last, per, np.maximum(np.ceil(wanted / dealt), 1).astype(np.int64))
 
 
+def whole_bundles(cells: Cells, block: int, size: int) -> Bundles:
+    """Bundles of up to ``size`` items, each in one part until ``dealt_in_parts`` knows its users."""
+    pieces, first, last, per = _laid_out(cells, block, size)
+    return Bundles(pieces, first, last, per, np.ones(int(last.max()) + 1, dtype=np.int64))
+
+
+def dealt_in_parts(bundles: Bundles, users: np.ndarray, rows: int, dealt: int = 65536, tasks: int = 32) -> Bundles:
+    """The bundles in one part for every ``dealt`` of their ``users``, or in as many as make about ``tasks`` parts in
+    all where that leaves each part a block of ``rows`` users: a number that does not grow with the tables."""
+    few = np.minimum(np.ceil(tasks / len(bundles.parts)), np.ceil(users / rows))
+    return bundles._replace(parts=np.maximum(np.maximum(np.ceil(users / dealt), few), 1).astype(np.int64))
+
+
+def _home(bundles: Bundles):
+    """The bundle of the nearest cell (of a cell in several, the first)."""
+
+    def choose(batch: pa.RecordBatch, points: np.ndarray) -> np.ndarray:
+        cells, wanted = batch.column("cells"), np.zeros((len(points), len(bundles.parts)), dtype=bool)
+        user = np.repeat(np.arange(len(points)), cells.value_lengths().to_numpy(zero_copy_only=False))
+        wanted[user, bundles.first[cells.flatten().to_numpy(zero_copy_only=False)]] = True
+        return wanted
+
+    return choose
+
+
+def _reachable(cells: Cells, bundles: Bundles):
+    """All other bundles with a cell that can hold something within each user's ``reach`` (null: anything)."""
+    index, radius, filled, home = cells.index, cells.radius, cells.n > 0, _home(bundles)
+    first, last = bundles.first, bundles.last
+
+    def choose(batch: pa.RecordBatch, points: np.ndarray) -> np.ndarray:
+        reach = batch.column("reach").to_numpy(zero_copy_only=False)
+        bound = np.sqrt(squared_distances(points, index.fine)) - radius[None, :]
+        near = filled[None, :] & (np.isnan(reach)[:, None] | (bound <= reach[:, None] + 1e-6))
+        # first and last rise with the cells, so a bundle's cells stand side by side
+        wanted = np.stack([near[:, np.searchsorted(last, b) : np.searchsorted(first, b, "right")].any(axis=1) for b in range(len(bundles.parts))], axis=1)
+        return wanted & ~home(batch, points)
+
+    return choose
+
+
+def _seen_in_bundles(batch: pa.RecordBatch, bundles: Bundles, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(user, bundle, items): everything the users have seen in each bundle, by bundle and user; a cell in several bundles counts in all."""
+    if "seen" not in batch.schema.names:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), pa.array([], kind)
+    seen = batch.column("seen")
+    cell, items = seen.flatten().flatten()
+    cell = cell.to_numpy(zero_copy_only=False).astype(np.int64)
+    user = np.repeat(np.arange(len(seen)), seen.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    pair = np.repeat(np.arange(len(cell)), items.value_lengths().to_numpy(zero_copy_only=False))
+    user, cell, place = user[pair], cell[pair], np.arange(len(pair))
+    times = bundles.last[cell] - bundles.first[cell] + 1
+    bundle = np.repeat(bundles.first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    user, place = np.repeat(user, times), np.repeat(place, times)
+    order = np.lexsort((user, bundle))
+    return user[order], bundle[order], items.flatten().take(pa.array(place[order]))
+
+
+def _blocks_for_whole_bundles(bundles: Bundles, choose, kind: pa.DataType, rows: int):
+    def run(batches):
+        number = TaskContext.get().partitionId()  # blocks go round the parts of a bundle
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                points, number = vectors_of(batch.column("uvec")), number + 1
+                floors = batch.column("floor").to_numpy(zero_copy_only=False) if "floor" in batch.schema.names else np.full(len(points), np.nan)
+                wanted = choose(batch, points)
+                seen_user, seen_bundle, seen = _seen_in_bundles(batch, bundles, kind)
+                for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                    people = np.flatnonzero(wanted[:, b])
+                    own = np.arange(*np.searchsorted(seen_bundle, [b, b + 1]))
+                    own = own[wanted[seen_user[own], b]]
+                    extras = np.bincount(seen_user[own], minlength=len(points))[people]
+                    one = [batch.column("user_id").take(pa.array(people)), pa.array(points[people].ravel()), pa.array(extras.astype(np.int32)), seen.take(pa.array(own)), pa.array(floors[people])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b], pa.int32()), pa.array([number % int(bundles.parts[b])], pa.int32()), *[_lists(x, np.array([0, len(x)])) for x in one]],
+                        ["bundle", "part", "user_ids", "uvecs", "extras", "seens", "floors"])
+
+    return run
+
+
+def _to_whole_bundles(users: DataFrame, cells: Cells, bundles: Bundles, choose, rows: int) -> DataFrame:
+    kind, (item, arrow) = users.schema["user_id"].dataType.simpleString(), _item_kind(cells)
+    return users.mapInArrow(
+        _blocks_for_whole_bundles(bundles, choose, arrow, rows),
+        f"bundle int, part int, user_ids array<{kind}>, uvecs array<double>, extras array<int>, seens array<{item}>, floors array<double>")
+
+
+def blocks_to_home_bundles(probed: DataFrame, cells: Cells, bundles: Bundles, rows: int) -> DataFrame:
+    """(bundle, part, user_ids, uvecs, extras, seens, floors): blocks of up to ``rows`` users for the bundle of their nearest cell.
+
+    ``extras`` counts what each user has seen there and ``seens`` names it, user by user; ``floors`` holds
+    their ``floor`` (NaN without one). Blocks are cut from the rows as they come, inside the task.
+    """
+    return _to_whole_bundles(probed, cells, bundles, _home(bundles), rows)
+
+
+def blocks_to_reachable_bundles(probed: DataFrame, cells: Cells, bundles: Bundles, rows: int) -> DataFrame:
+    """The same for all other bundles with a cell that can hold something within each user's ``reach`` (null: anything)."""
+    return _to_whole_bundles(probed, cells, bundles, _reachable(cells, bundles), rows)
+
+
 def _blocks_for_bundles(bundles: Bundles, kind: pa.DataType, rows: int = 16384):
     def run(batches):
         number = TaskContext.get().partitionId()  # blocks go round the parts of a bundle
@@ -306,19 +343,22 @@ def blocks_to_bundles(probed: DataFrame, cells: Cells, bundles: Bundles) -> Data
         f"bundle int, part int, user_ids array<{kind}>, uvecs array<double>, wanted array<int>, places array<int>, extras array<int>, seens array<{item}>")
 
 
-def items_of_bundles(cells: Cells, bundles: Bundles) -> DataFrame:
-    """(bundle, part, item_ids, cells, pieces, codes, ivecs): the items of each bundle, a copy for each of its parts."""
-    spark = cells.rows.sparkSession
+def bundled_items(cells: Cells, bundles: Bundles) -> DataFrame:
+    """The rows of the index with their ``piece`` of the cell and their ``bundle``."""
     table = [(c, int(p), int(f)) for c, (p, f) in enumerate(zip(bundles.pieces, bundles.first))]
-    parts = [(b, int(p)) for b, p in enumerate(bundles.parts)]
-    cut = (
-        cells.rows.join(F.broadcast(spark.createDataFrame(table, "cell int, n_pieces long, first long")), "cell")
+    return (
+        cells.rows.join(F.broadcast(cells.rows.sparkSession.createDataFrame(table, "cell int, n_pieces long, first long")), "cell")
         .withColumn("piece", F.pmod(F.xxhash64("item_id"), F.col("n_pieces")).cast("int"))
         .withColumn("bundle", (F.col("first") + F.floor(F.col("piece") / bundles.per)).cast("int"))
-        .join(F.broadcast(spark.createDataFrame(parts, "bundle int, n_parts int")), "bundle")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
     )
-    columns = {"item_id": "item_ids", "cell": "cells", "piece": "pieces", "code": "codes", "ivec": "ivecs"}
+
+
+def items_of_bundles(rows: DataFrame, bundles: Bundles) -> DataFrame:
+    """(bundle, part, item_ids, ivecs, and cells, pieces, codes where ``rows`` have them): the items of each bundle, a copy for each of its parts."""
+    parts = [(b, int(p)) for b, p in enumerate(bundles.parts)]
+    cut = rows.join(F.broadcast(rows.sparkSession.createDataFrame(parts, "bundle int, n_parts int")), "bundle").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    names = {"item_id": "item_ids", "cell": "cells", "piece": "pieces", "code": "codes", "ivec": "ivecs"}
+    columns = {a: b for a, b in names.items() if a in rows.columns}
     packed = cut.groupBy("bundle", "part").agg(F.collect_list(F.struct(*columns)).alias("l"))
     return packed.select("bundle", "part", *[F.flatten(f"l.{a}").alias(b) if a == "ivec" else F.col(f"l.{a}").alias(b) for a, b in columns.items()])
 

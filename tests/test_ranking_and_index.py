@@ -349,3 +349,26 @@ def test_bundles_in_pieces_and_parts_change_no_result(spark, monkeypatch):
     assert parts[0].parts.max() > 1 and (parts[0].last > parts[0].first).any()
     want = {f"u{n}": [f"i{x:05d}" for x in ranked[n] if x not in seen_of[n]][:20] for n in range(40)}
     assert {n: [got[n][r] for r in range(1, 21)] for n in got} == want
+
+
+def test_the_exact_search_copies_a_user_to_a_bundle_once(spark, monkeypatch):
+    """Before, each cell that could hold something nearer took a copy of the user's vector, and cells are as many as the root of the items."""
+    items = unit_rows(12, 900, 8, 900)
+    items[::3] = items[0]
+    users = unit_rows(13, 90, 8, 90)
+    u, i = frames(spark, users, items)
+    scores = np.round(users @ items.T, 9)
+    ranked = {n: sorted(range(900), key=lambda x: (-scores[n][x], x)) for n in range(90)}
+    seen_of = {n: set(ranked[n][: 30 * (n % 3)]) for n in range(90)}
+    seen = spark.createDataFrame([(f"u{n}", f"i{x:05d}") for n, s in seen_of.items() for x in s], "user_id string, item_id string")
+    monkeypatch.setattr(retrieve, "USER_BLOCK", 10)
+    met, dealt = [], []
+    plain, parts = retrieve._meet, retrieve.dealt_in_parts
+    monkeypatch.setattr(retrieve, "_meet", lambda *a: met.append(a[0]) or plain(*a))
+    monkeypatch.setattr(retrieve, "dealt_in_parts", lambda *a: dealt.append(parts(*a)) or dealt[-1])
+    got = tops(retrieve.nearest_items(u.repartition(2), i, seen, 20, cells=60, block=20, bundle=50))
+    assert {n: [got[n][r] for r in range(1, 21)] for n in got} == {f"u{n}": [f"i{x:05d}" for x in ranked[n] if x not in seen_of[n]][:20] for n in range(90)}
+    copies = [[x for r in sent.collect() for x in zip([r.bundle] * len(r.user_ids), r.user_ids)] for sent in met]
+    both = copies[0] + copies[1]
+    assert len(both) == len(set(both)) <= 90 * len(dealt[1].parts) and len(dealt[1].parts) < 20
+    assert len(copies[0]) == 90 and (dealt[1].last > dealt[1].first).any() and dealt[1].parts.max() > 1
