@@ -64,6 +64,28 @@ def test_near_in_blocks(spark, monkeypatch):
     assert ordered(ngram_join.jaccard_components(docs).collect()) == ordered(brute.near(rows_of(docs)))
 
 
+def test_bitmaps_of_levels_follow_the_text_and_sets_are_sent_for_neighbours_alone(spark, monkeypatch):
+    """Before, bitmaps of one size filled up, and then every document's set was written and moved."""
+    r = random.Random(4)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+    near = [text() for _ in range(20)]
+    rows = [(i, text()) for i in range(400)] + [(400 + i, t) for i, t in enumerate(near)] + [(500 + i, t + " x") for i, t in enumerate(near)] + [(600 + i, t) for i, t in enumerate(near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "LEVELS", ((2, 1 << 8), (16, 1 << 8), (256, 1 << 8)))
+    monkeypatch.setattr(ngram_join, "TEXT_BYTES", 8)
+    grown = ngram_join._levels_for(docs)
+    assert [n for n, _ in grown] == [2, 16, 256] and len({b for _, b in grown}) == 1
+    assert grown[0][1] == 1 << 13  # stops at 32 times
+    monkeypatch.setattr(ngram_join, "GROWN", 1 << 10)
+    assert 8 * ngram_join._levels_for(docs)[0][1] >= sum(len(t) for _, t in rows)
+    sent, plain = [], ngram_join._bodies
+    monkeypatch.setattr(ngram_join, "_bodies", lambda *a: sent.append(plain(*a)) or sent[-1])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(docs).collect()}
+    assert got == {**{i: (57, i) for i in range(400)}, **{400 + i: (57, 400 + i) for i in range(20)}, **{500 + i: (58, 400 + i) for i in range(20)}, **{600 + i: (57, 400 + i) for i in range(20)}}
+    assert 40 <= sent[0].count() < 80
+    assert "shingles" not in ngram_join.SETS
+
+
 def test_levels_of_more_buckets_than_the_bitmaps_have_words(spark):
     """Every shingle of two documents is marked, however many shuffle partitions a cluster uses."""
     text = " ".join(f"w{i}" for i in range(30))
