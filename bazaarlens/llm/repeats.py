@@ -29,7 +29,8 @@ from bazaarlens.llm.shared import batch, bitmap, buckets_of, has_bit, hashed_bit
 from bazaarlens.llm.textbytes import BYTE_VALUES, PLAIN_WORD, Chunk, chunks, fixed_hash, mix, prefix_sums, ragged, sliding_argmin, span_hash, word_hashes, words
 from bazaarlens.session import durable
 
-EDGE_BITS = 1 << 25
+#: Bits of the bitmap of edge anchors: at least, and at most. Between, it has 16 for each anchor: in a full one all runs would pass for edges.
+EDGE_BITS, MOST_EDGE_BITS = 1 << 25, 1 << 29
 SPANS = "key long, start int, end int"
 #: Rows of an anchor whose content is searched in one group; with more, each window is a row.
 HOT_ROWS = 1024
@@ -371,11 +372,14 @@ def cut_documents(docs: DataFrame, spans: DataFrame, schema: str, cut: Callable[
 
 
 def _edge_bits(edge: DataFrame) -> np.ndarray:
-    """A bitmap of the edge anchors, EDGE_BITS long whatever their number."""
+    """A bitmap of the edge anchors, of which about one in 16 bits is set at most."""
+    n, size = edge.count(), EDGE_BITS
+    while size < min(16 * n, MOST_EDGE_BITS):
+        size *= 2
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             anchor = rows.column("anchor").to_numpy().view(np.uint64)
-            yield batch(bit=pa.array((mix(anchor) % np.uint64(EDGE_BITS)).astype(np.int64)))
+            yield batch(bit=pa.array((mix(anchor) % np.uint64(size)).astype(np.int64)))
 
-    return bitmap(edge.select("anchor").mapInArrow(bits, "bit long"), F.col("bit"), EDGE_BITS)
+    return bitmap(edge.select("anchor").mapInArrow(bits, "bit long"), F.col("bit"), size)

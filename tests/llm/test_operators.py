@@ -450,3 +450,15 @@ def test_redaction_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _ long, __ long, key string")
     got = {r.doc_id: tuple(r) for r in pii.redact(docs).collect()}
     assert got == {1: (1, "mail [EMAIL] now", 5, 6, None), 2: (2, None, 7, 8, "x")}
+
+
+def test_the_bitmap_of_edge_anchors_follows_their_number(spark, monkeypatch):
+    """Before, it had one size; as it filled up, the content of all runs was sent as if they were edges."""
+    monkeypatch.setattr(repeats, "EDGE_BITS", 1 << 8)
+    edge = spark.range(3000).select((F.col("id") * 7919).alias("anchor"), F.lit(0).alias("end"))
+    known = repeats._edge_bits(edge)
+    assert len(known) * 64 == 1 << 16 and len(repeats._edge_bits(edge.limit(0))) * 64 == 1 << 8
+    set_bits = int(np.unpackbits(known.view(np.uint8)).sum())
+    assert 2700 < set_bits <= 3000
+    monkeypatch.setattr(repeats, "MOST_EDGE_BITS", 1 << 10)
+    assert len(repeats._edge_bits(edge)) * 64 == 1 << 10
